@@ -19,7 +19,7 @@ from modspark.catalog.common import (
 )
 from modspark.catalog.texts import normalized_ctes
 from modspark.functions import scores as S
-from modspark.functions.maths import argmax, clamp, mean_cost, safe_divide
+from modspark.functions.maths import argmax, clamp, fixed, mean_cost, round_exact, safe_divide
 from modspark.lexicon import HALF_POINT, default_lexicon
 from modspark.operators import policy as P
 from modspark.operators import scoring, tables, training
@@ -34,12 +34,17 @@ _LEX_VALUES = ", ".join(
 )
 
 
+def _score_sql(i: int) -> str:
+    p = f"coalesce(p{i}, 0)"
+    return f"printf('%.4f', {p} / ({p} + {HALF_POINT})::DOUBLE)::DOUBLE AS s{i}"
+
+
 def points_ctes(source: str) -> str:
     """CTEs ending in ``scored(doc_id, s0..s5)`` from a relation (doc_id, t)."""
     return f"""lex(term, {', '.join(f'w{i}' for i in range(6))}) AS (VALUES {_LEX_VALUES}),
     tok AS (SELECT doc_id, unnest(string_split_regex(t, '[^{WORD_SQL}]+')) AS term FROM {source}),
     pts AS (SELECT doc_id, {', '.join(f'sum(w{i}) AS p{i}' for i in range(6))} FROM tok JOIN lex USING (term) GROUP BY doc_id),
-    scored AS (SELECT b.doc_id, {', '.join(f'round(coalesce(p{i}, 0) / (coalesce(p{i}, 0) + {HALF_POINT})::DOUBLE, 4) AS s{i}' for i in range(6))}
+    scored AS (SELECT b.doc_id, {', '.join(_score_sql(i) for i in range(6))}
       FROM {source} b LEFT JOIN pts USING (doc_id))"""
 
 
@@ -109,13 +114,13 @@ def gate_calibration(s, d):
 @query(
     "severity_action",
     f"""WITH b AS (SELECT doc_id, greatest({', '.join(_D)}) * ((doc_id % 11) / 10::DOUBLE) AS raw FROM documents),
-    o AS (SELECT doc_id, round(least(1, raw), 4) AS overall FROM b)
+    o AS (SELECT doc_id, printf('%.4f', least(1, raw))::DOUBLE AS overall FROM b)
     SELECT doc_id, overall, {severity_sql('overall')} AS severity, overall >= 0.30 AS is_toxic,
       {action_sql(severity_sql('overall'))} AS status FROM o""",
 )
 def severity_action(s, d):
     raw = F.array_max("scores") * ((c("doc_id") % 11) / 10.0)
-    out = _scored_ids(s, d).withColumn("overall", F.round(F.least(F.lit(1.0), raw), 4))
+    out = _scored_ids(s, d).withColumn("overall", round_exact(F.least(F.lit(1.0), raw), 4))
     out = out.withColumn("severity", S.severity(c("overall")))
     return out.select(
         "doc_id", "overall", "severity", S.is_toxic(c("overall")).alias("is_toxic"), S.action(c("severity")).alias("status")
@@ -148,7 +153,7 @@ def tag_triggers(s, d):
 
 @query(
     "flagged_categories_text",
-    f"""WITH b AS (SELECT doc_id, {', '.join(f'round({e}, 4) AS s{i}' for i, e in enumerate(_D))} FROM documents),
+    f"""WITH b AS (SELECT doc_id, {', '.join(f'{e} AS s{i}' for i, e in enumerate(_D))} FROM documents),
     l AS (SELECT doc_id, unnest([{', '.join(f"{{'tag': '{t}', 'pos': {i}, 'score': s{i}}}" for i, t in enumerate(L))}], recursive := true) FROM b)
     SELECT b.doc_id, coalesce(string_agg(tag || ': ' || printf('%.2f', score), ', ' ORDER BY score DESC, pos) FILTER (WHERE score >= 0.3), '') AS flagged,
       count(*) FILTER (WHERE score > 0.40) AS shown_strong, count(*) FILTER (WHERE score > 0.35) AS shown FROM b JOIN l USING (doc_id) GROUP BY b.doc_id""",
@@ -342,7 +347,7 @@ def second_model_flag(s, d):
     p = derived_scores("doc_id")[0]
     both = table(s, d, "documents").select("doc_id", F.array(1 - p, p).alias("p"), p.alias("t"))
     toxic = S.binary_decision(c("p"), ["neutral", "toxic"])
-    pct = lambda e: F.concat(F.format_string("%.1f", e), F.lit("%"))
+    pct = lambda e: F.concat(fixed(e, 1), F.lit("%"))
     return both.select(
         "doc_id",
         toxic.alias("toxic"),
@@ -362,7 +367,7 @@ _CHEAP_VALUES = ", ".join(f"({q(t)}, {', '.join(str(w) for w in ws)})" for t, ws
     {points_ctes('low')},
     clex(term, {', '.join(f'w{i}' for i in range(6))}) AS (VALUES {_CHEAP_VALUES}),
     cpts AS (SELECT doc_id, {', '.join(f'sum(w{i}) AS p{i}' for i in range(6))} FROM tok JOIN clex USING (term) GROUP BY doc_id),
-    cheap AS (SELECT b.doc_id, {', '.join(f'round(coalesce(p{i}, 0) / (coalesce(p{i}, 0) + {HALF_POINT})::DOUBLE, 4) AS s{i}' for i in range(6))} FROM low b LEFT JOIN cpts USING (doc_id)),
+    cheap AS (SELECT b.doc_id, {', '.join(_score_sql(i) for i in range(6))} FROM low b LEFT JOIN cpts USING (doc_id)),
     t AS (SELECT doc_id, greatest({', '.join('c.s%d' % i for i in range(6))}) AS ctop, greatest({', '.join('s.s%d' % i for i in range(6))}) AS stop FROM cheap c JOIN scored s USING (doc_id))
     SELECT doc_id, CASE WHEN ctop < 0.2 OR ctop >= 0.6 THEN 'cheap' ELSE 'strong' END AS stage, CASE WHEN ctop < 0.2 OR ctop >= 0.6 THEN ctop ELSE stop END AS top FROM t""",
 )
@@ -390,7 +395,7 @@ def plugin_scorer(s, d):
 def trained_scorer(s, d):
     docs = documents(s, d, "doc_id", "text")
     labels = table(s, d, "labels")
-    _, features = training.featurise(docs, "text")
+    features = training.featurise(docs, "text")
     weights = {"toxic": 6.0, "quality": 1.0}
     models = training.train_tags(features.join(labels, "doc_id"), ["toxic", "quality"], weights)
     scored = training.score_tags(features, models)
@@ -402,7 +407,7 @@ def trained_scorer(s, d):
 @query("kfold_oof")
 def kfold_oof(s, d):
     labelled = documents(s, d, "doc_id", "text").join(table(s, d, "labels"), "doc_id")
-    _, features = training.featurise(tables.kfold(labelled, 3, 42, "doc_id"), "text")
+    features = training.featurise(tables.kfold(labelled, 3, 42, "doc_id"), "text")
     out = training.out_of_fold(features.drop("text"), 3, ["toxic"], {"toxic": 6.0})
     return out.select("doc_id", "fold", F.round(c("scores")[0], 6).alias("toxic"))
 

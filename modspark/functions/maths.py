@@ -35,6 +35,36 @@ def safe_divide(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
+def _units(x: Column, digits: int) -> Column:
+    """``x`` in whole units of the last digit, rounded half to even on the exact binary
+    value (the rule of C and of float formatting), for 0 <= x < 128.
+
+    Scaling by a power of two is exact, so whole part, rest and cut-off fraction are too.
+    """
+    scaled = x * float(2**46)
+    n = F.floor(scaled)
+    product = n * 10**digits
+    whole = F.shiftright(product, 46)
+    rest = (product - whole * 2**46 - 2**45).cast("double")
+    past_half = rest + (scaled - n) * float(10**digits)
+    up = (past_half > 0) | ((past_half == 0) & (whole % 2 == 1))
+    return F.when(up, whole + 1).otherwise(whole)
+
+
+def round_exact(x: Column, digits: int) -> Column:
+    return _units(x, digits) / float(10**digits)
+
+
+def fixed(x: Column, digits: int) -> Column:
+    """Fixed-point text of a number, as ``%.nf`` writes it."""
+    units = _units(x, digits)
+    if digits == 0:
+        return units.cast("string")
+    whole = F.floor(units / 10**digits).cast("string")
+    part = F.lpad((units % 10**digits).cast("string"), digits, "0")
+    return F.concat(whole, F.lit("."), part)
+
+
 def weighted_bce(logit: Column, y: Column, weight: Column | float = 1.0) -> Column:
     w = weight if isinstance(weight, Column) else F.lit(float(weight))
     return w * y * softplus(-logit) + (1 - y) * softplus(logit)

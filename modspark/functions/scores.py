@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from modspark import constants as k
+from modspark.functions.maths import fixed, round_exact
 from modspark.functions.text import whole_words
 from modspark.lexicon import HALF_POINT, default_lexicon
 
@@ -42,7 +43,7 @@ def lexicon_points(c: Column, lexicon: Mapping[str, Sequence[int]] | None = None
 
 
 def points_to_scores(points: Column) -> Column:
-    return F.transform(points, lambda p: F.round(p / (p + HALF_POINT), 4))
+    return F.transform(points, lambda p: round_exact(p / (p + HALF_POINT), 4))
 
 
 def lexicon_scores(c: Column, lexicon: Mapping[str, Sequence[int]] | None = None) -> Column:
@@ -71,12 +72,13 @@ def gate_score(probabilities: Column) -> Column:
 
 
 def categories(scores: Column, digits: int = 4) -> Column:
-    rounded = F.transform(scores, lambda s: F.round(s, digits))
+    rounded = F.transform(scores, lambda s: round_exact(s, digits))
     return F.map_from_arrays(F.array(*[F.lit(t) for t in k.LABELS]), rounded)
 
 
 def overall(cats: Column) -> Column:
-    return F.round(F.array_max(F.map_values(cats)), 4)
+    """Largest of the (already rounded) category scores."""
+    return F.array_max(F.map_values(cats))
 
 
 def top_tag(scores: Column, labels: Sequence[str] = tuple(k.LABELS)) -> Column:
@@ -127,7 +129,7 @@ def tag_triggers(
     shown = [
         F.when(
             scores[i] >= cut[t],
-            F.concat(F.lit(t.upper() + " ("), F.format_string("%.1f", scores[i] * 100), F.lit("%)")),
+            F.concat(F.lit(t.upper() + " ("), fixed(scores[i] * 100, 1), F.lit("%)")),
         )
         for i, t in enumerate(k.LABELS)
     ]
@@ -152,7 +154,7 @@ def flagged_text(cats: Column, at_least: float = k.CUT_LOW) -> Column:
     return F.array_join(
         F.transform(
             F.array_sort(entries),
-            lambda e: F.concat(e["label"], F.lit(": "), F.format_string("%.2f", e["score"])),
+            lambda e: F.concat(e["label"], F.lit(": "), fixed(e["score"], 2)),
         ),
         ", ",
     )

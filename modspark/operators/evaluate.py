@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modspark import constants as k
-from modspark.functions.maths import perplexity, safe_divide, weighted_bce
+from modspark.functions.maths import perplexity, round_exact, safe_divide, weighted_bce
 from modspark.operators.ordinal import bucket_offsets
 
 SCORE_BUCKETS = 512
@@ -178,7 +178,7 @@ def optimal_thresholds(long: DataFrame, keys: Sequence[str] = ("tag",)) -> DataF
         "positives",
         F.coalesce("_f1", F.lit(0.0)).alias("f1_default"),
         raw.alias("threshold"),
-        F.round(raw, 4).alias("threshold_rounded"),
+        round_exact(raw, 4).alias("threshold_rounded"),
         F.when(found, F.col("_best.f1")).otherwise(F.lit(0.0)).alias("f1_best"),
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modspark import constants as k
-from modspark.functions.maths import safe_divide
+from modspark.functions.maths import round_exact, safe_divide
 from modspark.operators.ordinal import ordinal, range_bucket
 
 CORRECT = "model_prediction_was_correct"
@@ -33,7 +33,7 @@ def feedback_stats(
         "total",
         "correct",
         "incorrect",
-        F.round(safe_divide(F.col("correct"), F.col("total")), 4).alias("accuracy"),
+        round_exact(safe_divide(F.col("correct"), F.col("total")), 4).alias("accuracy"),
         "since_last_retrain",
         F.greatest(F.lit(0), F.lit(threshold) - F.col("since_last_retrain")).alias("remaining"),
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from modspark import constants as k
 from modspark.functions.lang import char_classes
+from modspark.functions.maths import fixed, round_exact
 from modspark.functions.text import word_count
 
 
@@ -19,7 +20,7 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     """
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n")).scalar()
-    return counts.withColumn("pct", F.round(F.col("n") * 100.0 / total, 2)).orderBy(
+    return counts.withColumn("pct", round_exact(F.col("n") / total * 100.0, 2)).orderBy(
         F.desc("n"), column
     )
 
@@ -41,12 +42,14 @@ def class_weights(df: DataFrame, tags: Sequence[str], cap: float = 25.0) -> Data
         ),
     )
     negatives = F.col("_n") - F.col("positives")
-    ratio = F.round(negatives / F.greatest(F.lit(1), F.col("positives")), 2)
+    # Rounding comes before the clamp; values far over the cap need no digits.
+    raw = negatives / F.greatest(F.lit(1), F.col("positives"))
+    ratio = round_exact(F.least(raw, F.lit(100.0)), 2)
     return long.select(
         "tag",
         "positives",
         negatives.alias("negatives"),
-        F.round(F.col("positives") * 100.0 / F.col("_n"), 2).alias("rate_pct"),
+        round_exact(F.col("positives") / F.col("_n") * 100.0, 2).alias("rate_pct"),
         F.least(F.lit(cap), F.greatest(F.lit(1.0), ratio)).alias("weight"),
     )
 

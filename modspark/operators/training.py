@@ -6,9 +6,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer, VectorAssembler
+from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,22 +16,16 @@ from modspark.functions.maths import argmax
 from modspark.operators.tables import stack_features
 
 
-def feature_stages(text: str, buckets: int = 1 << 16) -> Pipeline:
-    """Whole-text tokens and token pairs, hashed."""
-    return Pipeline(
-        stages=[
-            RegexTokenizer(inputCol=text, outputCol="_tok", pattern="[^\\p{L}\\p{N}_]+"),
-            NGram(n=2, inputCol="_tok", outputCol="_pairs"),
-            HashingTF(inputCol="_tok", outputCol="_f1", numFeatures=buckets),
-            HashingTF(inputCol="_pairs", outputCol="_f2", numFeatures=buckets),
-            VectorAssembler(inputCols=["_f1", "_f2"], outputCol="_features"),
-        ]
-    )
-
+def featurise(df: DataFrame, text: str, buckets: int = 1 << 14) -> DataFrame:
+    """Adds ``_features``: hashed counts of whole-text tokens and token pairs.
 
-def featurise(df: DataFrame, text: str, buckets: int = 1 << 16) -> tuple[PipelineModel, DataFrame]:
-    model = feature_stages(text, buckets).fit(df)
-    return model, model.transform(df).drop("_tok", "_pairs", "_f1", "_f2")
+    Every stage is row-local; nothing is fitted.
+    """
+    words = RegexTokenizer(inputCol=text, outputCol="_tok", pattern="[^\\p{L}\\p{N}_]+")
+    pairs = NGram(n=2, inputCol="_tok", outputCol="_pairs")
+    both = pairs.transform(words.transform(df)).withColumn("_terms", F.concat("_tok", "_pairs"))
+    hashed = HashingTF(inputCol="_terms", outputCol="_features", numFeatures=buckets)
+    return hashed.transform(both).drop("_tok", "_pairs", "_terms")
 
 
 def train_tags(
@@ -126,7 +119,6 @@ def decide(stacked: DataFrame, meta: tuple[object, object]) -> DataFrame:
 
 __all__ = [
     "decide",
-    "feature_stages",
     "featurise",
     "fit_meta",
     "model_outputs",

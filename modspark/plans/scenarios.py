@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from modspark import constants as k
 from modspark.functions import scores as S
+from modspark.functions.maths import fixed
 
 
 def scenario_results(scored: DataFrame, scores: str = "scores") -> DataFrame:
@@ -17,7 +18,7 @@ def scenario_results(scored: DataFrame, scores: str = "scores") -> DataFrame:
             *[
                 F.when(
                     col[i] >= k.DEFAULT_TAG_THRESHOLD,
-                    F.concat(F.lit(t.upper() + "("), F.format_string("%.0f", col[i] * 100), F.lit("%)")),
+                    F.concat(F.lit(t.upper() + "("), fixed(col[i] * 100, 0), F.lit("%)")),
                 )
                 for i, t in enumerate(k.LABELS)
             ]
@@ -26,7 +27,7 @@ def scenario_results(scored: DataFrame, scores: str = "scores") -> DataFrame:
     return scored.withColumn("detected_tags", F.array_join(detected, ", ")).withColumn(
         "top_score",
         F.concat(
-            F.upper(S.top_tag(col)), F.lit(": "), F.format_string("%.1f", F.array_max(col) * 100), F.lit("%")
+            F.upper(S.top_tag(col)), F.lit(": "), fixed(F.array_max(col) * 100, 1), F.lit("%")
         ),
     ).withColumn("flagged", S.is_toxic(F.array_max(col)))
 
