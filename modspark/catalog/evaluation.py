@@ -161,7 +161,7 @@ def _policies_sql(keys: str) -> str:
     SELECT split, metric, round(st, 6) AS static, round(tu, 6) AS tuned, round(tu - st, 6) AS gain FROM w""",
 )
 def threshold_gain(s, d):
-    long = derived_predictions(s, d)
+    long = E.count_scores(derived_predictions(s, d), ["split", "tag"])
     best = E.optimal_thresholds(long.filter("split = 'val'")).select("tag", "threshold")
     out = E.threshold_gain(long, best)
     return out.select("split", "metric", *[F.round(x, 6).alias(x) for x in ("static", "tuned", "gain")])
@@ -173,7 +173,7 @@ def threshold_gain(s, d):
     SELECT tag, positives, round(st, 6) AS f1_static, round(tu, 6) AS f1_tuned, round(tu - st, 6) AS gain FROM w""",
 )
 def tag_breakdown(s, d):
-    long = derived_predictions(s, d)
+    long = E.count_scores(derived_predictions(s, d), ["split", "tag"])
     best = E.optimal_thresholds(long.filter("split = 'val'")).select("tag", "threshold")
     out = E.tag_breakdown(long, best)
     return out.select("tag", "positives", *[F.round(x, 6).alias(x) for x in ("f1_static", "f1_tuned", "gain")])

@@ -520,10 +520,10 @@ def scenario_report(s, d):
 
 
 _LIMIT = (20, 60)
-_E2E = f"""WITH v AS (SELECT doc_id, text, lang, doc_id % 7 AS user_id, doc_id // 10 AS sec FROM documents WHERE length(text) BETWEEN 1 AND {k.TEXT_MAX}),
+_E2E = f"""WITH v AS (SELECT doc_id, text, lang, doc_id % 7 AS user_id, doc_id // 10 AS sec FROM documents),
   rl AS (SELECT *, coalesce(count(*) OVER (PARTITION BY user_id ORDER BY sec RANGE BETWEEN 59 PRECEDING AND 1 PRECEDING), 0)
      + row_number() OVER (PARTITION BY user_id, sec ORDER BY doc_id) - 1 AS prior FROM v),
-  ok AS (SELECT *, doc_id % 20 = 0 AS skip FROM rl WHERE prior < 20),
+  ok AS (SELECT *, doc_id % 20 = 0 AS skip FROM rl WHERE prior < 20 AND length(text) BETWEEN 1 AND {k.TEXT_MAX}),
   {normalized_ctes("SELECT doc_id, CASE WHEN skip THEN '' ELSE text END AS t FROM ok")}, {points_ctes('norm')},
   {_scrub_ctes('ok')},
   o AS (SELECT doc_id, greatest({', '.join(_S)}) AS overall FROM scored),

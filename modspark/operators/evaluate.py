@@ -36,6 +36,19 @@ def to_long(
     return df.select(row_id, *keep, F.inline(entries))
 
 
+def count_scores(long: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with equal keys, truth and score become one with their number in ``w``.
+
+    All metrics below take such a table.  Computing several of them from one counted
+    table runs the scorer once, and the planner reuses the one exchange.
+    """
+    return long.groupBy(*keys, "y", "score").agg(F.sum(_weight(long)).alias("w"))
+
+
+def _weight(long: DataFrame) -> Column:
+    return F.col("w") if "w" in long.columns else F.lit(1).cast("long")
+
+
 def _f1(tp: Column, predicted: Column, positive: Column) -> Column:
     return safe_divide(2 * tp, predicted + positive)
 
@@ -59,11 +72,16 @@ def confusion(long: DataFrame, keys: Sequence[str] = ("tag",), hit: Column | Non
     """Counts and precision, recall, F1 (0 where undefined) per key."""
     hit = F.col("score") >= k.DEFAULT_TAG_THRESHOLD if hit is None else hit
     pos = F.col("y") == 1
+    w = _weight(long)
+
+    def total(cond: Column) -> Column:
+        return F.sum(F.when(cond, w).otherwise(0))
+
     counts = long.groupBy(*keys).agg(
-        F.count_if(hit & pos).alias("tp"),
-        F.count_if(hit & ~pos).alias("fp"),
-        F.count_if(~hit & pos).alias("fn"),
-        F.count_if(~hit & ~pos).alias("tn"),
+        total(hit & pos).alias("tp"),
+        total(hit & ~pos).alias("fp"),
+        total(~hit & pos).alias("fn"),
+        total(~hit & ~pos).alias("tn"),
     )
     return counts.select(
         *keys,
@@ -91,8 +109,9 @@ def score_curve(long: DataFrame, keys: Sequence[str] = ("tag",)) -> DataFrame:
     """Per key and distinct score: positives and rows at the score and at or above it,
     plus totals per key."""
     keys = list(keys)
+    w = _weight(long)
     at = long.groupBy(*keys, "score").agg(
-        F.sum(F.col("y").cast("long")).alias("pos"), F.count(F.lit(1)).alias("n")
+        F.sum(F.col("y").cast("long") * w).alias("pos"), F.sum(w).alias("n")
     )
     bucket = -F.floor(F.col("score") * SCORE_BUCKETS)
     offs = bucket_offsets(at, keys, bucket, {"pos": F.sum("pos"), "n": F.sum("n")})
@@ -101,12 +120,12 @@ def score_curve(long: DataFrame, keys: Sequence[str] = ("tag",)) -> DataFrame:
         "n_all", F.sum("_in_n").over(totals)
     )
     at = at.withColumn("_bucket", bucket)
-    w = (
+    down = (
         Window.partitionBy(*keys, "_bucket")
         .orderBy(F.desc("score"))
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    local = at.withColumn("_pos", F.sum("pos").over(w)).withColumn("_n", F.sum("n").over(w))
+    local = at.withColumn("_pos", F.sum("pos").over(down)).withColumn("_n", F.sum("n").over(down))
     joined = local.join(offs, [*keys, "_bucket"])
     return joined.select(
         *keys,
@@ -232,16 +251,19 @@ def weighted_loss(long: DataFrame, weights: Mapping[str, float], logit: Column)
 
 
 def evaluate(long: DataFrame, loss: Column, keys: Sequence[str], n_tags: int) -> DataFrame:
-    """Rows, mean loss, perplexity, macro and micro F1, macro AUC per key.
+    """Rows, mean loss, perplexity, macro and micro F1, macro AUC per key, all from one
+    counted table (``loss`` reads tag, y and score only).
 
     Every row appears once per tag, so rows are counted without a distinct.
     """
     keys = list(keys)
-    sizes = long.groupBy(*keys).agg(
-        F.avg(loss).alias("loss"), F.floor(F.count(F.lit(1)) / n_tags).alias("rows")
+    counted = count_scores(long, [*keys, "tag"])
+    sizes = counted.groupBy(*keys).agg(
+        (F.sum(loss * F.col("w")) / F.sum("w")).alias("loss"),
+        F.floor(F.sum("w") / n_tags).alias("rows"),
     )
-    f1s = macro_micro(confusion(long, [*keys, "tag"]), keys)
-    auc = roc_auc(long, [*keys, "tag"]).groupBy(*keys).agg(
+    f1s = macro_micro(confusion(counted, [*keys, "tag"]), keys)
+    auc = roc_auc(counted, [*keys, "tag"]).groupBy(*keys).agg(
         F.when(F.count("roc_auc") == F.count(F.lit(1)), F.avg("roc_auc")).alias("roc_auc")
     )
     out = reduce(lambda a, b: a.join(b, keys), [sizes, f1s, auc])

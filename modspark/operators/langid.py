@@ -39,13 +39,14 @@ def train_profiles(
     )
     total = reduce(lambda a, b: a + b, [F.col(l) for l in languages])
     kept = wide.withColumn("_all", total).orderBy(F.desc("_all"), "gram").limit(grams)
-    sums = [kept.agg(F.sum(l)).scalar() for l in languages]
-    size = kept.agg(F.count(F.lit(1))).scalar()
+    totals = kept.agg(
+        F.struct(*[F.sum(l).alias(l) for l in languages], F.count(F.lit(1)).alias("_size"))
+    ).scalar()
     return kept.select(
         "gram",
         *[
-            F.round(1000 * F.ln((F.col(l) + 1) / (s + size))).cast("long").alias(l)
-            for l, s in zip(languages, sums)
+            F.round(1000 * F.ln((F.col(l) + 1) / (totals[l] + totals["_size"]))).cast("long").alias(l)
+            for l in languages
         ],
     )
 

@@ -29,10 +29,9 @@ def hash_bucket(h: Column) -> Column:
 
 def range_bucket(df: DataFrame, order: Column, buckets: int = BUCKETS) -> Column:
     """Equal-width buckets of a numeric order, bounds from a scalar subquery."""
-    bounds = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
-    lo = bounds.select("lo").scalar()
-    width = bounds.select(F.floor((F.col("hi") - F.col("lo")) / buckets) + 1).scalar()
-    return F.floor((order - lo) / width)
+    bounds = df.agg(F.struct(F.min(order).alias("lo"), F.max(order).alias("hi"))).scalar()
+    width = F.floor((bounds["hi"] - bounds["lo"]) / buckets) + 1
+    return F.floor((order - bounds["lo"]) / width)
 
 
 def bucket_offsets(

@@ -34,22 +34,28 @@ def lexicon_scorer(
 
 
 def term_table_scorer(
-    df: DataFrame, terms: DataFrame, row_id: str, text: str, out: str = "scores", salts: int = SCALE_SALTS
+    df: DataFrame,
+    terms: DataFrame,
+    row_id: str,
+    text: str,
+    out: str = "scores",
+    salts: int = SCALE_SALTS,
 ) -> DataFrame:
     """Scores from a table ``(term, tag, weight)`` of any size.
 
-    Tokens are counted per row first (map-side, one row's tokens sit in one task).  A
-    table within the checked bound is broadcast; a larger one is joined by shuffle with
-    the very frequent tokens spread over ``salts`` copies of the term rows.
+    Within the checked bound the terms are broadcast and each task keeps only its hits, so
+    what is shuffled is one point row per text.  A larger table is joined by shuffle: equal
+    tokens of a text are counted first and the very frequent ones are spread over ``salts``
+    copies of the term rows.
     """
     tokens = df.select(
         row_id, F.explode(F.split(F.lower(text), f"[^{WORD}]+")).alias("term")
     ).filter(F.col("term") != "")
-    counted = tokens.groupBy(row_id, "term").agg(F.count(F.lit(1)).alias("_n"))
     small = broadcast_if_small(terms)
     if small is not terms:
-        hits = counted.join(small, "term")
+        hits = tokens.withColumn("_n", F.lit(1)).join(small, "term")
     else:
+        counted = tokens.groupBy(row_id, "term").agg(F.count(F.lit(1)).alias("_n"))
         salted = terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         hits = counted.withColumn(
             "_salt", F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int")

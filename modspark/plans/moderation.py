@@ -73,17 +73,19 @@ def moderate(
     fallback_language: Column | None = None,
     compose: bool = True,
 ) -> Moderated:
-    """Bounds, rate limit, bypass, scoring, rewrite and status.
+    """Rate limit, bounds, bypass, scoring, rewrite and status.
 
     ``df`` has ``message_id, text`` and, with ``limits = (count, seconds)``, also
     ``user_id``, ``second`` and an integer ``arrival`` order.
     """
-    valid, invalid = P.quarantine(df, P.request_rules())
     rejected = None
+    accepted = df
     if limits is not None:
-        checked = rate_limit(valid, "user_id", "second", "arrival", *limits)
+        # First, as in the live flow: the attempt counts then need no text column.
+        checked = rate_limit(df, "user_id", "second", "arrival", *limits)
         rejected = checked.filter(~F.col("allowed"))
-        valid = checked.filter("allowed").drop("allowed", "prior")
+        accepted = checked.filter("allowed").drop("allowed", "prior")
+    valid, invalid = P.quarantine(accepted, P.request_rules())
     scored = score_messages(
         valid, scorer, skip, gate, fallback_language, compose=compose
     )
