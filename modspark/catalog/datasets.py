@@ -10,6 +10,7 @@ from modspark import schemas
 from modspark.catalog.common import WS_SQL, documents, hash_int_sql, md5_sql, query, strip_sql, table, tokens_sql
 from modspark.catalog.texts import simple_scrub_sql
 from modspark.functions import text as T
+from modspark.functions.maths import round_exact
 from modspark.operators import monitor, profile, tables
 from modspark.operators.ordinal import range_bucket
 from modspark.plans import corpus
@@ -284,7 +285,8 @@ def length_profile(s, d):
     "SELECT source, count(*) AS n, printf('%.2f', count(*)::DOUBLE / sum(count(*)) OVER () * 100)::DOUBLE AS pct FROM documents GROUP BY source",
 )
 def source_mix(s, d):
-    return profile.value_counts(table(s, d, "documents"), "source")
+    counts = profile.value_counts(table(s, d, "documents"), "source")
+    return counts.withColumn("pct", round_exact(c("pct"), 2))
 
 
 @query(

@@ -36,19 +36,21 @@ def safe_divide(a: Column, b: Column) -> Column:
 
 
 def _units(x: Column, digits: int) -> Column:
-    """``x`` in whole units of the last digit, rounded half to even on the exact binary
-    value (the rule of C and of float formatting), for 0 <= x < 128.
+    """``x >= 0`` in whole units of the last digit (up to four), rounded half to even on the
+    exact binary value (the rule of C and of float formatting).
 
-    Scaling by a power of two is exact, so whole part, rest and cut-off fraction are too.
+    Whole part, fraction and the fraction scaled by a power of two are all exact.
     """
-    scaled = x * float(2**46)
+    ones = F.floor(x)
+    scaled = (x - ones) * float(2**46)
     n = F.floor(scaled)
     product = n * 10**digits
-    whole = F.shiftright(product, 46)
-    rest = (product - whole * 2**46 - 2**45).cast("double")
+    tail = F.shiftright(product, 46)
+    rest = (product - tail * 2**46 - 2**45).cast("double")
     past_half = rest + (scaled - n) * float(10**digits)
-    up = (past_half > 0) | ((past_half == 0) & (whole % 2 == 1))
-    return F.when(up, whole + 1).otherwise(whole)
+    units = ones * 10**digits + tail
+    up = (past_half > 0) | ((past_half == 0) & (units % 2 == 1))
+    return F.when(up, units + 1).otherwise(units)
 
 
 def round_exact(x: Column, digits: int) -> Column:

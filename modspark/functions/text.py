@@ -32,10 +32,10 @@ _SEP = f"[.\\-_{WS}]"
 # Superset of the characters canonical composition can change or reorder.  A text
 # without any of them is already composed and never leaves the JVM.
 MAY_RECOMPOSE = (
-    "[\\p{M}\\u0340-\\u0345\\u0374\\u037e\\u0387\\u0900-\\u0dff\\u0f00-\\u109f\\u1100-\\u11ff"
-    "\\u1b00-\\u1b7f\\u1f00-\\u1fff\\u2000\\u2001\\u2126\\u212a\\u212b\\u2329\\u232a\\u2adc"
-    "\\uf900-\\ufaff\\ufb1d-\\ufb4f\\x{105c0}-\\x{105ff}\\x{11080}-\\x{11fff}\\x{16100}-\\x{16fff}"
-    "\\x{1d15e}-\\x{1d1ff}\\x{2f800}-\\x{2fa1f}]"
+    "[\\p{M}\\u0300-\\u036f\\u0374\\u037e\\u0387\\u0860-\\u0dff\\u0f00-\\u109f\\u1100-\\u11ff\\u1700-\\u173f"
+    "\\u1ab0-\\u1b7f\\u1dc0-\\u1dff\\u1f00-\\u1fff\\u2000\\u2001\\u2126\\u212a\\u212b\\u2329\\u232a\\u2adc"
+    "\\uf900-\\ufaff\\ufb1d-\\ufb4f\\x{105c0}-\\x{105ff}\\x{10d00}-\\x{11fff}\\x{16100}-\\x{16fff}"
+    "\\x{1d15e}-\\x{1d1ff}\\x{1e000}-\\x{1e9ff}\\x{2f800}-\\x{2fa1f}]"
 )
 
 

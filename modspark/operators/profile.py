@@ -20,7 +20,7 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     """
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n")).scalar()
-    return counts.withColumn("pct", round_exact(F.col("n") / total * 100.0, 2)).orderBy(
+    return counts.withColumn("pct", F.col("n") / total * 100.0).orderBy(
         F.desc("n"), column
     )
 
@@ -42,9 +42,7 @@ def class_weights(df: DataFrame, tags: Sequence[str], cap: float = 25.0) -> Data
         ),
     )
     negatives = F.col("_n") - F.col("positives")
-    # Rounding comes before the clamp; values far over the cap need no digits.
-    raw = negatives / F.greatest(F.lit(1), F.col("positives"))
-    ratio = round_exact(F.least(raw, F.lit(100.0)), 2)
+    ratio = round_exact(negatives / F.greatest(F.lit(1), F.col("positives")), 2)
     return long.select(
         "tag",
         "positives",
@@ -106,21 +104,22 @@ def profile_lines(df: DataFrame, text: str, source: str, tags: Sequence[str] = t
     counts = value_counts(df, source).select(
         F.lit(2).alias("section"),
         F.row_number().over(Window.orderBy(F.desc("n"), source)).alias("pos"),
-        F.format_string("| `%s` | %d | %.1f%% |", F.col(source), F.col("n"), F.col("pct")).alias("line"),
+        F.format_string("| `%s` | %d | %s%% |", F.col(source), F.col("n"), fixed(F.col("pct"), 1)).alias("line"),
     )
     weights = class_weights(df, tags).select(
         F.lit(4).alias("section"),
         F.array_position(F.array(*[F.lit(t) for t in tags]), F.col("tag")).cast("int").alias("pos"),
         F.format_string(
-            "| `%s` | %d | %d | %.2f%% | %.2f |",
-            "tag", "positives", "negatives", "rate_pct", "weight",
+            "| `%s` | %d | %d | %s%% | %s |",
+            "tag", "positives", "negatives", fixed(F.col("rate_pct"), 2), fixed(F.col("weight"), 2),
         ).alias("line"),
     )
     lengths = length_profile(df, text).select(
         F.lit(6).alias("section"),
         F.when(F.col("unit") == "characters", 1).otherwise(2).alias("pos"),
         F.format_string(
-            "| %s | %.1f | %.1f | %.1f | %d |", "unit", "mean", "median", "p95", "max"
+            "| %s | %s | %s | %s | %d |",
+            "unit", *[fixed(F.col(x), 1) for x in ("mean", "median", "p95")], "max",
         ).alias("line"),
     )
     heads = df.agg(F.count(F.lit(1)).alias("n")).select(
