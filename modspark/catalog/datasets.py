@@ -339,6 +339,19 @@ def active_sender_semi_join(s, d):
     )
 
 
+@query(
+    "user_lookup",
+    "SELECT o_orderkey, c_custkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0",
+)
+def user_lookup(s, d):
+    """Orders ask for their customer by an e-mail in upper case."""
+    mail = lambda key: F.concat(F.lit("USER"), c(key).cast("string"), F.lit("@Example.com"))
+    users = table(s, d, "customer").withColumn("email", F.lower(mail("c_custkey")))
+    asked = table(s, d, "orders").select("o_orderkey", mail("o_custkey").alias("asked"))
+    found = tables.find_users(asked, users, "asked", "email", c("c_acctbal") > 0)
+    return found.select("o_orderkey", "c_custkey", "c_name")
+
+
 @query("hashed_users", "SELECT event_id, sha256('pepper' || user_id) AS user_hash FROM events")
 def hashed_users(s, d):
     return table(s, d, "events").select("event_id", monitor.hashed_id(c("user_id"), "pepper").alias("user_hash"))
@@ -380,6 +393,20 @@ def _backup(s, d):
     )
 
 
+@query(
+    "run_metadata",
+    "SELECT 'corpus' AS model, 'toxic,quality' AS tags, 3 AS epochs, toxic, n FROM (SELECT sum(toxic)::BIGINT AS toxic, count(*) AS n FROM labels)",
+)
+def run_metadata(s, d):
+    metrics = table(s, d, "labels").agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n"))
+    path = scratch_path(s, "metadata")
+    sinks.write_jsonl(sinks.run_metadata(metrics, "corpus", ["toxic", "quality"], 3), path)
+    back = s.read.schema("model string, tags string, epochs int, metrics string").json(path)
+    return back.select("model", "tags", "epochs", F.from_json("metrics", "toxic long, n long").alias("m")).select(
+        "model", "tags", "epochs", "m.*"
+    )
+
+
 _BACKUP_SQL = "SELECT text, CASE lang WHEN 'en' THEN 'English (comments)' WHEN 'fr' THEN 'hinglish' WHEN 'de' THEN 'hindi/hinglish (hasoc)' END AS source_language, 0 AS toxic FROM documents"
 
 

@@ -240,6 +240,20 @@ def model_comparison(s, d):
     return out.select("split", "metric", *[F.round(x, 6).alias(x) for x in ("base", "tuned", "difference")])
 
 
+def _line(e: str) -> str:
+    return f"printf('%.4f', {e})"
+
+
+@query(
+    "comparison_report",
+    f"""WITH {_PRED}, {_DPRED}, {_EVAL}, l AS (SELECT split, model, unnest([{{'metric': 'macro_f1', 'v': macro_f1}}, {{'metric': 'micro_f1', 'v': micro_f1}}], recursive := true) FROM ev),
+    w AS (SELECT split, metric, max(v) FILTER (WHERE model = 'derived') AS b, max(v) FILTER (WHERE model = 'lexicon') AS t FROM l GROUP BY split, metric)
+    SELECT split, metric, '| ' || split || ' | ' || metric || ' | ' || {_line('b')} || ' | ' || {_line('t')} || ' | ' || CASE WHEN t - b < 0 THEN '-' ELSE '+' END || {_line('abs(t - b)')} || ' |' AS line FROM w""",
+)
+def comparison_report(s, d):
+    return E.comparison_lines(E.compare_models(_evaluated(s, d), "derived", "lexicon", ["macro_f1", "micro_f1"]))
+
+
 @query(
     "aligned_predictions",
     f"""WITH {_LOW}, b AS (SELECT doc_id, {derived_sql('doc_id')[0]} AS score FROM documents WHERE length(text) > 1000)

@@ -519,6 +519,61 @@ def scenario_report(s, d):
     )
 
 
+@query(
+    "batch_requests",
+    f"""WITH m AS (SELECT conv_id * 100 + row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS doc_id, conv_id, lower(text) AS t FROM conversations), {points_ctes('m')}
+    SELECT conv_id, (m.doc_id % 100)::INTEGER AS position, s0 AS toxic, {severity_sql('s0')} AS severity FROM m JOIN scored USING (doc_id)
+      WHERE conv_id IN (SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*) BETWEEN 1 AND {k.BATCH_MAX})""",
+)
+def batch_requests(s, d):
+    """Conversations as array requests; sizes are checked before the arrays are cut up."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    requests = table(s, d, "conversations").groupBy("conv_id").agg(
+        F.transform(turns, lambda e: e["text"]).alias("texts")
+    )
+    valid, _ = P.quarantine(requests, P.batch_rules())
+    rows = tables.batch_messages(valid).withColumn("normalized", F.lower("text"))
+    scored = scoring.lexicon_scorer()(rows).withColumn("toxic", c("scores")[0])
+    return scored.select("conv_id", "position", "toxic", S.severity(c("toxic")).alias("severity"))
+
+
+_TOP = f"greatest({', '.join(_S)})"
+
+
+@query(
+    "two_model_report",
+    f"""WITH low AS (SELECT doc_id, lower(text) AS t FROM documents), {points_ctes('low')},
+    a AS (SELECT doc_id, {_triggers_sql({t: 0.5 for t in L})} AS tags, {_TOP} AS top FROM scored),
+    b AS (SELECT doc_id, {_D[0]} AS p FROM documents),
+    r AS (SELECT doc_id, CASE WHEN tags <> '' THEN tags ELSE 'SAFE' END AS x, CASE WHEN p >= 0.5 THEN 'TOXIC(' || printf('%.0f', p * 100) || '%)' ELSE 'SAFE' END AS y,
+      tags <> '' AS fx, p >= 0.5 AS fy FROM a JOIN b USING (doc_id))
+    SELECT doc_id, CASE WHEN length(x) > 32 THEN substr(x, 1, 29) || '...' ELSE x END AS first_prediction, y AS second_prediction, fx AS first_flagged, fy AS second_flagged, 1::BIGINT AS total, fx::BIGINT AS first_toxic, fy::BIGINT AS second_toxic FROM r
+    UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, count(*), count(*) FILTER (WHERE fx), count(*) FILTER (WHERE fy) FROM r""",
+)
+def two_model_report(s, d):
+    low = documents(s, d, "doc_id", "text").select("doc_id", F.lower("text").alias("normalized"))
+    tags = F.array_join(S.tag_triggers(c("scores"), 0.5), ", ")
+    first = scoring.lexicon_scorer()(low).select("doc_id", tags.alias("tags")).select(
+        "doc_id",
+        F.when(c("tags") != "", c("tags")).otherwise("SAFE").alias("shown"),
+        (c("tags") != "").alias("flagged"),
+    )
+    p = derived_scores("doc_id")[0]
+    second = table(s, d, "documents").select(
+        "doc_id",
+        F.when(p >= 0.5, F.concat(F.lit("TOXIC("), fixed(p * 100, 0), F.lit("%)"))).otherwise("SAFE").alias("shown"),
+        S.binary_decision(F.array(1 - p, p), ["neutral", "toxic"]).alias("flagged"),
+    )
+    rows = scenarios.two_model_rows(first, second, "doc_id")
+    counted = rows.select(
+        "*",
+        F.lit(1).cast("long").alias("total"),
+        c("first_flagged").cast("long").alias("first_toxic"),
+        c("second_flagged").cast("long").alias("second_toxic"),
+    )
+    return counted.unionByName(scenarios.two_model_summary(rows), allowMissingColumns=True)
+
+
 _LIMIT = (20, 60)
 _E2E = f"""WITH v AS (SELECT doc_id, text, lang, doc_id % 7 AS user_id, doc_id // 10 AS sec FROM documents),
   rl AS (SELECT *, coalesce(count(*) OVER (PARTITION BY user_id ORDER BY sec RANGE BETWEEN 59 PRECEDING AND 1 PRECEDING), 0)

@@ -11,6 +11,17 @@ from pyspark.sql import SparkSession
 
 from modspark.functions import text
 
+def _sql(value: str) -> str:
+    """SQL string literal."""
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return "'" + "".join(ch if ch >= " " else f"\\u{ord(ch):04x}" for ch in escaped) + "'"
+
+
+def _raw(pattern: str) -> str:
+    """Raw SQL literal of a pattern (patterns here hold no quote)."""
+    return f"r'{pattern}'"
+
+
 _DDL = {
     "mod_severity": (
         "score DOUBLE",
@@ -62,14 +73,71 @@ _DDL = {
         "r'(?<![A-Za-z0-9_])@[A-Za-z0-9_]+', '<USER>'), '[0-9]+', '<NUM>')",
     ),
     "mod_sigmoid": ("x DOUBLE", "DOUBLE", "1.0D / (1.0D + exp(-x))"),
+    "mod_softplus": ("x DOUBLE", "DOUBLE", "greatest(x, 0D) + log1p(exp(-abs(x)))"),
+    "mod_perplexity": ("loss DOUBLE", "DOUBLE", "CASE WHEN loss < 20 THEN exp(loss) ELSE double('inf') END"),
+    "mod_safe_divide": ("a DOUBLE, b DOUBLE", "DOUBLE", "coalesce(try_divide(a, b), 0D)"),
+    "mod_strip": ("t STRING", "STRING", f"btrim(t, {_sql(text.WS_CHARS)})"),
+    "mod_word_count": (
+        "t STRING",
+        "INT",
+        f"size(filter(split(t, {_raw('[' + text.WS + ']+')}), x -> x != ''))",
+    ),
+    "mod_clean": (
+        "t STRING",
+        "STRING",
+        f"lower(btrim(regexp_replace(regexp_replace(regexp_replace(mod_nfc(coalesce(t, '')), "
+        f"{_raw('[' + text.fv.INVISIBLE + ']+')}, ''), {_raw('[ \\t]{2,}|\\t')}, ' '), "
+        f"{_raw('\\n{3,}')}, '\\n\\n'), {_sql(text.WS_CHARS)}))",
+    ),
+    "mod_join_separated": (
+        "t STRING",
+        "STRING",
+        f"regexp_replace(t, {_raw(f'(?<=[a-z]){text._SEP}(?=[a-z]{text._SEP}[a-z])')}, '')",
+    ),
+    "mod_deleet_digits": (
+        "t STRING",
+        "STRING",
+        f"translate(t, '{text.fv.LEET_DIGITS_FROM}', '{text.fv.LEET_DIGITS_TO}')",
+    ),
+    "mod_strip_quotes": (
+        "t STRING",
+        "STRING",
+        "CASE WHEN length(t) >= 2 AND left(t, 1) = right(t, 1) AND left(t, 1) IN ('\"', '\\'') "
+        "THEN trim(substring(t, 2, length(t) - 2)) ELSE t END",
+    ),
+    "mod_email_key": ("t STRING", "STRING", "lower(t)"),
+    "mod_feedback_id": ("id STRING", "STRING", "concat('fb-', substring(id, 1, 8))"),
+    "mod_training_prompt": (
+        "t STRING",
+        "STRING",
+        f"concat({_sql(text.fv.TRAINING_PROMPT_HEAD)}, '\\nToxic: ', t, '\\n', {_sql(text.fv.COMPLETION_MARKER)})",
+    ),
+    "mod_generic_reply": (
+        "t STRING",
+        "BOOLEAN",
+        "t IS NULL OR t = '' OR "
+        + " OR ".join(f"contains(lower(t), {_sql(p)})" for p in text.fv.GENERIC_REPLY_PHRASES),
+    ),
+    "mod_needs_rewrite": ("toxic BOOLEAN, severity STRING", "BOOLEAN", "toxic AND severity IN ('MEDIUM', 'HIGH')"),
+    "mod_route": (
+        "flagged BOOLEAN, devanagari BOOLEAN",
+        "STRING",
+        "CASE WHEN NOT flagged THEN 'pass' WHEN devanagari THEN 'devanagari' ELSE 'latin' END",
+    ),
+    "mod_top_score": ("scores ARRAY<DOUBLE>", "DOUBLE", "array_max(scores)"),
+    "mod_context": (
+        "turns ARRAY<STRING>, n INT",
+        "STRING",
+        "CASE WHEN size(turns) > 0 THEN array_join(slice(turns, greatest(1, size(turns) - n + 1), n), ' ') END",
+    ),
 }
 
 
 def register(spark: SparkSession) -> list[str]:
     """Register every function for SQL; returns the names."""
+    spark.udf.register("mod_nfc", text.compose_udf())
     for name, (args, returns, body) in _DDL.items():
         spark.sql(
             f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {returns} RETURN {body}"
         )
-    spark.udf.register("mod_nfc", text.compose_udf())
     return [*_DDL, "mod_nfc"]

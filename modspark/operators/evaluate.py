@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modspark import constants as k
-from modspark.functions.maths import perplexity, round_exact, safe_divide, weighted_bce
+from modspark.functions.maths import fixed, perplexity, round_exact, safe_divide, weighted_bce
 from modspark.operators.ordinal import bucket_offsets
 
 SCORE_BUCKETS = 512
@@ -287,6 +287,24 @@ def compare_models(evaluated: DataFrame, base: str, tuned: str, metrics: Sequenc
     ).withColumn("difference", F.col("tuned") - F.col("base"))
 
 
+def comparison_lines(compared: DataFrame) -> DataFrame:
+    """Markdown rows of a base-against-tuned comparison with four digits."""
+    sign = F.when(F.col("difference") < 0, "-").otherwise("+")
+    return compared.select(
+        "split",
+        "metric",
+        F.format_string(
+            "| %s | %s | %s | %s | %s%s |",
+            "split",
+            "metric",
+            fixed(F.col("base"), 4),
+            fixed(F.col("tuned"), 4),
+            sign,
+            fixed(F.abs("difference"), 4),
+        ).alias("line"),
+    )
+
+
 def promotion_check(
     slices: DataFrame, must_beat: Sequence[str], severe: Sequence[str]
 ) -> DataFrame:

@@ -162,6 +162,20 @@ def active_only(facts: DataFrame, users: DataFrame, fact_key: str, user_key: str
     return facts.join(ids, F.col(fact_key) == F.col("_u"), "left_semi")
 
 
+def find_users(requests: DataFrame, users: DataFrame, request_key: str, user_key: str, active: Column) -> DataFrame:
+    """Active user of every request by lower-cased e-mail (or id); unknown and inactive
+    users give no row."""
+    known = users.filter(active).withColumn("_key", F.lower(F.col(user_key).cast("string")))
+    asked = requests.withColumn("_key", F.lower(F.col(request_key).cast("string")))
+    return asked.join(known, "_key").drop("_key")
+
+
+def batch_messages(requests: DataFrame, texts: str = "texts", position: str = "position", text: str = "text") -> DataFrame:
+    """One row per text of an array request; the position aligns results with inputs."""
+    others = [c for c in requests.columns if c != texts]
+    return requests.select(*others, F.posexplode(texts).alias(position, text))
+
+
 def align_predictions(a: DataFrame, b: DataFrame, row_id: str) -> DataFrame:
     """Two models side by side; a full outer join shows rows one of them misses."""
     left = a.select(row_id, *[F.col(c).alias(f"a_{c}") for c in a.columns if c != row_id])

@@ -79,6 +79,12 @@ def append_messages(df: DataFrame, path: str) -> None:
     stored_messages(df).write.mode("append").parquet(path)
 
 
+def append_feedback(df: DataFrame, path: str) -> None:
+    """Feedback rows stamped with the time of the write (UTC by session zone)."""
+    stamped = df if "submitted_at" in df.columns else df.withColumn("submitted_at", F.current_timestamp())
+    stamped.write.mode("append").parquet(path)
+
+
 def report_lines(results: DataFrame, summary: DataFrame, order: str) -> DataFrame:
     """Scenario report as JSON lines: one summary line, then one line per result.
 

@@ -148,3 +148,22 @@ def test_sql_functions_match_columns(spark):
         "mod_nfc('é') e, mod_mask('see www.a.b 5') f, mod_sigmoid(0D) g, mod_is_indian_language('hi') h"
     ).first()
     assert tuple(row) == ("cool", "a", "MEDIUM", "BLOCKED", "é", "see <URL> <NUM>", 0.5, True)
+
+
+def test_sql_text_functions_match_columns(spark):
+    registry.register(spark)
+    texts = ["  A\tb  \u200bé\n\n\n\nC ", "f.u.n 4 2day", '"hi "', "Please be POLITE", "x", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    df.createOrReplaceTempView("sql_texts")
+    t = F.col("t")
+    want = df.select(
+        T.clean_text(t), T.join_separated(t), T.word_count(t), T.is_generic_reply(t), T.training_prompt(t), T.strip_quotes(t)
+    ).collect()
+    got = spark.sql(
+        "SELECT mod_clean(t), mod_join_separated(t), mod_word_count(t), mod_generic_reply(t), mod_training_prompt(t), mod_strip_quotes(t) FROM sql_texts"
+    ).collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want]
+    row = spark.sql(
+        "SELECT mod_context(array('a','b','c','d','e'), 4), mod_route(true, false), mod_perplexity(20D), mod_feedback_id('abcdefghij')"
+    ).first()
+    assert tuple(row) == ("b c d e", "latin", float("inf"), "fb-abcdefgh")
