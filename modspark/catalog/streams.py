@@ -84,6 +84,4 @@ def stream_latest_status(s, d):
     updates = _stream(s, d, "events").select("user_id", "event_id", c("event_type").alias("status"))
     base = scratch_path(s, "status")
     jobs.upsert_status(updates, f"{base}/table", f"{base}/checkpoint", "user_id", "event_id", ["status"]).awaitTermination()
-    versions = s.read.schema(updates.schema.add("version", "long")).parquet(f"{base}/table")
-    newest = versions.agg(F.max("version")).scalar()
-    return versions.filter(c("version") == newest).drop("version")
+    return jobs.latest_status(s, f"{base}/table", updates.schema, "user_id", "event_id", ["status"])

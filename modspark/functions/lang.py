@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from modspark import fixed_values as fv
-from modspark.functions.text import RARE_WS, bind, strip, tokens
+from modspark.functions.text import RARE_WS, bind, literal_words, strip, tokens
 
 ANY_INDIAN = "[\\u0900-\\u0D7F]"
 
@@ -47,7 +47,7 @@ def distinct_tokens(c: Column) -> Column:
 
 def romanised_hits(c: Column, words: Sequence[str] = tuple(fv.ROMANISED_HINDI)) -> Column:
     """How many distinct tokens are indicator words."""
-    return F.size(F.array_intersect(tokens(F.lower(c)), F.array(*[F.lit(w) for w in words])))
+    return F.size(F.array_intersect(tokens(F.lower(c)), literal_words(words)))
 
 
 def romanised_language(c: Column, fallback: Column | None = None) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Mapping, Sequence
 
@@ -32,9 +33,8 @@ def lexicon_points(c: Column, lexicon: Mapping[str, Sequence[int]] | None = None
     """
     lexicon = lexicon or default_lexicon()
     zeros = F.array(*[F.lit(0)] * len(k.LABELS))
-    table = F.create_map(
-        *[x for t, ws in lexicon.items() for x in (F.lit(t), F.array(*[F.lit(int(w)) for w in ws]))]
-    )
+    weights = {t: [int(w) for w in ws] for t, ws in lexicon.items()}
+    table = F.from_json(F.lit(json.dumps(weights)), "map<string,array<int>>")  # a constant
     return F.aggregate(
         lexicon_hits(c, list(lexicon)),
         zeros,

@@ -6,10 +6,10 @@ so word and space classes are always spelled out.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -180,7 +180,12 @@ def scrub_rewrite(c: Column, rules: Sequence[tuple[str, str, bool]] | None = Non
 
 
 def contains_any(c: Column, parts: Sequence[str]) -> Column:
-    return reduce(lambda x, y: x | y, [c.contains(p) for p in parts], F.lit(False))
+    return F.exists(literal_words(parts), lambda p: c.contains(p))
+
+
+def literal_words(words: Sequence[str]) -> Column:
+    """Constant string array (folded at planning; one expression for any length)."""
+    return F.split(F.lit("\u0001".join(words)), "\u0001")
 
 
 def _tidy(t: Column, original: Column) -> Column:
@@ -315,7 +320,9 @@ def mask_text(c: Column) -> Column:
 
 
 def literal_map(pairs: Mapping) -> Column:
-    """A small fixed dictionary as a map literal."""
+    """A small fixed dictionary as a map constant (folded at planning)."""
+    if all(isinstance(x, str) for kv in pairs.items() for x in kv):
+        return F.from_json(F.lit(json.dumps(pairs)), "map<string,string>")
     return F.create_map(*[F.lit(v) for kv in pairs.items() for v in kv])
 
 

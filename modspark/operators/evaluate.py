@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from modspark import constants as k
 from modspark.functions.maths import fixed, perplexity, round_exact, safe_divide, weighted_bce
-from modspark.operators.ordinal import bucket_offsets
+from modspark.operators.ordinal import bucket_offsets, group_of
 
 SCORE_BUCKETS = 512
 
@@ -60,8 +60,8 @@ def thresholds_frame(spark, thresholds: Mapping[str, float]) -> DataFrame:
 def with_thresholds(
     long: DataFrame, thresholds: DataFrame, default: float = k.DEFAULT_TAG_THRESHOLD
 ) -> DataFrame:
-    """Attach the threshold of each tag.  One row per tag is enforced first, so the
-    broadcast side has as many rows as there are labels."""
+    """Attach the threshold of each tag.  One row per tag is enforced first; tags are the
+    label columns of the wide table, so the broadcast side has one row per label."""
     tags = thresholds.groupBy("tag").agg(F.max("threshold").alias("threshold"))
     return long.join(F.broadcast(tags), "tag", "left").withColumn(
         "threshold", F.coalesce("threshold", F.lit(default))
@@ -115,18 +115,18 @@ def score_curve(long: DataFrame, keys: Sequence[str] = ("tag",)) -> DataFrame:
     )
     bucket = -F.floor(F.col("score") * SCORE_BUCKETS)
     offs = bucket_offsets(at, keys, bucket, {"pos": F.sum("pos"), "n": F.sum("n")})
-    totals = Window.partitionBy(*keys)
+    totals = Window.partitionBy("_group")
     offs = offs.withColumn("pos_all", F.sum("_in_pos").over(totals)).withColumn(
         "n_all", F.sum("_in_n").over(totals)
     )
-    at = at.withColumn("_bucket", bucket)
+    at = at.withColumn("_group", group_of(keys)).withColumn("_bucket", bucket)
     down = (
-        Window.partitionBy(*keys, "_bucket")
+        Window.partitionBy("_group", "_bucket")
         .orderBy(F.desc("score"))
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     local = at.withColumn("_pos", F.sum("pos").over(down)).withColumn("_n", F.sum("n").over(down))
-    joined = local.join(offs, [*keys, "_bucket"])
+    joined = local.join(offs, ["_group", "_bucket"])
     return joined.select(
         *keys,
         "score",

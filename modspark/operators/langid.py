@@ -15,15 +15,11 @@ from pyspark.sql import functions as F
 PROFILE_GRAMS = 2000
 
 
-def gram_counts(df: DataFrame, keys: Sequence[str], text: str, n: int = 3) -> DataFrame:
-    """Rows (keys, gram, n): every n-gram of the lower-cased whole text, counted.
-
-    A text's grams are exploded and combined inside its own task.
-    """
+def grams_of(df: DataFrame, keys: Sequence[str], text: str, n: int = 3) -> DataFrame:
+    """Rows (keys, gram): every overlapping n-gram of the lower-cased whole text."""
     overlapping = F.lit(f"(?s)(?=(.{{{n}}})).")
     grams = F.regexp_extract_all(F.lower(text), overlapping, F.lit(1))
-    long = df.filter(F.length(text) >= n).select(*keys, F.explode(grams).alias("gram"))
-    return long.groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("n"))
+    return df.filter(F.length(text) >= n).select(*keys, F.explode(grams).alias("gram"))
 
 
 def train_profiles(
@@ -33,9 +29,9 @@ def train_profiles(
 
     The vocabulary is the most frequent grams overall (add-one smoothing inside it).
     """
-    per = gram_counts(df.filter(F.col(language).isin(list(languages))), [language], text, n)
-    wide = per.groupBy("gram").agg(
-        *[F.coalesce(F.sum(F.when(F.col(language) == l, F.col("n"))), F.lit(0)).alias(l) for l in languages]
+    rows = grams_of(df.filter(F.col(language).isin(list(languages))), [language], text, n)
+    wide = rows.groupBy("gram").agg(
+        *[F.count_if(F.col(language) == l).alias(l) for l in languages]
     )
     total = reduce(lambda a, b: a + b, [F.col(l) for l in languages])
     kept = wide.withColumn("_all", total).orderBy(F.desc("_all"), "gram").limit(grams)
@@ -57,13 +53,12 @@ def identify(
     """(row id, predicted): the language with the largest summed weight, the earlier
     name on ties; null when no gram is known.
 
-    ``profiles`` is cut to its trained size, which bounds the broadcast.
+    ``profiles`` is cut to its trained size, which bounds the broadcast.  The grams of a
+    text meet it inside one task and leave that task as one row of sums.
     """
     table = F.broadcast(profiles.limit(PROFILE_GRAMS))
-    per_row = gram_counts(df, [row_id], text, n).join(table, "gram")
-    sums = per_row.groupBy(row_id).agg(
-        *[F.sum(F.col("n") * F.col(l)).alias(l) for l in languages]
-    )
+    hits = grams_of(df, [row_id], text, n).join(table, "gram")
+    sums = hits.groupBy(row_id).agg(*[F.sum(l).alias(l) for l in languages])
     best = F.array_max(
         F.array(
             *[

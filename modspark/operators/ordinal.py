@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 BUCKETS = 65_536
 _B = "_bucket"
+_G = "_group"
 
 
 def seeded_hash(seed: int, *cols: Column) -> Column:
@@ -34,35 +35,30 @@ def range_bucket(df: DataFrame, order: Column, buckets: int = BUCKETS) -> Column
     return F.floor((order - bounds["lo"]) / width)
 
 
+def group_of(keys: Sequence[str]) -> Column:
+    """One never-null group value; null keys form a group of their own."""
+    return F.struct(*keys) if keys else F.lit(0)
+
+
 def bucket_offsets(
     df: DataFrame, keys: Sequence[str], bucket: Column, measures: Mapping[str, Column]
 ) -> DataFrame:
-    """Per (keys, bucket): totals and the totals of all earlier buckets.
+    """Per (group, bucket): totals and the totals of all earlier buckets.
 
-    The window sees one row per bucket, at most ``BUCKETS`` per key.
+    The window sees one row per bucket, at most ``BUCKETS`` per group.
     """
-    per = df.groupBy(*keys, bucket.alias(_B)).agg(*[m.alias(n) for n, m in measures.items()])
-    w = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    per = df.groupBy(group_of(keys).alias(_G), bucket.alias(_B)).agg(
+        *[m.alias(n) for n, m in measures.items()]
+    )
+    w = Window.partitionBy(_G).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     return per.select(
-        *keys,
+        _G,
         _B,
         *[F.coalesce(F.sum(n).over(w), F.lit(0)).alias(f"_before_{n}") for n in measures],
         *[F.col(n).alias(f"_in_{n}") for n in measures],
     )
 
 
-def _join_offsets(df: DataFrame, offs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    right = offs.select(
-        *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)],
-        F.col(_B).alias("_kb"),
-        *[c for c in offs.columns if c not in (*keys, _B)],
-    )
-    cond = F.col(_B) == F.col("_kb")
-    for i, c in enumerate(keys):
-        cond = cond & F.col(c).eqNullSafe(F.col(f"_k{i}"))
-    return df.join(right, cond).drop("_kb", *[f"_k{i}" for i in range(len(keys))])
-
-
 def ordinal(
     df: DataFrame, order: Column, bucket: Column, keys: Sequence[str] = (), name: str = "ordinal"
 ) -> DataFrame:
@@ -71,11 +67,11 @@ def ordinal(
     ``bucket`` must not decrease along ``order``.
     """
     offs = bucket_offsets(df, keys, bucket, {"n": F.count(F.lit(1))})
-    rows = df.withColumn(_B, bucket)
-    w = Window.partitionBy(*keys, _B).orderBy(order)
+    rows = df.withColumn(_G, group_of(keys)).withColumn(_B, bucket)
+    w = Window.partitionBy(_G, _B).orderBy(order)
     local = rows.withColumn("_r", F.row_number().over(w))
-    out = _join_offsets(local, offs.drop("_in_n"), keys)
-    return out.withColumn(name, F.col("_before_n") + F.col("_r") - 1).drop(_B, "_r", "_before_n")
+    out = local.join(offs.drop("_in_n"), [_G, _B])
+    return out.withColumn(name, F.col("_before_n") + F.col("_r") - 1).drop(_G, _B, "_r", "_before_n")
 
 
 def smallest(
@@ -93,14 +89,14 @@ def smallest(
     """
     offs = bucket_offsets(df, keys, bucket, {"n": F.count(F.lit(1))}).drop("_in_n")
     if quotas is not None:
-        offs = offs.join(quotas.select(*keys, F.col(n).alias("_n")), list(keys))
+        offs = offs.join(quotas.select(group_of(keys).alias(_G), F.col(n).alias("_n")), _G)
     else:
         offs = offs.withColumn("_n", F.lit(n).cast("long"))
     offs = offs.filter(F.col("_before_n") < F.col("_n"))
-    rows = _join_offsets(df.withColumn(_B, bucket), offs, keys)
-    w = Window.partitionBy(*keys, _B).orderBy(order)
+    rows = df.withColumn(_G, group_of(keys)).withColumn(_B, bucket).join(offs, [_G, _B])
+    w = Window.partitionBy(_G, _B).orderBy(order)
     return (
         rows.withColumn("_r", F.row_number().over(w))
         .filter(F.col("_before_n") + F.col("_r") <= F.col("_n"))
-        .drop(_B, "_r", "_before_n", "_n")
+        .drop(_G, _B, "_r", "_before_n", "_n")
     )

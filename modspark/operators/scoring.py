@@ -8,11 +8,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType
 
 from modspark import constants as k
 from modspark.functions import scores as S
@@ -24,13 +26,26 @@ Scorer = Callable[[DataFrame], DataFrame]
 SCALE_SALTS = 64
 
 
+@dataclass(frozen=True)
+class ColumnScorer:
+    """Scorer made of one expression over the text: ``expr(text) -> array of scores``.
+
+    A null text gets null scores and no model work, so callers mask the rows that need no
+    score and everything stays in one scan.
+    """
+
+    expr: Callable[[Column], Column]
+    text: str = "normalized"
+    out: str = "scores"
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return df.withColumn(self.out, self.expr(F.col(self.text)))
+
+
 def lexicon_scorer(
     lexicon: Mapping[str, Sequence[int]] | None = None, text: str = "normalized", out: str = "scores"
-) -> Scorer:
-    def score(df: DataFrame) -> DataFrame:
-        return df.withColumn(out, S.lexicon_scores(F.col(text), lexicon))
-
-    return score
+) -> ColumnScorer:
+    return ColumnScorer(lambda c: S.lexicon_scores(c, lexicon), text, out)
 
 
 def term_table_scorer(
@@ -80,20 +95,22 @@ def plugin_scorer(
     load: Callable[[], Callable[[Sequence[str]], Sequence[Sequence[float]]]],
     text: str = "normalized",
     out: str = "scores",
-) -> Scorer:
-    """``load()`` runs once per task and returns a function of a batch of texts."""
+) -> ColumnScorer:
+    """``load()`` runs once per task and returns a function of a batch of texts.
 
-    def score(df: DataFrame) -> DataFrame:
-        def run(batches):
-            model = load()
-            for pdf in batches:
-                pdf[out] = [list(map(float, row)) for row in model(pdf[text].tolist())]
-                yield pdf
+    Only the text column travels by Arrow, and the model gets the non-null texts only.
+    """
 
-        schema = StructType(df.schema.fields + [StructField(out, ArrayType(DoubleType()))])
-        return df.mapInPandas(run, schema)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for texts in batches:
+            present = texts.dropna()
+            scores = [list(map(float, row)) for row in model(present.tolist())] if len(present) else []
+            yield pd.Series(scores, index=present.index, dtype="object").reindex(texts.index).map(
+                lambda v: v if isinstance(v, list) else None
+            )
 
-    return score
+    return ColumnScorer(F.pandas_udf(run, ArrayType(DoubleType())), text, out)
 
 
 def cascade(
@@ -101,11 +118,19 @@ def cascade(
 ) -> DataFrame:
     """Rows whose cheap top score lies in ``[low, high)`` go to the strong scorer.
 
-    The branches are split by filter before the strong scorer, so a Python model sees the
-    uncertain rows only.
+    A column scorer gets the text masked to the uncertain rows, in the same scan.  Any other
+    scorer gets them by filter, so a model never sees the rows that are already decided.
     """
     first = cheap(df).withColumn("_top", F.array_max(out))
     sure = (F.col("_top") < low) | (F.col("_top") >= high)
+    if isinstance(strong, ColumnScorer):
+        second = strong.expr(F.when(~sure, F.col(strong.text)))
+        return (
+            first.withColumn("_second", second)
+            .withColumn("stage", F.when(sure, "cheap").otherwise("strong"))
+            .withColumn(out, F.when(sure, F.col(out)).otherwise(F.col("_second")))
+            .drop("_top", "_second")
+        )
     kept = first.filter(sure).drop("_top").withColumn("stage", F.lit("cheap"))
     rest = strong(first.filter(~sure).drop("_top", out)).withColumn("stage", F.lit("strong"))
     return kept.unionByName(rest)

@@ -34,7 +34,8 @@ def rate_limit(
     An attempt is live for the ``window_s - 1`` seconds after its own; rejected attempts
     count.  Attempts are first counted per second.  Each second takes part in its own
     time block and the next one, which makes every window frame local to a block of at
-    most ``2 * window_s`` seconds.  Order inside a second is ``tie`` (an integer).
+    most ``2 * window_s`` seconds.  Order inside a second is ``tie`` (an integer).  Rows
+    without a user or time cannot be counted and pass.
     """
     rows = df.withColumn("_tb", F.floor(F.col(tie) / TIE_BLOCK))
     per = rows.groupBy(user, second, "_tb").agg(F.count(F.lit(1)).alias("_n"))
@@ -60,9 +61,13 @@ def rate_limit(
         .select(user, second, "_tb", "_before")
     )
     inside = Window.partitionBy(user, second, "_tb").orderBy(tie)
+    known = F.col(user).isNotNull() & F.col(second).isNotNull()
     return (
-        rows.join(before, [user, second, "_tb"])
-        .withColumn("prior", F.col("_before") + F.row_number().over(inside) - 1)
+        rows.join(before, [user, second, "_tb"], "left")
+        .withColumn(
+            "prior",
+            F.when(known, F.col("_before") + F.row_number().over(inside) - 1).otherwise(F.lit(0)),
+        )
         .withColumn("allowed", F.col("prior") < limit)
         .drop("_tb", "_before")
     )
@@ -149,10 +154,12 @@ def drop_near_duplicates(
     block by block.
     """
     block_ms = max(block_ms or DUPLICATE_BLOCK_MS, gap_ms)
-    keys = list(keys)
-    firsts = df.groupBy(*keys, millis).agg(F.min(row_id).alias("_id"))
+    # One never-null key of fixed size, whatever the columns (a content may be long).
+    marked = df.withColumn("_key", F.sha2(F.to_json(F.struct(*keys)), 256))
+    keys = ["_key"]
+    firsts = marked.groupBy("_key", millis).agg(F.min(row_id).alias("_id"))
     firsts = firsts.select(
-        *keys, F.col(millis).alias("_ms"), "_id", F.floor(F.col(millis) / block_ms).alias("_blk")
+        "_key", F.col(millis).alias("_ms"), "_id", F.floor(F.col(millis) / block_ms).alias("_blk")
     )
     per_block = firsts.groupBy(*keys, "_blk").agg(F.min("_ms").alias("_lo"), F.max("_ms").alias("_hi"))
     by_block = Window.partitionBy(*keys).orderBy("_blk")

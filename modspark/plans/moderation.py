@@ -34,8 +34,8 @@ def score_messages(
 ) -> DataFrame:
     """Normalise, detect the language, score, bucket and decide; one row per message.
 
-    The lexicon scorer is made of builtins, so bypassed rows skip it lazily inside one
-    scan.  Any other scorer gets only the rows that need scoring, split by filter.
+    Column scorers (lexicon, Arrow plug-in) get the text masked to the rows that need a
+    score, in one scan; any other scorer gets these rows by filter.
     Works on batch and streaming frames.
     """
     skip = F.lit(False) if skip is None else skip
@@ -45,11 +45,13 @@ def score_messages(
     )
     zeros = F.array(*[F.lit(0.0)] * len(k.LABELS))
     model = F.when(F.col("_skip"), k.BYPASS_VERSION).otherwise(version)
-    if scorer is None:
-        # The bypass mask is applied to the text, so the composition UDF sees nulls there.
+    scorer = scoring.lexicon_scorer() if scorer is None else scorer
+    if isinstance(scorer, scoring.ColumnScorer):
+        # The mask is on the text, so Python functions in the expression see nulls there.
         masked = F.when(~F.col("_skip"), F.col("text"))
         out = marked.withColumn("normalized", T.normalize_for_toxicity(masked, compose=compose))
-        out = out.withColumn("scores", F.when(F.col("_skip"), zeros).otherwise(S.lexicon_scores(F.col("normalized"))))
+        todo = F.when(~F.col("_skip"), F.col("normalized"))
+        out = out.withColumn("scores", F.coalesce(scorer.expr(todo), zeros))
     else:
         todo = marked.filter(~F.col("_skip")).withColumn(
             "normalized", T.normalize_for_toxicity(F.col("text"), compose=compose)

@@ -256,19 +256,14 @@ def feedback_triggers(feedback: DataFrame, counter_path: str, checkpoint: str, t
 
 
 def upsert_status(updates: DataFrame, path: str, checkpoint: str, key: str, seq: str, columns: list[str]):
-    """Last write wins per id: each batch reduces its own rows and merges them with the
-    newest snapshot into a new one (old snapshots stay for readers and replays)."""
+    """Last write wins per id.  Each batch appends its own reduced rows under its batch id
+    (a replay overwrites them), so the work grows with the batch and not with the table;
+    ``latest_status`` reduces on read and ``compact_status`` folds old batches."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.select(key, seq, *columns)
-        if batch_id > 0:
-            before = spark.read.schema(fresh.schema).parquet(f"{path}/version={batch_id - 1}")
-            fresh = before.unionByName(fresh)
-        newest = fresh.groupBy(key).agg(
-            F.max(seq).alias(seq), *[F.max_by(c, seq).alias(c) for c in columns]
+        _newest(batch.select(key, seq, *columns), key, seq, columns).write.mode("overwrite").parquet(
+            f"{path}/batch={batch_id}"
         )
-        newest.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
 
     return (
         updates.writeStream.foreachBatch(merge)
@@ -278,6 +273,19 @@ def upsert_status(updates: DataFrame, path: str, checkpoint: str, key: str, seq:
     )
 
 
+def _newest(rows: DataFrame, key: str, seq: str, columns: list[str]) -> DataFrame:
+    return rows.groupBy(key).agg(F.max(seq).alias(seq), *[F.max_by(c, seq).alias(c) for c in columns])
+
+
+def latest_status(spark: SparkSession, path: str, schema: StructType, key: str, seq: str, columns: list[str]) -> DataFrame:
+    return _newest(spark.read.schema(schema).parquet(path).select(key, seq, *columns), key, seq, columns)
+
+
+def compact_status(spark: SparkSession, path: str, target: str, schema: StructType, key: str, seq: str, columns: list[str]) -> None:
+    """Write the reduced table to a new folder, from which a later stream may go on."""
+    latest_status(spark, path, schema, key, seq, columns).write.mode("overwrite").parquet(f"{target}/batch=0")
+
+
 def stream_of(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet", files: int | None = None) -> DataFrame:
     """File stream over a folder or over one file.
 

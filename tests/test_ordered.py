@@ -120,3 +120,10 @@ def test_latest_and_chunks(spark):
     assert (row.status, row.m) == ("DELIVERED", {"a": "1", "b": "2"})
     chunks = spark.createDataFrame([(1, 1, "b "), (1, 0, "a "), (1, 2, "c")], "id int, seq int, chunk string")
     assert tables.assemble_chunks(chunks, "id", "seq", "chunk").first().text == "a b c"
+
+
+def test_null_keys_are_kept(spark):
+    df = spark.createDataFrame([(1, None, 5), (2, None, 6), (3, "a", None)], "id long, key string, ms long")
+    assert windows.drop_near_duplicates(df.filter("id < 3"), ["key"], "ms", "id").count() == 1
+    got = {r.id: r.allowed for r in windows.rate_limit(df, "key", "ms", "id", 1, 60).collect()}
+    assert got == {1: True, 2: True, 3: True}

@@ -77,8 +77,11 @@ def test_feedback_triggers_and_status_over_batches(spark, arrivals):
     assert [r.n for r in rows] == [150] * 4 and sum(r.fires for r in rows) == 2 and rows[-1].carry == 100
     up = stream(spark, path, df.schema).select("user", "id", F.col("sec").alias("status"))
     jobs.upsert_status(up, f"{base}/s", f"{base}/sk", "user", "id", ["status"]).awaitTermination()
-    last = spark.read.parquet(f"{base}/s/version=3").select("user", "status")
-    assert same(last, df.groupBy("user").agg(F.max_by("sec", "id").alias("status")))
+    args = (up.schema, "user", "id", ["status"])
+    want = df.groupBy("user").agg(F.max_by("sec", "id").alias("status"))
+    assert same(jobs.latest_status(spark, f"{base}/s", *args).select("user", "status"), want)
+    jobs.compact_status(spark, f"{base}/s", f"{base}/s2", *args)
+    assert same(jobs.latest_status(spark, f"{base}/s2", *args).select("user", "status"), want)
 
 
 def test_parameters_are_read_anew_per_batch(spark, arrivals):
