@@ -162,7 +162,7 @@ def _policies_sql(keys: str) -> str:
 )
 def threshold_gain(s, d):
     long = E.count_scores(derived_predictions(s, d), ["split", "tag"])
-    best = E.optimal_thresholds(long.filter("split = 'val'")).select("tag", "threshold")
+    best = E.thresholds_of_split(long, "val")
     out = E.threshold_gain(long, best)
     return out.select("split", "metric", *[F.round(x, 6).alias(x) for x in ("static", "tuned", "gain")])
 
@@ -174,7 +174,7 @@ def threshold_gain(s, d):
 )
 def tag_breakdown(s, d):
     long = E.count_scores(derived_predictions(s, d), ["split", "tag"])
-    best = E.optimal_thresholds(long.filter("split = 'val'")).select("tag", "threshold")
+    best = E.thresholds_of_split(long, "val")
     out = E.tag_breakdown(long, best)
     return out.select("tag", "positives", *[F.round(x, 6).alias(x) for x in ("f1_static", "f1_tuned", "gain")])
 

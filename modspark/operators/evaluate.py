@@ -202,6 +202,17 @@ def optimal_thresholds(long: DataFrame, keys: Sequence[str] = ("tag",)) -> DataF
     )
 
 
+def thresholds_of_split(counted: DataFrame, value: str, split: str = "split") -> DataFrame:
+    """Best threshold per tag on one split of a table counted by (split, tag).
+
+    The split is picked by a conditional aggregate: a filter would move below the count
+    and make the planner score the rows a second time.
+    """
+    best = optimal_thresholds(counted, [split, "tag"])
+    on = F.col(split) == value
+    return best.groupBy("tag").agg(F.max(F.when(on, F.col("threshold"))).alias("threshold"))
+
+
 def policy_table(long: DataFrame, thresholds: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Confusion counts of the static and the tuned policy in one pass over the rows."""
     both = with_thresholds(long, thresholds).withColumn(

@@ -23,9 +23,9 @@ def seeded_hash(seed: int, *cols: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in cols]))
 
 
-def hash_bucket(h: Column) -> Column:
-    """First four hex digits: 65,536 even buckets in hash order."""
-    return F.substring(h, 1, 4)
+def hash_bucket(h: Column, digits: int = 4) -> Column:
+    """First hex digits: 65,536 even buckets in hash order, a million with five digits."""
+    return F.substring(h, 1, digits)
 
 
 def range_bucket(df: DataFrame, order: Column, buckets: int = BUCKETS) -> Column:
