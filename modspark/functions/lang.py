@@ -14,7 +14,8 @@ ANY_INDIAN = "[\\u0900-\\u0D7F]"
 
 
 def count_in(c: Column, char_class: str) -> Column:
-    return F.regexp_count(c, F.lit(f"[{char_class}]"))
+    """Characters of a class, by what is left when its runs are removed."""
+    return F.length(c) - F.length(F.regexp_replace(c, f"[{char_class}]+", ""))
 
 
 def script_counts(c: Column) -> Column:
@@ -98,7 +99,7 @@ def has_devanagari(c: Column) -> Column:
 def devanagari_share(c: Column) -> Column:
     """Devanagari letters over all letters; combining vowel signs are not letters."""
     letters = count_in(c, "\\p{L}")
-    dev = F.regexp_count(c, F.lit("[\\u0900-\\u097F&&\\p{L}]"))
+    dev = count_in(c, "\\u0900-\\u097F&&\\p{L}")
     return F.when(letters > 0, dev / letters).otherwise(F.lit(0.0))
 
 
@@ -109,7 +110,9 @@ def is_devanagari_text(c: Column) -> Column:
 def char_classes(c: Column) -> Column:
     """Characters per text: ASCII, Devanagari, total."""
     return F.struct(
-        count_in(c, "\\x00-\\x7F").alias("ascii"),
+        F.when(F.octet_length(c) == F.length(c), F.length(c))
+        .otherwise(count_in(c, "\\x00-\\x7F"))
+        .alias("ascii"),
         F.when(c.rlike("[\\u0900-\\u097F]"), count_in(c, "\\u0900-\\u097F")).otherwise(0).alias("devanagari"),
         F.length(c).alias("total"),
     )

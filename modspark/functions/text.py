@@ -64,9 +64,20 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WS_CHARS))
 
 
+def is_plain(c: Column) -> Column:
+    """Characters up to U+02FF and ASCII white space only.  Such a text needs no composition,
+    holds no invisible or look-alike character, and ``\\s`` covers all of its spaces, so the
+    cheap forms of the rules below give the same result."""
+    return ~c.rlike("[^\\t-\\r\\x20-\\x7f\\xa1-\\x{2ff}]")
+
+
 def tokens(c: Column) -> Column:
     """Non-empty white-space separated tokens."""
-    return F.filter(F.split(c, f"[{WS}]+"), lambda t: t != "")
+    cut = bind(
+        c,
+        lambda v: F.when(is_plain(v), F.split(v, "\\s+")).otherwise(F.split(v, f"[{WS}]+")),
+    )
+    return F.filter(cut, lambda t: t != "")
 
 
 def word_count(c: Column) -> Column:
@@ -75,8 +86,8 @@ def word_count(c: Column) -> Column:
 
 def clean_text(c: Column, preserve_case: bool = False, compose: bool = True) -> Column:
     t = F.coalesce(c, F.lit(""))
-    t = nfc(t) if compose else t
-    t = F.regexp_replace(t, f"[{fv.INVISIBLE}]+", "")
+    rest = nfc(t) if compose else t
+    t = F.when(is_plain(t), t).otherwise(F.regexp_replace(rest, f"[{fv.INVISIBLE}]+", ""))
     t = F.regexp_replace(t, "[ \\t]{2,}|\\t", " ")
     t = F.regexp_replace(t, "\\n{3,}", "\n\n")
     t = strip(t)
@@ -91,6 +102,10 @@ def squeeze_repeats(c: Column) -> Column:
     return F.regexp_replace(c, "([^\\n])\\1{2,}", "$1$1")
 
 
+def _join_reference(c: Column, sep: str) -> Column:
+    return F.regexp_replace(c, f"(?<=[a-z]){sep}(?=[a-z]{sep}[a-z])", "")
+
+
 def join_separated(c: Column, mode: str = "reference") -> Column:
     """Remove separators put between single letters.
 
@@ -99,7 +114,7 @@ def join_separated(c: Column, mode: str = "reference") -> Column:
     runs of three or more single letters and leaves ordinary words alone.
     """
     if mode == "reference":
-        return F.regexp_replace(c, f"(?<=[a-z]){_SEP}(?=[a-z]{_SEP}[a-z])", "")
+        return _join_reference(c, _SEP)
     if mode != "full":
         raise ValueError(f"unknown mode {mode!r}")
     lone_before = "(?<=(?<![a-z])[a-z])"
@@ -149,11 +164,16 @@ def deleet(c: Column, leet_numbers: bool = True) -> Column:
 def normalize_for_toxicity(
     c: Column, mode: str = "reference", leet_numbers: bool = True, compose: bool = True
 ) -> Column:
-    t = clean_text(c, compose=compose)
-    t = map_homoglyphs(t)
-    t = squeeze_repeats(t)
-    t = join_separated(t, mode)
-    return deleet(t, leet_numbers)
+    def plain(v: Column) -> Column:
+        t = squeeze_repeats(v)
+        return _join_reference(t, "[.\\-_\\s]") if mode == "reference" else join_separated(t, mode)
+
+    def full(v: Column) -> Column:
+        return join_separated(squeeze_repeats(map_homoglyphs(v)), mode)
+
+    cleaned = clean_text(c, compose=compose)
+    joined = bind(cleaned, lambda v: F.when(is_plain(v), plain(v)).otherwise(full(v)))
+    return deleet(joined, leet_numbers)
 
 
 def whole_words(alternatives: str) -> str:
