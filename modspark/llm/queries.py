@@ -29,6 +29,13 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op6_suffix_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from modspark.llm.suffix import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @query("op7_pack_sequences")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from modspark.llm.packing import pack_documents
