@@ -29,6 +29,13 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op2_minhash_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from modspark.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op6_suffix_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from modspark.llm.suffix import repeated_passages
