@@ -36,6 +36,44 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def _record_sql(html: str) -> str:
+    end = "chr(13) || chr(10)"
+    return (
+        f"'WARC/1.1' || {end} || 'WARC-Type: resource' || {end} || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '')"
+        f" || '>' || {end} || 'WARC-Target-URI: ' || coalesce(url, '') || {end} || 'Content-Type: text/html' || {end} || 'Content-Length: '"
+        f" || strlen(coalesce({html}, '')) || {end} || {end} || coalesce({html}, '') || {end} || {end}"
+    )
+
+
+@query(
+    "op5_warc_fixity",
+    f"""
+    WITH p AS (
+        SELECT page_id, url, html,
+               CASE WHEN page_id % 97 = 5 THEN translate(html, 'e', 'c')
+                    WHEN page_id % 101 = 7 THEN substr(html, 1, length(html) // 2) ELSE html END AS copy
+        FROM pages
+    ), r AS (
+        SELECT page_id, url, page_id // 512 AS archive, {_record_sql('html')} AS a, {_record_sql('copy')} AS b FROM p
+    ), m AS (
+        SELECT page_id, archive, sha256(a) AS digest_a, strlen(a) AS length_a,
+               CASE WHEN page_id % 103 <> 9 THEN sha256(b) END AS digest_b,
+               CASE WHEN page_id % 103 <> 9 THEN strlen(b) END AS length_b, url FROM r
+    ), o AS (
+        SELECT *, row_number() OVER w - 1 AS ordinal, CAST(coalesce(sum(length_a) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
+        FROM m WINDOW w AS (PARTITION BY archive ORDER BY page_id, url, digest_a)
+    )
+    SELECT page_id, archive, CAST(0 AS BIGINT) AS file, ordinal, "offset", length_a, length_b, digest_a, digest_b,
+           CASE WHEN digest_b IS NULL THEN 'missing' WHEN length_a <> length_b THEN 'length' ELSE 'bytes' END AS status
+    FROM o WHERE digest_b IS DISTINCT FROM digest_a
+    """,
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from modspark.llm.warc import audit_pages
+
+    return audit_pages(table(spark, sf_dir, "pages"))
+
+
 @query("op6_suffix_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from modspark.llm.suffix import repeated_passages
