@@ -36,6 +36,20 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op3_language_id")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from modspark.llm.langid import predict_languages
+
+    return predict_languages(table(spark, sf_dir, "documents"))
+
+
+@query("op4_quality")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from modspark.llm.quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _record_sql(html: str) -> str:
     end = "chr(13) || chr(10)"
     return (
