@@ -129,3 +129,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from modspark.llm.bpe import bpe_roundtrip
 
     return bpe_roundtrip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op1_nearest_neighbours")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from modspark.llm.ann import nearest
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"), 20)
