@@ -183,7 +183,7 @@ def clean(segment: str) -> bool:
 @lru_cache(2)
 def word_encoder(path: str, pattern: str) -> Encoder:
     """One for each Python worker, so its caches last from task to task."""
-    return Encoder(by_words(vocabulary(path, pattern)))
+    return vocabulary_encoder(vocabulary(path, pattern))
 
 
 class Encoder:
@@ -225,32 +225,39 @@ class Encoder:
             done = end
 
 
-def matches(segment: str, pattern: regex.Pattern) -> list[str]:
-    """The pattern's matches; a space with letters, also before one full stop or comma, needs no pattern."""
-    body = segment[1:]
+def plain(segment: str) -> list[str] | None:
+    """The matches of a space with letters, also before one full stop or comma; None for all else."""
     if segment[:1] == " ":
+        body = segment[1:]
         if body.isalpha():
             return [segment]
         if segment[-1] in ".,!?;:" and body[:-1].isalpha():
             return [segment[:-1], segment[-1]]
-    return pattern.findall(segment)
+    return None
 
 
-def by_words(vocab: Vocabulary, size: int = CACHE) -> Callable[[list[str]], list[bytes]]:
-    """Encodes segments: each match of the pattern separately, matches seen before from a bounded cache."""
+def by_words(
+    split: Callable[[str], list[str]], encode_words: Callable[[list[str]], list[bytes]], size: int = CACHE
+) -> Callable[[list[str]], list[bytes]]:
+    """Encodes segments word by word; ``split`` cuts those that aren't plain. Words seen before
+    come from a bounded cache."""
     known: dict[str, bytes] = {}
 
     def encode(new: list[str]) -> list[bytes]:
         if len(known) > size:
             known.clear()
-        split = [matches(s, vocab.pattern) for s in new]
-        words = list({w for s in split for w in s if w not in known})
-        known.update(zip(words, vocab.encode_words([w.encode() for w in words]), strict=True))
-        return [known[s[0]] if len(s) == 1 else b"".join([known[w] for w in s]) for s in split]
+        cut = [plain(s) or split(s) for s in new]
+        words = list({w for s in cut for w in s if w not in known})
+        known.update(zip(words, encode_words(words), strict=True))
+        return [known[s[0]] if len(s) == 1 else b"".join([known[w] for w in s]) for s in cut]
 
     return encode
 
 
+def vocabulary_encoder(vocab: Vocabulary, size: int = CACHE) -> Encoder:
+    return Encoder(by_words(vocab.pattern.findall, lambda words: vocab.encode_words([w.encode() for w in words]), size), size)
+
+
 def text_slices(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[tuple[int, list[str]]]:
     """Texts of a batch, null as empty, a few megabytes at a time."""
     column, start, got, n = batch.column("text"), 0, [], 0

@@ -84,7 +84,7 @@ def test_ids_are_those_of_the_library(vocab, real):
     texts = ["", " ", "\n", "a" * 5000, "ab" * 3000, " " * 3000, "x \n y", "it's  's", " a  b", "<|endoftext|> hi"]
     texts += ["".join(rng.choice("abcdefgh") for _ in range(3000)), "🙂é" * 500, "\x1c a\x1d b"]
     texts += ["".join(rng.choice("ab c\n'séß1.!\t  ,") for _ in range(rng.randint(0, 70))) for _ in range(2000)]
-    encoder = bpe.Encoder(bpe.by_words(vocab, size=50), size=50)
+    encoder = bpe.vocabulary_encoder(vocab, size=50)
     for text, raw in zip(texts, encoder.texts(texts), strict=True):
         ids = np.frombuffer(raw, "<u4").tolist()
         assert ids == real.encode_ordinary(text), text[:80]
@@ -109,6 +109,17 @@ def test_roundtrip_query(odd, real):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
 
 
+def test_packing_ids_are_those_of_the_library():
+    rng = random.Random(8)
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    texts = ["".join(rng.choice("ab c\n'séß1.!\t  ,中ªʰ") for _ in range(rng.randint(0, 70))) for _ in range(2000)]
+    texts += [" one two, three. <|endoftext|> <|endoftext|>x", "don't  stop", " a" * 7000, " ".join("w" + "o" * i for i in range(300))]
+    own = packing.piece_encoder(P.path("byte_bpe_50k.json"))
+    for text in texts:
+        assert own.encode_ordinary(text) == tok.encode(text, add_special_tokens=False).ids, text
+
+
 def check_packed(rows, docs, capacity):
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     tok.encode_special_tokens = True
