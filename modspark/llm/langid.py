@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from modspark.llm.common import texts_of
 
@@ -174,11 +175,14 @@ def train(docs: DataFrame, sample: int = SAMPLE, dim: int = DIM) -> Model | None
     return fit(x, [r["lang"] for r in got])
 
 
-def identify(docs: DataFrame, model: Model | None, dim: int = DIM) -> DataFrame:
-    """Adds ``lang_pred`` and ``score`` (0 to 1) to ``doc_id`` and ``text``; nothing is shuffled.
+def identify(docs: DataFrame, model: Model | None, columns: Sequence[str] = ("doc_id", "text"), dim: int = DIM) -> DataFrame:
+    """Adds ``lang_pred`` and ``score`` (0 to 1) to ``columns`` of the documents; nothing is shuffled.
 
     A null text, one without letters, or no model: ``und`` with score 0. Whole texts are read.
+    Columns of the names that are added are replaced.
     """
+    rows = docs.select(*(c for c in columns if c not in ("lang_pred", "score"))).withColumn("text", F.col("text").cast("string"))
+    schema = StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,8 +196,7 @@ def identify(docs: DataFrame, model: Model | None, dim: int = DIM) -> DataFrame:
                         lang[i], score[i] = name, float(s)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*part.schema.names, "lang_pred", "score"])
 
-    rows = texts_of(docs)
-    return rows.mapInArrow(run, "doc_id long, text string, lang_pred string, score double")
+    return rows.mapInArrow(run, schema)
 
 
 def predict_languages(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -202,4 +205,4 @@ def predict_languages(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     Repeated rows and null doc_ids come back as they are (``held_out`` false for null); an empty
     table gives no rows. Only ``doc_id``, ``text`` and ``lang`` are read, and ``lang`` only to learn.
     """
-    return identify(docs, train(docs, sample)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return identify(texts_of(docs), train(docs, sample)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -122,6 +122,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+@query("op9_line_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from modspark.llm.lines import repeated_lines
+
+    return repeated_lines(table(spark, sf_dir, "documents"))
+
+
 @query("op10_byte_bpe")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
