@@ -24,7 +24,8 @@ from modspark.lexicon import HALF_POINT, default_lexicon
 from modspark.operators import policy as P
 from modspark.operators import scoring, tables, training
 from modspark.plans import scenarios
-from modspark.plans.moderation import moderate, response_fields
+from modspark.plans.moderation import every_message, moderate, response_fields
+from modspark.session import broadcast_if_small
 
 c = F.col
 L = k.LABELS
@@ -522,19 +523,25 @@ def scenario_report(s, d):
 @query(
     "batch_requests",
     f"""WITH m AS (SELECT conv_id * 100 + row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS doc_id, conv_id, lower(text) AS t FROM conversations), {points_ctes('m')}
-    SELECT conv_id, (m.doc_id % 100)::INTEGER AS position, s0 AS toxic, {severity_sql('s0')} AS severity FROM m JOIN scored USING (doc_id)
-      WHERE conv_id IN (SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*) BETWEEN 1 AND {k.BATCH_MAX})""",
+    SELECT conv_id, (m.doc_id % 100)::INTEGER AS position, s0 AS toxic, {severity_sql('s0')} AS severity, NULL AS reason FROM m JOIN scored USING (doc_id)
+      WHERE conv_id IN (SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*) <= {k.BATCH_MAX})
+    UNION ALL SELECT conv_id, NULL, NULL, NULL, 'batch_size' FROM conversations GROUP BY conv_id HAVING count(*) > {k.BATCH_MAX}""",
 )
 def batch_requests(s, d):
-    """Conversations as array requests; sizes are checked before the arrays are cut up."""
+    """Conversations as array requests. Sizes are counted first, so only turns of requests that are small
+    enough are gathered; the others come out with a reason."""
     turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    requests = table(s, d, "conversations").groupBy("conv_id").agg(
+    given = table(s, d, "conversations")
+    sizes = given.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    too_large = broadcast_if_small(sizes.filter(c("n") > k.BATCH_MAX).select("conv_id"))
+    requests = given.join(too_large, "conv_id", "left_anti").groupBy("conv_id").agg(
         F.transform(turns, lambda e: e["text"]).alias("texts")
     )
     valid, _ = P.quarantine(requests, P.batch_rules())
     rows = tables.batch_messages(valid).withColumn("normalized", F.lower("text"))
     scored = scoring.lexicon_scorer()(rows).withColumn("toxic", c("scores")[0])
-    return scored.select("conv_id", "position", "toxic", S.severity(c("toxic")).alias("severity"))
+    done = scored.select("conv_id", "position", "toxic", S.severity(c("toxic")).alias("severity"))
+    return done.unionByName(too_large.withColumn("reason", F.lit("batch_size")), allowMissingColumns=True)
 
 
 _TOP = f"greatest({', '.join(_S)})"
@@ -583,10 +590,13 @@ _E2E = f"""WITH v AS (SELECT doc_id, text, lang, CASE WHEN doc_id % 3 = 0 THEN 0
   {_scrub_ctes('ok')},
   o AS (SELECT doc_id, greatest({', '.join(_S)}) AS overall FROM scored),
   w AS (SELECT ok.doc_id, CASE WHEN skip THEN 'en' ELSE lang END AS detected_language, overall, {severity_sql('overall')} AS severity, scrubbed.t AS rewritten, skip
-    FROM ok JOIN o USING (doc_id) JOIN scrubbed USING (doc_id))
-  SELECT w.doc_id, detected_language, overall AS score, severity, overall >= 0.3 AS toxic, {action_sql('severity')} AS status,
-    CASE WHEN severity IN ('MEDIUM', 'HIGH') THEN rewritten END AS rewrite, CASE WHEN skip THEN 'bypass' ELSE 'lexicon-1' END AS model_version, l.toxic AS label_toxic
-  FROM w LEFT JOIN labels l USING (doc_id)"""
+    FROM ok JOIN o USING (doc_id) JOIN scrubbed USING (doc_id)),
+  every AS (SELECT w.doc_id, detected_language, overall AS score, severity, overall >= 0.3 AS toxic, {action_sql('severity')} AS status, '' AS reason,
+    CASE WHEN severity IN ('MEDIUM', 'HIGH') THEN rewritten END AS rewrite, CASE WHEN skip THEN 'bypass' ELSE 'lexicon-1' END AS model_version FROM w
+  UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, 'RATE_LIMITED', 'rate_limit', NULL, NULL FROM rl WHERE prior >= 20
+  UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, 'INVALID', CASE WHEN text IS NULL THEN 'text_missing' WHEN length(text) < 1 THEN 'text_empty' ELSE 'text_too_long' END, NULL, NULL
+    FROM rl WHERE prior < 20 AND NOT coalesce(length(text) BETWEEN 1 AND {k.TEXT_MAX}, false))
+  SELECT every.*, l.toxic AS label_toxic FROM every LEFT JOIN labels l USING (doc_id)"""
 
 
 def moderated_documents(s, d):
@@ -610,7 +620,8 @@ def moderated_documents(s, d):
 @query("moderate_end_to_end", _E2E)
 def moderate_end_to_end(s, d):
     labels = table(s, d, "labels").select("doc_id", c("toxic").alias("label_toxic"))
-    out = response_fields(moderated_documents(s, d).results).join(labels, "doc_id", "left")
+    out = response_fields(every_message(moderated_documents(s, d))).join(labels, "doc_id", "left")
+    reason = F.array_join("reasons", ",").alias("reason")
     return out.select(
-        "doc_id", "detected_language", "score", "severity", "toxic", "status", "rewrite", "model_version", "label_toxic"
+        "doc_id", "detected_language", "score", "severity", "toxic", "status", reason, "rewrite", "model_version", "label_toxic"
     )

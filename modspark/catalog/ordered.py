@@ -70,13 +70,13 @@ def context_last4(s, d):
       list_transform(h, lambda x, i: '[TURN-' || (len(h) - i + 1) || '] ' || x), ['[CURRENT] ' || role || ': ' || text]), chr(10)) AS packed FROM h""",
 )
 def packed_context(s, d):
-    turns = table(s, d, "conversations").withColumn("pair", F.concat("role", F.lit("\u0001"), "text"))
+    turns = table(s, d, "conversations").withColumn("pair", F.struct("role", "text"))
     h = W.history(turns, "conv_id", "turn", "pair", keep=3)
-    part = lambda i: F.transform("history", lambda x: F.split_part(x, F.lit("\u0001"), F.lit(i)))
+    part = lambda name: F.transform("history", lambda x: x[name])
     return h.select(
         "conv_id",
         "turn",
-        W.packed_context(F.lit("general"), c("role"), part(2), part(1), c("text"), c("role")).alias("packed"),
+        W.packed_context(F.lit("general"), c("role"), part("text"), part("role"), c("text"), c("role")).alias("packed"),
     )
 
 

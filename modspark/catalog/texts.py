@@ -253,7 +253,7 @@ _GRAMS_SQL = """g AS (SELECT doc_id, lang, unnest(list_concat(regexp_extract_all
     "ngram_langid",
     f"""WITH {_GRAMS_SQL},
     per AS (SELECT gram, {', '.join(f"count(*) FILTER (WHERE lang = '{x}') AS {x}" for x in LANGUAGES)} FROM g GROUP BY gram),
-    kept AS (SELECT * FROM per ORDER BY de + en + es + fr DESC, gram LIMIT {langid.PROFILE_GRAMS}),
+    kept AS (SELECT * FROM per WHERE de + en + es + fr > 0),
     sums AS (SELECT count(*) AS size, {', '.join(f"sum({x}) AS s_{x}" for x in LANGUAGES)} FROM kept),
     w AS (SELECT gram, {', '.join(f"round(1000 * ln(({x} + 1)::DOUBLE / (s_{x} + size)))::BIGINT AS {x}" for x in LANGUAGES)} FROM kept, sums),
     sc AS (SELECT doc_id, {', '.join(f"sum({x}) AS {x}" for x in LANGUAGES)} FROM g JOIN w USING (gram) GROUP BY doc_id)

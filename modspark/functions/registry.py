@@ -48,7 +48,7 @@ _DDL = {
     "mod_channel_name": (
         "t STRING",
         "STRING",
-        "trim(regexp_replace(lower(trim(t)), '^#', ''))",
+        f"btrim(regexp_replace(lower(btrim(t, {_sql(text.WS_CHARS)})), '^#', ''), {_sql(text.WS_CHARS)})",
     ),
     "mod_snippet": (
         "t STRING, n INT",
@@ -103,7 +103,7 @@ _DDL = {
         "t STRING",
         "STRING",
         "CASE WHEN length(t) >= 2 AND left(t, 1) = right(t, 1) AND left(t, 1) IN ('\"', '\\'') "
-        "THEN trim(substring(t, 2, length(t) - 2)) ELSE t END",
+        f"THEN btrim(substring(t, 2, length(t) - 2), {_sql(text.WS_CHARS)}) ELSE t END",
     ),
     "mod_email_key": ("t STRING", "STRING", "lower(t)"),
     "mod_feedback_id": ("id STRING", "STRING", "concat('fb-', substring(id, 1, 8))"),

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PROFILE_GRAMS = 2000
+from modspark.session import broadcast_if_small
 
 
 def grams_of(df: DataFrame, keys: Sequence[str], text: str, n: int = 3) -> DataFrame:
@@ -23,18 +23,18 @@ def grams_of(df: DataFrame, keys: Sequence[str], text: str, n: int = 3) -> DataF
 
 
 def train_profiles(
-    df: DataFrame, languages: Sequence[str], text: str, language: str, n: int = 3, grams: int = PROFILE_GRAMS
+    df: DataFrame, languages: Sequence[str], text: str, language: str, n: int = 3, least: int = 1
 ) -> DataFrame:
-    """One row per kept gram, one weight column per language, at most ``grams`` rows.
+    """One row per gram that occurs at least ``least`` times, one weight column per language.
 
-    The vocabulary is the most frequent grams overall (add-one smoothing inside it).
+    Add-one smoothing inside this vocabulary.
     """
     rows = grams_of(df.filter(F.col(language).isin(list(languages))), [language], text, n)
     wide = rows.groupBy("gram").agg(
         *[F.count_if(F.col(language) == l).alias(l) for l in languages]
     )
     total = reduce(lambda a, b: a + b, [F.col(l) for l in languages])
-    kept = wide.withColumn("_all", total).orderBy(F.desc("_all"), "gram").limit(grams)
+    kept = wide.filter(total >= least)
     totals = kept.agg(
         F.struct(*[F.sum(l).alias(l) for l in languages], F.count(F.lit(1)).alias("_size"))
     ).scalar()
@@ -53,12 +53,12 @@ def identify(
     """(row id, predicted): the language with the largest summed weight, the earlier
     name on ties; null when no gram is known.
 
-    ``profiles`` is cut to its trained size, which bounds the broadcast.  The grams of a
-    text meet it inside one task and leave that task as one row of sums.
+    Profiles are broadcast while they pass the size check, and joined by shuffle beyond it. Grams of
+    a text are counted before they meet them.
     """
-    table = F.broadcast(profiles.limit(PROFILE_GRAMS))
-    hits = grams_of(df, [row_id], text, n).join(table, "gram")
-    sums = hits.groupBy(row_id).agg(*[F.sum(l).alias(l) for l in languages])
+    table = broadcast_if_small(profiles)
+    counted = grams_of(df, [row_id], text, n).groupBy(row_id, "gram").agg(F.count(F.lit(1)).alias("_n"))
+    sums = counted.join(table, "gram").groupBy(row_id).agg(*[F.sum(F.col(l) * F.col("_n")).alias(l) for l in languages])
     best = F.array_max(
         F.array(
             *[

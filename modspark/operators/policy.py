@@ -135,14 +135,14 @@ def accept_suggestions(messages: DataFrame, accepted: DataFrame, key: str = "mes
 def policy_actions(
     long: DataFrame, policies: DataFrame, row_id: str, tenant: str = "tenant"
 ) -> DataFrame:
-    """Strictest action per row.
+    """Strictest action per row; ``allow`` where no policy fits, also for unknown tenants.
 
     ``policies`` is ``(tenant, tag, min_score, action, version)``; one row per cut.  The
     join is broadcast only when the policy table passes the size check; otherwise it
     shuffles on (tenant, tag) and AQE splits hot tenants.
     """
     rank = T.literal_map(ACTION_RANK)
-    joined = long.join(broadcast_if_small(policies), [tenant, "tag"])
+    joined = long.join(broadcast_if_small(policies), [tenant, "tag"], "left")
     fired = F.when(
         F.col("score") >= F.col("min_score"),
         F.struct(F.element_at(rank, F.col("action")).alias("r"), F.col("action").alias("a")),

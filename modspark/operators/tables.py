@@ -134,14 +134,16 @@ def resample_mix(
     """Largest sample whose groups stand in the wanted shares.
 
     The scarcest group sets the total; every group then gives ``floor(total * share)``
-    rows in seeded hash order.
+    rows in seeded hash order. A wanted group that has no row makes the total 0.
     """
+    shares = {g: v for g, v in shares.items() if v > 0}
     wanted = df.filter(F.col(group).isin(list(shares)))
     share = F.create_map(*[F.lit(v) for kv in shares.items() for v in kv])
     sizes = wanted.groupBy(group).agg(F.count(F.lit(1)).alias("n")).withColumn(
         "share", F.element_at(share, F.col(group))
     )
-    total = sizes.agg(F.floor(F.min(F.col("n") / F.col("share")))).scalar()
+    all_there = F.count(F.lit(1)) == len(shares)
+    total = sizes.agg(F.when(all_there, F.floor(F.min(F.col("n") / F.col("share")))).otherwise(0)).scalar()
     quotas = sizes.withColumn("quota", F.floor(total * F.col("share") + F.lit(1e-9)))
     h = seeded_hash(seed, F.col(row_id))
     return smallest(wanted, "quota", h, hash_bucket(h), keys=[group], quotas=quotas)

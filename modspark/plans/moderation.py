@@ -14,6 +14,7 @@ from modspark.functions import text as T
 from modspark.operators import policy as P
 from modspark.operators import scoring
 from modspark.operators.windows import rate_limit
+from modspark.session import broadcast_if_small
 
 
 @dataclass
@@ -83,10 +84,14 @@ def moderate(
     rejected = None
     accepted = df
     if limits is not None:
-        # First, as in the live flow: the attempt counts then need no text column.
-        checked = rate_limit(df, "user_id", "second", "arrival", *limits)
-        rejected = checked.filter(~F.col("allowed"))
-        accepted = checked.filter("allowed").drop("allowed", "prior")
+        # First, as in the live flow. Only ids and times are shuffled for the counts; the refused
+        # ids, few as a rule, then meet the texts.
+        narrow = df.select(row_id, "user_id", "second", "arrival")
+        checked = rate_limit(narrow, "user_id", "second", "arrival", *limits)
+        refused = broadcast_if_small(checked.filter(~F.col("allowed")).select(F.col(row_id).alias("_refused"), "prior"))
+        same = F.col(row_id).eqNullSafe(F.col("_refused"))
+        rejected = df.join(refused, same).drop("_refused")
+        accepted = df.join(refused, same, "left_anti")
     valid, invalid = P.quarantine(accepted, P.request_rules())
     scored = score_messages(
         valid, scorer, skip, gate, fallback_language, compose=compose
@@ -97,6 +102,18 @@ def moderate(
     return Moderated(results, rejected, invalid)
 
 
+def every_message(out: Moderated) -> DataFrame:
+    """One row per message that came in: results with their ``status``, and, with null scores, rows that were
+    RATE_LIMITED or INVALID. ``reasons`` holds the rules that a row broke."""
+    done = out.results.withColumn("reasons", F.array().cast("array<string>"))
+    bad = out.invalid.withColumn("status", F.lit("INVALID")).withColumnRenamed("violations", "reasons")
+    rows = done.unionByName(bad, allowMissingColumns=True)
+    if out.rejected is not None:
+        late = out.rejected.drop("prior").withColumn("status", F.lit("RATE_LIMITED")).withColumn("reasons", F.array(F.lit("rate_limit")))
+        rows = rows.unionByName(late, allowMissingColumns=True)
+    return rows
+
+
 def response_fields(df: DataFrame) -> DataFrame:
     """Result values under all the names clients read."""
     return df.select(

@@ -14,6 +14,7 @@ from modspark import schemas
 from modspark.functions.text import strip
 from modspark.operators.profile import class_weights
 
+HISTORY_MAX = 200
 MESSAGE_TYPES = ("message", "safe_message")
 
 
@@ -67,9 +68,25 @@ def read_long_json(spark: SparkSession, path: str, schema: StructType) -> DataFr
     return spark.read.schema(schema).json(path)
 
 
+def latest_params(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Rows of the newest run of a parameter table, without its run id.
+
+    Runs are compared by the last number in their id (10 is newer than 9), equal numbers and ids
+    without one as text. A table without runs is returned whole.
+    """
+    given = StructType(list(schema.fields))
+    if "run_id" in given.names:
+        given = StructType([f for f in schema.fields if f.name != "run_id"])
+    df = spark.read.schema(StructType([*given.fields, StructField("run_id", StringType())])).json(path)
+    number = F.regexp_extract("run_id", r"([0-9]+)[^0-9]*$", 1)
+    age = F.struct(F.coalesce(F.expr("try_cast(nullif(regexp_extract(run_id, '([0-9]+)[^0-9]*$', 1), '') as decimal(38, 0))"), F.lit(-1)).alias("n"), F.length(number), F.col("run_id"))
+    newest = df.agg(F.max(age)["run_id"]).scalar()
+    return df.filter(F.col("run_id").eqNullSafe(newest)).drop("run_id")
+
+
 def load_thresholds(spark: SparkSession, path: str) -> DataFrame:
-    """Threshold of every label; a label without one gets the default."""
-    given = read_long_json(spark, path, schemas.THRESHOLD)
+    """Threshold of every label in the newest run; a label without one gets the default."""
+    given = latest_params(spark, path, schemas.THRESHOLD)
     tags = spark.createDataFrame([(i, t) for i, t in enumerate(k.LABELS)], "pos int, tag string")
     known = given.filter(F.col("tag").isin(k.LABELS)).groupBy("tag").agg(F.max("threshold").alias("threshold"))
     return tags.join(known, "tag", "left").select(
@@ -80,9 +97,9 @@ def load_thresholds(spark: SparkSession, path: str) -> DataFrame:
 def load_weights(
     spark: SparkSession, path: str, corpus: DataFrame, tags: Sequence[str], cap: float = 25.0
 ) -> DataFrame:
-    """Stored class weights, computed from the corpus where the file is absent."""
+    """Class weights of the newest stored run, computed from the corpus where there is none."""
     try:
-        return read_long_json(spark, path, schemas.WEIGHT)
+        return latest_params(spark, path, schemas.WEIGHT)
     except AnalysisException:
         return class_weights(corpus, tags, cap).select("tag", "weight")
 
@@ -134,7 +151,11 @@ def message_documents(df: DataFrame) -> DataFrame:
 def channel_history(
     messages: DataFrame, channel: Column | str, limit: int = 50, newest: bool = False, tie: str = "message_id"
 ) -> DataFrame:
-    """The first ``limit`` messages of a channel by time (the last ones with ``newest``)."""
-    limit = max(1, min(200, limit))
+    """The first ``limit`` messages of a channel by time (the last ones with ``newest``).
+
+    A limit outside 1 to 200 is an error, as it is for the service.
+    """
+    if not 1 <= limit <= HISTORY_MAX:
+        raise ValueError(f"limit must be from 1 to {HISTORY_MAX}, not {limit}")
     order = [F.desc("created_at"), F.desc(tie)] if newest else [F.asc("created_at"), F.asc(tie)]
     return messages.filter(F.col("channel_id") == channel).orderBy(*order).limit(limit)

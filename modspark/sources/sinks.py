@@ -30,12 +30,6 @@ def write_params(df: DataFrame, path: str, run_id: str) -> None:
     df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").json(path)
 
 
-def latest_params(spark, path: str, schema) -> DataFrame:
-    """Rows of the last run id."""
-    df = spark.read.schema(schema.add("run_id", "string") if "run_id" not in schema.names else schema).json(path)
-    return df.filter(F.col("run_id") == df.agg(F.max("run_id")).scalar()).drop("run_id")
-
-
 def run_metadata(metrics: DataFrame, model: str, tags: Sequence[str], epochs: int) -> DataFrame:
     """One metadata row per metrics row."""
     return metrics.select(

@@ -83,6 +83,10 @@ def rate_limit_stream(
         if state.hasTimedOut:
             state.remove()
             return
+        if pd.isna(key[0]):  # as in the batch form, rows without a user are not limited
+            for pdf in frames:
+                yield pd.DataFrame({user: pdf[user], second: pdf[second], tie: pdf[tie], "prior": 0, "allowed": 1})
+            return
         sec, n = (np.array(v, dtype="int64") for v in state.get) if state.exists else (np.empty(0, "int64"),) * 2
         # A batch of one user is taken whole because Arrow frames of it are unordered;
         # the source's files-per-trigger or offsets-per-trigger setting bounds it.
@@ -103,10 +107,9 @@ def rate_limit_stream(
         prior = below - oldest + same + position
         horizon = int(all_sec.max()) - (window_s - 1)
         keep = all_sec >= horizon
-        kept_sec = np.unique(all_sec[keep])
-        weights = all_n[order][keep]
-        kept_n = [int(weights[all_sec[keep] == s].sum()) for s in kept_sec]
-        state.update((kept_sec.tolist(), kept_n))
+        kept_sec, head = np.unique(all_sec[keep], return_index=True)
+        kept_n = np.add.reduceat(all_n[order][keep], head)
+        state.update((kept_sec.tolist(), kept_n.tolist()))
         if idle_ms is not None:
             state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(
@@ -282,8 +285,9 @@ def latest_status(spark: SparkSession, path: str, schema: StructType, key: str,
 
 
 def compact_status(spark: SparkSession, path: str, target: str, schema: StructType, key: str, seq: str, columns: list[str]) -> None:
-    """Write the reduced table to a new folder, from which a later stream may go on."""
-    latest_status(spark, path, schema, key, seq, columns).write.mode("overwrite").parquet(f"{target}/batch=0")
+    """Write the reduced table to a new folder, from which a later stream may go on: streams number
+    their batches, so none overwrites the base."""
+    latest_status(spark, path, schema, key, seq, columns).write.mode("overwrite").parquet(f"{target}/batch=base")
 
 
 def stream_of(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet", files: int | None = None) -> DataFrame:

@@ -13,7 +13,9 @@ FOLDER = "/root/testdata/sf0.001"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
-QUERIES, CHECKS = driver.queries(), driver.oracle_sql()
+from modspark import catalog  # noqa: E402
+
+QUERIES, CHECKS = catalog.QUERIES, catalog.CHECKS
 SLOW = {"trained_scorer", "kfold_oof", "stacked_decision"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
@@ -58,4 +60,5 @@ def test_every_query_has_a_check_or_is_trained():
 
 def test_entry(spark):
     rows = driver.entry(spark).collect()
-    assert rows and {"severity", "detected_language", "messages", "labelled", "accuracy"} == set(rows[0].asDict())
+    assert rows and {"status", "severity", "detected_language", "messages", "labelled", "accuracy"} == set(rows[0].asDict())
+    assert sum(r.messages for r in rows) == spark.read.parquet(f"{FOLDER}/documents.parquet").count()

@@ -71,7 +71,7 @@ def test_thresholds_default_and_versions(spark):
     sinks.write_params(spark.createDataFrame([("toxic", 0.6)], schemas.THRESHOLD), path, "run-2")
     from pyspark.sql.types import StructType
 
-    latest = sinks.latest_params(spark, path, StructType(list(schemas.THRESHOLD.fields)))
+    latest = readers.latest_params(spark, path, schemas.THRESHOLD)
     assert [r.threshold for r in latest.collect()] == [0.6]
 
 
