@@ -1,4 +1,4 @@
-"""What the operators share: narrow inputs, tables in the shared folder, spread minima, components."""
+"""What the operators share: narrow inputs and tables in the shared folder."""
 
 from __future__ import annotations
 
@@ -32,47 +32,3 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def doc_key() -> Column:
     """Tells rows that share a doc_id (or have none) but not a text apart."""
     return F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("doc_id").isNull(), F.col("text"))
-
-
-def least_of_groups(rows: DataFrame, group: str, least: str, salts: int = 64) -> DataFrame:
-    """Adds the smallest ``least`` of each ``group`` and the group's size as ``least_`` and ``size_``.
-
-    A group with a third of all rows is cut by the hash of ``least``: minima of the parts,
-    minima of those, and the way back join on group and part, so no task gets a whole group.
-    ``rows`` is read twice; hand in a stored table.
-    """
-    cut = rows.withColumn("part_", F.pmod(F.xxhash64(least), F.lit(salts)).cast("int"))
-    parts = cut.groupBy(group, "part_").agg(F.min(least).alias("least_"), F.count(F.lit(1)).alias("size_"))
-    whole = parts.groupBy(group).agg(F.min("least_").alias("least_"), F.sum("size_").alias("size_"))
-    known = parts.select(group, "part_").join(whole, group)
-    return cut.join(known, [group, "part_"]).drop("part_")
-
-
-def connected(links: DataFrame, name: str) -> DataFrame:
-    """``(id, root)``: the smallest id of the connected component of every id in ``links(a, b)``.
-
-    Alternates large-star and small-star steps; each result is written to the shared folder.
-    Only a count and a checksum come to the driver, to see that nothing changed.
-    """
-    edges = stored(
-        links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
-        name,
-    )
-    before = None
-    while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Large star: neighbours above a node go to the least of its neighbourhood.
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        # Small star: neighbours below a node, and the node, go to the least of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = stored(small, name)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    roots = edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
-    return roots.union(edges.select("v", "v").distinct())

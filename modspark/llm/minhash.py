@@ -11,14 +11,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from modspark.llm.common import connected, doc_key, stored, texts_of
+from modspark.llm.cluster import bucket_members, linked
+from modspark.llm.common import doc_key, stored, texts_of
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS = 32
 ROWS = 4
-SMALL = 32  # buckets up to so many texts compare all that are still apart
-BESIDE = 8
 
 U64 = np.uint64
 NONE = U64(2**64 - 1)
@@ -229,38 +228,17 @@ def _verified(todo: DataFrame, sets: DataFrame, weights: DataFrame, similarity:
     return scored.where(F.col("score") >= similarity - 1e-12).select("a", "b").distinct()
 
 
-def _members(texts: DataFrame) -> DataFrame:
-    """``(band, id, first)`` of all buckets with more than one text; a large one is counted in parts."""
-    buckets = texts.select("id", F.explode("bands").alias("band"), _part("id", 32))
-    parts = buckets.groupBy("band", "part").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
-    full = parts.groupBy("band").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1")
-    return buckets.join(parts.select("band", "part").join(full, "band"), ["band", "part"]).select("band", "id", "first")
-
-
-def _still_apart(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs to compare next: texts of a bucket that are not yet in one class."""
-    now = members.join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
-    each = now.groupBy("band", "root").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
-    apart = each.groupBy("band").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("n"), F.min("id").alias("least"))
-    apart = apart.where("classes > 1")
-    # Small buckets: each with each.
-    few = now.join(apart.where(F.col("n") <= SMALL).select("band"), "band")
-    other = few.select("band", F.col("id").alias("b"), F.col("root").alias("root_b"))
-    pairs = few.join(other, "band").where("id < b and root <> root_b").select(F.col("id").alias("a"), "b")
-    # Large ones: each class with the least, and texts that stand near each other in an order of the
-    # bucket's own. Those windows hold about a thousand texts each, whatever the bucket's size.
-    many = apart.where(F.col("n") > SMALL).select("band", "least", "n")
-    star = each.drop("n").join(many, "band").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
-    part = F.expr("pmod(xxhash64(id), n div 1000 + 1)")
-    side = Window.partitionBy("band", part).orderBy(F.xxhash64("band", "id"))
-    near = F.array(*(F.struct(F.lag("id", k).over(side).alias("b"), F.lag("root", k).over(side).alias("root_b")) for k in range(1, BESIDE + 1)))
-    chain = now.join(many, "band").select("id", "root", near.alias("near"))
-    chain = chain.select("id", "root", F.explode("near").alias("x")).where("root <> x.root_b")
-    chain = chain.select(F.least("id", "x.b").alias("a"), F.greatest("id", "x.b").alias("b"))
-    return pairs.union(star).union(chain).distinct()
-
-
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The documents without near-duplicates: of each class the row with the smallest doc_id, of rows repeated
+    with it one. All columns stay."""
+    kept = near_duplicates(docs, similarity, keyed=True).where("kept").select(F.col("key").alias("key_"), F.col("doc_id").alias("id_"))
+    own = docs.withColumn("key__", F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.col("doc_id").isNull(), F.col("text").cast("string")))
+    same = (F.col("key__") == F.col("key_")) & F.col("doc_id").eqNullSafe(F.col("id_"))
+    once = Window.partitionBy("key__", "doc_id").orderBy(F.lit(0))
+    return own.join(kept, same, "left_semi").withColumn("nth_", F.row_number().over(once)).where("nth_ = 1").select(*docs.columns)
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, keyed: bool = False) -> DataFrame:
     """Per document: ``doc_id, class_id, class_size, links, kept``.
 
     Documents are linked when the weighted Jaccard similarity of their five-word shingles (lower
@@ -269,10 +247,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     of a document's text to other texts that were confirmed.
 
     Documents with the same words are one text from the start. Texts that share one of 32 bands
-    of 4 coordinates meet (a pair at 0.8 misses all with a chance of 5e-8). All of a bucket are
-    compared with the least one; then, round after round, those that are still apart: in buckets
-    of up to 32 texts each with each, in larger ones as ``_still_apart`` says, until nothing new is
-    left to compare. Comparisons are of whole sets. No pair is emitted for two copies of a text.
+    of 4 coordinates meet (a pair at 0.8 misses all with a chance of 5e-8). Each is compared with
+    the least ones of its buckets until one is near enough; then, round after round, those of a
+    bucket that are still in different classes: in buckets of up to 32 texts each with each, in
+    larger ones as ``cluster.still_apart`` says, until nothing new is left to compare. Comparisons are of whole sets. No pair is emitted for two copies of a text.
 
     A document without words (null, empty) is a class of its own. A null doc_id comes after all
     others, and a class of such rows has a null class_id; rows repeated with their doc_id are one
@@ -292,29 +270,22 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     known = stored(parts.select("words", "part").join(whole, "words"), "texts")
     texts = signed.join(known, ["words", "part"]).where("row = first.r and weight > 0")
     texts = stored(texts.select(F.col("row").alias("id"), "order", "key", "weight", "bands", "copies"), "texts")
-    members = stored(_members(texts), "members")
-    pairs = stored(members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    members = bucket_members(texts)
     need = texts.join(members.select("id").distinct(), "id").select("id", "key", F.col("order.d").alias("d"))
     bodies = source.join(need, "key").where(F.coalesce("doc_id", last) == F.col("d"))
     sets = stored(bodies.select("id", "text").mapInArrow(_sets, "id long, set binary"), "sets")
-    links, tried = stored(_verified(pairs, sets, texts, similarity), "links"), pairs
-    while True:
-        roots = connected(links, "components")
-        todo = stored(_still_apart(members, roots).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not todo.take(1):
-            break
-        links = stored(links.union(_verified(todo, sets, texts, similarity)), "links")
-        tried = tried.union(todo)
+    links, roots = linked(members, lambda pairs: _verified(pairs, sets, texts, similarity), bands)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
     classes = texts.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     named = classes.groupBy("root").agg(F.min("order").alias("name"), F.sum("copies").alias("class_size"))
     told = classes.select("id", "root").join(named, "root").join(degree, "id", "left").drop("root")
     told = known.join(told, F.col("first.r") == F.col("id"), "left").select("words", "part", "name", "class_size", "links")
     name = F.coalesce("name", "order")
-    return signed.select("doc_id", "row", "order", "words", "part").join(told, ["words", "part"]).select(
+    return signed.select("doc_id", "key", "row", "order", "words", "part").join(told, ["words", "part"]).select(
         "doc_id",
         F.nullif(name["d"], last).alias("class_id"),
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
         F.coalesce("links", F.lit(0)).cast("long").alias("links"),
         (name["r"] == F.col("row")).alias("kept"),
+        *(["key"] if keyed else []),
     )
