@@ -1,9 +1,11 @@
 """Repeated passages across documents: anchors route them to shards, suffix arrays find them there.
 
 1. Of every 50-byte string the least hash among its 20-byte grams is an anchor, so equal strings
-   have equal anchors at equal places. Anchors that occur in one document only are dropped.
-2. Around each other anchor the 80 bytes that any 50-byte string with it can reach are a context.
-   Contexts go to shards by their anchor; equal ones are joined to one with the least document.
+   have equal anchors at equal places. The 80 bytes that a 50-byte string with it can reach are its
+   context. Anchors that occur in one document only are dropped, and where all contexts of an anchor
+   are equal, the least document's covers the others.
+2. The other contexts go to shards by their anchor; equal ones are joined to one with the least
+   document.
 3. Each shard concatenates its different contexts, builds their suffix array by induced sorting
    and the common prefixes of neighbours, and so finds equal 50-byte strings.
 4. What is covered goes back to the documents, where spans are cut.
@@ -26,7 +28,7 @@ WIDTH = 50
 GRAM = 20
 REACH = WIDTH - GRAM  # bytes on either side of an anchor's gram
 CONTEXT = WIDTH + REACH
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 160 << 10  # small enough for the caches
 LAST = 2**63 - 1  # order of documents without doc_id
 
 _BASE = 0x9E3779B97F4A7C15
@@ -70,33 +72,38 @@ def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int) -> np.
 
     Bucket after bucket: what a whole bucket induces is placed at once, in the order of the scan.
     """
+    none = np.zeros(0, np.int64)
     large: list[list[np.ndarray]] = [[] for _ in range(size)]
     less: list[list[np.ndarray]] = [[] for _ in range(size)]
     first = s[lms]
     edge = np.searchsorted(first, np.arange(size + 1))
     for c in range(size):
-        queue, k = large[c], 0
-        while k < len(queue):
+        queue = large[c]
+        queue[:] = [np.concatenate(queue)] if queue else []
+        k = 0
+        while k < len(queue):  # a bucket can induce into itself
             p = queue[k][queue[k] > 0] - 1
             p = p[~small[p]]
             _spread(p, s[p], large)
             k += 1
         p = lms[edge[c] : edge[c + 1]] - 1
         _spread(p, s[p], large)
+        large[c] = [np.concatenate(queue)] if len(queue) > 1 else queue
     less[0].append(np.array([len(s) - 1]))
     for c in range(size - 1, -1, -1):
-        queue, k = less[c], 0
+        queue = less[c]
+        queue[:] = [np.concatenate(queue)] if queue else []
+        k = 0
         while k < len(queue):
             p = queue[k][queue[k] > 0] - 1
             p = p[small[p]]
             _spread(p, s[p], less)
             k += 1
-        for part in reversed(large[c]):
+        for part in large[c]:
             p = part[::-1]
             p = p[p > 0] - 1
             p = p[small[p]]
             _spread(p, s[p], less)
-    none = np.zeros(0, np.int64)
     return np.concatenate([none, *(x for c in range(size) for x in (*large[c], *(y[::-1] for y in reversed(less[c]))))])
 
 
@@ -133,23 +140,28 @@ def _by_lists(s: list[int], size: int) -> list[int]:
     for c in range(size):
         count[c + 1] += count[c]
 
+    large = [-1 if small[i] else s[i] for i in range(n)]
+    less = [s[i] if small[i] else -1 for i in range(n - 1)] + [-1]
+
     def induce(order: list[int]) -> list[int]:
-        sa, tail = [-1] * n, count[1:]
+        # An empty place holds 0, as does the first suffix: neither has one before it to place.
+        sa, tail = [0] * n, count[1:]
         for i in reversed(order):
-            tail[s[i]] -= 1
-            sa[tail[s[i]]] = i
+            c = s[i]
+            tail[c] -= 1
+            sa[tail[c]] = i
         head = count[:-1]
-        for k in range(n):
-            i = sa[k] - 1
-            if i >= 0 and not small[i]:
-                sa[head[s[i]]] = i
-                head[s[i]] += 1
+        for j in sa:
+            c = large[j - 1]
+            if c >= 0:
+                sa[head[c]] = j - 1
+                head[c] += 1
         tail = count[1:]
-        for k in range(n - 1, -1, -1):
-            i = sa[k] - 1
-            if i >= 0 and small[i]:
-                tail[s[i]] -= 1
-                sa[tail[s[i]]] = i
+        for j in reversed(sa):
+            c = less[j - 1]
+            if c >= 0:
+                tail[c] -= 1
+                sa[tail[c]] = j - 1
         return sa
 
     if not lms:
@@ -187,7 +199,7 @@ def suffix_array(s: np.ndarray, size: int) -> np.ndarray:
     top = int(names.max()) + 1
     if top < len(lms):
         if top <= 1024:
-            order = lms[suffix_array(names, top)]
+            order = lms[suffix_array(names.astype(np.uint16), top)]
         else:
             order = lms[np.array(_by_lists(names.tolist(), top), np.int64)]
     return _induce(s, small, order, size)
@@ -236,7 +248,7 @@ def least_documents(contexts: np.ndarray, length: np.ndarray, order: np.ndarray)
     values = np.where(inside, table + 2, 1)[keep]
     owner = np.broadcast_to(np.arange(n)[:, None], keep.shape)[keep]
     offset = np.broadcast_to(cells, keep.shape)[keep]
-    s = np.append(values, 0).astype(np.int32)
+    s = np.append(values, 0).astype(np.uint16)
     left = np.append(length[owner] - offset, 0)
     sa = suffix_array(s, 258)
     common = permuted_prefixes(np.append(np.maximum(values - 2, 0), 0).astype(np.uint8), left, sa, WIDTH)
@@ -256,20 +268,54 @@ def least_documents(contexts: np.ndarray, length: np.ndarray, order: np.ndarray)
 # Anchors and contexts
 
 
-def gram_hashes(buf: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the 20 bytes from each place on."""
+def gram_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the 20 bytes from each place on, and of the 16, unmixed."""
     with np.errstate(over="ignore"):
         b = [np.uint64(pow(_BASE, k, 2**64)) for k in (1, 2, 4, 8)]
         h1 = _LETTERS[buf]
         h2 = h1[:-1] * b[0] + h1[1:]
         h4 = h2[:-2] * b[1] + h2[2:]
         h = h4[:-4] * b[2] + h4[4:]
-        h = h[:-8] * b[3] + h[8:]
-        h = h[:-4] * b[2] + h4[16:]
+        h16 = h[:-8] * b[3] + h[8:]
+        h = h16[:-4] * b[2] + h4[16:]
         h ^= h >> np.uint64(31)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(29)
-    return h
+    return h, h16
+
+
+def _row_hashes(table: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """64-bit hashes of rows of bytes, whose number is a multiple of 8."""
+    with np.errstate(over="ignore"):
+        words = np.column_stack([np.ascontiguousarray(table).view(np.uint64), salt.astype(np.uint64)])
+        words = (words ^ (words >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        words ^= words >> np.uint64(32)
+        weight = np.array([pow(_BASE, k + 3, 2**64) for k in range(words.shape[1])], np.uint64)
+        h = words @ weight
+        return h ^ (h >> np.uint64(32))
+
+
+def _context_table(buf: np.ndarray, a: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Rows of the bytes from each ``a`` on, zero beyond ``length``; ``buf`` goes on for one context at least."""
+    cells = np.arange(CONTEXT)
+    table = buf[a[:, None] + cells]
+    table[cells >= length[:, None]] = 0
+    return table
+
+
+def context_hashes(buf: np.ndarray, h16: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Of the context of each anchor, within its text ``[low, high)``; whole contexts from five hashes of 16 bytes."""
+    out = np.zeros(len(at), np.uint64)
+    whole = (at - REACH >= low) & (at + GRAM + REACH <= high)
+    with np.errstate(over="ignore"):
+        step, start, h = np.uint64(pow(_BASE, 16, 2**64)), at[whole] - REACH, np.uint64(0)
+        for k in range(0, CONTEXT, 16):
+            h = h * step + h16[start + k]
+        out[whole] = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    cut = np.flatnonzero(~whole)
+    a, b = np.maximum(at[cut] - REACH, low[cut]), np.minimum(at[cut] + GRAM + REACH, high[cut])
+    out[cut] = _row_hashes(_context_table(np.append(buf, np.zeros(CONTEXT, np.uint8)), a, b - a), (b - a) * 256 + at[cut] - a)
+    return out
 
 
 def _slide(v: np.ndarray, width: int, best) -> np.ndarray:
@@ -280,11 +326,10 @@ def _slide(v: np.ndarray, width: int, best) -> np.ndarray:
     return best(v[: len(v) - (width - w)], v[width - w :]) if w < width else v
 
 
-def anchors(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of texts that lie one after another and end at ``ends``."""
-    if len(buf) < WIDTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = gram_hashes(buf)
+def anchors(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the anchors of texts that lie one after another and end at ``ends``; hashes of their grams
+    and of their contexts."""
+    h, h16 = gram_hashes(buf)
     v = (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     least = _slide(v, REACH + 1, np.minimum)  # of the 50-byte string from each place on
     bad = np.zeros(len(buf) + 1, np.int32)
@@ -295,7 +340,8 @@ def anchors(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     pad = np.zeros(REACH, np.uint32)
     most = _slide(np.concatenate([pad, least, pad]), REACH + 1, np.maximum)
     at = np.flatnonzero(v == most[: len(v)])
-    return at, h[at]
+    which = np.searchsorted(ends, at, side="right")
+    return at, h[at], context_hashes(buf, h16, at, (ends - size)[which], ends[which])
 
 
 def _slices(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:
@@ -315,6 +361,38 @@ BLOB = "bucket int, kind int, docs binary, a binary, b binary, c binary, d binar
 TOLD = "ord long, key long, start binary, end binary, whole boolean"
 
 
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def _packed(a: np.ndarray | bytes) -> bytes:
+    """Shuffled bytes, compressed; the size stands first."""
+    raw = a if isinstance(a, bytes) else a.tobytes()
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
+
+
+def _unpacked(raw: bytes) -> bytes:
+    return _ZSTD.decompress(raw[8:], int.from_bytes(raw[:8], "little"), asbytes=True)
+
+
+def _steps(values: np.ndarray) -> bytes:
+    """Differences of neighbours, which compress better."""
+    return _packed(np.diff(values.astype(np.int64), prepend=0).astype("<i4"))
+
+
+def _from_steps(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(_unpacked(raw), "<i4").astype(np.int64))
+
+
+def _joint(*parts: bytes) -> bytes:
+    return b"".join(len(p).to_bytes(8, "little") for p in parts[:-1]) + b"".join(parts)
+
+
+def _parted(raw: bytes) -> tuple[bytes, bytes, bytes]:
+    a = 16 + int.from_bytes(raw[:8], "little")
+    b = a + int.from_bytes(raw[8:16], "little")
+    return raw[16:a], raw[a:b], raw[b:]
+
+
 def _blob(rows: list[tuple]) -> pa.RecordBatch:
     names = ["bucket", "kind", "docs", "a", "b", "c", "d"]
     kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
@@ -333,11 +411,30 @@ def _by_doc(docs: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarra
     return [(*docs[doc[x]].tolist(), start[x:y].tobytes(), end[x:y].tobytes(), False) for x, y in zip(cut, cut[1:], strict=False) if y > x]
 
 
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal sorted keys begin."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return np.flatnonzero(new)
+
+
+def _each(head: np.ndarray, n: int, values: np.ndarray) -> np.ndarray:
+    """A value for each run, told to all of its rows."""
+    return np.repeat(values, np.diff(np.append(head, n)))
+
+
+def _span(pos: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.maximum(pos - REACH, 0), np.minimum(pos + GRAM + REACH, size)
+
+
 def _find_anchors(buckets: int):
-    """Blobs of anchors by bucket (kind 0), places already known to repeat (1), whole copies (2).
+    """Blobs of anchors by bucket (kind 0), places of grams in several contexts (1), whole copies (2), spans
+    of contexts that a smaller document has too (3).
 
-    Within a slice of the input equal texts are looked at once, and of an anchor that several
-    documents of the slice share one place is sent on.
+    What a slice of the input knows is settled in it: equal texts are looked at once, of equal
+    contexts the least document's is sent on, and of a gram that stands in different contexts of
+    different documents one place.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,32 +456,36 @@ def _find_anchors(buckets: int):
                     continue
                 size = np.array([len(texts[i]) for i in used])
                 ends = np.cumsum(size)
-                at, h = anchors(np.frombuffer(b"".join(texts[i] for i in used), np.uint8), ends)
+                at, h, g = anchors(np.frombuffer(b"".join(texts[i] for i in used), np.uint8), ends)
                 which = np.searchsorted(ends, at, side="right")
-                pos = at - (ends - size)[which]
-                doc = used[which]
-                o = np.argsort(h, kind="stable")
-                hs, ds = h[o], docs[doc[o], 0]
-                head = np.flatnonzero(np.append(True, hs[1:] != hs[:-1]))
-                count = np.diff(np.append(head, len(hs)))
-                several = np.minimum.reduceat(ds, head) < np.maximum.reduceat(ds, head)
-                known = np.repeat(several, count)
-                for x in _by_doc(docs, doc[o[known]], pos[o[known]], pos[o[known]]):
+                pos, doc, n = at - (ends - size)[which], used[which], len(at)
+                order = docs[doc, 0]
+                o = np.lexsort((g, h))
+                h, g, pos, doc, order, size = h[o], g[o], pos[o], doc[o], order[o], size[which][o]
+                head = _runs(h, g)
+                least = _each(head, n, np.minimum.reduceat(order, head))
+                covered = order > least
+                a, b = _span(pos, size)
+                for x in _by_doc(docs, doc[covered], a[covered], b[covered]):
+                    rows.append((x[1] % buckets, 3, np.array(x[:2], np.int64).tobytes(), x[2], x[3], b"", b""))
+                h, g, pos, doc, order, size = (c[~covered] for c in (h, g, pos, doc, order, size))
+                n, head = len(h), _runs(h)
+                mixed = np.minimum.reduceat(order, head) < np.maximum.reduceat(order, head)
+                told = _each(head, n, mixed)
+                for x in _by_doc(docs, doc[told], pos[told], pos[told]):
                     rows.append((x[1] % buckets, 1, np.array(x[:2], np.int64).tobytes(), x[2], b"", b"", b""))
-                # To be asked for: all places of an anchor of one document, one place of others.
-                ask = np.repeat(~several, count)
+                ask = ~told
                 ask[head] = True
-                told = np.repeat(several, count)[ask]
-                h, doc, pos = h[o][ask], doc[o][ask], pos[o][ask]
+                h, g, pos, doc, told, size = (c[ask] for c in (h, g, pos, doc, told, size))
                 bucket = (h % np.uint64(buckets)).astype(np.int64)
                 o = np.lexsort((pos, doc, bucket))
-                h, doc, pos, told, bucket = h[o], doc[o], pos[o], told[o], bucket[o]
-                cut = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+                h, g, doc, pos, told, bucket, size = (c[o] for c in (h, g, doc, pos, told, bucket, size))
+                cut = [*_runs(bucket).tolist(), len(bucket)]
                 for x, y in zip(cut, cut[1:], strict=False):
-                    ids, local = np.unique(doc[x:y], return_inverse=True)
-                    code = (h[x:y] >> np.uint64(16)).astype("<u8")
-                    meta = (local.astype(np.int64) << 1 | told[x:y]).astype("<u4")
-                    rows.append((int(bucket[x]), 0, docs[ids].tobytes(), code.view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), meta.tobytes(), pos[x:y].astype("<u4").tobytes(), b""))
+                    ids, one, local = np.unique(doc[x:y], return_index=True, return_inverse=True)
+                    code = np.concatenate([(c[x:y] >> np.uint64(8 * (8 - k))).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :k] for c, k in ((h, 4), (g, 6))], 1)
+                    about = _packed(np.diff(docs[ids, 0], prepend=0)), docs[ids, 1].tobytes(), _packed(size[x:y][one].astype("<u4"))
+                    rows.append((int(bucket[x]), 0, _joint(*about), code.tobytes(), _steps(local << 1 | told[x:y]), _steps(pos[x:y]), b""))
                 yield _blob(rows)
 
     return run
@@ -399,29 +500,43 @@ def _told(rows: list[tuple]) -> pd.DataFrame:
 
 
 def _shared_anchors(blobs: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket: the places of anchors that more than one blob has, and what was known before."""
+    """Of one bucket: places of grams that stand in several contexts, spans of contexts that a smaller
+    document has too, and what was known before."""
     rows: list[tuple] = []
-    for kind, docs, a in zip(blobs["kind"], blobs["docs"], blobs["a"], strict=True):
-        if kind == 1:
-            rows.append((*_pairs(docs)[0].tolist(), a, b"", False))
+    for kind, docs, a, b in zip(blobs["kind"], blobs["docs"], blobs["a"], blobs["b"], strict=True):
+        if kind in (1, 3):
+            rows.append((*_pairs(docs)[0].tolist(), a, b, False))
         elif kind == 2:
             rows += [(*x, b"", b"", True) for x in _pairs(docs).tolist()]
     part = blobs[blobs["kind"] == 0]
     if len(part):
-        code = np.zeros((sum(map(len, part["a"])) // 6, 8), np.uint8)
-        code[:, :6] = np.frombuffer(b"".join(part["a"]), np.uint8).reshape(-1, 6)
-        code = code.view(np.uint64).ravel()
-        meta = np.frombuffer(b"".join(part["b"]), "<u4")
-        pos = np.frombuffer(b"".join(part["c"]), "<u4")
-        docs = np.concatenate([_pairs(x) for x in part["docs"]])
-        base = np.cumsum([0, *(len(x) // 16 for x in part["docs"])])[:-1]
-        doc = (meta >> 1) + np.repeat(base, [len(x) // 4 for x in part["b"]])
-        o = np.argsort(code, kind="stable")
-        c, d = code[o], docs[doc[o], 0]
-        head = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-        several = np.minimum.reduceat(d, head) < np.maximum.reduceat(d, head)
-        hit = o[np.repeat(several, np.diff(np.append(head, len(c)))) & (meta[o] & 1 == 0)]
-        rows += _by_doc(docs, doc[hit], pos[hit], pos[hit])
+        n = [len(x) // 10 for x in part["a"]]
+        raw = np.frombuffer(b"".join(part["a"]), np.uint8).reshape(-1, 10)
+        code = np.ascontiguousarray(raw[:, :4]).view("<u4").ravel()
+        text = np.zeros((len(raw), 8), np.uint8)
+        text[:, :6] = raw[:, 4:]
+        text = text.view(np.uint64).ravel()
+        meta = np.concatenate([_from_steps(x) for x in part["b"]])
+        pos = np.concatenate([_from_steps(x) for x in part["c"]])
+        about = [_parted(x) for x in part["docs"]]
+        keys = [np.frombuffer(k, np.int64) for _, k, _ in about]
+        docs = np.stack([np.concatenate([np.cumsum(np.frombuffer(_unpacked(o), np.int64)) for o, _, _ in about]), np.concatenate(keys)], 1)
+        size = np.concatenate([np.frombuffer(_unpacked(z), "<u4") for _, _, z in about]).astype(np.int64)
+        doc = (meta >> 1) + np.repeat(np.cumsum([0, *map(len, keys)])[:-1], n)
+        o = np.lexsort((text, code))
+        code, text, doc, pos, told = code[o], text[o], doc[o], pos[o], meta[o] & 1
+        order, n = docs[doc, 0], len(o)
+        head = _runs(code, text)
+        covered = order > _each(head, n, np.minimum.reduceat(order, head))
+        head = _runs(code)
+        several = np.minimum.reduceat(order, head) < np.maximum.reduceat(order, head)
+        contexts = np.minimum.reduceat(text, head) < np.maximum.reduceat(text, head)
+        mixed = _each(head, n, several & contexts | (np.maximum.reduceat(told, head) > 0))
+        a, b = _span(pos, size[doc])
+        covered &= told == 0
+        rows += _by_doc(docs, doc[covered], a[covered], b[covered])
+        hit = mixed & ~covered & (told == 0)
+        rows += [(*x[:3], b"", False) for x in _by_doc(docs, doc[hit], pos[hit], pos[hit])]
     return _told(rows)
 
 
@@ -429,18 +544,23 @@ def _joined(lists: list[bytes]) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join(lists), "<u4")).astype(np.int64)
 
 
-def _groups(table: np.ndarray, length: np.ndarray) -> np.ndarray:
+def _groups(table: np.ndarray, shape: np.ndarray) -> np.ndarray:
     """Number of each row's content: by hash, then compared; rows that only share a hash stay apart."""
-    with np.errstate(over="ignore"):
-        weight = np.array([pow(_BASE, k + 3, 2**64) for k in range(table.shape[1] // 8)], np.uint64)
-        h = (table.view(np.uint64) ^ (table.view(np.uint64) >> np.uint64(29))) @ weight + length.astype(np.uint64)
+    h = _row_hashes(table, shape)
     o = np.argsort(h, kind="stable")
-    differs = np.append(True, (h[o[1:]] != h[o[:-1]]) | (length[o[1:]] != length[o[:-1]]) | (table[o[1:]] != table[o[:-1]]).any(1))
+    differs = np.append(True, (h[o[1:]] != h[o[:-1]]) | (shape[o[1:]] != shape[o[:-1]]) | (table[o[1:]] != table[o[:-1]]).any(1))
     out = np.empty(len(o), np.int64)
     out[o] = np.cumsum(differs) - 1
     return out
 
 
+def _gram_of(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the grams that stand ``at`` bytes into contexts."""
+    rows = np.zeros((len(table), 24), np.uint8)
+    rows[:, :GRAM] = np.take_along_axis(table, at[:, None] + np.arange(GRAM), 1)
+    return _row_hashes(rows, np.zeros(len(table), np.int64))
+
+
 def _cut_contexts(buckets: int):
     """Contexts around places that repeat, by bucket of the anchor (kind 0), and spans already known (1).
 
@@ -451,6 +571,7 @@ def _cut_contexts(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             starts, wholes = batch.column("starts"), batch.column("whole")
+            spans = [batch.column(c) for c in ("span_starts", "span_ends")]
             for at, texts in _slices(batch, 2 << 20):
                 docs, rows = _docs(batch, at, len(texts)), []
                 doc, pos, bufs = [], [], []
@@ -459,6 +580,9 @@ def _cut_contexts(buckets: int):
                     if wholes[at + i].as_py():
                         rows += [(int(docs[i, 1]) % buckets, 1, docs[i].tobytes(), np.array([0], "<u4").tobytes(), np.array([len(t)], "<u4").tobytes(), b"", b"")]
                         continue
+                    known = [b"".join(c[at + i].as_py() or []) for c in spans]
+                    if known[0]:
+                        rows.append((int(docs[i, 1]) % buckets, 1, docs[i].tobytes(), *known, b"", b""))
                     p = _joined(starts[at + i].as_py() or [])
                     if len(p):
                         doc.append(np.full(len(p), i))
@@ -475,12 +599,9 @@ def _cut_contexts(buckets: int):
                 low, high = np.append(0, ends[:-1])[which], ends[which]
                 a, b = np.maximum(pos - REACH, low), np.minimum(pos + GRAM + REACH, high)
                 buf = np.frombuffer(b"".join(bufs) + b"\0" * CONTEXT, np.uint8)
-                cells = np.arange(CONTEXT)
-                table = buf[a[:, None] + cells]
                 length = b - a
-                table[cells >= length[:, None]] = 0
-                with np.errstate(over="ignore"):
-                    gram = gram_hashes(buf)[pos]
+                table = _context_table(buf, a, length)
+                gram = _gram_of(table, pos - a)
                 # What lies before the gram counts too: equal contexts have equal grams at equal places.
                 same = _groups(table, length * 256 + (pos - a))
                 order = docs[doc, 0]
@@ -491,17 +612,17 @@ def _cut_contexts(buckets: int):
                     rows.append((x[1] % buckets, 1, np.array(x[:2], np.int64).tobytes(), x[2], x[3], b"", b""))
                 ask = np.flatnonzero(~covered)
                 bucket = (gram[ask] % np.uint64(buckets)).astype(np.int64)
-                ask = ask[np.lexsort((same[ask], bucket))]
+                ask = ask[np.lexsort((pos[ask], bucket))]
                 bucket = (gram[ask] % np.uint64(buckets)).astype(np.int64)
                 cut = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(ask)]
                 for x, y in zip(cut, cut[1:], strict=False):
                     own = ask[x:y]
                     _, head, local = np.unique(same[own], return_index=True, return_inverse=True)
                     ids, docno = np.unique(doc[own], return_inverse=True)
-                    entry = np.stack([docno, local, (a - low)[own]], 1).astype("<u4")
+                    entry = np.stack([np.diff(c.astype(np.int64), prepend=0) for c in (docno, local, (a - low)[own])]).astype("<i4")
                     one = own[head]
                     shape = np.stack([length[one], (pos - a)[one]], 1).astype(np.uint8)
-                    rows.append((int(bucket[x]), 0, docs[ids].tobytes(), table[one].tobytes(), shape.tobytes(), gram[one].astype("<u8").tobytes(), entry.tobytes()))
+                    rows.append((int(bucket[x]), 0, docs[ids].tobytes(), _packed(table[one]), shape.tobytes(), b"", _packed(entry)))
                 yield _blob(rows)
 
     return run
@@ -516,14 +637,15 @@ def _covered(blobs: pd.DataFrame) -> pd.DataFrame:
     part = blobs[blobs["kind"] == 0]
     if not len(part):
         return _told(rows)
-    table = np.frombuffer(b"".join(part["a"]), np.uint8).reshape(-1, CONTEXT)
+    table = np.frombuffer(b"".join(map(_unpacked, part["a"])), np.uint8).reshape(-1, CONTEXT)
     shape = np.frombuffer(b"".join(part["b"]), np.uint8).reshape(-1, 2).astype(np.int64)
-    gram = np.frombuffer(b"".join(part["c"]), "<u8")
-    entry = np.concatenate([np.frombuffer(x, "<u4").reshape(-1, 3) for x in part["d"]]).astype(np.int64)
+    gram = _gram_of(table, shape[:, 1])
+    entries = [np.cumsum(np.frombuffer(_unpacked(x), "<i4").reshape(3, -1).astype(np.int64), 1).T for x in part["d"]]
+    entry = np.concatenate(entries)
     docs = np.concatenate([_pairs(x) for x in part["docs"]])
-    n = [len(x) // 12 for x in part["d"]]
+    n = list(map(len, entries))
     doc = entry[:, 0] + np.repeat(np.cumsum([0, *(len(x) // 16 for x in part["docs"])])[:-1], n)
-    context = entry[:, 1] + np.repeat(np.cumsum([0, *(len(x) // 8 for x in part["c"])])[:-1], n)
+    context = entry[:, 1] + np.repeat(np.cumsum([0, *(len(x) // 2 for x in part["b"])])[:-1], n)
     start = entry[:, 2]
     same = _groups(table, shape[:, 0] * 256 + shape[:, 1])
     _, one = np.unique(same, return_index=True)
@@ -609,15 +731,33 @@ def repeated_passages(docs: DataFrame, with_text: bool = False) -> DataFrame:
     repeated with their doc_id, don't remove each other's strings. An empty table gives no rows.
     Other columns are ignored.
     """
+    done = _cut(docs, with_text)
+    return done.withColumn("doc_id", F.nullif("ord", F.lit(LAST))).select("doc_id", *done.columns[2:])
+
+
+def cut_passages(docs: DataFrame) -> DataFrame:
+    """The documents with ``text`` as ``repeated_passages`` leaves it; other columns as they are, null texts empty."""
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.col("doc_id").isNull(), F.col("text").cast("string"))
+    own = docs.withColumn("key_", key).withColumn("ord_", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).drop("text")
+    cut = _cut(docs, True).select(F.col("ord").alias("ord_"), F.col("key").alias("key_"), F.col("kept_text").alias("text")).dropDuplicates(["ord_", "key_"])
+    return own.join(cut, ["ord_", "key_"]).select(*docs.columns)
+
+
+def _cut(docs: DataFrame, with_text: bool) -> DataFrame:
     spark = docs.sparkSession
-    buckets = 2 * shuffle_partitions(spark)
+    buckets = max(48, shuffle_partitions(spark))
     source = texts_of(docs).select(F.coalesce("doc_id", F.lit(LAST)).alias("ord"), doc_key().alias("key"), "text")
     blobs = source.mapInArrow(_find_anchors(buckets), BLOB)
     places = blobs.groupBy("bucket").applyInPandas(_shared_anchors, TOLD)
-    asked = places.groupBy("ord", "key").agg(F.collect_list("start").alias("starts"), F.max("whole").alias("whole"))
+    is_span = F.length("end") > 0
+    asked = places.groupBy("ord", "key").agg(
+        F.collect_list(F.when(~is_span, F.col("start"))).alias("starts"),
+        F.collect_list(F.when(is_span, F.col("start"))).alias("span_starts"),
+        F.collect_list(F.when(is_span, F.col("end"))).alias("span_ends"),
+        F.max("whole").alias("whole"),
+    )
     contexts = source.join(asked, ["ord", "key"]).mapInArrow(_cut_contexts(buckets), BLOB)
     spans = contexts.groupBy("bucket").applyInPandas(_covered, TOLD)
     cuts = spans.groupBy("ord", "key").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     kinds = "ord long, key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    done = source.join(cuts, ["ord", "key"], "left").mapInArrow(_finish(with_text), kinds)
-    return done.withColumn("doc_id", F.nullif("ord", F.lit(LAST))).select("doc_id", *done.columns[2:])
+    return source.join(cuts, ["ord", "key"], "left").mapInArrow(_finish(with_text), kinds)
