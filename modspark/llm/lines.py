@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ LIKELY = 12  # bits by which candidates may differ
 CERTAIN = 3  # bits by which no pair is overlooked
 BITS = 64
 LANE = 16
-WORDS_PER_PART = 32_767  # counts of a part fit in a lane
+MANY_WORDS = 32_767  # the highest counter must not reach the sign
 
 
 def normalised(line: Column) -> Column:
@@ -28,46 +29,47 @@ def _split(text: Column) -> Column:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """One row per line that isn't blank: ``row`` (its number), document, place, and its normalised text's hashes."""
+    """One row per line that isn't blank: document, ``line_no`` and ``norm``, its normalised text."""
     lines = docs.select("ord", "key", F.posexplode(_split(F.col("text"))).alias("line_no", "line"))
     return lines.withColumn("norm", normalised(F.col("line"))).where("norm <> ''").drop("line")
 
 
-def _lane_sums() -> list[Column]:
-    """How often each bit of the words' hashes is set, four counts of 16 bits to a number."""
-    mask = sum(1 << k for k in range(0, BITS, LANE))
-    return [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(mask))).alias(f"s{j}") for j in range(LANE)]
+def _packed(more: list[Column]) -> Column:
+    bits = [F.when(m, F.lit(1 << k if k < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for k, m in enumerate(more)]
+    return reduce(lambda a, b: a.bitwiseOR(b), bits)
 
 
-def simhashes(lines: DataFrame) -> DataFrame:
-    """``(h1, h2, sim)`` of each different line: bits that more than half of its words' hashes have.
+def _voted(hashes: Column, lane: int) -> Column:
+    """Bits that more than half of ``hashes`` have. Counters of ``lane`` bits share the numbers of a struct."""
+    step = BITS // (BITS // lane)
+    mask = sum(1 << k for k in range(0, BITS, lane))
+    mask = mask - (1 << 64) if mask >> 63 else mask
+    names = [f"s{j}" for j in range(step)]
+    zero = F.struct(*(F.lit(0).cast("long").alias(n) for n in names))
 
-    ``lines`` has ``h1, h2`` (the text's hashes), ``row`` and ``norm``. Words are exploded, and four
-    counters share one number; a line of more words than a lane can count is summed in parts.
-    """
-    words = F.posexplode(F.split("norm", " ")).alias("at", "word")
-    words = lines.select("row", "h1", "h2", words)
-    words = words.select("row", "h1", "h2", F.expr(f"at div {WORDS_PER_PART}").alias("part"), F.xxhash64("word").alias("h"))
-    parts = words.groupBy("row", "h1", "h2", "part").agg(F.count(F.lit(1)).alias("n"), *_lane_sums())
-    votes = []
-    for bit in range(BITS):
-        lane, j = divmod(bit, LANE)
-        votes.append(F.shiftrightunsigned(f"s{j}", lane * LANE).bitwiseAND(F.lit((1 << LANE) - 1)))
-
-    def packed(more: list[Column]) -> Column:
-        bits = [F.when(m, F.lit(1 << k if k < 63 else -(1 << 63))).otherwise(F.lit(0)) for k, m in enumerate(more)]
-        out = bits[0].cast("long")
-        for b in bits[1:]:
-            out = out.bitwiseOR(b.cast("long"))
-        return out
-
-    # Most lines are one part; the sums of the others are taken bit by bit.
-    long_rows = parts.where("part > 0").select("row").distinct()
-    short = parts.where("part = 0").join(long_rows, "row", "left_anti")
-    short = short.select("h1", "h2", packed([v * 2 > F.col("n") for v in votes]).alias("sim"))
-    wide = parts.join(long_rows, "row", "left_semi").groupBy("row", "h1", "h2").agg(F.sum("n").alias("n"), *(F.sum(v).alias(f"v{k}") for k, v in enumerate(votes)))
-    wide = wide.select("h1", "h2", packed([F.col(f"v{k}") * 2 > F.col("n") for k in range(BITS)]).alias("sim"))
-    return short.union(wide)
+    def add(sums: Column, h: Column) -> Column:
+        return F.struct(*((sums[n] + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(mask).cast("long"))).alias(n) for j, n in enumerate(names)))
+
+    def vote(sums: Column) -> Column:
+        count = F.size(hashes)
+        more = []
+        for bit in range(BITS):
+            k, j = divmod(bit, lane)
+            votes = F.shiftrightunsigned(sums[names[j]], k * lane).bitwiseAND(F.lit((1 << lane) - 1).cast("long"))
+            more.append(votes * 2 > count)
+        return _packed(more)
+
+    return F.aggregate(hashes, zero, add, vote)
+
+
+def simhash(hashes: Column) -> Column:
+    """Of the words' hashes: the bits that more than half of them have. Lines of more words than 15 bits
+    can count take wider counters."""
+    return F.when(F.size(hashes) <= MANY_WORDS, _voted(hashes, LANE)).otherwise(_voted(hashes, 2 * LANE))
+
+
+def word_hashes(norm: Column) -> Column:
+    return F.transform(F.split(norm, " "), lambda w: F.xxhash64(w))
 
 
 def pigeonhole(sim: Column, n_lines: int) -> tuple[Column, int]:
@@ -91,23 +93,20 @@ def pigeonhole(sim: Column, n_lines: int) -> tuple[Column, int]:
 
 
 def line_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Every line that isn't blank: ``ord, key`` (document), ``line_no``, ``keep`` (the kept occurrence of its group).
+    """Lines whose group has more than one: ``ord, key`` (document), ``line_no``, ``keep`` (the kept occurrence).
 
     Lines are one text when their normalised forms are equal (lower case, digits as 0, single
     spaces). Different texts are linked when they share a key of their SimHashes, differ in up to
     12 bits and their edit similarity, 1 - distance / longer length, is at least ``similarity``.
     Pairs within 3 bits always share a key. The group's first occurrence by (doc_id, line) is kept.
     """
-    both = occurrences(docs)
-    hashes = [F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), F.reverse("norm")).alias("h2")]
+    both = occurrences(docs).withColumn("hashes", word_hashes(F.col("norm")))
     place = F.struct("ord", "key", "line_no").alias("place")
-    lines = both.select(F.monotonically_increasing_id().alias("row"), place, *hashes, "norm")
-    sims = simhashes(lines)
-    seen = stored(lines.select("place", "h1", "h2"), "lines")
+    seen = both.select(place, F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "hashes").alias("h2"), simhash(F.col("hashes")).alias("sim"))
+    seen = stored(seen, "lines")
     # A frequent line is counted before it is shuffled; its occurrences come back to it in a join that
     # Spark splits.
-    texts = seen.groupBy("h1", "h2").agg(F.min("place").alias("first"))
-    texts = texts.join(sims.groupBy("h1", "h2").agg(F.first("sim").alias("sim")), ["h1", "h2"])
+    texts = seen.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.min("sim").alias("sim"), F.count(F.lit(1)).alias("n"))
     texts = stored(texts.withColumn("id", F.monotonically_increasing_id()), "line_texts")
     keys, most = pigeonhole(F.col("sim"), texts.count())
     members = bucket_members(texts.select("id", keys.alias("bands")))
@@ -129,10 +128,11 @@ def line_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         return close.where(F.levenshtein("x", "y") <= (1 - similarity) * longer + 1e-9).select("a", "b")
 
     _, roots = linked(members, verified, most)
-    groups = texts.select("id", "h1", "h2", "first").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    groups = texts.select("id", "h1", "h2", "first", "n").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     keep = groups.groupBy("root").agg(F.min("first").alias("keep"))
-    told = groups.join(keep, "root").select("h1", "h2", "keep")
-    return seen.join(told, ["h1", "h2"]).select("place.*", "keep")
+    # Only texts that occur again, or have a near one, send word to their occurrences.
+    told = groups.join(keep, "root").where((F.col("n") > 1) | (F.col("first") != F.col("keep"))).select("h1", "h2", "keep")
+    return seen.drop("sim").join(told, ["h1", "h2"]).select("place.*", "keep")
 
 
 def _numbered(docs: DataFrame) -> DataFrame:

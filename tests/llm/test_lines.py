@@ -29,8 +29,9 @@ def close(a, b):
 
 
 def hashes(spark, texts):
-    df = spark.createDataFrame([(i, i, i, t) for i, t in enumerate(texts)], "row long, h1 long, h2 long, norm string")
-    return {r.h1: r.sim & (2**64 - 1) for r in lines.simhashes(df).collect()}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, norm string")
+    sims = df.withColumn("hashes", lines.word_hashes(F.col("norm"))).select("i", lines.simhash(F.col("hashes")).alias("sim"))
+    return {r.i: r.sim & (2**64 - 1) for r in sims.collect()}
 
 
 def test_simhash_bits(spark):
