@@ -196,9 +196,6 @@ class Encoder:
         self.encode, self.size = encode, size
         self.cache: dict[str, bytes] = {}
 
-    def _add(self, new: list[str]) -> None:
-        self.cache.update(zip(new, self.encode(new), strict=True))
-
     def texts(self, texts: list[str]) -> Iterator[bytes]:
         done, got = 0, [segments(t) for t in texts]
         while done < len(texts):
@@ -208,19 +205,23 @@ class Encoder:
                 end += 1
             if len(self.cache) > self.size:
                 self.cache.clear()
+            # Texts encoded whole are kept apart from the segments, and until the chunk's last row is out:
+            # they may occur again, and as a segment the same characters can stand where no cut is clean.
+            new: dict[str, None] = {}
+            whole: dict[str, bytes] = {}
             for i in range(done, end):
                 fresh = [s for s in got[i] if s not in self.cache]
-                if not all(map(clean, fresh)):
-                    got[i], fresh = [texts[i]], [texts[i]]  # some space is no clean cut: the text is encoded whole
-                for s in fresh:
-                    self.cache[s] = b""
-                got[i] = (got[i], fresh)
-            new = list(dict.fromkeys(s for i in range(done, end) for s in got[i][1]))
-            self._add(new)
+                if len(got[i]) == 1 or not all(map(clean, fresh)):
+                    got[i] = None
+                    whole[texts[i]] = b""
+                else:
+                    new.update(dict.fromkeys(fresh))
+                    self.cache.update(dict.fromkeys(fresh, b""))
+            ids = self.encode([*new, *whole])
+            self.cache.update(zip(new, ids, strict=False))
+            whole = dict(zip(whole, ids[len(new) :], strict=True))
             for i in range(done, end):
-                yield b"".join(map(self.cache.__getitem__, got[i][0]))
-                if len(got[i][0]) == 1:
-                    self.cache.pop(got[i][0][0], None) if len(texts[i]) > 100 else None
+                yield whole[texts[i]] if got[i] is None else b"".join(map(self.cache.__getitem__, got[i]))
                 got[i] = None
             done = end
 
