@@ -28,14 +28,15 @@ def rate_limit(
     tie: str,
     limit: int = k.RATE_LIMIT,
     window_s: int = k.RATE_WINDOW_S,
+    then: Sequence[str] = (),
 ) -> DataFrame:
     """Adds ``prior`` (live earlier attempts) and ``allowed``.
 
     An attempt is live for the ``window_s - 1`` seconds after its own; rejected attempts
     count.  Attempts are first counted per second.  Each second takes part in its own
     time block and the next one, which makes every window frame local to a block of at
-    most ``2 * window_s`` seconds.  Order inside a second is ``tie`` (an integer).  Rows
-    without a user or time cannot be counted and pass.
+    most ``2 * window_s`` seconds.  Order inside a second is ``tie`` (an integer), and
+    ``then`` where that is equal.  Rows without a user or time cannot be counted and pass.
     """
     rows = df.withColumn("_tb", F.floor(F.col(tie) / TIE_BLOCK))
     per = rows.groupBy(user, second, "_tb").agg(F.count(F.lit(1)).alias("_n"))
@@ -60,7 +61,7 @@ def rate_limit(
         .filter(F.col("_blk") == F.col("_own"))
         .select(user, second, "_tb", "_before")
     )
-    inside = Window.partitionBy(user, second, "_tb").orderBy(tie)
+    inside = Window.partitionBy(user, second, "_tb").orderBy(tie, *then)
     known = F.col(user).isNotNull() & F.col(second).isNotNull()
     return (
         rows.join(before, [user, second, "_tb"], "left")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modspark import constants as k
@@ -79,19 +80,26 @@ def moderate(
     """Rate limit, bounds, bypass, scoring, rewrite and status.
 
     ``df`` has ``message_id, text`` and, with ``limits = (count, seconds)``, also
-    ``user_id``, ``second`` and an integer ``arrival`` order.
+    ``user_id``, ``second`` and an integer ``arrival`` order. Every row is an attempt, also
+    with a null or repeated id: each comes out once, in one of the three.
     """
     rejected = None
     accepted = df
     if limits is not None:
         # First, as in the live flow. Only ids and times are shuffled for the counts; the refused
-        # ids, few as a rule, then meet the texts.
-        narrow = df.select(row_id, "user_id", "second", "arrival")
-        checked = rate_limit(narrow, "user_id", "second", "arrival", *limits)
-        refused = broadcast_if_small(checked.filter(~F.col("allowed")).select(F.col(row_id).alias("_refused"), "prior"))
-        same = F.col(row_id).eqNullSafe(F.col("_refused"))
-        rejected = df.join(refused, same).drop("_refused")
-        accepted = df.join(refused, same, "left_anti")
+        # attempts, few as a rule, then meet the texts. Attempts that are alike in all of these follow
+        # each other in the order, so how many of them are refused, and from which place, says all.
+        attempt = [row_id, "user_id", "second", "arrival"]
+        checked = rate_limit(df.select(attempt), "user_id", "second", "arrival", *limits, then=[row_id])
+        refused = checked.filter(~F.col("allowed")).groupBy(attempt)
+        refused = refused.agg(F.count(F.lit(1)).alias("_n"), F.min("prior").alias("_from"), F.max("prior").alias("_to"))
+        refused = broadcast_if_small(refused.withColumnsRenamed({c: f"_{c}" for c in attempt}))
+        same = reduce(lambda x, y: x & y, [df[c].eqNullSafe(F.col(f"_{c}")) for c in attempt])
+        by = Window.partitionBy(attempt).orderBy(F.xxhash64(*df.columns))
+        met = df.join(refused, same).withColumn("_nth", F.row_number().over(by))
+        prior = F.least(F.col("_from") + F.col("_nth") - 1, "_to").alias("prior")
+        rejected = met.filter("_nth <= _n").select(*df.columns, prior)
+        accepted = df.join(refused, same, "left_anti").unionByName(met.filter("_nth > _n").select(df.columns))
     valid, invalid = P.quarantine(accepted, P.request_rules())
     scored = score_messages(
         valid, scorer, skip, gate, fallback_language, compose=compose
