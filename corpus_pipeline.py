@@ -55,7 +55,7 @@ def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of 1024 tokens."""
-    return pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), 1024)
+    return pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), 1024, added=True)
 
 
 STAGES = [

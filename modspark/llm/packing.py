@@ -6,7 +6,7 @@ import json
 import math
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -29,30 +29,36 @@ def piece_encoder(path: str) -> tiktoken.Encoding:
     """The vocabulary of a tokenizers file, with the faster merges of tiktoken.
 
     In a byte-level BPE file a token's number follows from the rank of the merge that makes it, so
-    the ranks are the numbers. Strings of special tokens in a text are ordinary text. The ids are
+    the ranks are the numbers. The file's added tokens are the encoding's special ones. The ids are
     those of the tokenizers library, which takes twice the time (tests compare them).
     """
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+        file = json.load(f)
+    model, added = file["model"], file["added_tokens"]
+    if odd := [t["content"] for t in added if t["single_word"] or t["lstrip"] or t["rstrip"]]:
+        raise ValueError(f"added tokens that take or need what stands beside them: {odd}")
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - {*printable}))}
     made = {"".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]}
     ranks = {bytes(byte[c] for c in t): i for t, i in model["vocab"].items() if t in made or len(t) == 1}
-    return tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in added})
 
 
-def pieces(docs: DataFrame, path: str, capacity: int, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int, with_ids: bool = False, added: bool = False) -> DataFrame:
     """Tokens of every document and an end mark, cut into pieces of ``capacity`` from the end,
-    so only the first piece may be shorter. One row per piece; an empty text is one end mark."""
+    so only the first piece may be shorter. One row per piece; an empty text is one end mark.
+    With ``added``, strings of the file's added tokens are these tokens, as the tokenizers library
+    has it by default; else they are ordinary text (its ``encode_special_tokens``)."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = piece_encoder(path)
+        encode = partial(encoder.encode, allowed_special="all") if added else encoder.encode_ordinary
         for batch in batches:
             for at, texts in text_slices(batch):
                 which, piece, start, length, crc, ids = [], [], [], [], [], []
                 for i, text in enumerate(texts):
-                    raw = np.array([*encoder.encode_ordinary(text), END], "<u4").tobytes()
+                    raw = np.array([*encode(text), END], "<u4").tobytes()
                     n = len(raw) // 4
                     a, k = 0, 0
                     while a < n:
@@ -228,12 +234,12 @@ def pack(pieces_: DataFrame, capacity: int, rows_per_shard: int = ROWS_PER_SHARD
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", number.alias("sequence_id"), "offset")
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = 1024) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, added: bool = False) -> DataFrame:
     """Packs all documents into sequences of at most ``capacity`` tokens, as few as it finds.
 
     Returns per piece ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``. Null text
     counts as empty and is one end mark. Only documents longer than ``capacity`` are cut. Repeated
     rows are packed as often as they occur; null doc_ids are kept. An empty table gives no rows.
-    Columns besides ``doc_id`` and ``text`` are ignored.
+    Columns besides ``doc_id`` and ``text`` are ignored. ``added`` is that of ``pieces``.
     """
-    return pack(pieces(docs, path, capacity), capacity)
+    return pack(pieces(docs, path, capacity, added=added), capacity)
