@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from modspark.llm.common import stored
 
-SMALL = 32  # buckets up to so many members compare all that are still apart
-BESIDE = 8
+BLOCK = 32  # members of a block of a bucket; each block meets each
 
 
 def bucket_members(rows: DataFrame) -> DataFrame:
@@ -55,28 +54,28 @@ def connected(links: DataFrame, name: str) -> DataFrame:
     return roots.union(edges.select("v", "v").distinct())
 
 
-def still_apart(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs to compare next: members of a bucket that are not yet in one class."""
+def still_apart(members: DataFrame, roots: DataFrame, reach: int) -> DataFrame:
+    """Pairs to compare next: members of a bucket that are not yet in one class.
+
+    A bucket of more than ``BLOCK`` members is dealt into blocks of about so many, standing in a
+    circle. A block meets itself and those up to ``reach`` - 1 places on; half the circle is each
+    block with each. A task's rows are those of single block pairs, whatever the bucket's size.
+    """
     now = members.join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
     bands = now.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
-    apart = stored(now.join(bands.where("low < high").select("band", "n"), "band"), "apart")
-    # Small buckets: each with each.
-    few = apart.where(F.col("n") <= SMALL).select("band", "id", "root")
-    other = few.select("band", F.col("id").alias("b"), F.col("root").alias("root_b"))
-    pairs = few.join(other, "band").where("id < b and root <> root_b").select(F.col("id").alias("a"), "b")
-    # Large ones: each class with the least, and members that stand near each other in an order of the
-    # bucket's own. Those windows hold about a thousand members each, whatever the bucket's size.
-    many = apart.where(F.col("n") > SMALL)
-    each = many.groupBy("band", "root").agg(F.min("id").alias("id"))
+    blocks = F.expr(f"(n + {BLOCK - 1}) div {BLOCK}").alias("blocks")
+    apart = now.join(bands.where("low < high").select("band", blocks), "band")
+    apart = stored(apart.withColumn("block", F.expr("pmod(xxhash64(id, band), blocks)")), "apart")
+    # Each class of a bucket with the least first: one that holds saves all between the two.
+    each = apart.where("blocks > 1").groupBy("band", "root").agg(F.min("id").alias("id"))
     least = each.groupBy("band").agg(F.min("id").alias("least"))
     star = each.join(least, "band").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
-    part = F.expr("pmod(xxhash64(id), n div 1000 + 1)")
-    side = Window.partitionBy("band", part).orderBy(F.xxhash64("band", "id"))
-    near = F.array(*(F.struct(F.lag("id", k).over(side).alias("b"), F.lag("root", k).over(side).alias("root_b")) for k in range(1, BESIDE + 1)))
-    chain = many.select("id", "root", near.alias("near"))
-    chain = chain.select("id", "root", F.explode("near").alias("x")).where("root <> x.root_b")
-    chain = chain.select(F.least("id", "x.b").alias("a"), F.greatest("id", "x.b").alias("b"))
-    return pairs.union(star).union(chain).distinct()
+    on = apart.withColumn("step", F.explode(F.sequence(F.lit(0), F.expr(f"least({reach - 1}, blocks div 2)"))))
+    on = on.select("band", "id", "root", "step", F.expr("pmod(block + step, blocks)").alias("block"))
+    other = apart.select("band", "block", F.col("id").alias("id_b"), F.col("root").alias("root_b"))
+    pairs = on.join(other, ["band", "block"]).where("root <> root_b and (step > 0 or id < id_b)")
+    pairs = pairs.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b"))
+    return pairs.union(star).distinct()
 
 
 def linked(members: DataFrame, verified: Callable[[DataFrame], DataFrame], most: int) -> tuple[DataFrame, DataFrame]:
@@ -85,7 +84,8 @@ def linked(members: DataFrame, verified: Callable[[DataFrame], DataFrame], most:
     ``verified`` returns those of some pairs that hold. First each member meets the least ones of
     its buckets (``most`` at most), 1, then 4, 16, ... of them, as long as none holds. Then, round
     after round, those meet that share a bucket and not yet a class (``still_apart``), some for
-    each member, until no pair is left that wasn't tried.
+    each member and in large buckets first those of near blocks, until no pair is left that
+    wasn't tried: in the end any two of a bucket are in one class or were compared.
     """
     turn = F.row_number().over(Window.partitionBy("b").orderBy("a"))
     stars = members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
@@ -98,16 +98,22 @@ def linked(members: DataFrame, verified: Callable[[DataFrame], DataFrame], most:
         if todo.take(1):
             tried, links = tried.union(todo), stored(links.union(verified(todo)), "links")
         low = 4 * low - 2
-    quota, forest = 8, links
+    largest = members.groupBy("band").count().agg(F.max("count")).first()[0] or 0
+    all_blocks = -(-largest // BLOCK) // 2 + 1
+    quota, reach, forest = 8, 1, links
+    roots = connected(forest, "components")
     while True:
-        roots = connected(forest, "components")
-        left = still_apart(members, roots).join(tried, ["a", "b"], "left_anti")
+        left = still_apart(members, roots, reach).join(tried, ["a", "b"], "left_anti")
         turn = F.row_number().over(Window.partitionBy("b").orderBy(F.xxhash64("a", "b")))
         todo = stored(left.withColumn("turn", turn).where(F.col("turn") <= quota).select("a", "b"), "pairs")
-        if not todo.take(1):
+        if todo.take(1):
+            new = stored(verified(todo), "links")
+            tried, links = tried.union(todo), links.union(new)
+            # What was one component is a star by now; new links join stars.
+            forest = roots.select(F.col("root").alias("a"), F.col("id").alias("b")).union(new)
+            roots = connected(forest, "components")
+            quota *= 200
+        elif reach < all_blocks:
+            reach *= 8
+        else:
             return links, roots
-        new = stored(verified(todo), "links")
-        tried, links = tried.union(todo), links.union(new)
-        # What was one component is a star by now; new links join stars.
-        forest = roots.select(F.col("root").alias("a"), F.col("id").alias("b")).union(new)
-        quota *= 200

@@ -249,8 +249,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     Documents with the same words are one text from the start. Texts that share one of 32 bands
     of 4 coordinates meet (a pair at 0.8 misses all with a chance of 5e-8). Each is compared with
     the least ones of its buckets until one is near enough; then, round after round, those of a
-    bucket that are still in different classes: in buckets of up to 32 texts each with each, in
-    larger ones as ``cluster.still_apart`` says, until nothing new is left to compare. Comparisons are of whole sets. No pair is emitted for two copies of a text.
+    bucket that are still in different classes, each with each, until nothing new is left to
+    compare (``cluster.still_apart``). Comparisons are of whole sets. No pair is emitted for two copies of a text.
 
     A document without words (null, empty) is a class of its own. A null doc_id comes after all
     others, and a class of such rows has a null class_id; rows repeated with their doc_id are one
