@@ -15,6 +15,7 @@ SIMILARITY = 0.8
 LIKELY = 12  # bits by which candidates may differ
 CERTAIN = 3  # bits by which no pair is overlooked
 BITS = 64
+KEPT_BLOCKS = 2
 LANE = 16
 MANY_WORDS = 32_767  # the highest counter must not reach the sign
 
@@ -72,16 +73,14 @@ def word_hashes(norm: Column) -> Column:
     return F.transform(F.split(norm, " "), lambda w: F.xxhash64(w))
 
 
-def pigeonhole(sim: Column, n_lines: int) -> tuple[Column, int]:
+def pigeonhole(sim: Column, n_lines: int | None = None) -> tuple[Column, int]:
     """Keys of a SimHash such that any two within ``CERTAIN`` bits share one, and how many there are.
 
-    64 bits in c + 3 blocks: of those, 3 differing bits leave c untouched, so a key for each c of
-    the blocks does it. c grows with the number of lines, so that chance seldom fills a bucket; what
-    is found for certain stays the same.
+    64 bits in 5 blocks: of those, 3 differing bits leave 2 untouched, so a key for each 2 of the
+    blocks does it. The blocks are the same for any number of lines (``n_lines`` has no influence),
+    so what is found does not depend on the rest of the input.
     """
-    c = 2
-    while BITS * c / (c + CERTAIN) < n_lines.bit_length() + 2 and c < 6:
-        c += 1
+    c = KEPT_BLOCKS
     blocks = c + CERTAIN
     edge = [BITS * k // blocks for k in range(blocks + 1)]
     keys = []
@@ -108,7 +107,7 @@ def line_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     # Spark splits.
     texts = seen.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.min("sim").alias("sim"), F.count(F.lit(1)).alias("n"))
     texts = stored(texts.withColumn("id", F.monotonically_increasing_id()), "line_texts")
-    keys, most = pigeonhole(F.col("sim"), texts.count())
+    keys, most = pigeonhole(F.col("sim"))
     members = bucket_members(texts.select("id", keys.alias("bands")))
     used = members.select("id").distinct().join(texts, "id")
     # The members' texts, from the documents that hold their first occurrences.
