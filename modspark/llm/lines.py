@@ -1,8 +1,10 @@
-"""Near-equal lines by SimHash, in DataFrame and SQL functions only."""
+"""Near-equal lines by SimHash and MinHash, in DataFrame and SQL functions only."""
 
 from __future__ import annotations
 
 import itertools
+import random
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -12,10 +14,12 @@ from modspark.llm.cluster import bucket_members, linked
 from modspark.llm.common import doc_key, stored, texts_of
 
 SIMILARITY = 0.8
-LIKELY = 12  # bits by which candidates may differ
 CERTAIN = 3  # bits by which no pair is overlooked
 BITS = 64
 KEPT_BLOCKS = 2
+GRAM = 3
+BANDS, ROWS = 10, 4
+SHORT = 9  # characters of lines whose pairs one edit apart are all found
 LANE = 16
 MANY_WORDS = 32_767  # the highest counter must not reach the sign
 
@@ -91,39 +95,71 @@ def pigeonhole(sim: Column, n_lines: int | None = None) -> tuple[Column, int]:
     return F.array(*keys), len(keys)
 
 
+def gram_bands(norm: Column) -> Column:
+    """MinHash bands of a line's runs of ``GRAM`` characters: two lines share a band with the chance
+    1 - (1 - J ** ROWS) ** BANDS, J being the Jaccard similarity of their sets of runs."""
+    rng = random.Random(9)
+    seeds = [rng.getrandbits(64) - 2**63 for _ in range(BANDS * ROWS)]
+
+    def order(seed: int) -> Callable[[Column], Column]:
+        return lambda x: x.bitwiseXOR(F.lit(seed).cast("long"))
+
+    def bands(grams: Column) -> Column:
+        least = [F.array_min(F.transform(grams, order(s))) for s in seeds]
+        return F.array(*(F.xxhash64(F.lit(f"grams {k}"), *least[k * ROWS : (k + 1) * ROWS]) for k in range(BANDS)))
+
+    def grams(chars: Column) -> Column:
+        return F.transform(chars, lambda c, i: F.xxhash64(c, *(F.coalesce(F.get(chars, i + k), F.lit("")) for k in range(1, GRAM))))
+
+    # Bound as variables of a lambda, the arrays are made once a line.
+    chars = F.array(F.split(F.concat(F.lit("\n"), norm), ""))
+    return F.element_at(F.transform(F.transform(chars, grams), bands), 1)
+
+
+def deletion_keys(norm: Column) -> Column:
+    """Of a line of up to ``SHORT`` characters: itself and what is left without one of them. Two lines
+    one edit apart share one."""
+    less = F.transform(F.sequence(F.lit(1), F.length(norm)), lambda i: F.concat(F.substring(norm, F.lit(1), i - 1), F.substring(norm, i + 1, F.lit(SHORT))))
+    keys = F.transform(F.concat(F.array(norm), less), lambda t: F.xxhash64(F.lit("less"), t))
+    return F.when(F.length(norm) <= SHORT, F.array_distinct(keys)).otherwise(F.array().cast("array<long>"))
+
+
 def line_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Lines whose group has more than one: ``ord, key`` (document), ``line_no``, ``keep`` (the kept occurrence).
 
     Lines are one text when their normalised forms are equal (lower case, digits as 0, single
-    spaces). Different texts are linked when they share a key of their SimHashes, differ in up to
-    12 bits and their edit similarity, 1 - distance / longer length, is at least ``similarity``.
-    Pairs within 3 bits always share a key. The group's first occurrence by (doc_id, line) is kept.
+    spaces). Different texts are linked when they share a key and their edit similarity, 1 -
+    distance / longer length, is at least ``similarity``. Keys are those of ``pigeonhole`` (words
+    within 3 bits: always found), of ``deletion_keys`` (two lines of up to 9 characters, one edit
+    apart: always found) and of ``gram_bands``, by chance. The group's first occurrence by (doc_id,
+    line) is kept.
     """
     both = occurrences(docs).withColumn("hashes", word_hashes(F.col("norm")))
     place = F.struct("ord", "key", "line_no").alias("place")
-    seen = both.select(place, F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "hashes").alias("h2"), simhash(F.col("hashes")).alias("sim"))
+    seen = both.select(place, F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "hashes").alias("h2"), simhash(F.col("hashes")).alias("sim"), F.length("norm").alias("size"), F.concat(gram_bands(F.col("norm")), deletion_keys(F.col("norm"))).alias("more"))
     seen = stored(seen, "lines")
     # A frequent line is counted before it is shuffled; its occurrences come back to it in a join that
     # Spark splits.
-    texts = seen.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.min("sim").alias("sim"), F.count(F.lit(1)).alias("n"))
+    texts = seen.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.min("sim").alias("sim"), F.min("size").alias("size"), F.first("more").alias("more"), F.count(F.lit(1)).alias("n"))
     texts = stored(texts.withColumn("id", F.monotonically_increasing_id()), "line_texts")
     keys, most = pigeonhole(F.col("sim"))
-    members = bucket_members(texts.select("id", keys.alias("bands")))
+    members = bucket_members(texts.select("id", F.concat(keys, "more").alias("bands")))
+    most += BANDS + SHORT + 1
     used = members.select("id").distinct().join(texts, "id")
     # The members' texts, from the documents that hold their first occurrences.
     at = used.select("id", "first.ord", "first.key", "first.line_no").groupBy("ord", "key").agg(F.collect_list(F.struct("line_no", "id")).alias("at"))
     held = docs.join(at, ["ord", "key"]).withColumn("lines", _split(F.col("text"))).select("lines", F.explode("at").alias("x"))
     bodies = held.select("x.id", normalised(F.element_at("lines", F.col("x.line_no") + 1)).alias("norm")).dropDuplicates(["id"])
-    bodies = stored(bodies.join(texts.select("id", "sim"), "id"), "line_bodies")
+    bodies = stored(bodies, "line_bodies")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        sim = texts.select("id", "sim")
-        near = pairs.join(sim.select(F.col("id").alias("a"), F.col("sim").alias("sa")), "a").join(sim.select(F.col("id").alias("b"), F.col("sim").alias("sb")), "b")
-        near = near.where(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= LIKELY).select("a", "b")
+        size = texts.select("id", "size")
+        near = pairs.join(size.select(F.col("id").alias("a"), F.col("size").alias("na")), "a").join(size.select(F.col("id").alias("b"), F.col("size").alias("nb")), "b")
+        near = near.where(F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9).select("a", "b")
         x = bodies.select(F.col("id").alias("a"), F.col("norm").alias("x"))
         y = bodies.select(F.col("id").alias("b"), F.col("norm").alias("y"))
         longer = F.greatest(F.length("x"), F.length("y"))
-        close = near.join(x, "a").join(y, "b").where(F.least(F.length("x"), F.length("y")) >= similarity * longer)
+        close = near.join(x, "a").join(y, "b")
         return close.where(F.levenshtein("x", "y") <= (1 - similarity) * longer + 1e-9).select("a", "b")
 
     _, roots = linked(members, verified, most)
@@ -131,7 +167,7 @@ def line_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     keep = groups.groupBy("root").agg(F.min("first").alias("keep"))
     # Only texts that occur again, or have a near one, send word to their occurrences.
     told = groups.join(keep, "root").where((F.col("n") > 1) | (F.col("first") != F.col("keep"))).select("h1", "h2", "keep")
-    return seen.drop("sim").join(told, ["h1", "h2"]).select("place.*", "keep")
+    return seen.select("place", "h1", "h2").join(told, ["h1", "h2"]).select("place.*", "keep")
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
