@@ -144,3 +144,73 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vectors = table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
+@query(
+    "op13_conversation_repair",
+    r"""
+    WITH bits AS (
+        SELECT list_transform(range(256), lambda n : list_reduce(range(8), lambda x, k : xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END), n)) AS step
+    ), named AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '') AS name
+        FROM conversations
+    ), crc AS (
+        SELECT conv_id, turn, role, text,
+               (4294967295 - list_reduce(list_transform(name, lambda c : ascii(c)::BIGINT), lambda x, b : xor(x >> 8, step[(xor(x, b) & 255) + 1]), 4294967295::BIGINT)) % 20 AS how
+        FROM named, bits
+    ), damaged AS (
+        SELECT conv_id, turn, CASE how WHEN 4 THEN 'user' ELSE role END AS role,
+               CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+               unnest(CASE how WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+        FROM crc
+    ), marked AS (
+        SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS place
+        FROM damaged
+    ), faults AS (
+        SELECT *, left(role, 1) AS initial,
+               CASE WHEN bare = '' THEN 'blank'
+                    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 THEN 'duplicate'
+                    WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+               lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY place) || left(role, 1) AS pair
+        FROM marked
+    ), shut AS (
+        SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+               count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+               count(*) FILTER (fault = 'truncated') AS truncated,
+               count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
+               list({'i': initial, 'gone': fault IN ('blank', 'duplicate'), 'more': CASE fault WHEN 'truncated' THEN 5 ELSE 0 END, 'role': role, 'text': text} ORDER BY place) AS rows
+        FROM faults GROUP BY conv_id
+    ), solved AS (
+        -- States: nothing yet, after s, after u, after a; of each the least (cost, audit). No row is ever put in.
+        SELECT *, list_reduce(rows, lambda b, r : {
+            'n': {'c': b.n.c + 2, 'l': b.n.l || 'D'},
+            's': least({'c': b.s.c + 2, 'l': b.s.l || 'D'},
+                       {'c': CASE WHEN r.gone OR r.i <> 's' THEN 1000000000 ELSE b.n.c + r.more END, 'l': b.n.l || 'K'}),
+            'u': least({'c': b.u.c + 2, 'l': b.u.l || 'D'},
+                       {'c': CASE WHEN r.gone THEN 1000000000 ELSE least(b.n, b.s, b.a).c + r.more + CASE r.i WHEN 'u' THEN 0 ELSE 1 END END,
+                        'l': least(b.n, b.s, b.a).l || CASE r.i WHEN 'u' THEN 'K' ELSE 'R' END}),
+            'a': least({'c': b.a.c + 2, 'l': b.a.l || 'D'},
+                       {'c': CASE WHEN r.gone THEN 1000000000 ELSE b.u.c + r.more + CASE r.i WHEN 'a' THEN 0 ELSE 1 END END,
+                        'l': b.u.l || CASE r.i WHEN 'a' THEN 'K' ELSE 'R' END})
+            }, {'n': {'c': 0::BIGINT, 'l': ''}, 's': {'c': 1000000000::BIGINT, 'l': ''}, 'u': {'c': 1000000000::BIGINT, 'l': ''}, 'a': {'c': 1000000000::BIGINT, 'l': ''}}) AS best
+        FROM shut
+    ), told AS (
+        SELECT conv_id, gaps, blank, duplicate, truncated, illegal, least(best.n, best.a).c AS cost, least(best.n, best.a).l AS audit,
+               list_reduce(range(len(rows)), lambda b, k : CASE least(best.n, best.a).l[k + 1]
+                   WHEN 'K' THEN {'t': b.t || [rows[k + 1].role || ':' || rows[k + 1].text], 'u': left(rows[k + 1].role, 1) = 'u'}
+                   WHEN 'R' THEN {'t': b.t || [CASE WHEN b.u THEN 'assistant' ELSE 'user' END || ':' || rows[k + 1].text], 'u': NOT b.u}
+                   ELSE b END, {'t': []::VARCHAR[], 'u': false}).t AS lines
+        FROM solved
+    )
+    SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+           coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+           coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN told t ON c.conv_id IS NOT DISTINCT FROM t.conv_id
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from modspark.llm.dialogue import repaired_after_damage
+
+    return repaired_after_damage(table(spark, sf_dir, "conversations"))
