@@ -242,3 +242,10 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     from modspark.llm.hardneg import mined
 
     return mined(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_order_minhash")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from modspark.llm.orderhash import with_edited
+
+    return with_edited(table(spark, sf_dir, "documents"))
