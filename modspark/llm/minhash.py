@@ -18,6 +18,7 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS = 32
 ROWS = 4
+REGIONS = 500_000  # of the plane, looked at together
 
 U64 = np.uint64
 NONE = U64(2**64 - 1)
@@ -92,28 +93,45 @@ def _darts(element: np.ndarray, weight: np.ndarray, owner: np.ndarray, limit: np
         own = np.flatnonzero(weight > low)
         e, w, o = element[own], weight[own], owner[own]
         reach = limit[o] * wide
-        a = 0.0
-        while len(e):
-            b = a + 1 if a >= 1 else max(0.25, 2 * a)
-            h = mixed(e ^ mixed(np.array([int(a * 4) << 32 | low], U64)))
-            count = np.searchsorted(_poisson(b - a), (h >> U64(32)).astype(np.float64), side="right")
-            for j in range(int(count.max())):
-                has = np.flatnonzero(count > j)
-                with np.errstate(over="ignore"):
-                    d = mixed(h[has] + U64(j + 1) * _C3)
-                rank = a + (b - a) * _unit(d)
-                inside = rank < reach[has]
-                if wide > 1:
-                    inside &= low + wide * _unit(mixed(d ^ _C2)) < w[has]
-                d, rank, has = d[inside], rank[inside] / wide, has[inside]
-                where = (mixed(d ^ _C1) % U64(k)).astype(np.int64)
-                yield o[has] * k + where, rank.astype(np.float32).view(np.uint32).astype(U64) << U64(32) | d >> U64(32)
-            a = b
-            go = reach > a
+        for a, b in ((0.0, 0.25), (0.25, 0.5), (0.5, 1.0)):
+            yield from _thrown(e, w, o, reach, np.full(1, a), b - a, low, wide, k)
+            go = reach > b
             e, w, o, reach = e[go], w[go], o[go], reach[go]
+        # Beyond rank 1/d an element has as many regions as its set reaches; many at a time.
+        many = np.ceil(reach - 1).astype(np.int64)
+        ends = np.cumsum(many)
+        start = 0
+        while start < len(e):
+            done = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, done + REGIONS, side="right")))
+            n = many[start:stop]
+            i = np.repeat(np.arange(start, stop), n)
+            a = 1.0 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+            yield from _thrown(e[i], w[i], o[i], reach[i], a, 1.0, low, wide, k)
+            start = stop
         low = low + wide
 
 
+def _thrown(e: np.ndarray, w: np.ndarray, o: np.ndarray, reach: np.ndarray, a: np.ndarray, area: float, low: int, wide: int, k: int):
+    """The darts of one region of each element, which starts at rank ``a`` (one for all, or one each)."""
+    h = mixed(e ^ mixed((a * 4).astype(U64) << U64(32) | U64(low)))
+    count = np.searchsorted(_poisson(area), (h >> U64(32)).astype(np.float64), side="right")
+    has = np.flatnonzero(count)
+    j = 0
+    while len(has):
+        with np.errstate(over="ignore"):
+            d = mixed(h[has] + U64(j + 1) * _C3)
+        rank = (a if len(a) == 1 else a[has]) + area * _unit(d)
+        inside = rank < reach[has]
+        if wide > 1:
+            inside &= low + wide * _unit(mixed(d ^ _C2)) < w[has]
+        d, rank, at = d[inside], rank[inside] / wide, has[inside]
+        where = (mixed(d ^ _C1) % U64(k)).astype(np.int64)
+        yield o[at] * k + where, rank.astype(np.float32).view(np.uint32).astype(U64) << U64(32) | d >> U64(32)
+        j += 1
+        has = has[count[has] > j]
+
+
 def signatures(element: np.ndarray, weight: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
     """DartMinHash: ``k`` darts for each weighted set; sets lie one after another, ``size`` elements each.
 
