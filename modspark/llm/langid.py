@@ -9,14 +9,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from modspark.llm.common import texts_of
 
 DIM = 4096
-SAMPLE = 6000
+SAMPLE = 4000
 UNKNOWN = "und"
 SALT = 0x9E3779B1
 
@@ -33,13 +33,16 @@ FAMILIES = {
     "malayic": "id ms jv su",
 }
 _FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes.split()}
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def family(lang: str) -> str:
     return _FAMILY.get(re.split("[-_]", lang.lower())[0], lang)
 
 
+def has_letter(text: str | None) -> bool:
+    return any(map(str.isalpha, text or ""))
+
+
 def _letters(text: str) -> np.ndarray:
     """Lower-case UTF-8 bytes with one space for each run of ASCII that is no letter."""
     b = np.frombuffer(f" {text} ".lower().encode(), np.uint8)
@@ -66,19 +69,22 @@ def features(texts: list[str], dim: int = DIM) -> np.ndarray:
     return out
 
 
-def linear_machine(x: np.ndarray, y: np.ndarray, cost: float = 50.0, steps: int = 150) -> np.ndarray:
-    """Weights and, last, the bias of a linear support vector machine (squared hinge, classes weighed
-    alike), by accelerated descent on all rows."""
-    x = np.append(x, np.ones((len(x), 1), np.float32), 1)
-    n = np.array([(y < 0).sum(), (y > 0).sum()])
-    weight = np.where(y > 0, 0.5 / max(n[1], 1), 0.5 / max(n[0], 1)).astype(np.float32) * cost
+def linear_machine(x: np.ndarray, sides: Sequence[tuple[slice, int]], cost: float = 50.0, steps: int = 150) -> np.ndarray:
+    """Weights of a linear support vector machine (squared hinge, classes weighed alike), by accelerated descent.
+
+    ``sides`` are runs of rows of ``x`` (its last column is 1, for the bias) with their sign. No row
+    is copied, whichever machine it serves.
+    """
+    n = {s: sum(len(x[at]) for at, sign in sides if sign == s) for s in (-1, 1)}
     rate = 1.0 / (1.0 + 2.0 * cost * 2.0)
     w = v = np.zeros(x.shape[1], np.float32)
     for k in range(steps):
-        gap = np.maximum(0, 1 - y * (x @ v))
-        grad = v - 2 * x.T @ (weight * y * gap)
-        new = v - rate * grad
-        v = new + (k / (k + 3)) * (new - w)
+        grad = v.copy()
+        for at, sign in sides:
+            gap = np.maximum(0, 1 - sign * (x[at] @ v))
+            grad -= np.float32(2 * cost * sign * 0.5 / max(n[sign], 1)) * (gap @ x[at])
+        new = v - np.float32(rate) * grad
+        v = new + np.float32(k / (k + 3)) * (new - w)
         w = new
     return w
 
@@ -117,18 +123,17 @@ class Model:
 
 
 def fit(x: np.ndarray, lang: list[str]) -> Model:
-    lang_ = np.array(lang, object)
+    """All machines from one matrix, whose rows lie by language and whose last column is 1."""
+    runs: dict[str, slice] = {}
+    for code, own in itertools.groupby(range(len(lang)), key=lambda i: lang[i]):
+        at = list(own)
+        runs[code] = slice(at[0], at[-1] + 1)
     members: dict[str, list[str]] = {}
-    for code in sorted(set(lang)):
+    for code in sorted(runs):
         members.setdefault(family(code), []).append(code)
     families = sorted(members)
-    of = np.array([family(c) for c in lang], object)
-    first = np.stack([linear_machine(x, np.where(of == f, 1, -1).astype(np.float32)) for f in families])
-    pairs = {}
-    for own in members.values():
-        for i, j in itertools.combinations(own, 2):
-            m = (lang_ == i) | (lang_ == j)
-            pairs[i, j] = linear_machine(x[m], np.where(lang_[m] == i, 1, -1).astype(np.float32))
+    first = np.stack([linear_machine(x, [(at, 1 if family(c) == f else -1) for c, at in runs.items()]) for f in families])
+    pairs = {(i, j): linear_machine(x, [(runs[i], 1), (runs[j], -1)]) for own in members.values() for i, j in itertools.combinations(own, 2)}
     return Model(families, members, first, pairs)
 
 
@@ -141,11 +146,11 @@ def train(docs: DataFrame, sample: int = SAMPLE, dim: int = DIM) -> Model | None
     """A model of the languages in ``lang``, from ``sample`` texts at most, as many of each language as of
     any other; None where no row has a language and a text with letters.
 
-    The sample is drawn by a hash of doc_id among rows that aren't held out. Only this sample's
-    features and one count for each language come to the driver.
+    The sample is drawn by a hash of doc_id and text among rows that aren't held out; ties are equal rows.
+    Only this sample's features and one count for each language come to the driver.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = rows.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    rows = rows.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull())
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return None
@@ -154,31 +159,31 @@ def train(docs: DataFrame, sample: int = SAMPLE, dim: int = DIM) -> Model | None
     # A little more than needed of each, and no more than a hash order gives.
     spark = docs.sparkSession
     cut = spark.createDataFrame([(k, int(min(1.0, 1.2 * each / n + 20 / n) * 1_000_003)) for k, n in counts.items()], "lang string, cut long")
-    chosen = rows.join(F.broadcast(cut), "lang").where(draw < F.col("cut")).select("doc_id", "text", "lang")
+    chosen = rows.join(F.broadcast(cut), "lang").where(draw < F.col("cut")).withColumn("draw", draw)
+    order = Window.partitionBy("lang").orderBy("draw", "doc_id", F.xxhash64("text"))
+    chosen = chosen.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= each)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                keep = [i for i, t in enumerate(part.column("text").to_pylist()) if _LETTER.search(t)]
-                part = part.take(pa.array(keep, pa.int64()))
                 x = features(part.column("text").to_pylist(), dim).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "lang", "x"])
+                yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("nth"), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "nth", "x"])
 
-    got = chosen.mapInArrow(run, "doc_id long, lang string, x binary")
-    got = got.withColumn("draw", draw).limit(int(sample * 1.5) + 40 * len(counts)).collect()
-    got.sort(key=lambda r: (r["lang"], r["draw"], r["doc_id"], r["x"]))
-    got = [r for _, own in itertools.groupby(got, key=lambda r: r["lang"]) for r in list(own)[:each]]
-    if not got:
-        return None
-    x = np.stack([np.frombuffer(r["x"], np.float16) for r in got]).astype(np.float32)
-    return fit(x, [r["lang"] for r in got])
+    got = chosen.select("lang", "nth", "text").mapInArrow(run, "lang string, nth int, x binary").toArrow()
+    lang, nth, packed = got.column("lang").to_pylist(), got.column("nth").to_pylist(), got.column("x")
+    order_ = sorted(range(len(lang)), key=lambda i: (lang[i], nth[i]))
+    x = np.ones((len(order_), dim + 1), np.float32)
+    for at, i in enumerate(order_):
+        x[at, :dim] = np.frombuffer(packed[i].as_buffer(), np.float16)
+    del got, packed
+    return fit(x, [lang[i] for i in order_])
 
 
 def identify(docs: DataFrame, model: Model | None, columns: Sequence[str] = ("doc_id", "text"), dim: int = DIM) -> DataFrame:
     """Adds ``lang_pred`` and ``score`` (0 to 1) to ``columns`` of the documents; nothing is shuffled.
 
-    A null text, one without letters, or no model: ``und`` with score 0. Whole texts are read.
+    A null text, one without letters (in the sense of Unicode), or no model: ``und`` with score 0. Whole texts are read.
     Columns of the names that are added are replaced.
     """
     rows = docs.select(*(c for c in columns if c not in ("lang_pred", "score"))).withColumn("text", F.col("text").cast("string"))
@@ -189,7 +194,7 @@ def identify(docs: DataFrame, model: Model | None, columns: Sequence[str] = ("do
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 texts = part.column("text").to_pylist()
-                known = [i for i, t in enumerate(texts) if model and t and _LETTER.search(t)]
+                known = [i for i, t in enumerate(texts) if model and has_letter(t)]
                 lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
                 if known:
                     for i, name, s in zip(known, *model.predict(features([texts[i] for i in known], dim)), strict=True):

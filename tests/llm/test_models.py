@@ -59,6 +59,69 @@ def test_languages_without_anything_to_learn(spark):
     assert {r.lang_pred for r in langid.predict_languages(one).collect()} == {"en"}
 
 
+def test_numeric_signs_are_no_letters(spark, corpus):
+    odd = [(9001, "\u00bd \u00b2"), (9002, "\u2167 \u2462"), (9003, "\u0663"), (9004, "7 \u00aa")]
+    df = spark.createDataFrame([r[:3] for r in corpus] + [(*r, None) for r in odd], "doc_id long, text string, lang string")
+    by = {r.doc_id: r for r in langid.predict_languages(df, sample=300).collect()}
+    assert [(by[i].lang_pred, by[i].score) for i in (9001, 9002, 9003)] == [("und", 0.0)] * 3
+    assert by[9004].lang_pred != "und"  # an ordinal sign is a letter
+
+
+def test_repeated_rows_change_no_draw(spark, corpus):
+    df = spark.createDataFrame([r[:3] for r in corpus] + [corpus[0][:3]] * 3000, "doc_id long, text string, lang string")
+    a, b = (langid.train(df.repartition(n), sample=200) for n in (2, 7))
+    assert (a.first == b.first).all() and a.pairs.keys() == b.pairs.keys() and all((a.pairs[k] == b.pairs[k]).all() for k in a.pairs)
+
+
+def slow_machine(x, y, cost=50.0, steps=150):
+    """The same descent row by row in double precision."""
+    n = {s: sum(1 for v in y if v == s) for s in (-1, 1)}
+    rate = 1 / (1 + 4 * cost)
+    w = v = np.zeros(x.shape[1])
+    for k in range(steps):
+        grad = v.copy()
+        for row, sign in zip(x, y, strict=True):
+            grad -= 2 * cost * 0.5 / n[sign] * max(0.0, 1 - sign * float(row @ v)) * sign * row
+        new = v - rate * grad
+        v = new + k / (k + 3) * (new - w)
+        w = new
+    return w
+
+
+def test_families_votes_and_score_by_plain_loops(spark, corpus):
+    """Every machine, the family, the votes within it and the score, from the features on."""
+    langs = sorted(SOUNDS)
+    own = [r for code in langs for r in [c for c in corpus if c[2] == code][:25]]
+    dim = 256
+    x = np.append(langid.features([r[1] for r in own], dim), np.ones((len(own), 1), np.float32), 1)
+    lang = [r[2] for r in own]
+    model = langid.fit(x, lang)
+    assert model.members == {"germanic": ["de", "en"], "romance": ["es", "fr"], "xx": ["xx"]}
+    double = x.astype(float)
+    first = [slow_machine(double, [1 if langid.family(c) == f else -1 for c in lang]) for f in model.families]
+    assert np.allclose(first, model.first, atol=2e-2)
+    for (i, j), w in model.pairs.items():
+        at = [k for k, c in enumerate(lang) if c in (i, j)]
+        assert np.allclose(slow_machine(double[at], [1 if lang[k] == i else -1 for k in at]), w, atol=2e-2)
+    test = langid.features([r[1] for r in corpus[600:700]], dim)
+    got, score = model.predict(test)
+    for row, name, s in zip(test, got, score, strict=True):
+        row = np.append(row, 1.0)
+        e = [np.exp(3 * float(row @ w)) for w in model.first]
+        best = int(np.argmax(e))
+        members = model.members[model.families[best]]
+        votes, margin = dict.fromkeys(members, 0.0), dict.fromkeys(members, 0.0)
+        for (i, j), w in model.pairs.items():
+            if i in members:
+                p = 1 / (1 + np.exp(-3 * float(row @ w)))
+                votes[i if p > 0.5 else j] += 1
+                margin[i] += p
+                margin[j] += 1 - p
+        pick = max(members, key=lambda c: votes[c] + margin[c] / len(members) / 2)
+        want = e[best] / sum(e) * (margin[pick] / (len(members) - 1) if len(members) > 1 else 1)
+        assert name == pick and abs(s - want) < 1e-4
+
+
 def test_families():
     assert langid.family("de") == langid.family("en-GB") != langid.family("fr") == langid.family("es")
     assert langid.family("tlh") == "tlh"
