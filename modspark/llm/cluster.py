@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from modspark.llm.common import stored
 
-BLOCK = 32  # members of a block of a bucket; each block meets each
+BLOCK = 32  # members of a block of a large bucket; each block meets each
+SMALL = 16  # members of a bucket in which all meet
 
 
 def bucket_members(rows: DataFrame) -> DataFrame:
@@ -54,66 +55,70 @@ def connected(links: DataFrame, name: str) -> DataFrame:
     return roots.union(edges.select("v", "v").distinct())
 
 
-def still_apart(members: DataFrame, roots: DataFrame, reach: int) -> DataFrame:
-    """Pairs to compare next: members of a bucket that are not yet in one class.
-
-    A bucket of more than ``BLOCK`` members is dealt into blocks of about so many, standing in a
-    circle. A block meets itself and those up to ``reach`` - 1 places on; half the circle is each
-    block with each. A task's rows are those of single block pairs, whatever the bucket's size.
-    """
+def still_apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(band, id, root, n)``: members of buckets that hold more than one class, and how many there are."""
     now = members.join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
     bands = now.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
-    blocks = F.expr(f"(n + {BLOCK - 1}) div {BLOCK}").alias("blocks")
-    apart = now.join(bands.where("low < high").select("band", blocks), "band")
-    apart = stored(apart.withColumn("block", F.expr("pmod(xxhash64(id, band), blocks)")), "apart")
-    # Each class of a bucket with the least first: one that holds saves all between the two.
-    each = apart.where("blocks > 1").groupBy("band", "root").agg(F.min("id").alias("id"))
-    least = each.groupBy("band").agg(F.min("id").alias("least"))
-    star = each.join(least, "band").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
-    on = apart.withColumn("step", F.explode(F.sequence(F.lit(0), F.expr(f"least({reach - 1}, blocks div 2)"))))
+    return stored(now.join(bands.where("low < high").select("band", "n"), "band"), "apart")
+
+
+def small_pairs(apart: DataFrame) -> DataFrame:
+    """Each two of different classes in buckets of up to ``SMALL`` members."""
+    few = apart.where(F.col("n") <= SMALL)
+    other = few.select("band", F.col("id").alias("id_b"), F.col("root").alias("root_b"))
+    return few.join(other, "band").where("id < id_b and root <> root_b").select(F.col("id").alias("a"), F.col("id_b").alias("b"))
+
+
+def block_pairs(apart: DataFrame) -> DataFrame:
+    """Each two of different classes in larger buckets.
+
+    A bucket is dealt into blocks of about ``BLOCK`` members, standing in a circle. A block meets itself and
+    those of half the circle, so each block meets each. A task's rows are those of single block
+    pairs, whatever the bucket's size.
+    """
+    many = apart.where(F.col("n") > SMALL).withColumn("blocks", F.expr(f"(n + {BLOCK - 1}) div {BLOCK}"))
+    many = many.withColumn("block", F.expr("pmod(xxhash64(id, band), blocks)"))
+    on = many.withColumn("step", F.explode(F.sequence(F.lit(0), F.expr("blocks div 2"))))
     on = on.select("band", "id", "root", "step", F.expr("pmod(block + step, blocks)").alias("block"))
-    other = apart.select("band", "block", F.col("id").alias("id_b"), F.col("root").alias("root_b"))
+    other = many.select("band", "block", F.col("id").alias("id_b"), F.col("root").alias("root_b"))
     pairs = on.join(other, ["band", "block"]).where("root <> root_b and (step > 0 or id < id_b)")
-    pairs = pairs.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b"))
-    return pairs.union(star).distinct()
+    return pairs.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b"))
+
 
+def _representatives(apart: DataFrame) -> DataFrame:
+    """In larger buckets the least member of each class meets the least member of the bucket's largest class."""
+    each = apart.where(F.col("n") > SMALL).groupBy("band", "root").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size"))
+    main = each.groupBy("band").agg(F.max(F.struct("size", "id")).alias("main")).select("band", F.col("main.id").alias("main"))
+    pairs = each.join(main, "band").where("id <> main")
+    return pairs.select(F.least("id", "main").alias("a"), F.greatest("id", "main").alias("b"))
 
-def linked(members: DataFrame, verified: Callable[[DataFrame], DataFrame], most: int) -> tuple[DataFrame, DataFrame]:
+
+def linked(members: DataFrame, verified: Callable[[DataFrame], DataFrame], large: Callable[[DataFrame], DataFrame] = block_pairs) -> tuple[DataFrame, DataFrame]:
     """Confirmed links ``(a, b)``, and ``(id, root)`` of their components.
 
-    ``verified`` returns those of some pairs that hold. First each member meets the least ones of
-    its buckets (``most`` at most), 1, then 4, 16, ... of them, as long as none holds. Then, round
-    after round, those meet that share a bucket and not yet a class (``still_apart``), some for
-    each member and in large buckets first those of near blocks, until no pair is left that
-    wasn't tried: in the end any two of a bucket are in one class or were compared.
+    ``verified`` returns those of some pairs that hold. A member meets the least one of a bucket, then, if
+    that does not hold, up to three more such. In larger buckets classes then meet by representatives.
+    What is left are members that share a bucket and not a class: in buckets of up to ``SMALL`` all of
+    these meet, in larger ones those that ``large`` returns, which must leave out only
+    pairs that can't hold. So in the end any two of a bucket are in one class, were compared, or can't hold.
     """
     turn = F.row_number().over(Window.partitionBy("b").orderBy("a"))
     stars = members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     stars = stored(stars.withColumn("turn", turn), "stars")
-    todo = stars.where("turn = 1").select("a", "b")
-    tried, links, low = todo, stored(verified(todo), "links"), 2
-    while low <= most:
-        todo = stars.where(F.col("turn").between(low, 4 * low - 3)).join(links.select("b"), "b", "left_anti")
-        todo = stored(todo.select("a", "b"), "pairs")
-        if todo.take(1):
-            tried, links = tried.union(todo), stored(links.union(verified(todo)), "links")
-        low = 4 * low - 2
-    largest = members.groupBy("band").count().agg(F.max("count")).first()[0] or 0
-    all_blocks = -(-largest // BLOCK) // 2 + 1
-    quota, reach, forest = 8, 1, links
-    roots = connected(forest, "components")
-    while True:
-        left = still_apart(members, roots, reach).join(tried, ["a", "b"], "left_anti")
-        turn = F.row_number().over(Window.partitionBy("b").orderBy(F.xxhash64("a", "b")))
-        todo = stored(left.withColumn("turn", turn).where(F.col("turn") <= quota).select("a", "b"), "pairs")
-        if todo.take(1):
-            new = stored(verified(todo), "links")
-            tried, links = tried.union(todo), links.union(new)
-            # What was one component is a star by now; new links join stars.
-            forest = roots.select(F.col("root").alias("a"), F.col("id").alias("b")).union(new)
-            roots = connected(forest, "components")
-            quota *= 200
-        elif reach < all_blocks:
-            reach *= 8
-        else:
-            return links, roots
+    tried = stars.where("turn = 1").select("a", "b")
+    links = stored(verified(tried), "links")
+    again = stars.where(F.col("turn").between(2, 4)).join(links.select("b").distinct(), "b", "left_anti").select("a", "b")
+    tried = tried.union(again)
+    links = links.union(stored(verified(again), "links"))
+    roots = connected(links, "components")
+    steps = [_representatives, lambda apart: small_pairs(apart).union(large(apart))]
+    for pairs in steps:
+        todo = pairs(still_apart(members, roots)).distinct().join(tried, ["a", "b"], "left_anti")
+        todo = stored(todo, "pairs")
+        if not todo.take(1):
+            continue
+        new = stored(verified(todo), "links")
+        tried, links = tried.union(todo), links.union(new)
+        # What was one component is a star by now; new links join stars.
+        roots = connected(roots.select(F.col("root").alias("a"), F.col("id").alias("b")).union(new), "components")
+    return links, roots

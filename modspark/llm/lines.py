@@ -162,7 +162,7 @@ def line_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         close = near.join(x, "a").join(y, "b")
         return close.where(F.levenshtein("x", "y") <= (1 - similarity) * longer + 1e-9).select("a", "b")
 
-    _, roots = linked(members, verified, most)
+    _, roots = linked(members, verified)
     groups = texts.select("id", "h1", "h2", "first", "n").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     keep = groups.groupBy("root").agg(F.min("first").alias("keep"))
     # Only texts that occur again, or have a near one, send word to their occurrences.

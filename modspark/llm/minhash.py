@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from modspark.llm.cluster import bucket_members, linked
+from modspark.llm.cluster import SMALL, bucket_members, linked
 from modspark.llm.common import doc_key, stored, texts_of
 
 WORDS = 5
@@ -246,14 +246,50 @@ def _verified(todo: DataFrame, sets: DataFrame, weights: DataFrame, similarity:
     return scored.where(F.col("score") >= similarity - 1e-12).select("a", "b").distinct()
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, root, raw in zip(*(batch.column(c) for c in ("id", "root", "set")), strict=True):
+            h, c = unpacked_set(raw.as_py())
+            cols = [pa.array(np.full(len(h), i.as_py())), pa.array(np.full(len(h), root.as_py())), pa.array(h.astype(np.int64)), pa.array(c)]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "root", "element", "count"])
+
+
+def rare_pairs(apart: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of the members of large buckets, the pairs of different classes that bounds by rare elements leave open.
+
+    A text's elements stand in one order for all: the rarest among these texts first. Of two similar ones take
+    the first element in that order that both have, with weights p and q of what stands before it:
+    nothing before is common, so the common weight is at most W - p and V - q. It has to be
+    s / (1 + s) * (W + V), so the element is among the first 1 - s of either's weight, and V at most
+    (W - p) * (1 + s) / s - W. Texts that differ from all others in a fifth of their elements have no such
+    element and meet none, whatever the size of their bucket.
+    """
+    ids = apart.where(F.col("n") > SMALL).select("id", "root").distinct()
+    rows = sets.join(ids, "id").select("id", "root", "set").mapInArrow(_elements, "id long, root long, element long, count long")
+    rows = stored(rows, "elements")
+    often = rows.groupBy("element").agg(F.count(F.lit(1)).alias("often"), F.min("root").alias("low"), F.max("root").alias("high"))
+    known = rows.join(often.where("often > 1"), "element", "left").withColumn("often", F.coalesce("often", F.lit(1)))
+    order = Window.partitionBy("id").orderBy("often", "element")
+    before = F.coalesce(F.sum("count").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    known = known.select("*", before.alias("before"), F.sum("count").over(Window.partitionBy("id")).alias("weight"))
+    open_ = known.where((F.col("before") <= (1 - similarity) * F.col("weight") + 1e-6) & (F.col("low") < F.col("high")))
+    most = (F.col("weight") - F.col("before")) * ((1 + similarity) / similarity) - F.col("weight") + 1e-6
+    open_ = stored(open_.select("element", "id", "root", "weight", most.alias("most")), "prefixes")
+    other = open_.select("element", *(F.col(c).alias(f"{c}_b") for c in ("id", "root", "weight", "most")))
+    pairs = open_.join(other, "element").where("id < id_b and root <> root_b and weight <= most_b and weight_b <= most")
+    return pairs.select(F.col("id").alias("a"), F.col("id_b").alias("b"))
+
+
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents without near-duplicates: of each class the row with the smallest doc_id, of rows repeated
     with it one. All columns stay."""
-    kept = near_duplicates(docs, similarity, keyed=True).where("kept").select(F.col("key").alias("key_"), F.col("doc_id").alias("id_"))
-    own = docs.withColumn("key__", F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.col("doc_id").isNull(), F.col("text").cast("string")))
-    same = (F.col("key__") == F.col("key_")) & F.col("doc_id").eqNullSafe(F.col("id_"))
-    once = Window.partitionBy("key__", "doc_id").orderBy(F.lit(0))
-    return own.join(kept, same, "left_semi").withColumn("nth_", F.row_number().over(once)).where("nth_ = 1").select(*docs.columns)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    own = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), row)
+    own = own.select("id", F.xxhash64(F.coalesce(F.col("id"), F.lit(-1)), F.col("id").isNull(), F.col("text")).alias("key"), "row")
+    kept = near_duplicates(docs, similarity, keyed=True).where("kept").select(F.col("key").alias("kept_key"), F.col("doc_id").alias("kept_id"))
+    same = (F.col("key") == F.col("kept_key")) & F.col("id").eqNullSafe(F.col("kept_id"))
+    once = Window.partitionBy("key", "id").orderBy(F.lit(0))
+    return own.join(kept, same, "left_semi").withColumn("nth", F.row_number().over(once)).where("nth = 1").select("row.*")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, keyed: bool = False) -> DataFrame:
@@ -266,9 +302,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
 
     Documents with the same words are one text from the start. Texts that share one of 32 bands
     of 4 coordinates meet (a pair at 0.8 misses all with a chance of 5e-8). Each is compared with
-    the least ones of its buckets until one is near enough; then, round after round, those of a
-    bucket that are still in different classes, each with each, until nothing new is left to
-    compare (``cluster.still_apart``). Comparisons are of whole sets. No pair is emitted for two copies of a text.
+    the least ones of its buckets, classes by representatives; then those of a bucket that are still in
+    different classes: each with each in small buckets, in large ones all that bounds by rare
+    elements leave open (``rare_pairs``, exact). Comparisons are of whole sets. No pair is emitted for two copies of a text.
 
     A document without words (null, empty) is a class of its own. A null doc_id comes after all
     others, and a class of such rows has a null class_id; rows repeated with their doc_id are one
@@ -292,7 +328,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     need = texts.join(members.select("id").distinct(), "id").select("id", "key", F.col("order.d").alias("d"))
     bodies = source.join(need, "key").where(F.coalesce("doc_id", last) == F.col("d"))
     sets = stored(bodies.select("id", "text").mapInArrow(_sets, "id long, set binary"), "sets")
-    links, roots = linked(members, lambda pairs: _verified(pairs, sets, texts, similarity), bands)
+    links, roots = linked(members, lambda pairs: _verified(pairs, sets, texts, similarity), lambda apart: rare_pairs(apart, sets, similarity))
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
     classes = texts.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     named = classes.groupBy("root").agg(F.min("order").alias("name"), F.sum("copies").alias("class_size"))

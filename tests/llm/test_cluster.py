@@ -30,7 +30,7 @@ def test_planted_pairs_of_large_buckets(spark, n, buckets):
     links = spark.createDataFrame(sorted(planted), "a long, b long")
     rows = spark.range(n).select("id", F.array(*map(F.lit, range(buckets))).cast("array<long>").alias("bands"))
     members = cluster.bucket_members(rows)
-    found, roots = cluster.linked(members, lambda pairs: pairs.join(links, ["a", "b"]), buckets)
+    found, roots = cluster.linked(members, lambda pairs: pairs.join(links, ["a", "b"]))
     assert {(r.a, r.b) for r in found.collect()} <= planted
     root = {r.id: r.root for r in roots.collect()}
     assert [root.get(x, x) for x in range(n)] == components(n, planted)

@@ -112,5 +112,33 @@ def test_classes(spark, seed):
         assert not r.kept or r.doc_id == r.class_id
 
 
+def test_a_large_bucket_of_a_template(spark):
+    """Texts of one template with their own words in it: many alike, many too far apart, all in large buckets."""
+    rng = random.Random(9)
+    base = [str(rng.random()) for _ in range(150)]
+    rows = [(i, " ".join(edited(rng, base, rng.choice([1, 2, 4, 6, 8, 12]))), "", 0, 0) for i in range(220)]
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    want = {i: g[0] for g in brute(rows) for i in g}
+    assert got == want and 10 < len(set(got.values())) < 200
+
+
+def test_bounds_lose_no_pair(spark):
+    rng = random.Random(11)
+    base = [str(rng.random()) for _ in range(60)]
+    texts = [" ".join(edited(rng, base, rng.randint(0, 5)) + ["x"] * rng.choice([0, 0, 9, 30])) for _ in range(90)]
+    raw = [minhash.packed_set(t) for t in texts]
+    sets = spark.createDataFrame(list(enumerate(raw)), "id long, set binary")
+    apart = spark.createDataFrame([(1, i, i, len(raw)) for i in range(len(raw))], "band long, id long, root long, n long")
+    got = {tuple(r) for r in minhash.rare_pairs(apart, sets, 0.8).distinct().collect()}
+    near = {(i, j) for j in range(90) for i in range(j) if minhash.weighted_jaccard(minhash.unpacked_set(raw[i]), minhash.unpacked_set(raw[j])) >= 0.8}
+    assert near and near <= got and len(got) < 90 * 89 / 2
+
+
+def test_keep_one_takes_any_columns(spark):
+    rows = [(1, "a b c d e f", 7, "x", 1.0, "k"), (2, "a b c d e f", 8, "y", 2.0, "l"), (3, "z y x w v u", None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key long, key_ string, nth double, `id_` string")
+    assert sorted(map(tuple, minhash.keep_one(docs).collect())) == [rows[0], rows[2]]
+
+
 def test_empty(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
