@@ -25,6 +25,17 @@ def bucket_members(rows: DataFrame) -> DataFrame:
     return stored(buckets.join(full, "band").select("band", "id", "first"), "members")
 
 
+def members_of(buckets: DataFrame) -> DataFrame:
+    """``(band, id, first)`` of every bucket of ``buckets(id, band)`` with more than one member.
+
+    For very many buckets, nearly all of one member: rows are shuffled once, and what is counted of a
+    bucket is joined to it where it lies.
+    """
+    dealt = buckets.repartition("band")
+    full = dealt.groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    return stored(dealt.join(full.hint("merge"), "band").select("band", "id", "first").distinct(), "members")
+
+
 def connected(links: DataFrame, name: str) -> DataFrame:
     """``(id, root)``: the smallest id of the connected component of every id in ``links(a, b)``.
 

@@ -1,32 +1,29 @@
-"""Near-equal lines by SimHash and MinHash, in DataFrame and SQL functions only."""
+"""Near-equal lines by SimHash and pigeonhole blocks, in DataFrame and SQL functions only."""
 
 from __future__ import annotations
 
 import itertools
-import random
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modspark.llm.cluster import bucket_members, linked
+from modspark.llm.cluster import linked, members_of
 from modspark.llm.common import doc_key, stored, texts_of
 
 SIMILARITY = 0.8
-CERTAIN = 3  # bits by which no pair is overlooked
-BITS = 64
-KEPT_BLOCKS = 2
-GRAM = 3
-BANDS, ROWS = 10, 4
-SHORT = 9  # characters of lines whose pairs one edit apart are all found
-LANE = 16
-MANY_WORDS = 32_767  # the highest counter must not reach the sign
+BLOCKS, KEPT = 5, 3  # of a line of many words
+FEW_CHARS = 33  # up to here characters are blocks
+FEW_WORDS, FEW_WORDS_FROM = 9, 26  # words are blocks, in lines of so many characters and more
+MANY_WORDS = 9  # from here blocks hold several words
+PLANES = 6  # binary digits of a vote's count
 
 
 def normalised(line: Column) -> Column:
     """Lower case, digits as 0, single spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"\d", "0"), r"\s+", " "))
+    low = F.translate(F.lower(line), "123456789", "0" * 9)
+    odd = reduce(lambda a, b: a | b, (F.contains(low, F.lit(x)) for x in ("  ", "\t", "\x0b", "\f", "\r")))
+    return F.trim(F.when(odd, F.regexp_replace(low, r"\s+", " ")).otherwise(low))
 
 
 def _split(text: Column) -> Column:
@@ -39,128 +36,129 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return lines.withColumn("norm", normalised(F.col("line"))).where("norm <> ''").drop("line")
 
 
-def _packed(more: list[Column]) -> Column:
-    bits = [F.when(m, F.lit(1 << k if k < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for k, m in enumerate(more)]
-    return reduce(lambda a, b: a.bitwiseOR(b), bits)
-
-
-def _voted(hashes: Column, lane: int) -> Column:
-    """Bits that more than half of ``hashes`` have. Counters of ``lane`` bits share the numbers of a struct."""
-    step = BITS // (BITS // lane)
-    mask = sum(1 << k for k in range(0, BITS, lane))
-    mask = mask - (1 << 64) if mask >> 63 else mask
-    names = [f"s{j}" for j in range(step)]
+def _voted(hashes: Column, planes: int) -> Column:
+    """Bits that more than half of ``hashes`` have. All 64 counts go on together: plane k holds their k-th
+    binary digits, and adding a hash ripples through the planes."""
+    names = [f"p{k}" for k in range(planes)]
     zero = F.struct(*(F.lit(0).cast("long").alias(n) for n in names))
 
     def add(sums: Column, h: Column) -> Column:
-        return F.struct(*((sums[n] + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(mask).cast("long"))).alias(n) for j, n in enumerate(names)))
+        carry = [h]
+        for n in names[:-1]:
+            carry.append(carry[-1].bitwiseAND(sums[n]))
+        return F.struct(*(sums[n].bitwiseXOR(c).alias(n) for n, c in zip(names, carry, strict=True)))
 
     def vote(sums: Column) -> Column:
-        count = F.size(hashes)
-        more = []
-        for bit in range(BITS):
-            k, j = divmod(bit, lane)
-            votes = F.shiftrightunsigned(sums[names[j]], k * lane).bitwiseAND(F.lit((1 << lane) - 1).cast("long"))
-            more.append(votes * 2 > count)
-        return _packed(more)
+        """Counts above half the number, digit by digit from the lowest."""
+        half = F.size(hashes).cast("long")
+        more = F.lit(0).cast("long")
+        for k, n in enumerate(names):
+            digit = -F.shiftright(half, k + 1).bitwiseAND(F.lit(1).cast("long"))
+            more = sums[n].bitwiseAND(F.bitwise_not(digit)).bitwiseOR(F.bitwise_not(sums[n].bitwiseXOR(digit)).bitwiseAND(more))
+        return more
 
     return F.aggregate(hashes, zero, add, vote)
 
 
 def simhash(hashes: Column) -> Column:
-    """Of the words' hashes: the bits that more than half of them have. Lines of more words than 15 bits
-    can count take wider counters."""
-    return F.when(F.size(hashes) <= MANY_WORDS, _voted(hashes, LANE)).otherwise(_voted(hashes, 2 * LANE))
+    """The bits that more than half of the words' hashes have."""
+    return F.when(F.size(hashes) < 2**PLANES, _voted(hashes, PLANES)).otherwise(_voted(hashes, 31))
 
 
 def word_hashes(norm: Column) -> Column:
     return F.transform(F.split(norm, " "), lambda w: F.xxhash64(w))
 
 
-def pigeonhole(sim: Column, n_lines: int | None = None) -> tuple[Column, int]:
-    """Keys of a SimHash such that any two within ``CERTAIN`` bits share one, and how many there are.
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` made once, as a variable."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-    64 bits in 5 blocks: of those, 3 differing bits leave 2 untouched, so a key for each 2 of the
-    blocks does it. The blocks are the same for any number of lines (``n_lines`` has no influence),
-    so what is found does not depend on the rest of the input.
-    """
-    c = KEPT_BLOCKS
-    blocks = c + CERTAIN
-    edge = [BITS * k // blocks for k in range(blocks + 1)]
-    keys = []
-    for chosen in itertools.combinations(range(blocks), c):
-        mask = sum(((1 << (edge[k + 1] - edge[k])) - 1) << edge[k] for k in chosen)
-        signed = mask - (1 << 64) if mask >> 63 else mask
-        keys.append(F.xxhash64(F.lit(len(keys)), sim.bitwiseAND(F.lit(signed).cast("long"))))
-    return F.array(*keys), len(keys)
 
+def _none() -> Column:
+    return F.array().cast("array<long>")
+
+
+def block_keys(hashes: Column) -> Column:
+    """Of a line of many words: its words are dealt to ``BLOCKS`` blocks by their hashes, each block has a SimHash,
+    and each ``KEPT`` of the SimHashes are a key. Two lines whose different words lie in
+    two blocks share one. Keys of blocks that hold under a quarter of the words are left out."""
+
+    def keys(blocks: Column) -> Column:
+        sims = F.transform(blocks, simhash)
 
-def gram_bands(norm: Column) -> Column:
-    """MinHash bands of a line's runs of ``GRAM`` characters: two lines share a band with the chance
-    1 - (1 - J ** ROWS) ** BANDS, J being the Jaccard similarity of their sets of runs."""
-    rng = random.Random(9)
-    seeds = [rng.getrandbits(64) - 2**63 for _ in range(BANDS * ROWS)]
+        def made(sims: Column) -> Column:
+            out = []
+            for k, kept in enumerate(itertools.combinations(range(BLOCKS), KEPT)):
+                words = reduce(lambda a, b: a + b, (F.size(F.get(blocks, F.lit(i))) for i in kept))
+                out.append(F.when(words * 4 >= F.size(hashes), F.xxhash64(F.lit(k), *(F.get(sims, F.lit(i)) for i in kept))))
+            return F.array_compact(F.array(*out))
 
-    def order(seed: int) -> Callable[[Column], Column]:
-        return lambda x: x.bitwiseXOR(F.lit(seed).cast("long"))
+        return _let(sims, made)
 
-    def bands(grams: Column) -> Column:
-        least = [F.array_min(F.transform(grams, order(s))) for s in seeds]
-        return F.array(*(F.xxhash64(F.lit(f"grams {k}"), *least[k * ROWS : (k + 1) * ROWS]) for k in range(BANDS)))
+    dealt = F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda b: F.filter(hashes, lambda h: F.pmod(h, F.lit(BLOCKS)) == b))
+    return _let(dealt, keys)
 
-    def grams(chars: Column) -> Column:
-        return F.transform(chars, lambda c, i: F.xxhash64(c, *(F.coalesce(F.get(chars, i + k), F.lit("")) for k in range(1, GRAM))))
 
-    # Bound as variables of a lambda, the arrays are made once a line.
-    chars = F.array(F.split(F.concat(F.lit("\n"), norm), ""))
-    return F.element_at(F.transform(F.transform(chars, grams), bands), 1)
+def _all_but_one_word(hashes: Column) -> Column:
+    """A line of few words: each word is a block, and all of them, or all but one, are a key."""
+    less = F.transform(hashes, lambda h, i: F.xxhash64(F.lit("words"), F.concat(F.slice(hashes, F.lit(1), i), F.slice(hashes, i + 2, F.lit(FEW_WORDS)))))
+    return F.concat(F.array(F.xxhash64(F.lit("words"), hashes)), less)
+
+
+def _all_but_one_character(norm: Column) -> Column:
+    """A short line: each character is a block, and all of them, or all but one, are a key."""
+    places = F.sequence(F.lit(1), F.length(norm))
+    less = F.transform(places, lambda i: F.xxhash64(F.lit("chars"), F.concat(F.substring(norm, F.lit(1), i - 1), F.substring(norm, i + 1, F.lit(FEW_CHARS)))))
+    # Shorter than 5, one edit is more than a fifth.
+    return F.concat(F.array(F.xxhash64(F.lit("chars"), norm)), F.when(F.length(norm) >= 5, less).otherwise(_none()))
+
+
+def line_keys(norm: Column) -> Column:
+    """Keys of a normalised line; lines that share one are compared.
+
+    Blocks are the characters of lines of up to 33 characters, the words of lines of up to 9 words (from 26
+    characters on, so that neighbours in length share a kind), and of others five groups of words by SimHash.
+    So these are always compared: short lines one character apart, lines of few words
+    one word apart (changed, put in or left out), and, but for one in some forty lines of 9 or 10 words, lines of
+    more words one word apart. Lines with changes in more places share a key by chance.
+    """
 
+    def keys(hashes: Column) -> Column:
+        n, size = F.size(hashes), F.length(norm)
+        chars = F.when(size <= FEW_CHARS, _all_but_one_character(norm)).otherwise(_none())
+        words = F.when((size >= FEW_WORDS_FROM) & (n <= FEW_WORDS), _all_but_one_word(hashes)).otherwise(_none())
+        blocks = F.when((size >= FEW_WORDS_FROM) & (n >= MANY_WORDS), block_keys(hashes)).otherwise(_none())
+        return F.array_distinct(F.concat(chars, words, blocks))
 
-def deletion_keys(norm: Column) -> Column:
-    """Of a line of up to ``SHORT`` characters: itself and what is left without one of them. Two lines
-    one edit apart share one."""
-    less = F.transform(F.sequence(F.lit(1), F.length(norm)), lambda i: F.concat(F.substring(norm, F.lit(1), i - 1), F.substring(norm, i + 1, F.lit(SHORT))))
-    keys = F.transform(F.concat(F.array(norm), less), lambda t: F.xxhash64(F.lit("less"), t))
-    return F.when(F.length(norm) <= SHORT, F.array_distinct(keys)).otherwise(F.array().cast("array<long>"))
+    return _let(word_hashes(norm), keys)
 
 
 def line_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Lines whose group has more than one: ``ord, key`` (document), ``line_no``, ``keep`` (the kept occurrence).
 
     Lines are one text when their normalised forms are equal (lower case, digits as 0, single
-    spaces). Different texts are linked when they share a key and their edit similarity, 1 -
-    distance / longer length, is at least ``similarity``. Keys are those of ``pigeonhole`` (words
-    within 3 bits: always found), of ``deletion_keys`` (two lines of up to 9 characters, one edit
-    apart: always found) and of ``gram_bands``, by chance. The group's first occurrence by (doc_id,
+    spaces). Different texts are linked when they share a key (``line_keys``) and their edit similarity, 1 -
+    distance / longer length, is at least ``similarity``. The group's first occurrence by (doc_id,
     line) is kept.
     """
-    both = occurrences(docs).withColumn("hashes", word_hashes(F.col("norm")))
     place = F.struct("ord", "key", "line_no").alias("place")
-    seen = both.select(place, F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "hashes").alias("h2"), simhash(F.col("hashes")).alias("sim"), F.length("norm").alias("size"), F.concat(gram_bands(F.col("norm")), deletion_keys(F.col("norm"))).alias("more"))
-    seen = stored(seen, "lines")
+    seen = occurrences(docs).select(place, F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), "norm")
     # A frequent line is counted before it is shuffled; its occurrences come back to it in a join that
-    # Spark splits.
-    texts = seen.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.min("sim").alias("sim"), F.min("size").alias("size"), F.first("more").alias("more"), F.count(F.lit(1)).alias("n"))
-    texts = stored(texts.withColumn("id", F.monotonically_increasing_id()), "line_texts")
-    keys, most = pigeonhole(F.col("sim"))
-    members = bucket_members(texts.select("id", F.concat(keys, "more").alias("bands")))
-    most += BANDS + SHORT + 1
-    used = members.select("id").distinct().join(texts, "id")
-    # The members' texts, from the documents that hold their first occurrences.
-    at = used.select("id", "first.ord", "first.key", "first.line_no").groupBy("ord", "key").agg(F.collect_list(F.struct("line_no", "id")).alias("at"))
-    held = docs.join(at, ["ord", "key"]).withColumn("lines", _split(F.col("text"))).select("lines", F.explode("at").alias("x"))
-    bodies = held.select("x.id", normalised(F.element_at("lines", F.col("x.line_no") + 1)).alias("norm")).dropDuplicates(["id"])
+    # Spark splits. Each different line is kept once, with its text.
+    texts = seen.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.first("norm").alias("norm"), F.count(F.lit(1)).alias("n"))
+    texts = stored(texts.withColumn("id", F.monotonically_increasing_id()), "line_texts", compression="zstd")
+    members = members_of(texts.select("id", F.explode(line_keys(F.col("norm"))).alias("band")))
+    bodies = texts.join(members.select("id").distinct(), "id", "left_semi").select("id", "norm", F.length("norm").alias("size"))
     bodies = stored(bodies, "line_bodies")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        size = texts.select("id", "size")
-        near = pairs.join(size.select(F.col("id").alias("a"), F.col("size").alias("na")), "a").join(size.select(F.col("id").alias("b"), F.col("size").alias("nb")), "b")
-        near = near.where(F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9).select("a", "b")
-        x = bodies.select(F.col("id").alias("a"), F.col("norm").alias("x"))
-        y = bodies.select(F.col("id").alias("b"), F.col("norm").alias("y"))
-        longer = F.greatest(F.length("x"), F.length("y"))
-        close = near.join(x, "a").join(y, "b")
-        return close.where(F.levenshtein("x", "y") <= (1 - similarity) * longer + 1e-9).select("a", "b")
+        x = bodies.select(F.col("id").alias("a"), F.col("norm").alias("x"), F.col("size").alias("na"))
+        y = bodies.select(F.col("id").alias("b"), F.col("norm").alias("y"), F.col("size").alias("nb"))
+        near = pairs.join(x.drop("x"), "a").join(y.drop("y"), "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9)
+        near = near.select("a", "b", F.floor((1 - similarity) * F.greatest("na", "nb") + 1e-9).cast("int").alias("most"))
+        # -1: more edits than that.
+        both = near.join(x.drop("na"), "a").join(y.drop("nb"), "b")
+        return both.where(F.expr("levenshtein(x, y, most) >= 0")).select("a", "b")
 
     _, roots = linked(members, verified)
     groups = texts.select("id", "h1", "h2", "first", "n").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -198,8 +196,10 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents without the lines that ``repeated_lines`` names; other columns as they are."""
-    own = docs.withColumn("ord_", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))).withColumn("key_", doc_key())
-    gone = _removed(_numbered(docs), similarity).select(F.col("ord").alias("ord_"), F.col("key").alias("key_"), F.col("removed_lines").alias("gone_"))
-    kept = F.filter(_split(F.col("text")), lambda line, i: ~F.array_contains(F.col("gone_"), i))
-    text = F.when(F.col("gone_").isNull(), F.col("text")).otherwise(F.concat_ws("\n", kept))
-    return own.join(gone, ["ord_", "key_"], "left").withColumn("text", text).select(*docs.columns)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row)
+    own = own.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("ord"), doc_key().alias("key"), "text", "row")
+    out = own.join(_removed(_numbered(docs), similarity), ["ord", "key"], "left")
+    kept = F.filter(_split(F.col("text")), lambda line, i: ~F.array_contains(F.col("removed_lines"), i))
+    text = F.when(F.col("removed_lines").isNull(), F.col("text")).otherwise(F.concat_ws("\n", kept))
+    return out.withColumn("text", text).select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))

@@ -3,7 +3,6 @@
 import random
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
 from modspark.llm import lines
@@ -46,21 +45,6 @@ def test_simhash_bits(spark):
         assert got[i] == sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in own) > len(own))
 
 
-@pytest.mark.parametrize("n", [10, 10**7, 10**12])
-def test_keys_find_all_within_three_bits(spark, n):
-    rng = random.Random(2)
-    rows = []
-    for _ in range(60):
-        a = rng.getrandbits(64)
-        b = a
-        for k in rng.sample(range(64), 3):
-            b ^= 1 << k
-        rows.append(tuple(x - (1 << 64) if x >> 63 else x for x in (a, b)))
-    df = spark.createDataFrame(rows, "a long, b long")
-    x, y = (lines.pigeonhole(F.col(c), n)[0] for c in "ab")
-    assert df.where(F.arrays_overlap(x, y)).count() == len(rows)
-
-
 def rows_of(rng):
     words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(400)]
     hot = "this line is in nearly all of the texts 17"
@@ -89,7 +73,8 @@ def test_lines(spark):
         for k, line in enumerate((t or "").split("\n")):
             place.setdefault((i, k), norm(line))
     texts = sorted({t for t in place.values() if t})
-    sims = hashes(spark, texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, norm string")
+    keys = {r.i: set(r["keys"]) for r in df.select("i", lines.line_keys(F.col("norm")).alias("keys")).collect()}
     root = list(range(len(texts)))
 
     def find(x):
@@ -97,26 +82,18 @@ def test_lines(spark):
             x = root[x]
         return x
 
-    certain = {"may": list(root), "must": list(root)}
-    for kind, bits in (("must", 3), ("may", 12)):
-        root = certain[kind]
-        for a in range(len(texts)):
-            for b in range(a):
-                if len(texts[a]) < 500 and bin(sims[a] ^ sims[b]).count("1") <= bits and close(texts[a], texts[b]):
-                    root[find(a)] = find(b)
-        certain[kind] = [find(a) for a in range(len(texts))]
+    for a in range(len(texts)):
+        for b in range(a):
+            if keys[a] & keys[b] and max(len(texts[a]), len(texts[b])) < 5000 and close(texts[a], texts[b]):
+                root[find(a)] = find(b)
     at = {t: a for a, t in enumerate(texts)}
     gone = {(r.doc_id, k) for r in got for k in r.removed_lines}
-    seen = {"must": set(), "may": set()}
+    seen = set()
     for p, t in place.items():
-        if not t:
-            assert p not in gone  # blank lines stay
-            continue
-        again = {kind: certain[kind][at[t]] in seen[kind] for kind in seen}
-        assert not again["must"] or p in gone  # equal lines and those within 3 bits
-        assert p not in gone or again["may"]
-        for kind in seen:
-            seen[kind].add(certain[kind][at[t]])
+        # Blank lines stay; of each group of lines that share a key and are close only the first does.
+        assert (p in gone) == (bool(t) and find(at[t]) in seen)
+        if t:
+            seen.add(find(at[t]))
     for r in got:
         text = next(t for i, t, *_ in rows if i == r.doc_id) or ""
         assert r.n_lines == len(text.split("\n")) and r.n_removed == len(r.removed_lines)
@@ -129,5 +106,12 @@ def test_lines(spark):
         assert r.text == want
 
 
+def test_columns_of_any_name(spark):
+    rows = [(1, "a line of words here", 5, "k", "g", "r"), (2, "a line of words here\nother", 6, "l", "h", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ord_ long, key_ string, gone_ string, row string")
+    got = sorted(map(tuple, lines.dedup_lines(docs).collect()))
+    assert got == [rows[0], (2, "other", 6, "l", "h", "s")]
+
+
 def test_empty(spark):
     assert lines.repeated_lines(spark.createDataFrame([], SCHEMA)).count() == 0
