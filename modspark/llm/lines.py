@@ -12,16 +12,17 @@ from modspark.llm.cluster import linked, members_of
 from modspark.llm.common import doc_key, stored, texts_of
 
 SIMILARITY = 0.8
-BLOCKS, KEPT = 5, 3  # of a line of many words
+BLOCKS, KEPT = 4, 2  # of a line of many words
 FEW_CHARS = 33  # up to here characters are blocks
 FEW_WORDS, FEW_WORDS_FROM = 9, 26  # words are blocks, in lines of so many characters and more
 MANY_WORDS = 9  # from here blocks hold several words
-PLANES = 6  # binary digits of a vote's count
+PLANES = (4, 6, 10)  # binary digits of a vote's count, as few as do
+NEAR = (8, 64, 512, 2048)  # edits that are looked for first
 
 
 def normalised(line: Column) -> Column:
     """Lower case, digits as 0, single spaces."""
-    low = F.translate(F.lower(line), "123456789", "0" * 9)
+    low = reduce(lambda c, digit: F.replace(c, F.lit(digit), F.lit("0")), "123456789", F.lower(line))
     odd = reduce(lambda a, b: a | b, (F.contains(low, F.lit(x)) for x in ("  ", "\t", "\x0b", "\f", "\r")))
     return F.trim(F.when(odd, F.regexp_replace(low, r"\s+", " ")).otherwise(low))
 
@@ -62,7 +63,10 @@ def _voted(hashes: Column, planes: int) -> Column:
 
 def simhash(hashes: Column) -> Column:
     """The bits that more than half of the words' hashes have."""
-    return F.when(F.size(hashes) < 2**PLANES, _voted(hashes, PLANES)).otherwise(_voted(hashes, 31))
+    out = _voted(hashes, 31)
+    for planes in reversed(PLANES):
+        out = F.when(F.size(hashes) < 2**planes, _voted(hashes, planes)).otherwise(out)
+    return out
 
 
 def word_hashes(norm: Column) -> Column:
@@ -79,8 +83,8 @@ def _none() -> Column:
 
 
 def block_keys(hashes: Column) -> Column:
-    """Of a line of many words: its words are dealt to ``BLOCKS`` blocks by their hashes, each block has a SimHash,
-    and each ``KEPT`` of the SimHashes are a key. Two lines whose different words lie in
+    """Of a line of many words: its different words are dealt to ``BLOCKS`` blocks by their hashes, each block has a
+    SimHash, and each ``KEPT`` of the SimHashes are a key. Two lines whose different words lie in
     two blocks share one. Keys of blocks that hold under a quarter of the words are left out."""
 
     def keys(blocks: Column) -> Column:
@@ -95,7 +99,7 @@ def block_keys(hashes: Column) -> Column:
 
         return _let(sims, made)
 
-    dealt = F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda b: F.filter(hashes, lambda h: F.pmod(h, F.lit(BLOCKS)) == b))
+    dealt = F.transform(F.array(*(F.lit(b).cast("long") for b in range(BLOCKS))), lambda b: F.filter(hashes, lambda h: h.bitwiseAND(F.lit(BLOCKS - 1).cast("long")) == b))
     return _let(dealt, keys)
 
 
@@ -117,9 +121,9 @@ def line_keys(norm: Column) -> Column:
     """Keys of a normalised line; lines that share one are compared.
 
     Blocks are the characters of lines of up to 33 characters, the words of lines of up to 9 words (from 26
-    characters on, so that neighbours in length share a kind), and of others five groups of words by SimHash.
+    characters on, so that neighbours in length share a kind), and of others four groups of words by SimHash.
     So these are always compared: short lines one character apart, lines of few words
-    one word apart (changed, put in or left out), and, but for one in some forty lines of 9 or 10 words, lines of
+    one word apart (changed, put in or left out), and, but for a few of a hundred lines of 9 to 20 words, lines of
     more words one word apart. Lines with changes in more places share a key by chance.
     """
 
@@ -127,7 +131,7 @@ def line_keys(norm: Column) -> Column:
         n, size = F.size(hashes), F.length(norm)
         chars = F.when(size <= FEW_CHARS, _all_but_one_character(norm)).otherwise(_none())
         words = F.when((size >= FEW_WORDS_FROM) & (n <= FEW_WORDS), _all_but_one_word(hashes)).otherwise(_none())
-        blocks = F.when((size >= FEW_WORDS_FROM) & (n >= MANY_WORDS), block_keys(hashes)).otherwise(_none())
+        blocks = F.when((size >= FEW_WORDS_FROM) & (n >= MANY_WORDS), _let(F.array_distinct(hashes), block_keys)).otherwise(_none())
         return F.array_distinct(F.concat(chars, words, blocks))
 
     return _let(word_hashes(norm), keys)
@@ -143,6 +147,7 @@ def line_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     place = F.struct("ord", "key", "line_no").alias("place")
     seen = occurrences(docs).select(place, F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), "norm")
+    seen = stored(seen, "lines", compression="zstd")
     # A frequent line is counted before it is shuffled; its occurrences come back to it in a join that
     # Spark splits. Each different line is kept once, with its text.
     texts = seen.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.first("norm").alias("norm"), F.count(F.lit(1)).alias("n"))
@@ -156,9 +161,14 @@ def line_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         y = bodies.select(F.col("id").alias("b"), F.col("norm").alias("y"), F.col("size").alias("nb"))
         near = pairs.join(x.drop("x"), "a").join(y.drop("y"), "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9)
         near = near.select("a", "b", F.floor((1 - similarity) * F.greatest("na", "nb") + 1e-9).cast("int").alias("most"))
-        # -1: more edits than that.
         both = near.join(x.drop("na"), "a").join(y.drop("nb"), "b")
-        return both.where(F.expr("levenshtein(x, y, most) >= 0")).select("a", "b")
+        # -1: more edits than that. Most pairs are few edits apart, which a narrow band shows.
+        close = F.expr("levenshtein(x, y, most) >= 0")
+        for few in reversed(NEAR):
+            close = F.when(F.expr(f"levenshtein(x, y, least(most, {few})) >= 0"), True).when(F.col("most") <= few, False).otherwise(close)
+        # A line within a line is as many edits away as it is shorter, which was asked already.
+        within = F.contains("x", F.col("y")) | F.contains("y", F.col("x"))
+        return both.where(F.when(within, True).otherwise(close)).select("a", "b")
 
     _, roots = linked(members, verified)
     groups = texts.select("id", "h1", "h2", "first", "n").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
