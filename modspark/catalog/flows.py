@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 from modspark import constants as k
 from modspark.catalog.common import derived_scores, derived_sql, query, table
 from modspark.catalog.moderation import action_sql, points_ctes, severity_sql
+from modspark.catalog.texts import normalized_ctes
 from modspark.functions import scores as S
+from modspark.functions import text as T
+from modspark.lexicon import HALF_POINT
 from modspark.operators import feedback as FB
 from modspark.operators import monitor, scoring
+from modspark.plans.moderation import moderate_conversations
 from modspark.session import scratch_path, spread
 from modspark.sources import readers, sinks
 
@@ -246,3 +250,32 @@ def ops_counts(s, d):
         F.concat(F.lit("v"), (c("doc_id") % 2).cast("string")).alias("model_version"),
     )
     return monitor.count_by(log, ["lang", "action", "model_version"])
+
+
+# Conversations scored after their last four turns.
+_POINTS = ", ".join(f"coalesce(sum(w{i}) FILTER (doc_id % 2 = 0), 0) + coalesce(sum(w{i}) FILTER (doc_id % 2 = 1), 0)::BIGINT // 4 AS p{i}" for i in range(6))
+_OWN = ", ".join(f"coalesce(sum(w{i}) FILTER (doc_id % 2 = 0), 0) AS q{i}" for i in range(6))
+
+
+def _overall_sql(p: str) -> str:
+    return "greatest(" + ", ".join(f"printf('%.4f', coalesce({p}{i}, 0) / (coalesce({p}{i}, 0) + {HALF_POINT})::DOUBLE)::DOUBLE" for i in range(6)) + ")"
+
+
+CONTEXT_SQL = f"""WITH h AS (SELECT conv_id, turn, text, list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS h FROM conversations),
+  x AS (SELECT conv_id, turn, conv_id * 1000 + turn AS id, text, lower(CASE WHEN len(h) > 0 THEN array_to_string(h, ' ') END) AS context FROM h),
+  {normalized_ctes('SELECT id * 2 AS doc_id, text AS t FROM x')},
+  both_ AS (SELECT doc_id, t FROM norm UNION ALL SELECT id * 2 + 1, context FROM x WHERE context IS NOT NULL),
+  {points_ctes('both_')},
+  joint AS (SELECT doc_id // 2 AS id, {_POINTS}, {_OWN} FROM tok JOIN lex USING (term) GROUP BY doc_id // 2),
+  o AS (SELECT conv_id, turn, {_overall_sql('p')} AS overall, {_overall_sql('q')} AS alone FROM x LEFT JOIN joint USING (id))
+  SELECT conv_id, turn, overall, alone, {severity_sql('overall')} AS severity, {action_sql(severity_sql('overall'))} AS status FROM o"""
+
+
+def context_rows(scored):
+    alone = F.array_max(S.lexicon_scores(T.normalize_for_toxicity(c("text"))))
+    return scored.select("conv_id", "turn", c("overall_score").alias("overall"), alone.alias("alone"), "severity", "status")
+
+
+@query("context_scores", CONTEXT_SQL)
+def context_scores(s, d):
+    return context_rows(moderate_conversations(table(s, d, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn"))

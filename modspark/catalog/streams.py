@@ -43,6 +43,12 @@ def stream_duplicates(s, d):
     return jobs.run_to_table(s, out, "duplicates").select("event_id", "user_id", "event_type", "ms")
 
 
+@query("stream_context_scores", flows.CONTEXT_SQL)
+def stream_context_scores(s, d):
+    out = jobs.conversation_stream(_stream(s, d, "conversations"), "conv_id", "turn", idle_ms=None)
+    return jobs.run_to_table(s, flows.context_rows(out), "context_scores")
+
+
 def _parsed(s, d):
     return jobs.dead_letters(flows.frames(_stream(s, d, "conversations")), "frame")
 

@@ -51,6 +51,18 @@ def lexicon_scores(c: Column, lexicon: Mapping[str, Sequence[int]] | None = None
     return points_to_scores(lexicon_points(c, lexicon))
 
 
+def lexicon_scores_in_context(
+    message: Column, context: Column, lexicon: Mapping[str, Sequence[int]] | None = None, part: int = 4
+) -> Column:
+    """Scores of a message after its context: what the context raises counts a ``part``-th, rounded down.
+
+    A null message has null scores; a null context adds nothing.
+    """
+    before = lexicon_points(F.coalesce(context, F.lit("")), lexicon)
+    both = F.zip_with(lexicon_points(message, lexicon), before, lambda a, b: a + F.floor(b / part).cast("int"))
+    return points_to_scores(both)
+
+
 def gate(scores: Column, g: Column) -> Column:
     """Second opinion ``g``: pull confident scores down or lift the first label."""
     top = F.array_max(scores)

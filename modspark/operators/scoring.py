@@ -48,6 +48,20 @@ def lexicon_scorer(
     return ColumnScorer(lambda c: S.lexicon_scores(c, lexicon), text, out)
 
 
+@dataclass(frozen=True)
+class ContextScorer:
+    """Scorer over two segments: ``expr(message, context) -> array of scores``.
+
+    The context is null where a message has none. A null message gets null scores.
+    """
+
+    expr: Callable[[Column, Column], Column]
+
+
+def lexicon_context_scorer(lexicon: Mapping[str, Sequence[int]] | None = None, part: int = 4) -> ContextScorer:
+    return ContextScorer(lambda message, context: S.lexicon_scores_in_context(message, F.lower(context), lexicon, part))
+
+
 def term_table_scorer(
     df: DataFrame,
     terms: DataFrame,
@@ -113,6 +127,24 @@ def plugin_scorer(
     return ColumnScorer(F.pandas_udf(run, ArrayType(DoubleType())), text, out)
 
 
+def plugin_context_scorer(
+    load: Callable[[], Callable[[Sequence[str], Sequence[str | None]], Sequence[Sequence[float]]]],
+) -> ContextScorer:
+    """``load()`` runs once per task and returns a function of a batch of messages and their contexts (None: none)."""
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = load()
+        for messages, contexts in batches:
+            here = messages.notna()
+            before = [x if isinstance(x, str) else None for x in contexts[here]]
+            scores = [list(map(float, row)) for row in model(messages[here].tolist(), before)] if len(before) else []
+            yield pd.Series(scores, index=messages.index[here], dtype="object").reindex(messages.index).map(
+                lambda v: v if isinstance(v, list) else None
+            )
+
+    return ContextScorer(F.pandas_udf(run, ArrayType(DoubleType())))
+
+
 def cascade(
     df: DataFrame, cheap: Scorer, strong: Scorer, low: float, high: float, out: str = "scores"
 ) -> DataFrame:

@@ -14,7 +14,8 @@ from modspark.functions import scores as S
 from modspark.functions import text as T
 from modspark.operators import policy as P
 from modspark.operators import scoring
-from modspark.operators.windows import rate_limit
+from modspark.operators import windows as W
+from modspark.operators.windows import context_string, rate_limit
 from modspark.session import broadcast_if_small
 
 
@@ -27,15 +28,20 @@ class Moderated:
 
 def score_messages(
     df: DataFrame,
-    scorer: scoring.Scorer | None = None,
+    scorer: scoring.Scorer | scoring.ContextScorer | None = None,
     skip: Column | None = None,
     gate: Column | None = None,
     fallback_language: Column | None = None,
     version: str = k.LEXICON_VERSION,
     compose: bool = True,
+    history: Column | None = None,
+    turns: int = k.CONTEXT_TURNS,
 ) -> DataFrame:
     """Normalise, detect the language, score, bucket and decide; one row per message.
 
+    A context scorer gets the last ``turns`` texts of ``history`` (an array, oldest first) before
+    the message; without history it scores the message alone.
+
     Column scorers (lexicon, Arrow plug-in) get the text masked to the rows that need a
     score, in one scan; any other scorer gets these rows by filter.
     Works on batch and streaming frames.
@@ -48,12 +54,17 @@ def score_messages(
     zeros = F.array(*[F.lit(0.0)] * len(k.LABELS))
     model = F.when(F.col("_skip"), k.BYPASS_VERSION).otherwise(version)
     scorer = scoring.lexicon_scorer() if scorer is None else scorer
-    if isinstance(scorer, scoring.ColumnScorer):
+    if isinstance(scorer, scoring.ColumnScorer | scoring.ContextScorer):
         # The mask is on the text, so Python functions in the expression see nulls there.
         masked = F.when(~F.col("_skip"), F.col("text"))
         out = marked.withColumn("normalized", T.normalize_for_toxicity(masked, compose=compose))
         todo = F.when(~F.col("_skip"), F.col("normalized"))
-        out = out.withColumn("scores", F.coalesce(scorer.expr(todo), zeros))
+        if isinstance(scorer, scoring.ContextScorer):
+            before = F.lit(None).cast("string") if history is None else context_string(history, turns)
+            scores = scorer.expr(todo, before)
+        else:
+            scores = scorer.expr(todo)
+        out = out.withColumn("scores", F.coalesce(scores, zeros))
     else:
         todo = marked.filter(~F.col("_skip")).withColumn(
             "normalized", T.normalize_for_toxicity(F.col("text"), compose=compose)
@@ -66,9 +77,25 @@ def score_messages(
     return scoring.moderated(out, gate=applied).drop("_skip", "scores", "normalized")
 
 
+def moderate_conversations(
+    df: DataFrame,
+    conversation: str,
+    turn: str,
+    scorer: scoring.ContextScorer | None = None,
+    turns: int = k.CONTEXT_TURNS,
+    compose: bool = True,
+) -> DataFrame:
+    """Each message of ``df`` (with a ``text``) scored after the last ``turns`` of its conversation, whatever their
+    verdicts. A null text is an empty message."""
+    said = df.withColumn("text", F.coalesce("text", F.lit("")))
+    with_history = W.history(said, conversation, turn, "text", max(turns, k.HISTORY_KEEP))
+    scorer = scoring.lexicon_context_scorer() if scorer is None else scorer
+    return score_messages(with_history, scorer, compose=compose, history=F.col("history"), turns=turns)
+
+
 def moderate(
     df: DataFrame,
-    scorer: scoring.Scorer | None = None,
+    scorer: scoring.Scorer | scoring.ContextScorer | None = None,
     row_id: str = "message_id",
     limits: tuple[int, int] | None = None,
     external_rewrites: DataFrame | None = None,
@@ -76,9 +103,14 @@ def moderate(
     gate: Column | None = None,
     fallback_language: Column | None = None,
     compose: bool = True,
+    history: Column | None = None,
+    turns: int = k.CONTEXT_TURNS,
 ) -> Moderated:
     """Rate limit, bounds, bypass, scoring, rewrite and status.
 
+    ``history`` (an array of earlier texts of each row, see ``operators.windows.history``) goes to
+    a context scorer, the last ``turns`` of it.
+
     ``df`` has ``message_id, text`` and, with ``limits = (count, seconds)``, also
     ``user_id``, ``second`` and an integer ``arrival`` order. Every row is an attempt, also
     with a null or repeated id: each comes out once, in one of the three.
@@ -102,7 +134,7 @@ def moderate(
         accepted = df.join(refused, same, "left_anti").unionByName(met.filter("_nth > _n").select(df.columns))
     valid, invalid = P.quarantine(accepted, P.request_rules())
     scored = score_messages(
-        valid, scorer, skip, gate, fallback_language, compose=compose
+        valid, scorer, skip, gate, fallback_language, compose=compose, history=history, turns=turns
     )
     results = P.rewrite_where_needed(
         scored, row_id, external_rewrites, language="detected_language"

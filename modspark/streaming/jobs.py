@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from modspark import constants as k
+from modspark.operators.scoring import ContextScorer, lexicon_context_scorer
 from modspark.plans.moderation import score_messages
 from modspark.session import scratch_path
 from modspark.sources.readers import parse_frames
@@ -23,6 +24,26 @@ def moderation_stream(messages: DataFrame, skip=None, compose: bool = True) -> D
     return score_messages(messages, skip=skip, compose=compose)
 
 
+def conversation_stream(
+    messages: DataFrame,
+    conversation: str,
+    turn: str,
+    scorer: ContextScorer | None = None,
+    turns: int = k.CONTEXT_TURNS,
+    closed: str | None = None,
+    idle_ms: int | None = 3_600_000,
+    compose: bool = True,
+) -> DataFrame:
+    """Each message scored after the last ``turns`` of its conversation: keyed history feeds a context scorer in
+    one query. A message enters the history whatever its verdict; a null text is an empty message."""
+    said = messages.withColumn("text", F.coalesce("text", F.lit("")))
+    seen = history_stream(said, conversation, turn, "text", max(turns, k.HISTORY_KEEP), closed, idle_ms, carry=True)
+    # Always true; makes Spark turn rows of the keyed function into the form that the next Python function reads.
+    seen = seen.where(F.size("history") >= 0)
+    scorer = lexicon_context_scorer() if scorer is None else scorer
+    return score_messages(seen, scorer, compose=compose, history=F.col("history"), turns=turns)
+
+
 def delivered(moderated: DataFrame) -> DataFrame:
     return moderated.filter(F.col("status") == k.DELIVERED)
 
@@ -63,7 +84,7 @@ def rate_limit_stream(
     """Keyed rate limit: the state holds attempts per second of the last window only.
 
     Output: user, second, tie, prior, allowed.  Rows of a batch are ordered by second and
-    tie; idle users expire by processing time.
+    tie; idle users expire by processing time. Rows without a user or a second are not limited.
     """
     out = StructType(
         [
@@ -91,6 +112,12 @@ def rate_limit_stream(
         # A batch of one user is taken whole because Arrow frames of it are unordered;
         # the source's files-per-trigger or offsets-per-trigger setting bounds it.
         pdf = pd.concat(list(frames)).sort_values([second, tie])
+        timeless = pdf[pdf[second].isna()]
+        if len(timeless):
+            yield pd.DataFrame({user: timeless[user], second: pd.array([None] * len(timeless), dtype="Int64"), tie: timeless[tie], "prior": 0, "allowed": 1})
+            pdf = pdf[pdf[second].notna()]
+            if not len(pdf):
+                return
         t = pdf[second].to_numpy(dtype="int64")
         new_sec, first, new_n = np.unique(t, return_index=True, return_counts=True)
         all_sec = np.concatenate([sec, new_sec])
@@ -138,9 +165,12 @@ def history_stream(
     keep: int = k.HISTORY_KEEP,
     closed: str | None = None,
     idle_ms: int | None = 3_600_000,
+    carry: bool = False,
 ) -> DataFrame:
     """Keyed history: last ``keep`` texts before each message, state as large as that.
 
+    ``carry`` returns the message's own text too, for a scorer in the same query.
+
     A message enters the history whatever its verdict.  A row whose ``closed`` column is
     true ends the conversation and drops its state; idle conversations expire.
     """
@@ -149,6 +179,7 @@ def history_stream(
             messages.schema[conversation],
             messages.schema[turn],
             StructField("history", ArrayType(StringType())),
+            *([messages.schema[text]] if carry else []),
         ]
     )
     state_type = StructType([StructField("last", ArrayType(StringType()))])
@@ -173,7 +204,8 @@ def history_stream(
             state.update((last,))
             if idle_ms is not None:
                 state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame({conversation: pdf[conversation], turn: pdf[turn], "history": seen})
+        own = {text: pdf[text]} if carry else {}
+        yield pd.DataFrame({conversation: pdf[conversation], turn: pdf[turn], "history": seen, **own})
 
     cols = [conversation, turn, text] + ([closed] if closed else [])
     return (
