@@ -465,14 +465,14 @@ def params_roundtrip(s, d):
     labels = table(s, d, "labels")
     weights = profile.class_weights(labels, ["toxic", "quality"]).select("tag", "weight")
     wpath, tpath = scratch_path(s, "weights"), scratch_path(s, "thresholds")
-    # Older runs with other values: the newest by number counts, and 10 is newer than 9.
+    # Older runs with other values: 10 is newer than 9, and January newer than the December before.
     sinks.write_params(weights.withColumn("weight", c("weight") + 1), wpath, "run-9")
     sinks.write_params(weights, wpath, "run-10")
-    sinks.write_params(s.createDataFrame([("toxic", 0.9), ("insult", 0.1)], schemas.THRESHOLD), tpath, "run-9")
+    sinks.write_params(s.createDataFrame([("toxic", 0.9), ("insult", 0.1)], schemas.THRESHOLD), tpath, "2024-12-31")
     sinks.write_params(
         labels.agg(F.round(F.avg("toxic"), 4).alias("threshold")).select(F.lit("toxic").alias("tag"), "threshold"),
         tpath,
-        "run-10",
+        "2025-01-05",
     )
     stored = readers.load_weights(s, wpath, labels, ["toxic", "quality"]).select("tag", "weight")
     computed = readers.load_weights(s, scratch_path(s, "none"), labels, ["toxic", "quality"])

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from modspark import constants as k
 from modspark import schemas
@@ -69,19 +69,27 @@ def read_long_json(spark: SparkSession, path: str, schema: StructType) -> DataFr
 
 
 def latest_params(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Rows of the newest run of a parameter table, without its run id.
+    """Rows of the newest run of a parameter table, without its run id and version.
 
-    Runs are compared by the last number in their id (10 is newer than 9), equal numbers and ids
-    without one as text. A table without runs is returned whole.
+    The largest ``version`` is newest, of equal ones the larger id. Runs that were written without a version count by
+    their id, a date (with or without a time) or its only number (``sinks.run_version``); an id without such an
+    order is an error. A table without runs is returned whole.
     """
-    given = StructType(list(schema.fields))
-    if "run_id" in given.names:
-        given = StructType([f for f in schema.fields if f.name != "run_id"])
-    df = spark.read.schema(StructType([*given.fields, StructField("run_id", StringType())])).json(path)
-    number = F.regexp_extract("run_id", r"([0-9]+)[^0-9]*$", 1)
-    age = F.struct(F.coalesce(F.expr("try_cast(nullif(regexp_extract(run_id, '([0-9]+)[^0-9]*$', 1), '') as decimal(38, 0))"), F.lit(-1)).alias("n"), F.length(number), F.col("run_id"))
-    newest = df.agg(F.max(age)["run_id"]).scalar()
-    return df.filter(F.col("run_id").eqNullSafe(newest)).drop("run_id")
+    own = ("run_id", "version")
+    given = StructType([f for f in schema.fields if f.name not in own])
+    stored = StructType([*given.fields, StructField("version", LongType()), StructField("run_id", StringType())])
+    df = spark.read.schema(stored).json(path)
+    day = r"^\D*(\d{4})-(\d\d)-(\d\d)(?:[T_ ](\d\d):?(\d\d)(?::?(\d\d))?)?\D*$"
+    digits = F.concat(*(F.regexp_extract("run_id", day, i) for i in range(1, 7)))
+    number = r"^\D*(\d{1,18})\D*$"
+    place = (
+        F.when(F.col("version").isNotNull(), F.col("version"))
+        .when(F.col("run_id").rlike(day), F.rpad(digits, 14, "0").cast("long"))
+        .when(F.col("run_id").rlike(number), F.regexp_extract("run_id", number, 1).cast("long"))
+        .when(F.col("run_id").isNotNull(), F.raise_error(F.concat(F.lit("run id without an order: "), "run_id")).cast("long"))
+    )
+    newest = df.where("run_id is not null").agg(F.max(F.struct(place.alias("place"), "run_id"))["run_id"]).scalar()
+    return df.filter(F.col("run_id").eqNullSafe(newest)).drop(*own)
 
 
 def load_thresholds(spark: SparkSession, path: str) -> DataFrame:

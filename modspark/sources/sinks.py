@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -25,9 +27,26 @@ def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").json(path)
 
 
-def write_params(df: DataFrame, path: str, run_id: str) -> None:
-    """Small parameter tables, one folder per run so earlier versions stay readable."""
-    df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").json(path)
+def run_version(run_id: str) -> int:
+    """The place of a run among others, from an id with one number (``run-10``) or a date with or without a time
+    (``2025-01-05``, ``2025-01-05T10:30:00``). Another id says nothing about order and is refused."""
+    day = re.fullmatch(r"\D*(\d{4})-(\d\d)-(\d\d)(?:[T_ ](\d\d):?(\d\d)(?::?(\d\d))?)?\D*", run_id)
+    if day:
+        return int("".join(x or "00" for x in day.groups()))
+    number = re.fullmatch(r"\D*(\d{1,18})\D*", run_id)
+    if number:
+        return int(number[1])
+    raise ValueError(f"run id {run_id!r} has no order; give a version")
+
+
+def write_params(df: DataFrame, path: str, run_id: str, version: int | None = None) -> None:
+    """Small parameter tables, one folder per run so earlier versions stay readable.
+
+    ``version`` says which run is newest; it is taken from the id where that has an order.
+    """
+    place = run_version(run_id) if version is None else version
+    rows = df.withColumn("version", F.lit(place).cast("long")).withColumn("run_id", F.lit(run_id))
+    rows.write.mode("append").partitionBy("run_id").json(path)
 
 
 def run_metadata(metrics: DataFrame, model: str, tags: Sequence[str], epochs: int) -> DataFrame:

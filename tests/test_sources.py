@@ -75,6 +75,39 @@ def test_thresholds_default_and_versions(spark):
     assert [r.threshold for r in latest.collect()] == [0.6]
 
 
+def test_the_newest_run_by_date_number_or_version(spark):
+    def newest(*runs):
+        path = scratch_path(spark, "runs")
+        for i, run in enumerate(runs):
+            sinks.write_params(spark.createDataFrame([("toxic", i / 10)], schemas.THRESHOLD), path, *run)
+        return [r.threshold for r in readers.latest_params(spark, path, schemas.THRESHOLD).collect()]
+
+    assert newest(("2025-01-05",), ("2024-12-31",)) == [0.0]
+    assert newest(("2025-01-05T09:00:00",), ("2025-01-05T10:30",), ("2025-01-05",)) == [0.1]
+    assert newest(("run-10",), ("run-9",)) == [0.0]
+    assert newest(("final", 1), ("draft", 2), ("run-1",)) == [0.1]
+    assert newest(("b", 3), ("a", 3)) == [0.0]
+    for name in ("final", "v1.2", "1-2"):
+        with pytest.raises(ValueError, match="no order"):
+            sinks.run_version(name)
+
+
+def test_runs_of_tables_without_versions(spark):
+    def stored(*runs):
+        path = scratch_path(spark, "old")
+        for i, run in enumerate(runs):
+            spark.createDataFrame([("toxic", i / 10, run)], "tag string, threshold double, run_id string").write.mode("append").partitionBy("run_id").json(path)
+        return path
+
+    def read(path):
+        return [r.threshold for r in readers.latest_params(spark, path, schemas.THRESHOLD).collect()]
+
+    assert read(stored("2025-01-05", "2024-12-31")) == [0.0]
+    assert read(stored("run-9", "run-10")) == [0.1]
+    with pytest.raises(Exception, match="without an order"):
+        read(stored("best", "run-1"))
+
+
 def test_run_metadata_and_report_lines(spark):
     meta = sinks.run_metadata(spark.createDataFrame([(0.5, 1)], "f1 double, epoch int"), "m", ["a", "b"], 3).first()
     assert meta.tags == "a,b" and json.loads(meta.metrics) == {"f1": 0.5, "epoch": 1}
