@@ -129,10 +129,10 @@ def channel_history(s, d):
     return docs(old, True).unionByName(docs(new, False))
 
 
-@query(
-    "assembled_suggestions",
-    "SELECT conv_id, turn, text AS suggestion, len(string_split(text, ' '))::BIGINT AS chunks FROM conversations",
-)
+ASSEMBLED_SQL = "SELECT conv_id, turn, text AS suggestion, len(string_split(text, ' '))::BIGINT AS chunks FROM conversations"
+
+
+@query("assembled_suggestions", ASSEMBLED_SQL)
 def assembled_suggestions(s, d):
     chunks = table(s, d, "conversations").select(
         F.struct("conv_id", "turn").alias("id"), F.posexplode(T.word_chunks(c("text"))).alias("seq", "chunk")

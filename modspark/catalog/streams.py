@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from modspark.catalog import flows, ordered
 from modspark.catalog.common import query, table
+from modspark.functions import text as T
 from modspark.functions.maths import epoch_millis, epoch_seconds
+from modspark.operators import tables
 from modspark.session import scratch_path
 from modspark.streaming import jobs
 
@@ -49,6 +51,22 @@ def stream_context_scores(s, d):
     return jobs.run_to_table(s, flows.context_rows(out), "context_scores")
 
 
+@query("stream_assembled", ordered.ASSEMBLED_SQL)
+def stream_assembled(s, d):
+    """Chunks dealt over several files, so that a message's come in several micro-batches and out of order."""
+    pieces = table(s, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), T.word_chunks(c("text")).alias("pieces"))
+    chunks = pieces.select("id", F.size("pieces").alias("n"), F.posexplode("pieces").alias("seq", "chunk"))
+    chunks = chunks.select("id", "seq", "chunk", (c("seq") == c("n") - 1).alias("last"))
+    path = scratch_path(s, "chunks")
+    chunks.repartitionByRange(5, F.pmod(F.xxhash64("id", "seq"), F.lit(5))).write.parquet(path)
+    out = jobs.assembled_stream(jobs.stream_of(s, path, chunks.schema, files=1), "id", "seq", "chunk", "last")
+    rows = jobs.run_to_table(s, out, "assembled")
+    whole = tables.assemble_chunks(rows, "id", "start", "text", "suggestion")
+    counts = rows.groupBy("id").agg(F.sum("chunks").alias("chunks"), F.max(c("status") == jobs.DONE).alias("done")).where("done")
+    name = F.split("id", "-")
+    return whole.join(counts, "id").select(name[0].cast("long").alias("conv_id"), name[1].cast("long").alias("turn"), "suggestion", "chunks")
+
+
 def _parsed(s, d):
     return jobs.dead_letters(flows.frames(_stream(s, d, "conversations")), "frame")
 

@@ -252,6 +252,73 @@ def duplicates_stream(
     )
 
 
+PART, DONE, TIMED_OUT, NO_PLACE = "part", "done", "timed_out", "no_place"
+
+
+def assembled_stream(
+    chunks: DataFrame, key: str, seq: str, chunk: str, last: str, time: str | None = None, delay: str = "10 seconds", wait_ms: int = 60_000
+) -> DataFrame:
+    """Chunks of messages put in order: ``key, start, chunks, text, status``.
+
+    Chunks are numbered from 0 and come in any order, over any number of micro-batches; ``last`` marks a message's
+    last one. State holds what is ahead of a gap, by number. As soon as a run without a gap continues
+    what went out, it goes out as one row, whose ``start`` is its first number; the row that reaches the
+    last chunk is ``done``. A chunk that came before is dropped, one without a number goes out as ``no_place``.
+
+    With ``time`` (a timestamp, watermark ``delay``) a message that gets no chunk for ``wait_ms`` of event
+    time gives up: an unfinished one sends what it holds as ``timed_out``, in order, over the gaps, and its state
+    goes. Without it state stays, that of a finished message as one number.
+    """
+    out = StructType([chunks.schema[key], StructField("start", LongType()), StructField("chunks", LongType()), StructField("text", StringType()), StructField("status", StringType())])
+    state_type = StructType([StructField("next", LongType()), StructField("end", LongType()), StructField("seqs", ArrayType(LongType())), StructField("texts", ArrayType(StringType())), StructField("latest", LongType())])
+
+    def step(name, frames, state):
+        import pandas as pd
+
+        following, end, held, latest = 0, -1, {}, 0
+        if state.exists:
+            following, end, seqs, texts, latest = state.get
+            held = dict(zip(seqs, texts))
+        rows = []
+        if state.hasTimedOut:
+            if following != end + 1:
+                at = sorted(held)
+                rows.append((at[0] if at else following, len(at), "".join(held[i] for i in at), TIMED_OUT))
+            state.remove()
+        else:
+            before = following
+            for pdf in frames:
+                for i, text, ends, at in zip(pdf[seq], pdf[chunk], pdf[last], pdf["_ms"]):
+                    latest = latest if pd.isna(at) else max(latest, int(at))
+                    text = text if isinstance(text, str) else ""
+                    if pd.isna(i) or i < 0:
+                        rows.append((None, 1, text, NO_PLACE))
+                        continue
+                    if i >= following:
+                        held.setdefault(int(i), text)
+                    if ends is True or ends == 1:
+                        end = int(i)
+            run = []
+            while following in held:
+                run.append(held.pop(following))
+                following += 1
+            if run:
+                rows.append((before, len(run), "".join(run), DONE if following == end + 1 else PART))
+            at = sorted(held)
+            state.update((following, end, at, [held[i] for i in at], latest))
+            if time is not None:
+                state.setTimeoutTimestamp(max(latest + wait_ms, state.getCurrentWatermarkMs() + 1))
+        if rows:
+            yield pd.DataFrame([(name[0], *r) for r in rows], columns=out.names).astype({"start": "Int64"})
+
+    if time is not None:
+        chunks = chunks.withWatermark(time, delay)
+    moment = F.lit(None).cast("long") if time is None else F.unix_millis(time)
+    timeout = GroupStateTimeout.NoTimeout if time is None else GroupStateTimeout.EventTimeTimeout
+    cols = [key, F.col(seq).cast("long").alias(seq), F.col(chunk).cast("string").alias(chunk), F.col(last).cast("boolean").alias(last), moment.alias("_ms")]
+    return chunks.select(*cols, *([time] if time else [])).groupBy(key).applyInPandasWithState(step, out, state_type, "append", timeout)
+
+
 def duplicates_by_watermark(messages: DataFrame, keys: list[str], ts: str, gap: str = "5 seconds") -> DataFrame:
     """Approximate form with builtins: a duplicate arriving within the watermark delay of
     the first one is dropped, also when it is up to one delay late."""
