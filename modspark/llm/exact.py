@@ -107,7 +107,8 @@ def exact_groups(docs: DataFrame, fan: int = FAN, rows_per_run: int = ROWS_PER_R
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns; repeated doc_ids with one text stay once."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("kept_id_"), F.col("text_sha256").alias("kept_sha_"))
-    sha = F.sha2(normalised(F.col("text")), 256)
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id_")) & (sha == F.col("kept_sha_"))
-    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row)
+    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.sha2(normalised(F.col("text")), 256) == F.col("kept_sha"))
+    return own.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"]).select("row.*")

@@ -738,9 +738,11 @@ def repeated_passages(docs: DataFrame, with_text: bool = False) -> DataFrame:
 def cut_passages(docs: DataFrame) -> DataFrame:
     """The documents with ``text`` as ``repeated_passages`` leaves it; other columns as they are, null texts empty."""
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.col("doc_id").isNull(), F.col("text").cast("string"))
-    own = docs.withColumn("key_", key).withColumn("ord_", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).drop("text")
-    cut = _cut(docs, True).select(F.col("ord").alias("ord_"), F.col("key").alias("key_"), F.col("kept_text").alias("text")).dropDuplicates(["ord_", "key_"])
-    return own.join(cut, ["ord_", "key_"]).select(*docs.columns)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("ord"), key.alias("key"), row)
+    cut = _cut(docs, True).select("ord", "key", "kept_text").dropDuplicates(["ord", "key"])
+    out = own.join(cut, ["ord", "key"])
+    return out.select(*(F.col("kept_text").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def _cut(docs: DataFrame, with_text: bool) -> DataFrame:
