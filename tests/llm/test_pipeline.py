@@ -96,7 +96,7 @@ def test_registered():
 @pytest.mark.parametrize("name", sorted(corpus_pipeline.CHECKS))
 def test_queries_match_their_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings", "labels"):
+    for t in ("documents", "pages", "embeddings", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     df = driver.queries()[name](spark, FOLDER)
     want = con.sql(driver.oracle_sql()[name])
