@@ -94,13 +94,24 @@ def multi_turn_training(s, d):
 
 GAP_MS = 6 * 3600 * 1000
 
+MILLIS_SQL = "CAST(floor(epoch_us(ts) / 1000) AS BIGINT)"
 # The chain of kept arrivals per key, followed one kept row at a time.
-DUPLICATES_SQL = f"""WITH RECURSIVE e AS (SELECT user_id, event_type, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS ms, min(event_id) AS event_id FROM events GROUP BY ALL),
+_CHAIN_SQL = f"""e AS (SELECT user_id, event_type, {MILLIS_SQL} AS ms, min(event_id) AS event_id FROM {{source}} GROUP BY ALL),
   nxt AS (SELECT a.user_id, a.event_type, a.ms, a.event_id, b.ms AS to_ms FROM (SELECT *, ms + {GAP_MS} AS free FROM e) a
     ASOF LEFT JOIN e b ON a.user_id = b.user_id AND a.event_type = b.event_type AND a.free <= b.ms),
   k AS (SELECT n.* FROM nxt n JOIN (SELECT user_id, event_type, min(ms) AS ms FROM e GROUP BY ALL) f USING (user_id, event_type, ms)
-    UNION ALL SELECT n.* FROM k JOIN nxt n ON n.user_id = k.user_id AND n.event_type = k.event_type AND n.ms = k.to_ms)
-  SELECT event_id, user_id, event_type, ms FROM k"""
+    UNION ALL SELECT n.* FROM k JOIN nxt n ON n.user_id = k.user_id AND n.event_type = k.event_type AND n.ms = k.to_ms)"""
+DUPLICATES_SQL = f"WITH RECURSIVE {_CHAIN_SQL.format(source='events')} SELECT event_id, user_id, event_type, ms FROM k"
+
+# Events as a stream delivers them: every 97th after all others, late if its place was closed by then.
+DELAY_MS = 3_600_000
+_LATE_SQL = f"SELECT *, event_id % 97 = 0 AND {{closes}} <= (SELECT max({MILLIS_SQL}) FROM events WHERE event_id % 97 <> 0) - {DELAY_MS} AS late FROM events"
+RATE_BY_TIME_SQL = f"""WITH t AS ({_LATE_SQL.format(closes=f'({SECONDS_SQL} + 1) * 1000')}), e AS (SELECT event_id, user_id, late, {SECONDS_SQL} AS sec FROM t),
+  p AS (SELECT event_id, user_id, sec, count(*) OVER (PARTITION BY user_id ORDER BY sec RANGE BETWEEN 86399 PRECEDING AND 1 PRECEDING)
+    + row_number() OVER (PARTITION BY user_id, sec ORDER BY event_id) - 1 AS prior FROM e WHERE NOT late)
+  SELECT event_id, user_id, sec, prior::BIGINT AS prior, prior < 3 AS allowed, 'decided' AS status FROM p UNION ALL SELECT event_id, user_id, sec, NULL, NULL, 'late' FROM e WHERE late"""
+DUPLICATES_BY_TIME_SQL = f"""WITH RECURSIVE t AS ({_LATE_SQL.format(closes=f'{MILLIS_SQL} + 1')}), {_CHAIN_SQL.format(source='t WHERE NOT late')}
+  SELECT event_id, user_id, event_type, ms, 'decided' AS status FROM k UNION ALL SELECT event_id, user_id, event_type, {MILLIS_SQL}, 'late' FROM t WHERE late"""
 
 
 @query("near_duplicate_messages", DUPLICATES_SQL)
@@ -142,20 +153,26 @@ def assembled_suggestions(s, d):
     return whole.join(sizes, "id").select("id.conv_id", "id.turn", "suggestion", "chunks")
 
 
-@query(
-    "latest_status",
-    """WITH u AS (SELECT user_id, event_id, event_type AS status, 'k' || (event_id % 3) AS name, event_type AS v FROM events),
+LATEST_SQL = """WITH u AS (SELECT user_id, event_id, event_type AS status, 'k' || (event_id % 3) AS name, event_type AS v FROM events),
     m AS (SELECT user_id, name, arg_max(v, event_id) AS v FROM u GROUP BY user_id, name)
     SELECT s.user_id, s.status, e.moderation FROM (SELECT user_id, arg_max(status, event_id) AS status FROM u GROUP BY user_id) s
-    JOIN (SELECT user_id, string_agg(name || '=' || v, ',' ORDER BY name) AS moderation FROM m GROUP BY user_id) e USING (user_id)""",
-)
-def latest_status(s, d):
-    updates = table(s, d, "events").select(
+    JOIN (SELECT user_id, string_agg(name || '=' || v, ',' ORDER BY name) AS moderation FROM m GROUP BY user_id) e USING (user_id)"""
+
+
+def status_updates(events):
+    return events.select(
         "user_id",
         "event_id",
         c("event_type").alias("status"),
         F.create_map(F.concat(F.lit("k"), (c("event_id") % 3).cast("string")), "event_type").alias("moderation"),
     )
-    out = tables.latest_by_id(updates, "user_id", "event_id", "status", "moderation")
+
+
+def status_rows(out):
     entries = F.transform(F.map_entries("moderation"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return out.select("user_id", "status", F.array_join(entries, ",").alias("moderation"))
+
+
+@query("latest_status", LATEST_SQL)
+def latest_status(s, d):
+    return status_rows(tables.latest_by_id(status_updates(table(s, d, "events")), "user_id", "event_id", "status", "moderation"))

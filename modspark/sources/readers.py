@@ -75,10 +75,35 @@ def latest_params(spark: SparkSession, path: str, schema: StructType) -> DataFra
     their id, a date (with or without a time) or its only number (``sinks.run_version``); an id without such an
     order is an error. A table without runs is returned whole.
     """
-    own = ("run_id", "version")
-    given = StructType([f for f in schema.fields if f.name not in own])
-    stored = StructType([*given.fields, StructField("version", LongType()), StructField("run_id", StringType())])
-    df = spark.read.schema(stored).json(path)
+    df = _param_runs(spark, path, schema)
+    newest = df.agg(_newest_run()).scalar()
+    return df.filter(F.col("run_id").eqNullSafe(newest)).drop("run_id", "version")
+
+
+def newest_run(spark: SparkSession, path: str) -> str | None:
+    """The id of the newest run by the same order; None where there is none."""
+    try:
+        return _param_runs(spark, path, StructType()).agg(_newest_run().alias("run")).first()["run"]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def params_of_run(spark: SparkSession, path: str, schema: StructType, run_id: str | None) -> DataFrame:
+    """Rows of one run, none for a null id."""
+    if run_id is None:
+        return spark.createDataFrame([], schema)
+    return _param_runs(spark, path, schema).filter(F.col("run_id") == run_id).drop("run_id", "version")
+
+
+def _param_runs(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    given = [f for f in schema.fields if f.name not in ("run_id", "version")]
+    stored = StructType([*given, StructField("version", LongType()), StructField("run_id", StringType())])
+    return spark.read.schema(stored).json(path)
+
+
+def _newest_run() -> Column:
     day = r"^\D*(\d{4})-(\d\d)-(\d\d)(?:[T_ ](\d\d):?(\d\d)(?::?(\d\d))?)?\D*$"
     digits = F.concat(*(F.regexp_extract("run_id", day, i) for i in range(1, 7)))
     number = r"^\D*(\d{1,18})\D*$"
@@ -88,8 +113,8 @@ def latest_params(spark: SparkSession, path: str, schema: StructType) -> DataFra
         .when(F.col("run_id").rlike(number), F.regexp_extract("run_id", number, 1).cast("long"))
         .when(F.col("run_id").isNotNull(), F.raise_error(F.concat(F.lit("run id without an order: "), "run_id")).cast("long"))
     )
-    newest = df.where("run_id is not null").agg(F.max(F.struct(place.alias("place"), "run_id"))["run_id"]).scalar()
-    return df.filter(F.col("run_id").eqNullSafe(newest)).drop(*own)
+    run = F.struct(place.alias("place"), "run_id")
+    return F.max(F.when(F.col("run_id").isNotNull(), run))["run_id"]
 
 
 def load_thresholds(spark: SparkSession, path: str) -> DataFrame:
