@@ -207,8 +207,8 @@ def script_ratio(s, d):
 
 
 _LEX_SQL = "[" + ", ".join(q(w) for w in fv.ROMANISED_HINDI) + "]"
-_LANG_SQL = f"""WITH s AS (SELECT doc_id, lang, {_MIXED_SQL} AS t FROM documents),
- n AS (SELECT *, {', '.join(f"{_n('t', _block_sql(b))} AS n_{name}" for name, b, _ in fv.SCRIPT_BLOCKS)},
+# Reads s (doc_id, lang, t), where lang is what another detector says.
+_RULES_SQL = f"""n AS (SELECT *, {', '.join(f"{_n('t', _block_sql(b))} AS n_{name}" for name, b, _ in fv.SCRIPT_BLOCKS)},
    {_n('t', 'a-zA-Z')} AS latin, list_distinct({tokens_sql('lower(t)')}) AS toks FROM s),
  m AS (SELECT *, {' + '.join('n_' + name for name, _, _ in fv.SCRIPT_BLOCKS)} AS indian,
    greatest({', '.join('n_' + name for name, _, _ in fv.SCRIPT_BLOCKS)}) AS top,
@@ -222,7 +222,7 @@ _LANG_SQL = f"""WITH s AS (SELECT doc_id, lang, {_MIXED_SQL} AS t FROM documents
    WHEN lang = 'hi' THEN 'hi-en' ELSE lang END AS language FROM o"""
 
 
-@query("detect_language", _LANG_SQL)
+@query("detect_language", f"WITH s AS (SELECT doc_id, lang, {_MIXED_SQL} AS t FROM documents), {_RULES_SQL}")
 def detect_language(s, d):
     return _mixed(s, d).select("doc_id", L.detect_language(c("text"), c("lang")).alias("language"))
 
@@ -244,28 +244,42 @@ def romanized_hits(s, d):
 
 LANGUAGES = ["de", "en", "es", "fr"]
 
-_GRAMS_SQL = """g AS (SELECT doc_id, lang, unnest(list_concat(regexp_extract_all(t, '(?s).{3}'),
-     regexp_extract_all(t[2:], '(?s).{3}'), regexp_extract_all(t[3:], '(?s).{3}'))) AS gram
-     FROM (SELECT doc_id, lang, lower(text) AS t FROM documents))"""
 
-
-@query(
-    "ngram_langid",
-    f"""WITH {_GRAMS_SQL},
+def _predicted_sql(text: str) -> str:
+    return f"""g AS (SELECT doc_id, lang, unnest(list_concat(regexp_extract_all(t, '(?s).{{3}}'),
+     regexp_extract_all(t[2:], '(?s).{{3}}'), regexp_extract_all(t[3:], '(?s).{{3}}'))) AS gram
+     FROM (SELECT doc_id, lang, lower({text}) AS t FROM documents)),
     per AS (SELECT gram, {', '.join(f"count(*) FILTER (WHERE lang = '{x}') AS {x}" for x in LANGUAGES)} FROM g GROUP BY gram),
     kept AS (SELECT * FROM per WHERE de + en + es + fr > 0),
     sums AS (SELECT count(*) AS size, {', '.join(f"sum({x}) AS s_{x}" for x in LANGUAGES)} FROM kept),
     w AS (SELECT gram, {', '.join(f"round(1000 * ln(({x} + 1)::DOUBLE / (s_{x} + size)))::BIGINT AS {x}" for x in LANGUAGES)} FROM kept, sums),
-    sc AS (SELECT doc_id, {', '.join(f"sum({x}) AS {x}" for x in LANGUAGES)} FROM g JOIN w USING (gram) GROUP BY doc_id)
-    SELECT d.doc_id, d.lang, CASE greatest(sc.de, sc.en, sc.es, sc.fr) WHEN sc.de THEN 'de' WHEN sc.en THEN 'en'
-      WHEN sc.es THEN 'es' WHEN sc.fr THEN 'fr' END AS predicted
-    FROM documents d LEFT JOIN sc USING (doc_id)""",
-)
-def ngram_langid(s, d):
-    docs = documents(s, d, "doc_id", "lang", "text")
+    sc AS (SELECT doc_id, {', '.join(f"sum({x}) AS {x}" for x in LANGUAGES)} FROM g JOIN w USING (gram) GROUP BY doc_id),
+    pred AS (SELECT doc_id, CASE greatest(sc.de, sc.en, sc.es, sc.fr) WHEN sc.de THEN 'de' WHEN sc.en THEN 'en'
+      WHEN sc.es THEN 'es' WHEN sc.fr THEN 'fr' END AS predicted FROM sc)"""
+
+
+def _with_predicted(docs):
+    """In the row, or by a join where the profiles are too large for that."""
     profiles = langid.train_profiles(docs, LANGUAGES, "text", "lang")
-    predicted = langid.identify(docs, profiles, LANGUAGES, "doc_id", "text")
-    return docs.select("doc_id", "lang").join(predicted, "doc_id")
+    in_row = langid.predictor(profiles, LANGUAGES)
+    if in_row is not None:
+        return docs.withColumn("predicted", in_row(c("text")))
+    return docs.join(langid.identify(docs, profiles, LANGUAGES, "doc_id", "text", max_bytes=0), "doc_id")
+
+
+@query("ngram_langid", f"WITH {_predicted_sql('text')} SELECT d.doc_id, d.lang, predicted FROM documents d LEFT JOIN pred USING (doc_id)")
+def ngram_langid(s, d):
+    return _with_predicted(documents(s, d, "doc_id", "lang", "text")).select("doc_id", "lang", "predicted")
+
+
+@query(
+    "detect_language_trained",
+    f"""WITH {_predicted_sql(_MIXED_SQL)}, s AS (SELECT doc_id, coalesce(predicted, 'en') AS lang, {_MIXED_SQL} AS t FROM documents LEFT JOIN pred USING (doc_id)), {_RULES_SQL}""",
+)
+def detect_language_trained(s, d):
+    """The trained detector decides where neither script nor indicator words do."""
+    rest = langid.fallback_column(c("predicted"))
+    return _with_predicted(_mixed(s, d)).select("doc_id", L.detect_language(c("text"), rest).alias("language"))
 
 
 @query(

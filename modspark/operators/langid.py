@@ -6,13 +6,16 @@ in which partitions are added.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modspark.session import broadcast_if_small
+PROFILE_BYTES = 64 << 20
+_CHUNK = 1 << 21
 
 
 def grams_of(df: DataFrame, keys: Sequence[str], text: str, n: int = 3) -> DataFrame:
@@ -47,18 +50,89 @@ def train_profiles(
     )
 
 
+def _packed(points: np.ndarray, n: int) -> np.ndarray:
+    """One integer for every ``n`` code points in a row."""
+    points = points.astype("int64")
+    ids = points[: len(points) - n + 1].copy()
+    for i in range(1, n):
+        ids = (ids << 21) | points[i : len(points) - n + 1 + i]
+    return ids
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+
+
+def _best(texts: list[str], grams: np.ndarray, weights: np.ndarray, n: int) -> list[int]:
+    """Place of the language with the largest summed weight for each text, -1 where no gram is known."""
+    sizes = np.array([max(len(t) - n + 1, 0) for t in texts], dtype="int64")
+    ids = np.concatenate([_packed(_points(t), n) for t in texts if len(t) >= n] or [np.empty(0, "int64")])
+    at = np.minimum(np.searchsorted(grams, ids), len(grams) - 1)
+    known = grams[at] == ids
+    end = np.cumsum(sizes)
+    start = end - sizes
+    count = np.concatenate([[0], np.cumsum(known)])
+    sums = []
+    for column in weights:
+        total = np.concatenate([[0], np.cumsum(np.where(known, column[at], 0))])
+        sums.append(total[end] - total[start])
+    return np.where(count[end] > count[start], np.argmax(np.array(sums), axis=0), -1).tolist()
+
+
+def predictor(
+    profiles: DataFrame, languages: Sequence[str], n: int = 3, max_bytes: int = PROFILE_BYTES
+) -> Callable[[Column], Column] | None:
+    """``Column -> Column``: the language of a text, found in its row, with no row for each gram and no shuffle.
+
+    Reads at most as many profile rows as fit ``max_bytes`` as a sorted table of grams and weights, which goes to
+    every executor. None for a larger table, or grams over three characters: ``identify`` joins those.
+    The earlier language wins ties; null where no gram is known.
+    """
+    bound = max_bytes // (8 * (len(languages) + 1))
+    if n > 3 or not bound:
+        return None
+    table = profiles.select("gram", *languages).limit(bound + 1).toArrow()
+    if table.num_rows > bound:
+        return None
+    spark = profiles.sparkSession
+    grams = np.empty(0, "int64")
+    if table.num_rows:
+        grams = _packed(_points("".join(table["gram"].to_pylist())), n)[::n]
+    order = np.argsort(grams)
+    weights = np.array([table[x].to_numpy()[order] for x in languages], dtype="int64")
+    model = spark.sparkContext.broadcast((grams[order], weights))
+    names = [*languages, None]
+
+    @F.pandas_udf("string")
+    def predict(texts: pd.Series) -> pd.Series:
+        table, columns = model.value
+        given = [t if isinstance(t, str) else "" for t in texts]
+        out, first, size = [], 0, 0
+        for i, text in enumerate(given):  # bounds the arrays of one step
+            size += len(text)
+            if size >= _CHUNK or i == len(given) - 1:
+                part = given[first : i + 1]
+                out += _best(part, table, columns, n) if len(table) else [-1] * len(part)
+                first, size = i + 1, 0
+        return pd.Series([names[i] for i in out], dtype=object)
+
+    return lambda text: predict(F.lower(text))
+
+
 def identify(
-    df: DataFrame, profiles: DataFrame, languages: Sequence[str], row_id: str, text: str, n: int = 3
+    df: DataFrame, profiles: DataFrame, languages: Sequence[str], row_id: str, text: str, n: int = 3, max_bytes: int = PROFILE_BYTES
 ) -> DataFrame:
     """(row id, predicted): the language with the largest summed weight, the earlier
     name on ties; null when no gram is known.
 
-    Profiles are broadcast while they pass the size check, and joined by shuffle beyond it. Grams of
-    a text are counted before they meet them.
+    Scored in the row where the profiles pass the size check of ``predictor``. Beyond it grams of a text are
+    counted and meet the profiles by a shuffled join.
     """
-    table = broadcast_if_small(profiles)
+    in_row = predictor(profiles, languages, n, max_bytes)
+    if in_row is not None:
+        return df.select(row_id, in_row(F.col(text)).alias("predicted"))
     counted = grams_of(df, [row_id], text, n).groupBy(row_id, "gram").agg(F.count(F.lit(1)).alias("_n"))
-    sums = counted.join(table, "gram").groupBy(row_id).agg(*[F.sum(F.col(l) * F.col("_n")).alias(l) for l in languages])
+    sums = counted.join(profiles, "gram").groupBy(row_id).agg(*[F.sum(F.col(l) * F.col("_n")).alias(l) for l in languages])
     best = F.array_max(
         F.array(
             *[
