@@ -291,7 +291,7 @@ def source_mix(s, d):
 
 @query(
     "profile_report",
-    f"""WITH x AS (SELECT d.text, d.lang, l.toxic, l.quality FROM documents d JOIN labels l USING (doc_id)), n AS (SELECT count(*) AS n FROM x),
+    f"""WITH x AS (SELECT d.text, d.lang, coalesce(l.toxic, 0) AS toxic, coalesce(l.quality, 0) AS quality FROM documents d LEFT JOIN labels l USING (doc_id)), n AS (SELECT count(*) AS n FROM x),
     cnt AS (SELECT lang, count(*) AS c FROM x GROUP BY lang),
     w AS (SELECT 1 AS pos, 'toxic' AS tag, sum(toxic)::BIGINT AS p FROM x UNION ALL SELECT 2, 'quality', sum(quality)::BIGINT FROM x),
     v AS (SELECT 'characters' AS unit, length(text) AS v FROM x UNION ALL SELECT 'words', len({tokens_sql('text')}) FROM x)
@@ -304,8 +304,8 @@ def source_mix(s, d):
     UNION ALL SELECT 6, CASE unit WHEN 'characters' THEN 1 ELSE 2 END, printf('| %s | %.1f | %.1f | %.1f | %d |', unit, avg(v), quantile_cont(v, 0.5)::DOUBLE, quantile_cont(v, 0.95)::DOUBLE, max(v)) FROM v GROUP BY unit""",
 )
 def profile_report(s, d):
-    x = table(s, d, "documents").select("doc_id", "text", "lang").join(table(s, d, "labels"), "doc_id")
-    return profile.profile_lines(x, "text", "lang", ["toxic", "quality"])
+    x = table(s, d, "documents").select("doc_id", "text", "lang").join(table(s, d, "labels"), "doc_id", "left")
+    return profile.profile_lines(x.fillna(0, ["toxic", "quality"]), "text", "lang", ["toxic", "quality"])
 
 
 # --- keys, inserts, users ---------------------------------------------------------------
@@ -444,12 +444,12 @@ SEED_ROWS = [
     "seed_union",
     """SELECT text, source_language, toxic, insult FROM (VALUES ('good morning everyone', 'english (curated)', 0, 0), ('what a clown you are', 'english (curated)', 1, 1),
       ('नमस्ते दोस्तों', 'hindi_devanagari (curated)', 0, 0)) v(text, source_language, toxic, insult)
-    UNION ALL SELECT text, 'english (comments)', toxic, 0 FROM documents JOIN labels USING (doc_id)""",
+    UNION ALL SELECT text, 'english (comments)', coalesce(toxic, 0), 0 FROM documents LEFT JOIN labels USING (doc_id)""",
 )
 def seed_union(s, d):
-    docs = table(s, d, "documents").select("doc_id", "text").join(table(s, d, "labels"), "doc_id")
+    docs = table(s, d, "documents").select("doc_id", "text").join(table(s, d, "labels"), "doc_id", "left")
     comments = docs.select(
-        c("text").alias("comment_text"), "toxic", *[F.lit(0).alias(t) for t in k.LABELS if t != "toxic"]
+        c("text").alias("comment_text"), F.coalesce("toxic", F.lit(0)).alias("toxic"), *[F.lit(0).alias(t) for t in k.LABELS if t != "toxic"]
     )
     both = readers.seed_rows(s, SEED_ROWS).unionByName(corpus.from_comments(comments))
     return both.select("text", "source_language", "toxic", "insult")

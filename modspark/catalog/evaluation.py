@@ -256,12 +256,12 @@ def comparison_report(s, d):
 
 @query(
     "aligned_predictions",
-    f"""WITH {_LOW}, b AS (SELECT doc_id, {derived_sql('doc_id')[0]} AS score FROM documents WHERE length(text) > 1000)
+    f"""WITH {_LOW}, b AS (SELECT doc_id, {derived_sql('doc_id')[0]} AS score FROM documents)
     SELECT doc_id, a.s0 AS a_score, b.score AS b_score, (a.s0 >= 0.5) IS DISTINCT FROM (b.score >= 0.5) AS differ FROM scored a FULL JOIN b USING (doc_id)""",
 )
 def aligned_predictions(s, d):
     a = predictions(s, d).filter("tag = 'toxic'").select("doc_id", "score")
-    b = table(s, d, "documents").filter(F.length("text") > 1000).select("doc_id", derived_scores("doc_id")[0].alias("score"))
+    b = table(s, d, "documents").select("doc_id", derived_scores("doc_id")[0].alias("score"))
     out = tables.align_predictions(a, b, "doc_id")
     differ = ~(c("a_score") >= 0.5).eqNullSafe(c("b_score") >= 0.5)
     return out.withColumn("differ", differ)

@@ -532,12 +532,11 @@ def channel_names(s, d):
 
 @query(
     "email_keys",
-    "SELECT c_custkey, lower(c_name || '@Example.COM') AS email FROM customer WHERE c_acctbal > 0",
+    "SELECT c_custkey, lower(c_name || '@Example.COM') AS email FROM customer",
 )
 def email_keys(s, d):
     return (
         table(s, d, "customer")
-        .filter("c_acctbal > 0")
         .select("c_custkey", T.email_key(F.concat("c_name", F.lit("@Example.COM"))).alias("email"))
     )
 
