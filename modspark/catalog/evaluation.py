@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from modspark import constants as k
-from modspark.catalog.common import derived_scores, derived_sql, documents, query, table
+from modspark.catalog.common import clean_sql, derived_scores, derived_sql, documents, query, table
+from modspark.catalog.flows import context_sql
 from modspark.catalog.moderation import points_ctes
+from modspark.catalog.texts import RULES_SQL, normalized_ctes
+from modspark.functions import lang as L
+from modspark.functions import scores as S
+from modspark.functions import text as T
 from modspark.functions.maths import focal
 from modspark.operators import evaluate as E
 from modspark.operators import scoring, tables
+from modspark.plans.moderation import moderate_conversations
 
 c = F.col
 
@@ -267,15 +273,72 @@ def aligned_predictions(s, d):
     return out.withColumn("differ", differ)
 
 
+# Conversations, some in two scripts or with look-alikes, scored with and without what was said before.
+_SPOKEN_SQL = """SELECT conv_id, turn, CASE conv_id % 4 WHEN 1 THEN translate(text, 'aeiou', 'अएइओउ') WHEN 2 THEN replace(text, 'o', '0') || '!!!!'
+  WHEN 3 THEN text || ' kya hai' ELSE text END AS text FROM conversations"""
+_KINDS = ("language", "script", "obfuscated", "context")
+_SLICES_SQL = f"""v AS ({_SPOKEN_SQL}), f AS (SELECT *, conv_id * 1000 + turn AS doc_id, regexp_matches(text, '[\\x{{900}}-\\x{{D7F}}]') AS indic, regexp_matches(text, '[a-zA-Z]') AS latin FROM v),
+    r AS (SELECT l.language, CASE WHEN indic AND latin THEN 'mixed' WHEN indic THEN 'indic' WHEN latin THEN 'latin' ELSE 'none' END AS script,
+      n.t <> {clean_sql('f.text')} AS obfuscated, f.turn > min(f.turn) OVER (PARTITION BY f.conv_id) AS context, coalesce(y.toxic, 0) AS y, a.overall, a.alone
+      FROM f JOIN ({context_sql('v')}) a USING (conv_id, turn) JOIN (WITH s AS (SELECT doc_id, 'en' AS lang, text AS t FROM f), {RULES_SQL}) l USING (doc_id)
+      JOIN (WITH {normalized_ctes('SELECT doc_id, text AS t FROM f')} SELECT doc_id, t FROM norm) n USING (doc_id) LEFT JOIN labels y ON y.doc_id = f.conv_id),
+    p AS (SELECT *, 'candidate' AS model, overall AS score FROM r UNION ALL SELECT *, 'champion', alone FROM r),
+    c AS ({' UNION ALL '.join(f"SELECT '{kind}' AS kind, * FROM ({confusion_sql(f'(SELECT {kind}::VARCHAR AS slice, * FROM p)', 'slice, model')})" for kind in _KINDS)})"""
+
+
+def _sliced(s, d):
+    """Counts per slice of the scorer with context (candidate) and without (champion), from one scan and one exchange."""
+    t, which = c("text"), c("conv_id") % 4
+    spoken = F.when(which == 1, F.translate(t, "aeiou", "अएइओउ")).when(which == 2, F.concat(F.replace(t, F.lit("o"), F.lit("0")), F.lit("!!!!")))
+    said = table(s, d, "conversations").select("conv_id", "turn", spoken.when(which == 3, F.concat(t, F.lit(" kya hai"))).otherwise(t).alias("text"))
+    scored = moderate_conversations(said, "conv_id", "turn")
+    indic, latin = t.rlike(L.ANY_INDIAN), t.rlike("[a-zA-Z]")
+    truth = table(s, d, "labels").select(c("doc_id").alias("conv_id"), "toxic")
+    rows = scored.join(truth, "conv_id", "left").select(
+        c("detected_language").alias("language"),
+        F.when(indic & latin, "mixed").when(indic, "indic").when(latin, "latin").otherwise("none").alias("script"),
+        (T.normalize_for_toxicity(t) != T.clean_text(t)).alias("obfuscated"),
+        (F.size("history") > 0).alias("context"),
+        F.coalesce("toxic", F.lit(0)).alias("y"),
+        F.inline(F.array(*[
+            F.struct(F.lit(model).alias("model"), score.alias("score"))
+            for model, score in (("candidate", c("overall_score")), ("champion", F.array_max(S.lexicon_scores(T.normalize_for_toxicity(t)))))
+        ])),
+    )
+    return E.slice_confusion(rows, _KINDS, ["model"])
+
+
 @query(
     "slice_metrics",
     f"""WITH {_PRED}, n AS ({confusion_sql('pred', 'lang, tag')}) SELECT lang AS slice, tag, tp, fp, fn, tn, round(coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0), 6) AS recall, round({_F1}, 6) AS f1 FROM n""",
 )
 def slice_metrics(s, d):
-    out = E.confusion(predictions(s, d), ["lang", "tag"])
-    return out.select(
-        c("lang").alias("slice"), "tag", "tp", "fp", "fn", "tn", F.round("recall", 6).alias("recall"), F.round("f1", 6).alias("f1")
-    )
+    out = E.slice_confusion(predictions(s, d), ["lang"])
+    return out.select("slice", "tag", "tp", "fp", "fn", "tn", F.round("recall", 6).alias("recall"), F.round("f1", 6).alias("f1"))
+
+
+@query(
+    "slice_kinds",
+    f"WITH {_SLICES_SQL} SELECT kind, slice, model, tp, fp, fn, tn, round(coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0), 6) AS recall, round({_F1}, 6) AS f1 FROM c",
+)
+def slice_kinds(s, d):
+    return _sliced(s, d).select("kind", "slice", "model", "tp", "fp", "fn", "tn", F.round("recall", 6).alias("recall"), F.round("f1", 6).alias("f1"))
+
+
+@query(
+    "promotion_by_slice",
+    f"""WITH {_SLICES_SQL}, m AS (SELECT kind || ':' || slice AS slice, 'toxic' AS tag, model, {_F1} AS f1, coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0) AS recall FROM c),
+    w AS (SELECT slice, tag, max(f1) FILTER (WHERE model = 'champion') AS hf, max(f1) FILTER (WHERE model = 'candidate') AS cf,
+      max(recall) FILTER (WHERE model = 'champion') AS hr, max(recall) FILTER (WHERE model = 'candidate') AS cr FROM m GROUP BY slice, tag)
+    SELECT slice, tag, round(hf, 6) AS champion_f1, round(cf, 6) AS candidate_f1, round(hr, 6) AS champion_recall, round(cr, 6) AS candidate_recall,
+      CASE WHEN slice IN ('language:hi-en', 'context:true') THEN cf > hf ELSE true END AS f1_ok, cr >= hr AS recall_ok,
+      CASE WHEN slice IN ('language:hi-en', 'context:true') THEN cf > hf ELSE true END AND cr >= hr AS promote FROM w""",
+)
+def promotion_by_slice(s, d):
+    slices = _sliced(s, d).select("model", F.concat_ws(":", "kind", "slice").alias("slice"), F.lit("toxic").alias("tag"), "f1", "recall")
+    out = E.promotion_check(slices, ["language:hi-en", "context:true"], ["toxic"])
+    rounded = [F.round(x, 6).alias(x) for x in ("champion_f1", "candidate_f1", "champion_recall", "candidate_recall")]
+    return out.select("slice", "tag", *rounded, "f1_ok", "recall_ok", "promote")
 
 
 @query(

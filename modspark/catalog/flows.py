@@ -237,6 +237,26 @@ def ops_metrics(s, d):
     )
 
 
+@query(
+    "ops_rollup",
+    """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS requests, true AS p50_within, true AS p95_within FROM events GROUP BY 1, 2""",
+)
+def ops_rollup(s, d):
+    """Percentiles of days from sketches of minutes and hours, held against the ranks of all rows."""
+    log = table(s, d, "events").select("ts", "event_type", "value")
+    minutes = monitor.latency_sketches(log, "ts", "value", "1 minute", ["event_type"])
+    days = monitor.roll_up(monitor.roll_up(minutes, "1 hour", ["event_type"]), "1 day", ["event_type"])
+    found = monitor.sketched_percentiles(days, {"p50": 0.5, "p95": 0.95})
+    rows = log.withColumn("window_start", F.date_trunc("day", "ts")).drop("ts").join(found, ["window_start", "event_type"])
+
+    def within(name, share):
+        below, upto = F.avg((c("value") < c(name)).cast("int")), F.avg((c("value") <= c(name)).cast("int"))
+        return ((below <= share + monitor.RANK_ERROR) & (upto >= share - monitor.RANK_ERROR)).alias(f"{name}_within")
+
+    out = rows.groupBy("window_start", "event_type").agg(F.max("requests").alias("requests"), within("p50", 0.5), within("p95", 0.95))
+    return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "requests", "p50_within", "p95_within")
+
+
 @query(
     "ops_counts",
     f"""WITH l AS (SELECT lang, {action_sql(severity_sql(derived_sql('doc_id')[0]))} AS action, 'v' || (doc_id % 2) AS model_version FROM documents)
@@ -261,7 +281,8 @@ def _overall_sql(p: str) -> str:
     return "greatest(" + ", ".join(f"printf('%.4f', coalesce({p}{i}, 0) / (coalesce({p}{i}, 0) + {HALF_POINT})::DOUBLE)::DOUBLE" for i in range(6)) + ")"
 
 
-CONTEXT_SQL = f"""WITH h AS (SELECT conv_id, turn, text, list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS h FROM conversations),
+def context_sql(source: str) -> str:
+    return f"""WITH h AS (SELECT conv_id, turn, text, list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS h FROM {source}),
   x AS (SELECT conv_id, turn, conv_id * 1000 + turn AS id, text, lower(CASE WHEN len(h) > 0 THEN array_to_string(h, ' ') END) AS context FROM h),
   {normalized_ctes('SELECT id * 2 AS doc_id, text AS t FROM x')},
   both_ AS (SELECT doc_id, t FROM norm UNION ALL SELECT id * 2 + 1, context FROM x WHERE context IS NOT NULL),
@@ -271,6 +292,9 @@ CONTEXT_SQL = f"""WITH h AS (SELECT conv_id, turn, text, list(text) OVER (PARTIT
   SELECT conv_id, turn, overall, alone, {severity_sql('overall')} AS severity, {action_sql(severity_sql('overall'))} AS status FROM o"""
 
 
+CONTEXT_SQL = context_sql("conversations")
+
+
 def context_rows(scored):
     alone = F.array_max(S.lexicon_scores(T.normalize_for_toxicity(c("text"))))
     return scored.select("conv_id", "turn", c("overall_score").alias("overall"), alone.alias("alone"), "severity", "status")

@@ -208,7 +208,7 @@ def script_ratio(s, d):
 
 _LEX_SQL = "[" + ", ".join(q(w) for w in fv.ROMANISED_HINDI) + "]"
 # Reads s (doc_id, lang, t), where lang is what another detector says.
-_RULES_SQL = f"""n AS (SELECT *, {', '.join(f"{_n('t', _block_sql(b))} AS n_{name}" for name, b, _ in fv.SCRIPT_BLOCKS)},
+RULES_SQL = f"""n AS (SELECT *, {', '.join(f"{_n('t', _block_sql(b))} AS n_{name}" for name, b, _ in fv.SCRIPT_BLOCKS)},
    {_n('t', 'a-zA-Z')} AS latin, list_distinct({tokens_sql('lower(t)')}) AS toks FROM s),
  m AS (SELECT *, {' + '.join('n_' + name for name, _, _ in fv.SCRIPT_BLOCKS)} AS indian,
    greatest({', '.join('n_' + name for name, _, _ in fv.SCRIPT_BLOCKS)}) AS top,
@@ -222,7 +222,7 @@ _RULES_SQL = f"""n AS (SELECT *, {', '.join(f"{_n('t', _block_sql(b))} AS n_{nam
    WHEN lang = 'hi' THEN 'hi-en' ELSE lang END AS language FROM o"""
 
 
-@query("detect_language", f"WITH s AS (SELECT doc_id, lang, {_MIXED_SQL} AS t FROM documents), {_RULES_SQL}")
+@query("detect_language", f"WITH s AS (SELECT doc_id, lang, {_MIXED_SQL} AS t FROM documents), {RULES_SQL}")
 def detect_language(s, d):
     return _mixed(s, d).select("doc_id", L.detect_language(c("text"), c("lang")).alias("language"))
 
@@ -274,7 +274,7 @@ def ngram_langid(s, d):
 
 @query(
     "detect_language_trained",
-    f"""WITH {_predicted_sql(_MIXED_SQL)}, s AS (SELECT doc_id, coalesce(predicted, 'en') AS lang, {_MIXED_SQL} AS t FROM documents LEFT JOIN pred USING (doc_id)), {_RULES_SQL}""",
+    f"""WITH {_predicted_sql(_MIXED_SQL)}, s AS (SELECT doc_id, coalesce(predicted, 'en') AS lang, {_MIXED_SQL} AS t FROM documents LEFT JOIN pred USING (doc_id)), {RULES_SQL}""",
 )
 def detect_language_trained(s, d):
     """The trained detector decides where neither script nor indicator words do."""

@@ -68,21 +68,32 @@ def with_thresholds(
     )
 
 
-def confusion(long: DataFrame, keys: Sequence[str] = ("tag",), hit: Column | None = None) -> DataFrame:
-    """Counts and precision, recall, F1 (0 where undefined) per key."""
+def _counts(long: DataFrame, hit: Column | None) -> list[Column]:
     hit = F.col("score") >= k.DEFAULT_TAG_THRESHOLD if hit is None else hit
     pos = F.col("y") == 1
     w = _weight(long)
+    cells = {"tp": hit & pos, "fp": hit & ~pos, "fn": ~hit & pos, "tn": ~hit & ~pos}
+    return [F.sum(F.when(cell, w).otherwise(0)).alias(name) for name, cell in cells.items()]
 
-    def total(cond: Column) -> Column:
-        return F.sum(F.when(cond, w).otherwise(0))
 
-    counts = long.groupBy(*keys).agg(
-        total(hit & pos).alias("tp"),
-        total(hit & ~pos).alias("fp"),
-        total(~hit & pos).alias("fn"),
-        total(~hit & ~pos).alias("tn"),
-    )
+def confusion(long: DataFrame, keys: Sequence[str] = ("tag",), hit: Column | None = None) -> DataFrame:
+    """Counts and precision, recall, F1 (0 where undefined) per key."""
+    return _with_ratios(long.groupBy(*keys).agg(*_counts(long, hit)), keys)
+
+
+def slice_confusion(long: DataFrame, slices: Sequence[str], keys: Sequence[str] = ("tag",), hit: Column | None = None) -> DataFrame:
+    """``kind, slice, keys`` and the counts and ratios of ``confusion`` for several slicings at once.
+
+    Each column of ``slices`` cuts all rows anew. All are counted in one pass and one exchange
+    (GROUPING SETS over map-side counts). A null value is a slice of its own, with a null name.
+    """
+    sets = [[name, *keys] for name in slices]
+    of = [F.when(F.grouping(name) == 0, F.struct(F.lit(name).alias("kind"), F.col(name).cast("string").alias("slice"))) for name in slices]
+    counts = long.groupingSets(sets, *slices, *keys).agg(F.coalesce(*of).alias("_of"), *_counts(long, hit))
+    return _with_ratios(counts.select("_of.kind", "_of.slice", *keys, "tp", "fp", "fn", "tn"), ["kind", "slice", *keys])
+
+
+def _with_ratios(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     return counts.select(
         *keys,
         "tp",

@@ -60,3 +60,19 @@ def test_evaluate_and_compare(spark):
     assert (out.rows, out.macro_f1, out.micro_f1, out.roc_auc) == (10, 1.0, 1.0, 1.0)
     two = spark.createDataFrame([("val", "x", 0.5), ("val", "y", 0.75)], "split string, model string, f double")
     assert E.compare_models(two, "x", "y", ["f"]).first().difference == 0.25
+
+
+def test_slices_in_one_exchange_equal_slices_one_by_one(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["en", "hi", None]), rng.random() < 0.3, rng.choice("ab"), rng.randrange(2), rng.random()) for _ in range(500)]
+    long = spark.createDataFrame(rows, "lang string, hard boolean, tag string, y int, score double")
+    out = E.slice_confusion(long, ["lang", "hard"])
+    got = {(r.kind, r.slice, r.tag): (r.tp, r.fp, r.fn, r.tn, r.f1) for r in out.collect()}
+    want = {}
+    for kind in ("lang", "hard"):
+        for r in E.confusion(long.withColumn(kind, F.col(kind).cast("string")), [kind, "tag"]).collect():
+            want[kind, r[kind], r.tag] = (r.tp, r.fp, r.fn, r.tn, r.f1)
+    assert got == want and ("lang", None, "a") in got
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert E.slice_confusion(long.limit(0), ["lang", "hard"]).count() == 0
