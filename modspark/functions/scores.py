@@ -20,7 +20,7 @@ MAX_INLINE_TERMS = 2000
 def lexicon_hits(c: Column, terms: Sequence[str]) -> Column:
     """Every whole-word occurrence of a term, in text order."""
     if len(terms) > MAX_INLINE_TERMS:
-        raise ValueError("use operators.scoring.score_by_term_table for large term tables")
+        raise ValueError("use operators.scoring.term_table_scorer for large term tables")
     longest_first = sorted(terms, key=lambda t: (-len(t), t))
     pattern = whole_words("|".join(re.escape(t) for t in longest_first))
     return F.regexp_extract_all(c, F.lit(f"({pattern})"), F.lit(1))

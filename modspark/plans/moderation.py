@@ -16,7 +16,7 @@ from modspark.operators import policy as P
 from modspark.operators import scoring
 from modspark.operators import windows as W
 from modspark.operators.windows import context_string, rate_limit
-from modspark.session import broadcast_if_small
+from modspark.session import broadcast_if_small, scratch_path
 
 
 @dataclass
@@ -125,7 +125,11 @@ def moderate(
         checked = rate_limit(df.select(attempt), "user_id", "second", "arrival", *limits, then=[row_id])
         refused = checked.filter(~F.col("allowed")).groupBy(attempt)
         refused = refused.agg(F.count(F.lit(1)).alias("_n"), F.min("prior").alias("_from"), F.max("prior").alias("_to"))
-        refused = broadcast_if_small(refused.withColumnsRenamed({c: f"_{c}" for c in attempt}))
+        refused = refused.withColumnsRenamed({c: f"_{c}" for c in attempt})
+        # Stored, ids only: five branches of the result read it, and lost executors cost no second count.
+        stored = scratch_path(df.sparkSession, "refused")
+        refused.write.parquet(stored)
+        refused = broadcast_if_small(df.sparkSession.read.schema(refused.schema).parquet(stored))
         same = reduce(lambda x, y: x & y, [df[c].eqNullSafe(F.col(f"_{c}")) for c in attempt])
         by = Window.partitionBy(attempt).orderBy(F.xxhash64(*df.columns))
         met = df.join(refused, same).withColumn("_nth", F.row_number().over(by))
