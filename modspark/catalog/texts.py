@@ -9,6 +9,7 @@ from modspark.catalog.common import (
     WORD_SQL,
     WS_SQL,
     clean_sql,
+    derived_array,
     documents,
     q,
     query,
@@ -17,9 +18,13 @@ from modspark.catalog.common import (
     tokens_sql,
 )
 from modspark.functions import lang as L
+from modspark.functions import maths as M
 from modspark.functions import registry
+from modspark.functions import scores as S
 from modspark.functions import text as T
+from modspark.operators import feedback as FB
 from modspark.operators import langid
+from modspark.operators import windows as W
 from modspark.operators.profile import script_ratio as script_ratio_of
 from modspark.session import spread
 
@@ -557,4 +562,59 @@ def sql_functions(s, d):
     )
 
 
+def _sql_pairs():
+    """Every scalar SQL function next to the Column function of the same rule."""
+    t, x, s = c("text"), c("x"), c("s")
+    turns = F.split(t, " ")
+    probe = F.concat(F.lit('"'), F.substring(t, 1, 40), F.lit('"'))
+    plain = [
+        ("severity", "x", S.severity(x)), ("action", "mod_severity(x)", S.action(S.severity(x))), ("is_toxic", "x", S.is_toxic(x)),
+        ("squeeze", "text", T.squeeze_repeats(t)), ("homoglyphs", "text", T.map_homoglyphs(t)), ("channel_name", "concat(' #', source)", T.channel_name(F.concat(F.lit(" #"), "source"))),
+        ("snippet", "text, 20", T.snippet(t, 20)), ("has_devanagari", "text", L.has_devanagari(t)), ("is_indian_language", "lang", L.is_indian_language(c("lang"))),
+        ("mask", "text", T.mask_text(t)), ("sigmoid", "x", M.sigmoid(x)), ("softplus", "x - 0.5D", M.softplus(x - 0.5)), ("perplexity", "x * 30", M.perplexity(x * 30)),
+        ("safe_divide", "1D, x", M.safe_divide(F.lit(1.0), x)), ("strip", "text", T.strip(t)), ("word_count", "text", T.word_count(t)), ("clean", "text", T.clean_text(t)),
+        ("join_separated", "text", T.join_separated(t)), ("deleet_digits", "text", F.translate(t, fv.LEET_DIGITS_FROM, fv.LEET_DIGITS_TO)),
+        ("strip_quotes", """concat('"', left(text, 40), '"')""", T.strip_quotes(probe)), ("email_key", "text", T.email_key(t)), ("feedback_id", "text", FB.feedback_id(t)),
+        ("training_prompt", "text", T.training_prompt(t)), ("generic_reply", "text", T.is_generic_reply(t)), ("needs_rewrite", "x > 0.3, mod_severity(x)", S.needs_rewrite(x > 0.3, S.severity(x))),
+        ("route", "x > 0.3, mod_has_devanagari(text)", S.route(x > 0.3, L.has_devanagari(t))), ("top_score", "s", F.array_max(s)), ("context", "split(text, ' '), 4", W.context_string(turns)),
+        ("deleet_symbols", "mod_deleet_digits(text)", T.deleet(t)), ("normalize", "text", T.normalize_for_toxicity(t)), ("script_counts", "text", L.script_counts(t)),
+        ("language_of_counts", "mod_script_counts(concat(text, 'अ'))", L._by_script(L.script_counts(F.concat(t, F.lit("अ"))))), ("romanised_hits", "text", L.romanised_hits(t)), ("language", "text, lang", L.detect_language(t, c("lang"))),
+        ("scrub", "text", T.scrub_rewrite(t)), ("tidy", "text, source", T._tidy(t, c("source"))), ("plain_scrub", "text", T.simple_scrub(t)),
+        ("lexicon_points", "lower(text)", S.lexicon_points(F.lower(t))), ("lexicon_scores", "lower(text)", S.lexicon_scores(F.lower(t))), ("gate", "s, x", S.gate(s, x)),
+        ("tag_triggers", "s, 0.5D", S.tag_triggers(s)), ("top_tag", "s", S.top_tag(s)), ("nfc", "text", T.nfc(t)),
+    ]
+    return [(f"mod_{name}", f"mod_{name}({call})", column) for name, call, column in plain]
+
+
+_PAIRED = ", ".join(q(name) for name in [*registry._DDL, "mod_nfc"])
+
+
+@query("sql_functions_equal", f"SELECT unnest([{_PAIRED}]) AS name, rows, rows AS equal FROM (SELECT count(*) AS rows FROM documents)")
+def sql_functions_equal(s, d):
+    """How many documents give the same by the SQL name and by the Column, for every registered name."""
+    registry.register(s)
+    rows = _mixed(s, d).join(table(s, d, "documents").select("doc_id", "source"), "doc_id")
+    rows = rows.withColumn("x", (c("doc_id") % 101) / 100.0).withColumn("s", derived_array("doc_id"))
+    pairs = _sql_pairs()
+    same = rows.select(*[F.expr(call).eqNullSafe(column).alias(name) for name, call, column in pairs])
+    counts = same.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(name).alias(name) for name, _, _ in pairs])
+    entries = F.array(*[F.struct(F.lit(name).alias("name"), F.col(name).alias("equal")) for name, _, _ in pairs])
+    return counts.select("rows", F.inline(entries)).select("name", "rows", "equal")
+
+
+@query(
+    "sql_table_functions",
+    """SELECT conv_id, turn, unnest(range(len(w)))::INTEGER AS seq, unnest(list_transform(w, lambda x, i: CASE WHEN i < len(w) THEN x || ' ' ELSE x END)) AS chunk, 0 AS batch
+      FROM (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations)
+    UNION ALL SELECT conv_id, turn, unnest([0, 1])::INTEGER, unnest([role, text]), 1 FROM conversations""",
+)
+def sql_table_functions(s, d):
+    registry.register(s)
+    table(s, d, "conversations").createOrReplaceTempView("modspark_conversations")
+    return s.sql(
+        """SELECT conv_id, turn, seq, chunk, 0 AS batch FROM modspark_conversations, LATERAL mod_chunks(text)
+        UNION ALL SELECT conv_id, turn, position, message, 1 FROM modspark_conversations, LATERAL mod_batch(array(role, text))"""
+    )
+
+
 __all__ = ["LANGUAGES", "normalized_ctes", "spread"]

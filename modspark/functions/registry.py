@@ -7,9 +7,16 @@ one Python function and is registered under its own name.
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import SparkSession
 
-from modspark.functions import text
+from modspark import constants as k
+from modspark.functions import lang, text
+from modspark.lexicon import HALF_POINT, default_lexicon
+
 
 def _sql(value: str) -> str:
     """SQL string literal."""
@@ -22,6 +29,54 @@ def _raw(pattern: str) -> str:
     return f"r'{pattern}'"
 
 
+def _literals(values: Sequence[str]) -> str:
+    return "array(" + ", ".join(_sql(v) for v in values) + ")"
+
+
+def _rounded(values: str, x: str, digits: int) -> str:
+    """Array of ``x`` (of each element ``v``) in units of the last digit, by the rule of ``maths.round_exact``."""
+    tens, unit, half = 10**digits, 2**46, 2**45
+    parts = f"transform({values}, v -> named_struct('ones', floor({x}), 'part', ({x} - floor({x})) * {unit}D))"
+    whole = f"transform({parts}, e -> named_struct('ones', e.ones, 'n', floor(e.part), 'rest', e.part - floor(e.part)))"
+    tail = f"shiftright(e.n * {tens}L, 46)"
+    past = f"cast(e.n * {tens}L - {tail} * {unit}L - {half}L AS DOUBLE) + e.rest * {tens}D"
+    units = f"transform({whole}, e -> named_struct('units', e.ones * {tens}L + {tail}, 'past', {past}))"
+    return f"transform({units}, e -> e.units + CASE WHEN e.past > 0 OR (e.past = 0 AND e.units % 2 = 1) THEN 1L ELSE 0L END)"
+
+
+def _chain(start: str, steps: Sequence[tuple[str, str]]) -> str:
+    """Nested regular replacements, the first step innermost."""
+    for pattern, replacement in steps:
+        start = f"regexp_replace({start}, {_raw(pattern)}, {_sql(replacement)})"
+    return start
+
+
+def _leet_steps() -> list[tuple[str, str]]:
+    word, ws = text.WORD, text.WS
+    steps = []
+    for symbol, letter in text.fv.LEET_SYMBOLS:
+        sign = re.escape(symbol)
+        steps.append((f"(?:(?<=[{word}])|\\G(?!^))([^{word}{ws}{sign}]*){sign}(?=[^{word}{ws}]*+[{word}])", f"$1{letter}"))
+    return steps
+
+
+def _plain_scrub(t: str) -> str:
+    for word in text.fv.PLAIN_SCRUB_WORDS:
+        for form in (word, word.capitalize(), word.upper()):
+            t = f"replace({t}, {_sql(form)}, '')"
+    return f"array_join(filter(split({t}, {_raw('[' + text.WS + ']+')}), x -> x != ''), ' ')"
+
+
+def _count(block: str) -> str:
+    return f"length(t) - length(regexp_replace(t, {_raw('[' + block + ']+')}, ''))"
+
+
+_LABELS = _literals(k.LABELS)
+_TOKENS = f"filter(split(lower(t), {_raw('[' + text.WS + ']+')}), x -> x != '')"
+_TERMS = "|".join(re.escape(t) for t in sorted(default_lexicon(), key=lambda t: (-len(t), t)))
+_BLOCKS = text.fv.SCRIPT_BLOCKS
+_OTHER = "CASE WHEN coalesce(fallback, 'en') = 'hi' THEN 'hi-en' ELSE coalesce(fallback, 'en') END"
+
 _DDL = {
     "mod_severity": (
         "score DOUBLE",
@@ -130,6 +185,86 @@ _DDL = {
         "STRING",
         "CASE WHEN size(turns) > 0 THEN array_join(slice(turns, greatest(1, size(turns) - n + 1), n), ' ') END",
     ),
+    "mod_deleet_symbols": ("t STRING", "STRING", _chain("t", _leet_steps())),
+    "mod_normalize": (
+        "t STRING",
+        "STRING",
+        "mod_deleet_symbols(mod_deleet_digits(mod_join_separated(mod_squeeze(mod_homoglyphs(mod_clean(t))))))",
+    ),
+    "mod_script_counts": (
+        "t STRING",
+        "STRUCT<" + ", ".join(f"{name}: INT" for name, _, _ in _BLOCKS) + ", latin: INT>",
+        "named_struct(" + ", ".join(f"'{name}', coalesce({_count(block)}, 0)" for name, block, _ in _BLOCKS) + f", 'latin', {_count('a-zA-Z')})",
+    ),
+    "mod_language_of_counts": (
+        "c STRUCT<" + ", ".join(f"{name}: INT" for name, _, _ in _BLOCKS) + ", latin: INT>",
+        "STRING",
+        "transform(array(array_max(array("
+        + ", ".join(f"named_struct('n', c.{name}, 'place', {-i}, 'code', '{code}')" for i, (name, _, code) in enumerate(_BLOCKS))
+        + f")).code), x -> CASE WHEN coalesce(try_divide(c.latin, c.latin + {' + '.join('c.' + name for name, _, _ in _BLOCKS)}), 0D) <= {text.fv.LATIN_SHARE_MIXED}D THEN x "
+        "WHEN x = 'hi' THEN 'hi-en' ELSE 'indic-en' END)[0]",
+    ),
+    "mod_romanised_hits": ("t STRING", "INT", f"size(array_intersect({_TOKENS}, {_literals(text.fv.ROMANISED_HINDI)}))"),
+    "mod_language": (
+        "t STRING, fallback STRING",
+        "STRING",
+        f"CASE WHEN mod_strip(coalesce(t, '')) = '' THEN 'en' WHEN t rlike {_raw(lang.ANY_INDIAN)} THEN mod_language_of_counts(mod_script_counts(t)) "
+        f"WHEN NOT t rlike '[a-zA-Z]' THEN 'en' WHEN mod_romanised_hits(t) >= 2 THEN 'hi-en' "
+        f"WHEN mod_romanised_hits(t) = 1 AND size(array_distinct({_TOKENS})) <= 5 THEN 'hi-en' ELSE {_OTHER} END",
+    ),
+    "mod_tidy": (
+        "t STRING, original STRING",
+        "STRING",
+        "transform(array("
+        + _chain(f"btrim({_chain('t', [('[' + text.WS + ']{2,}|[' + text.WS + '&&[^ ]]', ' ')])}, ' ')", [(" , *", ", "), ("^ *, *", "")])
+        + "), v -> CASE WHEN length(v) > 2 THEN concat(upper(left(v, 1)), substring(v, 2)) ELSE original END)[0]",
+    ),
+    "mod_scrub": (
+        "t STRING",
+        "STRING",
+        "mod_tidy("
+        + _chain("t", [(f"(?iu){text.whole_words(words) if whole else f'(?:{words})'}", new) for words, new, whole in text.fv.SCRUB_RULES])
+        + ", t)",
+    ),
+    "mod_plain_scrub": (
+        "t STRING",
+        "STRING",
+        f"transform(array({_plain_scrub('mod_strip(t)')}), v -> CASE WHEN length(v) < 3 THEN {_sql(text.fv.PLAIN_SCRUB_DEFAULT)} ELSE v END)[0]",
+    ),
+    "mod_lexicon_points": (
+        "t STRING",
+        "ARRAY<INT>",
+        f"aggregate(regexp_extract_all(t, {_raw('(' + text.whole_words(_TERMS) + ')')}, 1), array_repeat(0, {len(k.LABELS)}), (acc, term) -> "
+        f"zip_with(acc, element_at(from_json({_sql(json.dumps(default_lexicon()))}, 'map<string,array<int>>'), term), (a, b) -> a + b))",
+    ),
+    "mod_lexicon_scores": (
+        "t STRING",
+        "ARRAY<DOUBLE>",
+        f"transform({_rounded('mod_lexicon_points(t)', f'(v / (v + {HALF_POINT}))', 4)}, u -> u / 10000D)",
+    ),
+    "mod_gate": (
+        "scores ARRAY<DOUBLE>, g DOUBLE",
+        "ARRAY<DOUBLE>",
+        f"CASE WHEN g IS NULL THEN scores WHEN g < {k.GATE_LOW}D AND array_max(scores) >= {k.CUT_LOW}D THEN transform(scores, s -> least(s, g * {k.GATE_FACTOR}D)) "
+        f"WHEN g >= {k.GATE_HIGH}D AND array_max(scores) < {k.CUT_LOW}D THEN concat(array(greatest(scores[0], g)), slice(scores, 2, {len(k.LABELS) - 1})) ELSE scores END",
+    ),
+    "mod_tag_triggers": (
+        "scores ARRAY<DOUBLE>, cut DOUBLE",
+        "ARRAY<STRING>",
+        f"array_compact(zip_with(zip_with({_LABELS}, scores, (l, s) -> named_struct('tag', l, 'score', s)), {_rounded('scores', '(v * 100)', 1)}, "
+        "(e, u) -> CASE WHEN e.score >= cut THEN concat(upper(e.tag), ' (', u div 10, '.', u % 10, '%)') END))",
+    ),
+    "mod_top_tag": ("scores ARRAY<DOUBLE>", "STRING", f"element_at({_LABELS}, cast(array_position(scores, array_max(scores)) AS INT))"),
+}
+
+# Rows from one value; for use with LATERAL.
+_TABLES = {
+    "mod_chunks": (
+        "t STRING",
+        "seq INT, chunk STRING",
+        "SELECT pos, col FROM (SELECT posexplode(transform(split(t, ' '), (w, i) -> CASE WHEN i < size(split(t, ' ')) - 1 THEN concat(w, ' ') ELSE w END)))",
+    ),
+    "mod_batch": ("texts ARRAY<STRING>", "position INT, message STRING", "SELECT pos, col FROM (SELECT posexplode(texts))"),
 }
 
 
@@ -140,4 +275,6 @@ def register(spark: SparkSession) -> list[str]:
         spark.sql(
             f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {returns} RETURN {body}"
         )
-    return [*_DDL, "mod_nfc"]
+    for name, (args, columns, body) in _TABLES.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS TABLE ({columns}) RETURN {body}")
+    return [*_DDL, *_TABLES, "mod_nfc"]
