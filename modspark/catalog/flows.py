@@ -188,6 +188,23 @@ def retrain_export(s, d):
     return exported.unionByName(s.read.schema(fb.schema).json(f"{path}-new"))
 
 
+@query(
+    "feedback_store",
+    """SELECT event_id, 'm' || event_id AS message_id, CAST(user_id AS VARCHAR) AS moderator_id, event_type <> 'error' AS model_prediction_was_correct, true AS stamped FROM events""",
+)
+def feedback_store(s, d):
+    """Feedback appended in two batches: one is stamped by the write, one brings its time."""
+    fb = feedback(s, d).withColumn("submitted_at", c("submitted_at").cast("timestamp"))
+    own = F.xxhash64("event_id") % 2 == 0
+    path = scratch_path(s, "feedback")
+    sinks.append_feedback(fb.where(own), path)
+    sinks.append_feedback(fb.where(~own).drop("submitted_at"), path)
+    stored = s.read.schema(fb.schema).parquet(path).join(fb.select("event_id", c("submitted_at").alias("given")), "event_id")
+    now = F.current_timestamp()
+    stamped = F.when(own, c("submitted_at") == c("given")).otherwise(c("submitted_at").between(now - F.expr("INTERVAL 1 HOUR"), now))
+    return stored.select("event_id", "message_id", "moderator_id", FB.CORRECT, stamped.alias("stamped"))
+
+
 @query(
     "override_rate",
     f"""WITH j AS (SELECT e.event_type AS label, e.event_type <> 'error' AS ok, {derived_sql('event_id')[0]} >= 0.5 AS predicted FROM events e)

@@ -137,6 +137,15 @@ def load_weights(
         return class_weights(corpus, tags, cap).select("tag", "weight")
 
 
+def read_report(spark: SparkSession, path: str, results: StructType, summary: StructType) -> tuple[DataFrame, DataFrame]:
+    """(results, summary) of a document that ``sinks.report_document`` made, read line by line."""
+    lines = spark.read.text(path)
+    head = F.regexp_extract("value", r'^\{"summary": (.*), "results": \[$', 1)
+    body = lines.where(F.col("value").rlike(r"^,?\{") & (head == ""))
+    rows = body.select(F.from_json(F.ltrim("value", F.lit(",")), results).alias("r")).select("r.*")
+    return rows, lines.where(head != "").select(F.from_json(head, summary).alias("r")).select("r.*")
+
+
 def payload_text(payload: Column, names: Sequence[str] = ("text", "message", "content", "prompt")) -> Column:
     """First non-empty of several JSON fields, null when there is none."""
     return F.coalesce(

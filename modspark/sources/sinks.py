@@ -110,5 +110,21 @@ def report_lines(results: DataFrame, summary: DataFrame, order: str) -> DataFram
     return head.unionByName(rows)
 
 
+def report_document(results: DataFrame, summary: DataFrame, order: str) -> DataFrame:
+    """Scenario report as one JSON document ``{"summary": ..., "results": [...]}``: its lines, each with its place
+    (``part``, ``pos``), for ``write_lines(..., ["part", "pos"])``.
+
+    Files that are put together in the order of their names are the document; no task holds it whole. ``order`` has no
+    nulls and no value twice: the result with the smallest one has no comma before it. ``summary`` has one row.
+    """
+    place = lambda part, pos: (F.lit(part).alias("part"), pos.cast("long").alias("pos"))
+    head = summary.select(*place(0, F.lit(0)), F.concat(F.lit('{"summary": '), F.to_json(F.struct(*summary.columns)), F.lit(', "results": [')).alias("line"))
+    first = results.agg(F.min(order)).scalar()
+    comma = F.when(F.col(order) == first, "").otherwise(",")
+    rows = results.select(*place(1, F.col(order)), F.concat(comma, F.to_json(F.struct(*results.columns))).alias("line"))
+    tail = summary.limit(1).select(*place(2, F.lit(0)), F.lit("]}").alias("line"))
+    return head.unionByName(rows).unionByName(tail)
+
+
 def write_lines(lines: DataFrame, path: str, order: Sequence[str]) -> None:
     lines.orderBy(*order).select("line").write.mode("overwrite").text(path)

@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,6 +120,21 @@ def test_run_metadata_and_report_lines(spark):
     assert {"total": 2} in lines and {"id": 1, "flagged": True} in lines
 
 
+def test_report_document_is_one_json_value(spark):
+    rows = [(i, i % 3 == 0, f'a "{i}" ], }}\n{{"summary": 1') for i in range(500)]
+    results = spark.createDataFrame(rows, "id long, flagged boolean, text string").repartition(7)
+    summary = results.agg(F.count("*").alias("total"))
+    for part in (results, results.where("id < 1"), results.limit(0)):
+        path = scratch_path(spark, "report")
+        sinks.write_lines(sinks.report_document(part, summary, "id"), path, ["part", "pos"])
+        whole = "".join(open(f"{path}/{name}").read() for name in sorted(os.listdir(path)) if name.startswith("part-"))
+        document = json.loads(whole)
+        want = sorted(tuple(r) for r in part.collect())
+        assert document["summary"] == {"total": 500} and [(r["id"], r["flagged"], r["text"]) for r in document["results"]] == want
+        back, head = readers.read_report(spark, path, results.schema, summary.schema)
+        assert sorted(map(tuple, back.collect())) == want and head.first().total == 500
+
+
 def test_message_ids_are_replay_safe(spark):
     df = spark.range(3).select(sinks.message_id(F.col("id"), F.lit("x")).alias("m"))
     assert df.collect() == df.collect() and df.distinct().count() == 3
