@@ -84,8 +84,8 @@ DELIVERED_SQL = f"WITH {_MESSAGES} SELECT message_id, channel_id, text FROM r WH
       {action_sql('severity')} AS status, overall AS overall_score, severity, model_version FROM r""",
 )
 def message_store(s, d):
-    parsed = readers.parse_frames(frames(table(s, d, "conversations")), "frame")
-    moderated = scored_messages(spread(good_messages(parsed), "message_id"))
+    parsed = readers.parse_frames(frames(spread(table(s, d, "conversations"), "conv_id", "turn")), "frame")
+    moderated = scored_messages(good_messages(parsed))
     documents = moderated.select(
         "message_id", "channel_id", "user_id", "text", "status", "is_toxic", "overall_score", "severity", "categories",
         "model_version",
