@@ -14,6 +14,14 @@ from pyspark.sql import functions as F
 
 from modspark.functions.maths import argmax
 from modspark.operators.tables import stack_features
+from modspark.session import scratch_path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written once to the shared folder: a fit passes over its rows several times."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def featurise(df: DataFrame, text: str, buckets: int = 1 << 14) -> DataFrame:
@@ -70,7 +78,8 @@ def score_tags(df: DataFrame, models: Mapping[str, object], out: str = "scores")
 def out_of_fold(
     df: DataFrame, folds: int, tags: Sequence[str], weights: Mapping[str, float] | None = None, fold: str = "fold"
 ) -> DataFrame:
-    """Every row scored by models that did not see its fold."""
+    """Every row scored by models that did not see its fold. Features are made once and stored."""
+    df = stored(df, "features")
     parts = []
     for i in range(folds):
         models = train_tags(df.filter(F.col(fold) != i), tags, weights)
@@ -91,7 +100,7 @@ def model_outputs(toxic_logit: Column, tag_logits: Column, severity_logits: Colu
 
 def fit_meta(stacked: DataFrame, toxic: str, severity: str, iterations: int = 20) -> tuple[object, object]:
     """Meta models over stacked features: binary toxic head and severity head."""
-    data = stacked.withColumn("_v", array_to_vector("features"))
+    data = stored(stacked, "stacked").withColumn("_v", array_to_vector("features"))
     common = dict(
         featuresCol="_v", maxIter=iterations, regParam=0.01, predictionCol="_pred", rawPredictionCol="_raw"
     )
@@ -125,5 +134,6 @@ __all__ = [
     "out_of_fold",
     "score_tags",
     "stack_features",
+    "stored",
     "train_tags",
 ]
