@@ -295,7 +295,7 @@ def _outputs_sql(shift: int) -> str:
 def _outputs(s, d, shift):
     z = _logits("doc_id", shift)
     features = training.model_outputs(z[0], F.array(*z), F.array(*z[:4]))
-    return table(s, d, "documents").select("doc_id", features.alias("features"))
+    return documents(s, d, "doc_id").select("doc_id", features.alias("features"))
 
 
 @query(
@@ -338,7 +338,7 @@ def stacked_decision(s, d):
     truth = table(s, d, "labels").select(
         "doc_id", "toxic", (c("toxic") * 2 + c("quality")).cast("int").alias("level")
     )
-    stacked = tables.stack_features([_outputs(s, d, x) for x in (0, 17, 5003)], "doc_id")
+    stacked = training.stored(tables.stack_features([_outputs(s, d, x) for x in (0, 17, 5003)], "doc_id"), "outputs")
     meta = training.fit_meta(stacked.join(truth, "doc_id"), "toxic", "level")
     return training.decide(stacked, meta).select("doc_id", "is_toxic", "severity_level")
 
