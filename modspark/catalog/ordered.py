@@ -9,6 +9,7 @@ from modspark.functions import text as T
 from modspark.functions.maths import epoch_millis, epoch_seconds
 from modspark.operators import tables
 from modspark.operators import windows as W
+from modspark.session import spread
 from modspark.sources import readers
 
 c = F.col
@@ -145,12 +146,12 @@ ASSEMBLED_SQL = "SELECT conv_id, turn, text AS suggestion, len(string_split(text
 
 @query("assembled_suggestions", ASSEMBLED_SQL)
 def assembled_suggestions(s, d):
-    chunks = table(s, d, "conversations").select(
+    said = spread(table(s, d, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn")
+    chunks = said.select(
         F.struct("conv_id", "turn").alias("id"), F.posexplode(T.word_chunks(c("text"))).alias("seq", "chunk")
     )
-    whole = tables.assemble_chunks(chunks, "id", "seq", "chunk", "suggestion")
-    sizes = chunks.groupBy("id").agg(F.count(F.lit(1)).alias("chunks"))
-    return whole.join(sizes, "id").select("id.conv_id", "id.turn", "suggestion", "chunks")
+    whole = tables.assemble_chunks(chunks, "id", "seq", "chunk", "suggestion", {"chunks": F.count(F.lit(1))})
+    return whole.select("id.conv_id", "id.turn", "suggestion", "chunks")
 
 
 LATEST_SQL = """WITH u AS (SELECT user_id, event_id, event_type AS status, 'k' || (event_id % 3) AS name, event_type AS v FROM events),

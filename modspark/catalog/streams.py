@@ -63,10 +63,10 @@ def stream_assembled(s, d):
     chunks.repartitionByRange(5, F.pmod(F.xxhash64("id", "seq"), F.lit(5))).write.parquet(path)
     out = jobs.assembled_stream(jobs.stream_of(s, path, chunks.schema, files=1), "id", "seq", "chunk", "last")
     rows = jobs.run_to_table(s, out, "assembled")
-    whole = tables.assemble_chunks(rows, "id", "start", "text", "suggestion")
-    counts = rows.groupBy("id").agg(F.sum("chunks").alias("chunks"), F.max(c("status") == jobs.DONE).alias("done")).where("done")
+    measures = {"chunks": F.sum("chunks"), "done": F.max(c("status") == jobs.DONE)}
+    whole = tables.assemble_chunks(rows, "id", "start", "text", "suggestion", measures).where("done")
     name = F.split("id", "-")
-    return whole.join(counts, "id").select(name[0].cast("long").alias("conv_id"), name[1].cast("long").alias("turn"), "suggestion", "chunks")
+    return whole.select(name[0].cast("long").alias("conv_id"), name[1].cast("long").alias("turn"), "suggestion", "chunks")
 
 
 def _parsed(s, d):
@@ -117,7 +117,7 @@ def _in_files(s, rows, part, n):
     """Rows as a stream that takes one file a micro-batch, in the order of ``part`` (0 to n - 1)."""
     path = scratch_path(s, "arrivals")
     for i in range(n):
-        rows.where(part == i).coalesce(1).write.mode("append").parquet(path)
+        rows.where(part == i).repartition(1).write.mode("append").parquet(path)
     return jobs.stream_of(s, path, rows.schema, files=1)
 
 

@@ -224,9 +224,9 @@ def latest_by_id(updates: DataFrame, key: str, seq: str, column: str, map_column
     return status.join(entries, key, "left")
 
 
-def assemble_chunks(chunks: DataFrame, key: str, seq: str, chunk: str, name: str = "text") -> DataFrame:
-    """Chunks of each message in sequence order as one string."""
+def assemble_chunks(chunks: DataFrame, key: str, seq: str, chunk: str, name: str = "text", measures: Mapping[str, Column] | None = None) -> DataFrame:
+    """Chunks of each message in sequence order as one string; ``measures`` are aggregates of the same exchange."""
     parts = F.array_sort(F.collect_list(F.struct(seq, chunk)))
     return chunks.groupBy(key).agg(
-        F.array_join(F.transform(parts, lambda p: p[chunk]), "").alias(name)
+        F.array_join(F.transform(parts, lambda p: p[chunk]), "").alias(name), *[m.alias(n) for n, m in (measures or {}).items()]
     )
