@@ -22,6 +22,7 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 
 from modspark import constants as k
 
+BUCKETS = 1024
 FAR_DAYS = 3650
 FAR_MS = FAR_DAYS * 86_400_000
 DECIDED, LATE, NO_TIME = "decided", "late", "no_time"
@@ -32,73 +33,105 @@ Decide = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[dict[s
 
 def in_time_order(
     rows: DataFrame, keys: list[str], time: str, row_id: str, results: list[str], delay_ms: int, unit_ms: int,
-    decide: Decide, useful_ms: int, free: dict[str, int] | None = None,
+    decide: Decide, useful_ms: int, free: dict[str, int] | None = None, buckets: int = BUCKETS,
 ) -> DataFrame:
     """``keys, at_ms, row_id, results (longs), status`` of a stream of rows with a timestamp ``time``.
 
     Rows of one ``unit_ms`` are decided together, by id. The first array of a key's memory holds units, and is of
     use for ``useful_ms`` after its last. ``free`` gives the results of rows whose first key is null, which wait for nothing.
-    State is what the delay holds back, and the memory.
+    State is what the delay holds back, and the memory. Keys share ``buckets`` (fixed for a checkpoint): one call
+    decides all keys of a bucket, since a call and its frames cost far more than a key's few rows.
     """
     out = StructType(
-        [*[rows.schema[c] for c in keys], StructField("at_ms", LongType()), StructField(row_id, LongType())]
+        [StructField("_key", StringType()), StructField("at_ms", LongType()), StructField(row_id, LongType())]
         + [StructField(c, LongType()) for c in results] + [StructField("status", StringType())]
     )
-    names = ("at", "id", "a", "b")
-    state_type = StructType([StructField(c, ArrayType(LongType())) for c in names])
+    longs = ArrayType(ArrayType(LongType()))
+    state_type = StructType([StructField("keys", ArrayType(StringType())), *[StructField(c, longs) for c in ("at", "id", "a", "b")]])
     shift = FAR_MS - delay_ms
 
-    def step(key, frames, state):
+    def step(_, frames, state):
         import pandas as pd
 
-        def made(at, ids, values, status):
-            own = {c: np.full(len(at), v, dtype="int64" if type(v) is int else object) for c, v in zip(keys, key)}
-            if values is not None and status == DECIDED:  # most rows; without nulls, plain arrays cost a tenth
-                given = {c: np.broadcast_to(np.asarray(values[c], dtype="int64"), len(at)) for c in results}
-                return pd.DataFrame({**own, "at_ms": at, row_id: ids, **given, "status": status})
-            given = {c: pd.array([None] * len(at), dtype="Int64") for c in results}
-            return pd.DataFrame({**own, "at_ms": pd.array(at, dtype="Int64"), row_id: pd.array(ids, dtype="Int64"), **given, "status": status})
-
-        at, ids, a, b = (np.array(v, dtype="int64") for v in state.get) if state.exists else (np.empty(0, "int64"),) * 4
+        def made(names, at, ids, values, status):
+            if values is not None:  # most rows; without nulls, plain arrays cost a tenth
+                given = {c: np.broadcast_to(np.asarray(values[c], dtype="int64"), len(ids)) for c in results}
+                return pd.DataFrame({"_key": names, "at_ms": at, row_id: ids, **given, "status": status})
+            given = {c: pd.array([None] * len(ids), dtype="Int64") for c in results}
+            return pd.DataFrame({"_key": names, "at_ms": pd.array(at, dtype="Int64"), row_id: pd.array(ids, dtype="Int64"), **given, "status": status})
+
+        held = {}
+        if state.exists:
+            for name, *arrays in zip(*state.get):
+                held[name] = tuple(np.array(v, dtype="int64") for v in arrays)
         mark = state.getCurrentWatermarkMs()
         closed = mark + shift if mark > 0 else -(2**62)
+        came = {}
         if not state.hasTimedOut:
-            given = list(frames)
-            new = given[0] if len(given) == 1 else pd.concat(given, ignore_index=True)
-            new_at, new_ids = new["at_ms"].to_numpy(), new[row_id].to_numpy()
-            if new_at.dtype != "int64":  # some row of the Arrow batch has no time
-                timeless = pd.isna(new_at)
-                if timeless.any():
-                    yield made([None] * int(timeless.sum()), new_ids[timeless].tolist(), None, NO_TIME)
-                    new_at, new_ids = new_at[~timeless], new_ids[~timeless]
-            new_at, new_ids = new_at.astype("int64"), new_ids.astype("int64")
-            if free is not None and pd.isna(key[0]):
-                yield made(new_at, new_ids, free, DECIDED)
-                return
+            new = pd.concat(list(frames), ignore_index=True)
+            names, new_at, new_ids = (new[c].to_numpy() for c in ("_key", "at_ms", row_id))
+            timeless = pd.isna(new_at)
+            if timeless.any():
+                yield made(names[timeless], [None] * int(timeless.sum()), new_ids[timeless].tolist(), None, NO_TIME)
+            waits = ~timeless
+            if free is not None:
+                exempt = new["_free"].to_numpy(dtype=bool) & waits
+                if exempt.any():
+                    yield made(names[exempt], new_at[exempt].astype("int64"), new_ids[exempt].astype("int64"), free, DECIDED)
+                waits &= ~exempt
+            names, new_at, new_ids = names[waits], new_at[waits].astype("int64"), new_ids[waits].astype("int64")
             late = (new_at // unit_ms + 1) * unit_ms <= closed
             if late.any():
-                yield made(new_at[late], new_ids[late], None, LATE)
-            at, ids = np.concatenate([at, new_at[~late]]), np.concatenate([ids, new_ids[~late]])
-        order = np.lexsort((ids, at // unit_ms))
-        at, ids = at[order], ids[order]
-        ready = int(np.searchsorted((at // unit_ms + 1) * unit_ms, closed, side="right"))
-        if ready:
-            values, a, b = decide(at[:ready] // unit_ms, ids[:ready], a, b)
-            yield made(at[:ready], ids[:ready], values, DECIDED)
-            at, ids = at[ready:], ids[ready:]
-        if len(a) and not len(at) and int(a[-1]) * unit_ms + useful_ms <= closed:
-            a, b = a[:0], b[:0]
-        if len(at) or len(a):
-            state.update(tuple(v.tolist() for v in (at, ids, a, b)))
-            due = (int(at[0]) // unit_ms + 1) * unit_ms if len(at) else int(a[-1]) * unit_ms + useful_ms
-            state.setTimeoutTimestamp(max(due - shift - 1, mark + 1, 1))
+                yield made(names[late], new_at[late], new_ids[late], None, LATE)
+            names, new_at, new_ids = names[~late], new_at[~late], new_ids[~late]
+            codes, distinct = pd.factorize(names)
+            order = np.lexsort((new_ids, new_at // unit_ms, codes))
+            ends = np.searchsorted(codes[order], np.arange(len(distinct) + 1))
+            for i, name in enumerate(distinct):
+                own = order[ends[i] : ends[i + 1]]
+                came[name] = new_at[own], new_ids[own]
+        none = np.empty(0, "int64")
+        gone, kept, dues = [], [], []
+        for name in held | came:
+            at, ids, a, b = held.get(name, (none,) * 4)
+            if name in came:
+                more_at, more_ids = came[name]
+                if len(at):
+                    at, ids = np.concatenate([at, more_at]), np.concatenate([ids, more_ids])
+                    order = np.lexsort((ids, at // unit_ms))
+                    at, ids = at[order], ids[order]
+                else:
+                    at, ids = more_at, more_ids
+            ready = int(np.searchsorted((at // unit_ms + 1) * unit_ms, closed, side="right"))
+            if ready:
+                values, a, b = decide(at[:ready] // unit_ms, ids[:ready], a, b)
+                gone.append((name, at[:ready], ids[:ready], values))
+                at, ids = at[ready:], ids[ready:]
+            if len(a) and not len(at) and int(a[-1]) * unit_ms + useful_ms <= closed:
+                a, b = a[:0], b[:0]
+            if len(at) or len(a):
+                kept.append((name, at.tolist(), ids.tolist(), a.tolist(), b.tolist()))
+                dues.append((int(at[0]) // unit_ms + 1) * unit_ms if len(at) else int(a[-1]) * unit_ms + useful_ms)
+        if gone:
+            names = np.repeat(np.array([g[0] for g in gone], dtype=object), [len(g[1]) for g in gone])
+            values = {c: np.concatenate([g[3][c] for g in gone]) for c in results}
+            yield made(names, np.concatenate([g[1] for g in gone]), np.concatenate([g[2] for g in gone]), values, DECIDED)
+        if kept:
+            state.update(tuple(list(v) for v in zip(*kept)))
+            state.setTimeoutTimestamp(max(min(dues) - shift - 1, mark + 1, 1))
         elif state.exists:
             state.remove()
 
+    # Keys travel as text, which holds any type, and are read back by Spark.
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    key_type = StructType([rows.schema[c] for c in keys])
     dated = rows.select(
-        *keys, F.unix_millis(time).alias("at_ms"), F.col(row_id).cast("long").alias(row_id), F.col(time).alias("_at")
+        F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("_bucket"), F.to_json(F.struct(*keys), exact).alias("_key"),
+        F.col(keys[0]).isNull().alias("_free"), F.unix_millis(time).alias("at_ms"), F.col(row_id).cast("long").alias(row_id), F.col(time).alias("_at"),
     ).withWatermark("_at", f"{FAR_DAYS} days")
-    return dated.groupBy(*keys).applyInPandasWithState(step, out, state_type, "append", GroupStateTimeout.EventTimeTimeout)
+    decided = dated.groupBy("_bucket").applyInPandasWithState(step, out, state_type, "append", GroupStateTimeout.EventTimeTimeout)
+    own = F.from_json("_key", key_type, exact)
+    return decided.select(*[own[c].alias(c) for c in keys], "at_ms", row_id, *results, "status")
 
 
 def rate_limit_by_time(

@@ -86,3 +86,14 @@ def test_late_rows_and_rows_without_a_time_go_out_with_a_reason(spark):
 def test_no_rows(spark):
     got, held = run(spark, [[]], lambda s: event_time.rate_limit_by_time(s, "user", "at", "id"))
     assert got.count() == 0 and held == 0
+
+
+def test_many_keys_share_calls_and_keep_their_own_memory(spark):
+    odd = [None, "", '"{\\', "नमस्ते\n"]
+    rows = [(i, odd[i] if i < len(odd) else f"u{i}", at(i % 7)) for i in range(2500)]
+    more = [(10_000 + i, u, at(3000)) for i, u, _ in rows]
+    out, held = run(spark, [rows, more], lambda s: event_time.duplicates_by_time(s, ["user"], "at", "id", 5000, 6000))
+    assert out.count() == 0 and 0 < held <= event_time.BUCKETS  # all rows wait, in fewer states than keys
+    out, held = run(spark, [rows, more, [(-1, "z", END)], [(-2, "z", END + datetime.timedelta(days=1))]], lambda s: event_time.duplicates_by_time(s, ["user"], "at", "id", 5000, 6000))
+    got = {(r.id, r.user): r.kept for r in out.where("id >= 0").collect()}
+    assert got == {(i, u): int(i < 10_000) for i, u, _ in rows + more} and held == 1
