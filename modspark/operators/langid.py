@@ -6,16 +6,20 @@ in which partitions are added.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from modspark.session import scratch_path
+
 PROFILE_BYTES = 64 << 20
 _CHUNK = 1 << 21
+_DENSE = 1 << 23
 
 
 def grams_of(df: DataFrame, keys: Sequence[str], text: str, n: int = 3) -> DataFrame:
@@ -30,12 +34,22 @@ def train_profiles(
 ) -> DataFrame:
     """One row per gram that occurs at least ``least`` times, one weight column per language.
 
-    Add-one smoothing inside this vocabulary.
+    Add-one smoothing inside this vocabulary. Grams of up to three characters are counted as their texts are
+    read, so a task sends on a row for each of its different grams, not for each gram; the counts are stored,
+    as weights and their sums both read them.
     """
-    rows = grams_of(df.filter(F.col(language).isin(list(languages))), [language], text, n)
-    wide = rows.groupBy("gram").agg(
-        *[F.count_if(F.col(language) == l).alias(l) for l in languages]
-    )
+    labelled = df.filter(F.col(language).isin(list(languages)))
+    if n > 3:
+        rows = grams_of(labelled, [language], text, n)
+        wide = rows.groupBy("gram").agg(*[F.count_if(F.col(language) == l).alias(l) for l in languages])
+    else:
+        whole = labelled.filter(F.length(text) >= n).select(F.col(language).alias("language"), F.lower(text).alias("text"))
+        schema = "gram string, " + ", ".join(f"_{i} long" for i in range(len(languages)))
+        counted = whole.mapInArrow(_gram_counts(list(languages), n), schema)
+        wide = counted.groupBy("gram").agg(*[F.sum(f"_{i}").alias(l) for i, l in enumerate(languages)])
+        path = scratch_path(df.sparkSession, "grams")
+        wide.write.parquet(path)
+        wide = df.sparkSession.read.schema(wide.schema).parquet(path)
     total = reduce(lambda a, b: a + b, [F.col(l) for l in languages])
     kept = wide.filter(total >= least)
     totals = kept.agg(
@@ -63,6 +77,85 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
 
 
+def _summed(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different ids in order, with the sums of their counts."""
+    different, place = np.unique(ids, return_inverse=True)
+    out = np.zeros((len(different), counts.shape[1]), "int64")
+    np.add.at(out, place, counts)
+    return different, out
+
+
+def _counted(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Different grams of ``texts`` of ``n`` characters and more, and how often each occurs. Characters are numbered, so few
+    enough of them need no sort."""
+    points = _points("".join(texts))
+    used = np.flatnonzero(np.bincount(points))
+    ends = np.cumsum([len(t) for t in texts])[:-1]
+    whole = np.ones(len(points) - n + 1, bool)
+    for k in range(1, n):  # a gram does not reach into the next text
+        whole[ends - k] = False
+    if len(used) ** n > _DENSE:
+        return np.unique(_packed(points, n)[whole], return_counts=True)
+    number = np.zeros(used[-1] + 1, "int64")
+    number[used] = np.arange(len(used))
+    digits = number[points]
+    ids = digits[: len(whole)]
+    for i in range(1, n):
+        ids = ids * len(used) + digits[i : len(whole) + i]
+    counts = np.bincount(ids[whole])
+    at = np.flatnonzero(counts)
+    packed = np.zeros(len(at), "int64")
+    for i in range(n):
+        packed = packed << 21 | used[at // len(used) ** (n - 1 - i) % len(used)]
+    return packed, counts[at]
+
+
+def _strings(ids: np.ndarray, n: int) -> list[str]:
+    points = np.stack([ids >> 21 * (n - 1 - k) & 0x1FFFFF for k in range(n)], 1).astype("<u4")
+    text = points.tobytes().decode("utf-32-le")
+    return [text[i : i + n] for i in range(0, len(text), n)]
+
+
+def _gram_counts(languages: list[str], n: int):
+    """Batches of (language, text) to (gram, one count a language): each gram once for a few million characters."""
+
+    def rows(ids: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        names = ["gram", *(f"_{i}" for i in range(len(languages)))]
+        for at in range(0, len(ids), 1 << 16):
+            own = counts[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(_strings(ids[at : at + (1 << 16)], n), pa.string()), *(pa.array(own[:, i]) for i in range(len(languages)))], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.empty(0, "int64"), np.empty((0, len(languages)), "int64")
+        held: list[list[str]] = [[] for _ in languages]
+        size, known, sums = 0, *none
+
+        def folded() -> tuple[np.ndarray, np.ndarray]:
+            parts = [(known, sums)]
+            for i, texts in enumerate(held):
+                if texts:
+                    ids, count = _counted(texts, n)
+                    columns = np.zeros((len(ids), len(languages)), "int64")
+                    columns[:, i] = count
+                    parts.append((ids, columns))
+                    texts.clear()
+            return _summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+
+        for batch in batches:
+            for language, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if len(text) >= n:
+                    held[languages.index(language)].append(text)
+                    size += len(text)
+                if size >= _CHUNK:
+                    size, (known, sums) = 0, folded()
+                    if len(known) >= _CHUNK:  # bounds what a task holds
+                        yield from rows(known, sums)
+                        known, sums = none
+        yield from rows(*folded())
+
+    return run
+
+
 def _best(texts: list[str], grams: np.ndarray, weights: np.ndarray, n: int) -> list[int]:
     """Place of the language with the largest summed weight for each text, -1 where no gram is known."""
     sizes = np.array([max(len(t) - n + 1, 0) for t in texts], dtype="int64")
