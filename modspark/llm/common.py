@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +21,31 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``stored`` writes in here go when it ends, but those stored with ``keep``: nothing that is
+    evaluated later may read the others."""
+    paths: list[str] = []
+    before = _passing.set(paths)
+    try:
+        yield
+    finally:
+        _passing.reset(before)
+        conf, path_of = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+        for path in map(path_of, paths):
+            path.getFileSystem(conf).delete(path, True)
+
+
+def stored(df: DataFrame, name: str, compression: str = "snappy", keep: bool = False) -> DataFrame:
     """``df`` written to the shared folder and read back: computed once, and safe from lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    paths = _passing.get()
+    if paths is not None and not keep:
+        paths.append(path)
     df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 

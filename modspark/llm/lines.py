@@ -9,22 +9,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modspark.llm.cluster import linked, members_of
-from modspark.llm.common import doc_key, stored, texts_of
+from modspark.llm.common import doc_key, passing, stored, texts_of
+from modspark.session import BROADCAST_MAX_ROWS
 
 SIMILARITY = 0.8
 BLOCKS, KEPT = 4, 2  # of a line of many words
 FEW_CHARS = 33  # up to here characters are blocks
 FEW_WORDS, FEW_WORDS_FROM = 9, 26  # words are blocks, in lines of so many characters and more
 MANY_WORDS = 9  # from here blocks hold several words
-PLANES = (4, 6, 10)  # binary digits of a vote's count, as few as do
+PLANES = (2, 3, 4, 5, 6, 8, 10)  # binary digits of a vote's count, as few as do
+EVEN = 256  # length of the pieces of evenly cut lines
 NEAR = (8, 64, 512, 2048)  # edits that are looked for first
+PIECE, PIECES, MARK = 32, 256, 16  # least length and about the most of the pieces that two lines are cut into; length of what cuts stand at
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` made once, as a variable."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def normalised(line: Column) -> Column:
     """Lower case, digits as 0, single spaces."""
     low = reduce(lambda c, digit: F.replace(c, F.lit(digit), F.lit("0")), "123456789", F.lower(line))
-    odd = reduce(lambda a, b: a | b, (F.contains(low, F.lit(x)) for x in ("  ", "\t", "\x0b", "\f", "\r")))
-    return F.trim(F.when(odd, F.regexp_replace(low, r"\s+", " ")).otherwise(low))
+
+    def spaced(low: Column) -> Column:
+        odd = reduce(lambda a, b: a | b, (F.contains(low, F.lit(x)) for x in ("  ", "\t", "\x0b", "\f", "\r")))
+        return F.trim(F.when(odd, F.regexp_replace(low, r"\s+", " ")).otherwise(low))
+
+    return _let(low, spaced)
 
 
 def _split(text: Column) -> Column:
@@ -33,8 +45,10 @@ def _split(text: Column) -> Column:
 
 def occurrences(docs: DataFrame) -> DataFrame:
     """One row per line that isn't blank: document, ``line_no`` and ``norm``, its normalised text."""
-    lines = docs.select("ord", "key", F.posexplode(_split(F.col("text"))).alias("line_no", "line"))
-    return lines.withColumn("norm", normalised(F.col("line"))).where("norm <> ''").drop("line")
+    # Lines are normalised before they become rows: a filter on a column is put before the column's own
+    # work, which would then be done again for each place that names it.
+    lines = F.transform(_split(F.col("text")), normalised)
+    return docs.select("ord", "key", F.posexplode_outer(lines).alias("line_no", "norm")).where("norm <> ''")
 
 
 def _voted(hashes: Column, planes: int) -> Column:
@@ -73,11 +87,6 @@ def word_hashes(norm: Column) -> Column:
     return F.transform(F.split(norm, " "), lambda w: F.xxhash64(w))
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` made once, as a variable."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _none() -> Column:
     return F.array().cast("array<long>")
 
@@ -145,6 +154,66 @@ def line_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     distance / longer length, is at least ``similarity``. The group's first occurrence by (doc_id,
     line) is kept.
     """
+    with passing(docs.sparkSession):
+        return stored(_classes(docs, similarity), "line_classes", keep=True)
+
+
+def _at_most(x: Column, y: Column, most: Column) -> Column:
+    """True where ``x`` and ``y`` are seen to be at most ``most`` edits apart; false tells nothing.
+
+    Both are cut at the same marks, of ``MARK`` characters of ``x`` that ``y`` has too, in order; the edits between
+    their pieces add up to no fewer than theirs. Spark's ``levenshtein`` takes time by the square of the length, whatever
+    the bound.
+    """
+    one = F.greatest(F.lit(PIECE), F.length(x).cast("int") / PIECES).cast("int")
+
+    def edits(state: Column, to_x: Column, to_y: Column) -> Column:
+        a = F.substring(x, state["x"], to_x - state["x"])
+        b = F.substring(y, state["y"], to_y - state["y"])
+        return F.when(a == b, 0).otherwise(F.levenshtein(a, b))
+
+    def cut(state: Column, at: Column) -> Column:
+        mark, due = F.substring(x, at, F.lit(MARK)), state["y"] + at - state["x"]
+
+        def cut_at(found: Column) -> Column:
+            # A mark far from where it is due is of another place.
+            far = (found == 0) | (found - due > one + PIECE)
+            new = F.struct(at.alias("x"), found.alias("y"), (state["n"] + edits(state, at, found)).alias("n"))
+            return F.when(far | (state["n"] > most), state).otherwise(new)
+
+        # Where it is due, or next to it: a repeated word has the mark all over.
+        def place(after: Column) -> Column:
+            before = F.call_function("locate", mark, y, F.greatest(state["y"] + 1, due - PIECE))
+            return _let(F.when((after > 0) & (after - due <= PIECE), after).otherwise(before), cut_at)
+
+        return _let(F.call_function("locate", mark, y, due), place)
+
+    def whole(state: Column) -> Column:
+        rest = edits(state, F.length(x) + 1, F.length(y) + 1)
+        long_ = F.length(x) - state["x"] > 16 * one
+        return F.when((state["n"] > most) | long_, False).otherwise(state["n"] + rest <= most)
+
+    start = F.struct(F.lit(1).alias("x"), F.lit(1).alias("y"), F.lit(0).alias("n"))
+    places = F.filter(F.sequence(F.lit(1), F.length(x), one), lambda at: (at > 1) & (at + MARK <= F.length(x)))
+    return F.aggregate(places, start, cut, whole)
+
+
+def _at_most_evenly(x: Column, y: Column, most: Column) -> Column:
+    """The same for long lines of one thing over and over: both are cut into as many pieces of even lengths."""
+    many = F.ceil(F.length(x) / EVEN).cast("int")
+
+    def edits(n: Column, i: Column) -> Column:
+        def piece(line: Column) -> Column:
+            a, b = (F.floor(F.length(line).cast("long") * k / many).cast("int") for k in (i, i + 1))
+            return F.substring(line, a + 1, b - a)
+
+        return F.when(n > most, n).otherwise(n + F.levenshtein(piece(x), piece(y)))
+
+    places = F.sequence(F.lit(0), many - 1)
+    return (F.length(x) > 2 * EVEN) & (F.aggregate(places, F.lit(0), edits) <= most)
+
+
+def _classes(docs: DataFrame, similarity: float) -> DataFrame:
     place = F.struct("ord", "key", "line_no").alias("place")
     seen = occurrences(docs).select(place, F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), "norm")
     seen = stored(seen, "lines", compression="zstd")
@@ -157,8 +226,12 @@ def line_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     bodies = stored(bodies, "line_bodies")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        x = bodies.select(F.col("id").alias("a"), F.col("norm").alias("x"), F.col("size").alias("na"))
-        y = bodies.select(F.col("id").alias("b"), F.col("norm").alias("y"), F.col("size").alias("nb"))
+        pairs = stored(pairs, "asked")
+        asked, own = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), bodies
+        if pairs.count() <= BROADCAST_MAX_ROWS:  # else all texts are shuffled for a few pairs
+            own = own.join(F.broadcast(asked), "id", "left_semi")
+        x = own.select(F.col("id").alias("a"), F.col("norm").alias("x"), F.col("size").alias("na"))
+        y = own.select(F.col("id").alias("b"), F.col("norm").alias("y"), F.col("size").alias("nb"))
         near = pairs.join(x.drop("x"), "a").join(y.drop("y"), "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9)
         near = near.select("a", "b", F.floor((1 - similarity) * F.greatest("na", "nb") + 1e-9).cast("int").alias("most"))
         both = near.join(x.drop("na"), "a").join(y.drop("nb"), "b")
@@ -168,7 +241,9 @@ def line_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             close = F.when(F.expr(f"levenshtein(x, y, least(most, {few})) >= 0"), True).when(F.col("most") <= few, False).otherwise(close)
         # A line within a line is as many edits away as it is shorter, which was asked already.
         within = F.contains("x", F.col("y")) | F.contains("y", F.col("x"))
-        return both.where(F.when(within, True).otherwise(close)).select("a", "b")
+        sides = F.col("x"), F.col("y"), F.col("most")
+        seen_near = F.when(_at_most(*sides), True).when(_at_most_evenly(*sides), True)
+        return both.where(F.when(within, True).otherwise(seen_near.otherwise(close))).select("a", "b")
 
     _, roots = linked(members, verified)
     groups = texts.select("id", "h1", "h2", "first", "n").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
