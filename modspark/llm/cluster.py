@@ -36,32 +36,34 @@ def members_of(buckets: DataFrame) -> DataFrame:
     return stored(dealt.join(full.hint("merge"), "band").select("band", "id", "first").distinct(), "members")
 
 
+def are_stars(edges: DataFrame) -> bool:
+    """Is each component of ``edges(u, v)``, u above v, a star around its least id?"""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.union(edges.select("v", F.lit(0), F.lit(1)))
+    each = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return (each.agg(F.max(F.col("up") + F.col("down"))).first()[0] or 0) < 2
+
+
 def connected(links: DataFrame, name: str) -> DataFrame:
     """``(id, root)``: the smallest id of the connected component of every id in ``links(a, b)``.
 
-    Alternates large-star and small-star steps; each result is written to the shared folder.
-    Only a count and a checksum come to the driver, to see that nothing changed.
+    Alternates large-star and small-star steps until each component is a star; each result is written
+    to the shared folder. Only one number comes to the driver, to see that.
     """
     edges = stored(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
         name,
     )
-    before = None
-    while True:
+    while not are_stars(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Large star: neighbours above a node go to the least of its neighbourhood.
+        # Large star: neighbours above a node go to the least of its neighbourhood, one row for each edge.
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         # Small star: neighbours below a node, and the node, go to the least of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = stored(small, name)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
     roots = edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
     return roots.union(edges.select("v", "v").distinct())
 
@@ -119,8 +121,9 @@ def linked(members: DataFrame, verified: Callable[[DataFrame], DataFrame], large
     tried = stars.where("turn = 1").select("a", "b")
     links = stored(verified(tried), "links")
     again = stars.where(F.col("turn").between(2, 4)).join(links.select("b").distinct(), "b", "left_anti").select("a", "b")
-    tried = tried.union(again)
-    links = links.union(stored(verified(again), "links"))
+    again = stored(again, "pairs")
+    if again.take(1):
+        tried, links = tried.union(again), links.union(stored(verified(again), "links"))
     roots = connected(links, "components")
     steps = [_representatives, lambda apart: small_pairs(apart).union(large(apart))]
     for pairs in steps:
@@ -130,6 +133,7 @@ def linked(members: DataFrame, verified: Callable[[DataFrame], DataFrame], large
             continue
         new = stored(verified(todo), "links")
         tried, links = tried.union(todo), links.union(new)
-        # What was one component is a star by now; new links join stars.
-        roots = connected(roots.select(F.col("root").alias("a"), F.col("id").alias("b")).union(new), "components")
+        if new.take(1):
+            # What was one component is a star by now; new links join stars.
+            roots = connected(roots.select(F.col("root").alias("a"), F.col("id").alias("b")).union(new), "components")
     return links, roots

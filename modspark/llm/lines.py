@@ -77,7 +77,15 @@ def _voted(hashes: Column, planes: int) -> Column:
 
 def simhash(hashes: Column) -> Column:
     """The bits that more than half of the words' hashes have."""
-    out = _voted(hashes, 31)
+    # Of very many words each bit is counted by itself: the plan of a vote grows with the square of the planes.
+    bits = F.transform(
+        F.sequence(F.lit(0), F.lit(63)),
+        lambda k: F.when(
+            2 * F.size(F.filter(hashes, lambda h: F.call_function("getbit", h, k) == 1)).cast("long") > F.size(hashes),
+            F.call_function("shiftleft", F.lit(1).cast("long"), k),
+        ).otherwise(F.lit(0).cast("long")),
+    )
+    out = F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
     for planes in reversed(PLANES):
         out = F.when(F.size(hashes) < 2**planes, _voted(hashes, planes)).otherwise(out)
     return out
@@ -222,19 +230,19 @@ def _classes(docs: DataFrame, similarity: float) -> DataFrame:
     texts = seen.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.first("norm").alias("norm"), F.count(F.lit(1)).alias("n"))
     texts = stored(texts.withColumn("id", F.monotonically_increasing_id()), "line_texts", compression="zstd")
     members = members_of(texts.select("id", F.explode(line_keys(F.col("norm"))).alias("band")))
-    bodies = texts.join(members.select("id").distinct(), "id", "left_semi").select("id", "norm", F.length("norm").alias("size"))
-    bodies = stored(bodies, "line_bodies")
+    bodies = texts.join(members.select("id").distinct(), "id", "left_semi")
+    bodies = stored(bodies.select("id", "h1", "h2", "first", "n", "norm", F.length("norm").alias("size")), "line_bodies")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs, "asked")
-        asked, own = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), bodies
-        if pairs.count() <= BROADCAST_MAX_ROWS:  # else all texts are shuffled for a few pairs
-            own = own.join(F.broadcast(asked), "id", "left_semi")
-        x = own.select(F.col("id").alias("a"), F.col("norm").alias("x"), F.col("size").alias("na"))
-        y = own.select(F.col("id").alias("b"), F.col("norm").alias("y"), F.col("size").alias("nb"))
-        near = pairs.join(x.drop("x"), "a").join(y.drop("y"), "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9)
+        few = pairs.count() <= BROADCAST_MAX_ROWS  # ids are single, so no join makes more rows than there are pairs
+        told = F.broadcast if few else lambda rows: rows
+        x = bodies.select(F.col("id").alias("a"), F.col("norm").alias("x"), F.col("size").alias("na"))
+        y = bodies.select(F.col("id").alias("b"), F.col("norm").alias("y"), F.col("size").alias("nb"))
+        near = y.drop("y").join(told(x.drop("x").join(told(pairs), "a")), "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9)
         near = near.select("a", "b", F.floor((1 - similarity) * F.greatest("na", "nb") + 1e-9).cast("int").alias("most"))
-        both = near.join(x.drop("na"), "a").join(y.drop("nb"), "b")
+        if few:  # else all texts are shuffled for a few pairs
+            y = y.join(F.broadcast(near.select("b")), "b", "left_semi")
+        both = x.drop("na").join(told(near), "a").join(y.drop("nb"), "b")
         # -1: more edits than that. Most pairs are few edits apart, which a narrow band shows.
         close = F.expr("levenshtein(x, y, most) >= 0")
         for few in reversed(NEAR):
@@ -246,10 +254,12 @@ def _classes(docs: DataFrame, similarity: float) -> DataFrame:
         return both.where(F.when(within, True).otherwise(seen_near.otherwise(close))).select("a", "b")
 
     _, roots = linked(members, verified)
-    groups = texts.select("id", "h1", "h2", "first", "n").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    keep = groups.groupBy("root").agg(F.min("first").alias("keep"))
     # Only texts that occur again, or have a near one, send word to their occurrences.
-    told = groups.join(keep, "root").where((F.col("n") > 1) | (F.col("first") != F.col("keep"))).select("h1", "h2", "keep")
+    groups = bodies.select("id", "h1", "h2", "first", "n").join(roots, "id")
+    keep = groups.groupBy("root").agg(F.min("first").alias("keep"))
+    near = groups.join(keep, "root").where((F.col("n") > 1) | (F.col("first") != F.col("keep"))).select("h1", "h2", "keep")
+    alone = texts.where("n > 1").join(roots, "id", "left_anti").select("h1", "h2", F.col("first").alias("keep"))
+    told = near.union(alone)
     return seen.select("place", "h1", "h2").join(told, ["h1", "h2"]).select("place.*", "keep")
 
 
