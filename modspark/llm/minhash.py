@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from modspark.llm.cluster import SMALL, bucket_members, linked
-from modspark.llm.common import doc_key, stored, texts_of
+from modspark.llm.common import doc_key, passing, stored, texts_of
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -311,6 +311,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     class, of which one row stays. Empty table: no rows. Columns besides ``doc_id`` and ``text``
     are ignored.
     """
+    with passing(docs.sparkSession):
+        return stored(_near_duplicates(docs, similarity, bands, rows, keyed), "near_classes", keep=True)
+
+
+def _near_duplicates(docs: DataFrame, similarity: float, bands: int, rows: int, keyed: bool) -> DataFrame:
     source = texts_of(docs).withColumn("key", doc_key())
     kinds = "doc_id long, key long, words string, weight long, bands array<long>"
     signed = source.mapInArrow(_signed(bands, rows), kinds).withColumn("row", F.monotonically_increasing_id())

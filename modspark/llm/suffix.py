@@ -21,6 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from modspark.llm.common import doc_key, shuffle_partitions, texts_of
 
@@ -693,7 +694,7 @@ def _covered(blobs: pd.DataFrame) -> pd.DataFrame:
     return _told(rows + _by_doc(docs, doc, a, b))
 
 
-def _finish(with_text: bool):
+def _finish(with_text: bool, rest: tuple[str, ...] = ()):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
@@ -716,7 +717,8 @@ def _finish(with_text: bool):
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()][: 4 + with_text]
             cols = [pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)]
             names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][: 4 + with_text]
-            yield pa.RecordBatch.from_arrays([batch.column("ord"), batch.column("key"), *cols], ["ord", "key", *names])
+            own = ["ord", "key", *rest]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *cols], [*own, *names])
 
     return run
 
@@ -731,25 +733,25 @@ def repeated_passages(docs: DataFrame, with_text: bool = False) -> DataFrame:
     repeated with their doc_id, don't remove each other's strings. An empty table gives no rows.
     Other columns are ignored.
     """
-    done = _cut(docs, with_text)
+    source = texts_of(docs).select(F.coalesce("doc_id", F.lit(LAST)).alias("ord"), doc_key().alias("key"), "text")
+    done = _cut(source, with_text)
     return done.withColumn("doc_id", F.nullif("ord", F.lit(LAST))).select("doc_id", *done.columns[2:])
 
 
 def cut_passages(docs: DataFrame) -> DataFrame:
     """The documents with ``text`` as ``repeated_passages`` leaves it; other columns as they are, null texts empty."""
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.col("doc_id").isNull(), F.col("text").cast("string"))
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("ord"), key.alias("key"), row)
-    cut = _cut(docs, True).select("ord", "key", "kept_text").dropDuplicates(["ord", "key"])
-    out = own.join(cut, ["ord", "key"])
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row)
+    own = own.select(F.coalesce("doc_id", F.lit(LAST)).alias("ord"), doc_key().alias("key"), "text", "row")
+    out = _cut(own, True)
     return out.select(*(F.col("kept_text").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
 
 
-def _cut(docs: DataFrame, with_text: bool) -> DataFrame:
-    spark = docs.sparkSession
-    buckets = max(48, shuffle_partitions(spark))
-    source = texts_of(docs).select(F.coalesce("doc_id", F.lit(LAST)).alias("ord"), doc_key().alias("key"), "text")
-    blobs = source.mapInArrow(_find_anchors(buckets), BLOB)
+def _cut(source: DataFrame, with_text: bool) -> DataFrame:
+    """``source`` has ``ord, key, text``; columns beside these go with the texts, which are shuffled once."""
+    buckets = max(48, shuffle_partitions(source.sparkSession))
+    rest = tuple(c for c in source.columns if c not in ("ord", "key", "text"))
+    blobs = source.select("ord", "key", "text").mapInArrow(_find_anchors(buckets), BLOB)
     places = blobs.groupBy("bucket").applyInPandas(_shared_anchors, TOLD)
     is_span = F.length("end") > 0
     asked = places.groupBy("ord", "key").agg(
@@ -761,5 +763,9 @@ def _cut(docs: DataFrame, with_text: bool) -> DataFrame:
     contexts = source.join(asked, ["ord", "key"]).mapInArrow(_cut_contexts(buckets), BLOB)
     spans = contexts.groupBy("bucket").applyInPandas(_covered, TOLD)
     cuts = spans.groupBy("ord", "key").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
-    kinds = "ord long, key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    return source.join(cuts, ["ord", "key"], "left").mapInArrow(_finish(with_text), kinds)
+    kinds = T.StructType([source.schema[c] for c in ("ord", "key", *rest)])
+    for c in ("n_bytes", "n_removed", "n_spans"):
+        kinds.add(c, "long")
+    for c in ("kept_sha256", "kept_text")[: 1 + with_text]:
+        kinds.add(c, "string")
+    return source.join(cuts, ["ord", "key"], "left").mapInArrow(_finish(with_text, rest), kinds)
