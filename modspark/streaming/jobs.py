@@ -7,16 +7,18 @@ batch without end there.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from modspark import constants as k
 from modspark.operators.scoring import ContextScorer, lexicon_context_scorer
 from modspark.plans.moderation import score_messages
 from modspark.session import scratch_path
 from modspark.sources.readers import parse_frames
+from modspark.streaming.event_time import BUCKETS
 
 
 def moderation_stream(messages: DataFrame, skip=None, compose: bool = True) -> DataFrame:
@@ -256,7 +258,8 @@ PART, DONE, TIMED_OUT, NO_PLACE = "part", "done", "timed_out", "no_place"
 
 
 def assembled_stream(
-    chunks: DataFrame, key: str, seq: str, chunk: str, last: str, time: str | None = None, delay: str = "10 seconds", wait_ms: int = 60_000
+    chunks: DataFrame, key: str, seq: str, chunk: str, last: str, time: str | None = None, delay: str = "10 seconds", wait_ms: int = 60_000,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Chunks of messages put in order: ``key, start, chunks, text, status``.
 
@@ -267,56 +270,90 @@ def assembled_stream(
 
     With ``time`` (a timestamp, watermark ``delay``) a message that gets no chunk for ``wait_ms`` of event
     time gives up: an unfinished one sends what it holds as ``timed_out``, in order, over the gaps, and its state
-    goes. Without it state stays, that of a finished message as one number.
+    goes. Without it state stays, that of a finished message as its numbers.
+
+    Messages share ``buckets`` (fixed for a checkpoint): one call puts all chunks of a bucket together, since a call and
+    its frames cost far more than a message's few chunks.
     """
-    out = StructType([chunks.schema[key], StructField("start", LongType()), StructField("chunks", LongType()), StructField("text", StringType()), StructField("status", StringType())])
-    state_type = StructType([StructField("next", LongType()), StructField("end", LongType()), StructField("seqs", ArrayType(LongType())), StructField("texts", ArrayType(StringType())), StructField("latest", LongType())])
+    out = StructType([StructField("_key", StringType()), StructField("start", LongType()), StructField("chunks", LongType()), StructField("text", StringType()), StructField("status", StringType())])
+    state_type = StructType([StructField("keys", StringType()), StructField("marks", BinaryType()), StructField("held", BinaryType()), StructField("texts", StringType())])
 
-    def step(name, frames, state):
+    def step(_, frames, state):
         import pandas as pd
 
-        following, end, held, latest = 0, -1, {}, 0
+        # Of each message: next number, number of the last chunk, newest time, time to give up. Of each chunk held: message, number, length.
+        names, marks, held, whole = [], np.empty((0, 4), "int64"), np.empty((0, 3), "int64"), ""
         if state.exists:
-            following, end, seqs, texts, latest = state.get
-            held = dict(zip(seqs, texts))
-        rows = []
-        if state.hasTimedOut:
-            if following != end + 1:
-                at = sorted(held)
-                rows.append((at[0] if at else following, len(at), "".join(held[i] for i in at), TIMED_OUT))
-            state.remove()
-        else:
-            before = following
-            for pdf in frames:
-                for i, text, ends, at in zip(pdf[seq], pdf[chunk], pdf[last], pdf["_ms"]):
-                    latest = latest if pd.isna(at) else max(latest, int(at))
-                    text = text if isinstance(text, str) else ""
-                    if pd.isna(i) or i < 0:
-                        rows.append((None, 1, text, NO_PLACE))
-                        continue
-                    if i >= following:
-                        held.setdefault(int(i), text)
-                    if ends is True or ends == 1:
-                        end = int(i)
-            run = []
-            while following in held:
-                run.append(held.pop(following))
-                following += 1
-            if run:
-                rows.append((before, len(run), "".join(run), DONE if following == end + 1 else PART))
-            at = sorted(held)
-            state.update((following, end, at, [held[i] for i in at], latest))
+            keys, raw, of_chunks, whole = state.get
+            names = keys.split("\n")
+            marks, held = np.frombuffer(raw, "int64").reshape(-1, 4), np.frombuffer(of_chunks, "int64").reshape(-1, 3)
+        cut = np.concatenate([[0], np.cumsum(held[:, 2])]).tolist()
+        texts = [whole[x:y] for x, y in zip(cut, cut[1:])]
+        known, gone = len(names), []
+        watermark = state.getCurrentWatermarkMs() if time is not None else 0
+        new = pd.DataFrame(columns=["_key", seq, chunk, last, "_ms"]) if state.hasTimedOut else pd.concat(list(frames), ignore_index=True)
+        code, distinct = pd.factorize(np.concatenate([np.array(names, dtype=object), new["_key"].to_numpy(dtype=object)]))
+        code, names = code[known:], np.array(distinct, dtype=object)
+        marks = np.concatenate([marks, np.tile(np.array([0, -1, 0, 0]), (len(names) - known, 1))])
+        said = np.array([t if isinstance(t, str) else "" for t in new[chunk]], dtype=object)
+        moment = new["_ms"].to_numpy(dtype="float64", na_value=np.nan)
+        dated = ~np.isnan(moment)
+        np.maximum.at(marks[:, 2], code[dated], moment[dated].astype("int64"))
+        placed = (new[seq].notna() & (new[seq] >= 0)).to_numpy(dtype=bool)
+        gone += [(names[m], None, 1, t, NO_PLACE) for m, t in zip(code[~placed], said[~placed])]
+        ends = (new[last].eq(True)).to_numpy(dtype=bool)[placed]
+        code_placed, said, number = code[placed], said[placed], new[seq][placed].to_numpy(dtype="int64")
+        marks[code_placed[ends], 1] = number[ends]  # the one that came last
+        ahead = number >= marks[code_placed, 0]
+        message, number = np.concatenate([held[:, 0], code_placed[ahead]]), np.concatenate([held[:, 1], number[ahead]])
+        texts = np.concatenate([np.array(texts, dtype=object), said[ahead]])
+        order = np.lexsort((number, message))  # stable: of equal numbers the first that came
+        message, number, texts = message[order], number[order], texts[order]
+        first = np.ones(len(order), bool)
+        first[1:] = (message[1:] != message[:-1]) | (number[1:] != number[:-1])
+        message, number, texts = message[first], number[first], texts[first]
+        edge = np.searchsorted(message, np.arange(len(names) + 1))
+        run = number == marks[message, 0] + np.arange(len(message)) - edge[message]
+        size = np.bincount(message[run], minlength=len(names))
+        before = marks[:, 0].copy()
+        marks[:, 0] += size
+        for m in np.flatnonzero(size):
+            gone.append((names[m], before[m], size[m], "".join(texts[edge[m] : edge[m] + size[m]]), DONE if marks[m, 0] == marks[m, 1] + 1 else PART))
+        stays = np.ones(len(names), bool)
+        if time is not None:
+            came = np.zeros(len(names), bool)
+            came[code] = True
+            marks[came, 3] = np.maximum(marks[came, 2] + wait_ms, watermark + 1)
+            stays = came | (marks[:, 3] >= watermark)
+            for m in np.flatnonzero(~stays & (marks[:, 0] != marks[:, 1] + 1)):
+                own = slice(edge[m] + size[m], edge[m + 1])
+                at = number[own]
+                gone.append((names[m], at[0] if len(at) else marks[m, 0], len(at), "".join(texts[own]), TIMED_OUT))
+        keep = ~run & stays[message]
+        if stays.any():
+            place = np.cumsum(stays) - 1
+            texts = texts[keep]
+            held = np.stack([place[message[keep]], number[keep], np.fromiter(map(len, texts), "int64", len(texts))], 1)
+            state.update(("\n".join(names[stays]), marks[stays].tobytes(), held.astype("int64").tobytes(), "".join(texts)))
             if time is not None:
-                state.setTimeoutTimestamp(max(latest + wait_ms, state.getCurrentWatermarkMs() + 1))
-        if rows:
-            yield pd.DataFrame([(name[0], *r) for r in rows], columns=out.names).astype({"start": "Int64"})
+                state.setTimeoutTimestamp(int(max(marks[stays, 3].min(), watermark + 1)))
+        elif state.exists:
+            state.remove()
+        if gone:
+            yield pd.DataFrame(gone, columns=out.names).astype({"start": "Int64", "chunks": "int64"})
 
     if time is not None:
         chunks = chunks.withWatermark(time, delay)
     moment = F.lit(None).cast("long") if time is None else F.unix_millis(time)
     timeout = GroupStateTimeout.NoTimeout if time is None else GroupStateTimeout.EventTimeTimeout
-    cols = [key, F.col(seq).cast("long").alias(seq), F.col(chunk).cast("string").alias(chunk), F.col(last).cast("boolean").alias(last), moment.alias("_ms")]
-    return chunks.select(*cols, *([time] if time else [])).groupBy(key).applyInPandasWithState(step, out, state_type, "append", timeout)
+    # Keys travel as one line of text, which holds any type, and are read back by Spark.
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    cols = [
+        F.pmod(F.xxhash64(key), F.lit(buckets)).alias("_bucket"), F.to_json(F.struct(key), exact).alias("_key"),
+        F.col(seq).cast("long").alias(seq), F.col(chunk).cast("string").alias(chunk), F.col(last).cast("boolean").alias(last), moment.alias("_ms"),
+    ]
+    put = chunks.select(*cols, *([time] if time else [])).groupBy("_bucket").applyInPandasWithState(step, out, state_type, "append", timeout)
+    return put.select(F.from_json("_key", StructType([chunks.schema[key]]), exact)[key].alias(key), *out.names[1:])
 
 
 def duplicates_by_watermark(messages: DataFrame, keys: list[str], ts: str, gap: str = "5 seconds") -> DataFrame:

@@ -49,3 +49,36 @@ def test_a_message_that_stops_times_out_with_what_it_has(spark):
     assert ("a", 0, 1, "a", jobs.PART) in got and ("a", 2, 2, "cd", jobs.TIMED_OUT) in got
     assert [r for r in got if r[0] == "b"] == [("b", 0, 1, "b", jobs.DONE)]
     assert "".join(r[3] for r in sorted(got) if r[0] == "z") == "zy"
+
+
+def test_messages_share_state_rows(spark):
+    """Many messages, keys of any type and null, times out for some: rows as message by message, one state row a bucket."""
+    rng = random.Random(3)
+    late = START + datetime.timedelta(minutes=10)
+    rows, want = [], set()
+    for i in range(1500):
+        name, n = None if i == 7 else f"m\n{i}", rng.randint(1, 6)
+        missing = i % 5 == 0 and n > 2
+        rows += [(name, j, f"w{i}.{j} ", j == n - 1, START) for j in range(n) if not (missing and j == 1)]
+        want.add((name, n - missing, jobs.TIMED_OUT if missing else jobs.DONE))
+    rng.shuffle(rows)
+    path, base = scratch_path(spark, "many"), scratch_path(spark, "many-out")
+    for batch in (rows[::2], rows[1::2], [("z", 0, "z", True, late)], [("z", 1, "y", True, late + datetime.timedelta(seconds=1))]):
+        spark.createDataFrame(batch, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    stream = jobs.stream_of(spark, path, spark.createDataFrame([], SCHEMA).schema, files=1)
+    for name, options in (("timed", {"time": "at", "delay": "5 seconds", "wait_ms": 60_000}), ("kept", {})):
+        out = jobs.assembled_stream(stream, "id", "seq", "chunk", "last", **options)
+        writer = out.writeStream.option("checkpointLocation", f"{base}/{name}-k").trigger(availableNow=True)
+        writer.format("parquet").option("path", f"{base}/{name}").start().awaitTermination()
+        got = spark.read.schema(out.schema).parquet(f"{base}/{name}").collect()
+        by = {}
+        for r in sorted(got, key=lambda r: r.start):
+            if r.id != "z":
+                by.setdefault(r.id, []).append(r)
+        ended = {(m, sum(r.chunks for r in own), own[-1].status) for m, own in by.items()}
+        if options:
+            assert ended == want
+        else:
+            assert {x for x in ended if x[2] == jobs.DONE} == {x for x in want if x[2] == jobs.DONE}
+        state = spark.read.format("statestore").load(f"{base}/{name}-k").count()
+        assert state <= (1 if options else jobs.BUCKETS)
