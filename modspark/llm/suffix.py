@@ -6,8 +6,9 @@
    are equal, the least document's covers the others.
 2. The other contexts go to shards by their anchor; equal ones are joined to one with the least
    document.
-3. Each shard concatenates its different contexts, builds their suffix array by induced sorting
-   and the common prefixes of neighbours, and so finds equal 50-byte strings.
+3. Each shard concatenates the spans of its different contexts that another one may hold too, builds
+   their suffix array by induced sorting and the common prefixes of neighbours, and so finds equal
+   50-byte strings.
 4. What is covered goes back to the documents, where spans are cut.
 """
 
@@ -128,65 +129,38 @@ def _name(s: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
     return name[lms]
 
 
-def _by_lists(s: list[int], size: int) -> list[int]:
-    """Induced sorting for the large alphabets of the recursion; ``s`` ends with its one least value."""
+def _by_lists(s: list[int] | np.ndarray, size: int) -> list[int]:
+    """Order of the suffixes for the large alphabets of the recursion; ``s`` ends with its one least value.
+
+    Most names stand once, so ranks of twice as many names each round soon differ; only tied ones are sorted again.
+    """
+    s = np.asarray(s, np.int64)
     n = len(s)
-    small = [True] * n
-    for i in range(n - 2, -1, -1):
-        small[i] = s[i] < s[i + 1] or s[i] == s[i + 1] and small[i + 1]
-    lms = [i for i in range(1, n) if small[i] and not small[i - 1]]
-    count = [0] * (size + 1)
-    for c in s:
-        count[c + 1] += 1
-    for c in range(size):
-        count[c + 1] += count[c]
-
-    large = [-1 if small[i] else s[i] for i in range(n)]
-    less = [s[i] if small[i] else -1 for i in range(n - 1)] + [-1]
-
-    def induce(order: list[int]) -> list[int]:
-        # An empty place holds 0, as does the first suffix: neither has one before it to place.
-        sa, tail = [0] * n, count[1:]
-        for i in reversed(order):
-            c = s[i]
-            tail[c] -= 1
-            sa[tail[c]] = i
-        head = count[:-1]
-        for j in sa:
-            c = large[j - 1]
-            if c >= 0:
-                sa[head[c]] = j - 1
-                head[c] += 1
-        tail = count[1:]
-        for j in reversed(sa):
-            c = less[j - 1]
-            if c >= 0:
-                tail[c] -= 1
-                sa[tail[c]] = j - 1
-        return sa
-
-    if not lms:
-        return induce([n - 1])
-    is_lms = bytearray(n)
-    for i in lms:
-        is_lms[i] = 1
-    end = dict(zip(lms, [*lms[1:], n - 1], strict=True))
-    order = [i for i in induce(lms) if is_lms[i]]
-    name, k = {order[0]: 0}, 0
-    for a, b in zip(order, order[1:], strict=False):
-        if s[a : end[a] + 1] != s[b : end[b] + 1]:
-            k += 1
-        name[b] = k
-    if k + 1 < len(lms):
-        order = [lms[i] for i in _by_lists([name[i] for i in lms], k + 1)]
-    return induce(order)
+    sa = np.argsort(s, kind="stable")
+    new = np.append(True, s[sa[1:]] != s[sa[:-1]])
+    rank = np.empty(n, np.int64)
+    rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # the first place of the run
+    k = 1
+    while not new.all():
+        alone = new & np.append(new[1:], True)
+        tied = np.flatnonzero(~alone)
+        p = sa[tied]
+        key = rank[p] * (n + 1) + rank[np.minimum(p + k, n - 1)]
+        o = np.argsort(key, kind="stable")
+        p, key = p[o], key[o]
+        sa[tied] = p
+        new[tied] = np.append(True, key[1:] != key[:-1])
+        rank[p] = tied[np.maximum.accumulate(np.where(new[tied], np.arange(len(tied)), 0))]
+        k *= 2
+    return sa.tolist()
 
 
 def suffix_array(s: np.ndarray, size: int) -> np.ndarray:
     """Order of all suffixes of ``s``, whose last value is its one 0; values are below ``size``.
 
     Classifies suffixes, sorts the leftmost-smaller substrings by inducing from them unsorted,
-    names them, recurses on the string of names where names repeat, and induces the rest.
+    names them, recurses on the string of names where names repeat (by doubling where there are many), and
+    induces the rest.
     """
     if len(s) == 1:
         return np.zeros(1, np.int64)
@@ -202,7 +176,7 @@ def suffix_array(s: np.ndarray, size: int) -> np.ndarray:
         if top <= 1024:
             order = lms[suffix_array(names.astype(np.uint16), top)]
         else:
-            order = lms[np.array(_by_lists(names.tolist(), top), np.int64)]
+            order = lms[np.array(_by_lists(names, top), np.int64)]
     return _induce(s, small, order, size)
 
 
@@ -266,6 +240,40 @@ def least_documents(contexts: np.ndarray, length: np.ndarray, order: np.ndarray)
     return owner[hit], offset[hit]
 
 
+def shared_spans(contexts: np.ndarray, length: np.ndarray, at: np.ndarray, gram: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each context: the span of its 50-byte strings around the gram ``at`` that one of another ``order`` may share; ``(0, 0)`` without any.
+
+    Equal strings have their anchor at one place, so strings are held against those that begin as far before the same
+    gram. A rolling hash tells which may be equal: what it leaves out is in one context only, or in one document only.
+    """
+    n = len(contexts)
+    cells = np.zeros((CONTEXT, n), np.uint8)  # the gram begins in cell REACH
+    for d in np.unique(at).tolist():
+        own = np.flatnonzero(at == d)
+        cells[REACH - d :, own] = contexts[own, : CONTEXT - REACH + d].T
+    low, high = np.full(n, CONTEXT), np.zeros(n, np.int64)
+    base, gone = np.uint64(_BASE), np.uint64(pow(_BASE, WIDTH, 2**64))
+    with np.errstate(over="ignore"):
+        h, salt = np.zeros(n, np.uint64), gram * np.uint64(0x94D049BB133111EB)
+        for k in range(WIDTH - 1):
+            h = h * base + _LETTERS[cells[k]]
+        for k in range(REACH + 1):
+            h = h * base + _LETTERS[cells[k + WIDTH - 1]]
+            if k:
+                h -= _LETTERS[cells[k - 1]] * gone
+            start = at - REACH + k
+            own = np.flatnonzero((start >= 0) & (start + WIDTH <= length))
+            if not len(own):
+                continue
+            key = h[own] ^ salt[own]
+            o = np.argsort(key)
+            own, head = own[o], _runs(key[o])
+            differ = np.minimum.reduceat(order[own], head) < np.maximum.reduceat(order[own], head)
+            own = own[_each(head, len(own), differ)]
+            low[own], high[own] = np.minimum(low[own], start[own]), np.maximum(high[own], start[own] + WIDTH)
+    return np.where(high > 0, low, 0), high
+
+
 # Anchors and contexts
 
 
@@ -661,15 +669,20 @@ def _covered(blobs: pd.DataFrame) -> pd.DataFrame:
     sorted_ = gram[one][g]
     head = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
     count = np.diff(np.append(head, len(g)))
-    g, count = g[np.repeat(count > 1, count)], count[count > 1]
-    ends = np.cumsum(count)
+    g = g[np.repeat(count > 1, count)]
+    # Of these the spans that may hold an equal string; a very common phrase with other text around it has none.
+    own = one[g]
+    low, high = shared_spans(table[own], shape[own, 0], shape[own, 1], gram[own], least[g])
+    g, low, high = g[high > 0], low[high > 0], high[high > 0]
+    ends = np.append(_runs(gram[one[g]])[1:], len(g))
     x = 0
     hits: list[tuple[np.ndarray, np.ndarray]] = []
     while x < len(g):
         y = int(ends[max(np.searchsorted(ends, x + SHARD_BYTES // CONTEXT, side="right") - 1, np.searchsorted(ends, x, side="right"))])
-        own = one[g[x:y]]
-        which, offset = least_documents(table[own], shape[own, 0], least[g[x:y]])
-        hits.append((g[x:y][which], offset))
+        part, a = table[one[g[x:y]]], low[x:y]
+        part = np.take_along_axis(part, np.minimum(a[:, None] + np.arange(CONTEXT), CONTEXT - 1), 1)
+        which, offset = least_documents(part, high[x:y] - a, least[g[x:y]])
+        hits.append((g[x:y][which], offset + a[which]))
         x = y
     if hits:
         which, offset = (np.concatenate(c) for c in zip(*hits, strict=True))
